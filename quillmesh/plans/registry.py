@@ -1,6 +1,6 @@
 """Imports every query module, so that all queries are registered."""
 
-from quillmesh.plans import mixing, prompts, tokens  # noqa: F401
+from quillmesh.plans import logic, mixing, prompts, tokens  # noqa: F401
 from quillmesh.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
