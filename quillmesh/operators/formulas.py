@@ -35,12 +35,6 @@ _LINEAR = (
 
 AND, OR = -1, -2
 
-CLAUSE = (
-    "struct<operator:string, t_lo:double, t_hi:double, x_lo:bigint, x_hi:bigint, "
-    "slope:double, divisor:double, intercept:double, comparison:string, threshold:double, "
-    "index:int, status:string>"
-)
-
 
 def split_formula(df: DataFrame, formula: str, prefix: str = "") -> DataFrame:
     """Add `clauses` (stripped texts) and `junctions` ('and' / 'or') of a formula."""
@@ -108,73 +102,107 @@ def _grouping(clauses: Column, junctions: Column) -> Column:
 
 def _signed(text: Column) -> Column:
     """A number that may have two signs in front of it."""
-    negative = occurrences(F.regexp_extract(text, r"^([-+]*)", 1), "-") % 2 == 1
+    negative = occurrences(F.regexp_extract(text, r"^[-+]*", 0), "-") % 2 == 1
     size = F.regexp_replace(text, r"^[-+]+", "").try_cast("double")
     return F.when(negative, -size).otherwise(size)
 
 
-def _expression(text: Column) -> tuple[Column, Column, Column, Column]:
-    """Slope, divisor, intercept and validity of `a*x + b`, `x*a + b` or `x/a + b`."""
-    compact = F.regexp_replace(F.regexp_replace(text, r"\\cdot", "*"), r"\s+", "")
-    split_number = F.regexp_like(text, F.lit(r"[\d.]\s+[\d.]"))
-    known = F.regexp_like(compact, F.lit(_LINEAR)) & ~split_number
-    flat = F.translate(compact, "()", "")
+def _linear(text: Column) -> Column:
+    """Slope, divisor, intercept of `a*x + b`, `x*a + b` or `x/a + b`; NULL if neither.
+
+    No text at all stands for the expression 0.
+    """
     by_number = rf"^([-+]?{_NUMBER})\*?x(.*)$"
     by_x = rf"^([-+]?)x([*/])([-+]?{_NUMBER})(.*)$"
-    ahead = F.regexp_like(flat, F.lit(by_number))
-    factor = _signed(F.concat(F.regexp_extract(flat, by_x, 1), F.regexp_extract(flat, by_x, 3)))
-    divides = F.regexp_extract(flat, by_x, 2) == "/"
-    rest = F.when(ahead, F.regexp_extract(flat, by_number, 2)).otherwise(
-        F.regexp_extract(flat, by_x, 4)
-    )
-    none = text == ""
-    slope = F.when(none, 0.0).when(ahead, _signed(F.regexp_extract(flat, by_number, 1)))
-    slope = slope.when(~divides, factor)
-    divisor = F.when(~none & ~ahead & divides, factor)
-    intercept = F.when(none | (rest == ""), 0.0).otherwise(_signed(rest))
-    return slope, divisor, intercept, none | known
+
+    def numbers(slope: Column, divisor: Column, rest: Column) -> Column:
+        return F.struct(
+            slope.alias("slope"),
+            divisor.alias("divisor"),
+            F.when(rest == "", 0.0).otherwise(_signed(rest)).alias("intercept"),
+        )
+
+    def from_flat(flat: Column) -> Column:
+        def from_x(found: Column) -> Column:
+            divides = found["sign"] == "/"
+            factor = _signed(found["factor"])
+            return numbers(
+                F.when(~divides, factor), F.when(divides, factor), found["rest"]
+            )
+
+        part = lambda i: F.regexp_extract(flat, by_x, i)
+        found = F.struct(
+            F.concat(part(1), part(3)).alias("factor"),
+            part(2).alias("sign"),
+            part(4).alias("rest"),
+        )
+        ahead = numbers(
+            _signed(F.regexp_extract(flat, by_number, 1)),
+            F.lit(None).cast("double"),
+            F.regexp_extract(flat, by_number, 2),
+        )
+        return F.when(F.regexp_like(flat, F.lit(by_number)), ahead).otherwise(let(found, from_x))
+
+    def from_compact(compact: Column) -> Column:
+        known = F.regexp_like(compact, F.lit(_LINEAR))
+        return F.when(known, let(F.translate(compact, "()", ""), from_flat))
+
+    compact = F.regexp_replace(F.regexp_replace(text, r"\\cdot", "*"), r"\s+", "")
+    parted = F.regexp_like(text, F.lit(r"[\d.]\s+[\d.]"))
+    none = numbers(F.lit(0.0), F.lit(None).cast("double"), F.lit(""))
+    return F.when(text == "", none).when(~parted, let(compact, from_compact))
 
 
 def parse_clause(text: Column, index: Column) -> Column:
-    """One clause as a struct (see CLAUSE).
+    """One clause as a struct.
 
     `status` is `failed` when a part is missing or malformed, `error` when the
     expression has none of the linear forms, else `ok`.
     """
 
-    def read(found: Column) -> Column:
-        time = [F.regexp_extract(text, TIME_INTERVAL, i) for i in (1, 2, 3)]
-        place = [
-            F.regexp_extract(text, POSITION_INTERVAL, i).try_cast("double") for i in (1, 2)
-        ]
-        slope, divisor, intercept, linear = _expression(F.regexp_extract(found, _EXPRESSION, 1))
-        sign = F.regexp_extract(found, _COMPARED, 1)
-        comparison = (
-            F.when(sign == "\\leq", "<=").when(sign == "\\geq", ">=").otherwise(sign)
+    def read(parts: Column) -> Column:
+        expression = parts["expression"]
+        complete = F.forall(
+            F.array(*[parts[f] for f in ("t_lo", "t_hi", "x_lo", "x_hi")]),
+            lambda bound: bound.isNotNull(),
         )
-        low, high = time[1].try_cast("double"), time[2].try_cast("double")
-        complete = (
-            low.isNotNull() & high.isNotNull() & place[0].isNotNull() & place[1].isNotNull()
-            & found.isNotNull()
-        )
-        status = F.when(~complete, "failed").when(~linear, "error").when(divisor == 0, "error")
+        sign = parts["sign"]
         return F.struct(
-            F.nullif(time[0], F.lit("")).alias("operator"),
-            low.alias("t_lo"),
-            high.alias("t_hi"),
-            place[0].cast("bigint").alias("x_lo"),
-            place[1].cast("bigint").alias("x_hi"),
-            slope.alias("slope"),
-            divisor.alias("divisor"),
-            intercept.alias("intercept"),
-            comparison.alias("comparison"),
-            F.regexp_extract(found, _COMPARED, 2).try_cast("double").alias("threshold"),
+            F.nullif(parts["operator"], F.lit("")).alias("operator"),
+            parts["t_lo"].alias("t_lo"),
+            parts["t_hi"].alias("t_hi"),
+            parts["x_lo"].cast("bigint").alias("x_lo"),
+            parts["x_hi"].cast("bigint").alias("x_hi"),
+            expression["slope"].alias("slope"),
+            expression["divisor"].alias("divisor"),
+            expression["intercept"].alias("intercept"),
+            F.when(sign == "\\leq", "<=").when(sign == "\\geq", ">=").otherwise(sign).alias("comparison"),
+            parts["threshold"].alias("threshold"),
             index.cast("int").alias("index"),
-            F.coalesce(status, F.lit("ok")).alias("status"),
+            F.when(~complete | sign.isNull(), "failed")
+            .when(expression.isNull() | (expression["divisor"] == 0), "error")
+            .otherwise("ok")
+            .alias("status"),
+        )
+
+    def located(found: Column) -> Column:
+        number = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("double")
+        return let(
+            F.struct(
+                F.regexp_extract(text, TIME_INTERVAL, 1).alias("operator"),
+                number(TIME_INTERVAL, 2).alias("t_lo"),
+                number(TIME_INTERVAL, 3).alias("t_hi"),
+                number(POSITION_INTERVAL, 1).alias("x_lo"),
+                number(POSITION_INTERVAL, 2).alias("x_hi"),
+                let(F.regexp_extract(found, _EXPRESSION, 1), _linear).alias("expression"),
+                F.regexp_extract(found, _COMPARED, 1).alias("sign"),
+                F.regexp_extract(found, _COMPARED, 2).try_cast("double").alias("threshold"),
+            ),
+            read,
         )
 
     matches = [F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in EXPRESSIONS]
-    return let(F.coalesce(*matches), read)
+    return let(F.coalesce(*matches), located)
 
 
 def parse_clauses(df: DataFrame, prefix: str = "") -> DataFrame:
@@ -200,16 +228,16 @@ def read_formula(df: DataFrame, formula: str, prefix: str = "") -> DataFrame:
 
 def formula_domain(df: DataFrame, prefixes: tuple[str, ...] = ("truth_", "pred_")) -> DataFrame:
     """Add `t_min, t_max, x_min, x_max` over the clauses of all the given formulas."""
-    every = F.concat(*[F.col(f"{p}parsed") for p in prefixes])
-
-    def bound(field: str, pick) -> Column:
-        return pick(F.transform(every, lambda c: c[field]))
-
-    return df.withColumns(
-        {
-            "t_min": bound("t_lo", F.array_min),
-            "t_max": bound("t_hi", F.array_max),
-            "x_min": bound("x_lo", F.array_min),
-            "x_max": bound("x_hi", F.array_max),
-        }
+    clauses = F.concat(*[F.col(f"{p}parsed") for p in prefixes])
+    picks = {
+        "t_min": ("t_lo", F.array_min),
+        "t_max": ("t_hi", F.array_max),
+        "x_min": ("x_lo", F.array_min),
+        "x_max": ("x_hi", F.array_max),
+    }
+    domain = let(
+        clauses, lambda all_: F.struct(*[pick(all_[f]).alias(n) for n, (f, pick) in picks.items()])
     )
+    return df.withColumn("_domain", domain).withColumns(
+        {n: F.col(f"_domain.{n}") for n in picks}
+    ).drop("_domain")

@@ -183,12 +183,12 @@ def clause_truth(spark, sf_dir):
 @query(
     "combine_clauses",
     f"""WITH {cells_sql("reference")}
-        SELECT pair_id, sum((side = 0 AND v)::INT)::BIGINT AS truth_cells,
+        SELECT p_partkey AS pair_id, sum((side = 0 AND v)::INT)::BIGINT AS truth_cells,
                sum((side = 1 AND v)::INT)::BIGINT AS pred_cells
-        FROM formula GROUP BY pair_id""",
+        FROM part LEFT JOIN formula ON pair_id = p_partkey GROUP BY p_partkey""",
 )
 def combine_clauses(spark, sf_dir):
-    pairs = logic.read_pair(formula_pairs(spark, sf_dir), "sstl", "predicted_sstl")
+    pairs = logic.read_pair(formula_pairs(spark, sf_dir).repartition(32, "pair_id"), "sstl", "predicted_sstl")
     slopes = indexes(F.lit(SMALL.m_steps))
     cells = lambda prefix: let(
         logic.formula(prefix),
@@ -196,18 +196,25 @@ def combine_clauses(spark, sf_dir):
             F.transform(slopes, lambda i: logic.formula_masks(f, i, SMALL))
         ),
     )
-    return pairs.filter("status = 'ok'").select(
-        "pair_id", cells("truth_").alias("truth_cells"), cells("pred_").alias("pred_cells")
+    known = F.col("status") == "ok"
+    return pairs.select(
+        "pair_id",
+        F.when(known, cells("truth_")).alias("truth_cells"),
+        F.when(known, cells("pred_")).alias("pred_cells"),
     )
 
 
 @query(
     "formula_domain",
-    f"""WITH {PAIRS_SQL} SELECT pair_id, t_min, t_max, x_min::BIGINT AS x_min, x_max::BIGINT AS x_max FROM dom""",
+    f"""WITH {PAIRS_SQL} SELECT p_partkey AS pair_id, t_min, t_max, x_min::BIGINT AS x_min, x_max::BIGINT AS x_max
+        FROM part LEFT JOIN dom ON pair_id = p_partkey""",
 )
 def formula_domain(spark, sf_dir):
     pairs = logic.read_pair(formula_pairs(spark, sf_dir), "sstl", "predicted_sstl")
-    return pairs.filter("status = 'ok'").select("pair_id", "t_min", "t_max", "x_min", "x_max")
+    known = F.col("status") == "ok"
+    return pairs.select(
+        "pair_id", *[F.when(known, F.col(c)).alias(c) for c in ("t_min", "t_max", "x_min", "x_max")]
+    )
 
 
 # Three clauses A, B, C with different grouping, and the postfix steps each must give.
