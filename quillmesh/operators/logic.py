@@ -7,8 +7,8 @@ needs no shuffle and no grid of rows.
 
 Two facts keep the numbers exact and few. For `<, <=, >, >=` the hardest grid point x is
 one of the two ends, because the expression is linear. And for a fixed slope and time the
-comparison can only change once as b grows, so the place of the change is found by
-halving, with the very floating-point comparison that a cell-by-cell test would make.
+comparison can only change once as b grows, so one place of change stands for all
+offsets; it is confirmed by the floating-point comparison a cell-by-cell test would make.
 """
 
 from __future__ import annotations
@@ -116,41 +116,56 @@ def _prepare(clause: Column, domain: Column, align: str) -> Column:
         )
         return scaled + clause["intercept"]
 
-    def with_axes(axes: Column) -> Column:
-        all_times, places = axes["times"], axes["places"]
-        inside = F.filter(
-            all_times, lambda t: (t >= clause["t_lo"]) & (t <= clause["t_hi"])
+    def inside(axes: Column) -> Column:
+        # Grid points of the clause; no position means no time either.
+        here = F.filter(axes["places"], lambda x: (x >= clause["x_lo"]) & (x <= clause["x_hi"]))
+        now = F.filter(axes["times"], lambda t: (t >= clause["t_lo"]) & (t <= clause["t_hi"]))
+        early = F.filter(axes["times"], lambda t: t < clause["t_lo"])
+        found = let(
+            here,
+            lambda xs: F.struct(
+                F.size(axes["times"]).alias("all"),
+                F.when(F.size(xs) > 0, now).otherwise(F.array().cast("array<double>")).alias("times"),
+                F.when(F.size(xs) > 0, F.size(early)).otherwise(0).alias("lead"),
+                F.array(expression(F.get(xs, F.lit(0))), expression(last(xs))).alias("ends"),
+                xs.alias("places"),
+            ),
         )
-        here = F.filter(places, lambda x: (x >= clause["x_lo"]) & (x <= clause["x_hi"]))
-        times = F.when(F.size(here) > 0, inside).otherwise(F.array().cast("array<double>"))
-        ends = F.array(expression(F.get(here, F.lit(0))), expression(last(here)))
-        lead = F.when(
-            F.size(times) > 0, F.size(F.filter(all_times, lambda t: t < F.get(times, F.lit(0))))
-        ).otherwise(F.size(all_times))
+        return let(found, described)
+
+    def described(found: Column) -> Column:
+        ends, times = found["ends"], found["times"]
+        lead = F.when(F.size(times) > 0, found["lead"]).otherwise(found["all"])
         below = clause["comparison"].isin("<", "<=")
         ordered = clause["comparison"].isin("<", "<=", ">", ">=")
+        # With mirrored profiles the offsets fall. Changing every sign lets them rise, and
+        # then each comparison reads "value < limit" (or <=) for a first run of offsets:
+        # the true ones, or for the opposite comparisons the false ones.
+        sign = F.when(backwards, -1.0).otherwise(1.0)
+        true_first = below != backwards
         return F.struct(
             clause["operator"].alias("operator"),
             clause["comparison"].alias("comparison"),
             clause["threshold"].alias("threshold"),
             ordered.alias("ordered"),
             backwards.alias("mirrored"),
-            # With mirrored profiles the offsets fall instead of rise.
-            (below != backwards).alias("true_first"),
-            F.when(below, F.array_min(ends)).otherwise(F.array_max(ends)).alias("level"),
+            true_first.alias("true_first"),
+            (clause["comparison"].isin("<=", ">=") == true_first).alias("closed_run"),
+            (sign * clause["threshold"]).alias("limit"),
+            (sign * F.when(below, F.array_min(ends)).otherwise(F.array_max(ends))).alias("level"),
             F.when(ordered, F.array().cast("array<double>"))
-            .otherwise(F.transform(here, expression))
+            .otherwise(F.transform(found["places"], expression))
             .alias("levels"),
             times.alias("times"),
             lead.alias("lead"),
-            (F.size(all_times) - lead - F.size(times)).alias("tail"),
+            (found["all"] - lead - F.size(times)).alias("tail"),
         )
 
     axes = F.struct(
         _axis(domain["t_min"], domain["t_max"], backwards).alias("times"),
         _axis(low, high, backwards).alias("places"),
     )
-    return let(axes, with_axes)
+    return let(axes, inside)
 
 
 def prepare_clauses(df: DataFrame, prefix: str, align: str = "reference") -> DataFrame:
@@ -166,37 +181,55 @@ def prepare_clauses(df: DataFrame, prefix: str, align: str = "reference") -> Dat
     return df.withColumn(f"{prefix}prepared", F.when(usable, prepared))
 
 
-def _holds(clause: Column, value: Column) -> Column:
-    limit, sign = clause["threshold"], clause["comparison"]
-    return (
-        F.when(sign == "<", value < limit)
-        .when(sign == ">", value > limit)
-        .when(sign == "<=", value <= limit)
-        .otherwise(value >= limit)
+def _run_length(clause: Column, base: Column, grid: ProfileGrid) -> Column:
+    """How many offsets, from the first, give values on the low side of the limit.
+
+    The place is estimated and then confirmed by the exact comparison at its two sides;
+    where rounding puts the estimate off, halving finds it with the same comparison.
+    """
+    infinity = float("inf")
+    count, gap = grid.b_steps, grid.offsets[1] - grid.offsets[0] if grid.b_steps > 1 else 1.0
+    rising, turned = grid.offsets, [-b for b in reversed(grid.offsets)]
+    # Offset i (from 1) at place i, with an always low one before and never low ones behind.
+    tail = [infinity] * (2 ** count.bit_length() - count)
+    fenced = F.when(clause["mirrored"], _numbers([-infinity, *turned, *tail])).otherwise(
+        _numbers([-infinity, *rising, *tail])
+    )
+    first = F.when(clause["mirrored"], F.lit(turned[0])).otherwise(F.lit(rising[0]))
+
+    def low(place: Column) -> Column:
+        value = base + F.get(fenced, place) - clause["level"]
+        return F.when(clause["closed_run"], value <= clause["limit"]).otherwise(
+            value < clause["limit"]
+        )
+
+    halves = _numbers([1 << i for i in reversed(range(count.bit_length()))])
+    searched = F.aggregate(
+        halves, F.lit(0), lambda n, half: F.when(low(n + half), n + half).otherwise(n)
+    )
+    estimate = (clause["limit"] + clause["level"] - base - first) / gap
+    bounded = F.least(F.greatest(estimate, F.lit(0.0)), F.lit(float(count)))
+    return let(
+        F.ceil(bounded).cast("int"),
+        lambda n: F.when(low(n) & ~low(n + 1), n).otherwise(searched),
     )
 
 
 def _truth_at(clause: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
     """Bits of the offsets whose profile meets the clause at every position at `time`."""
-    rising = _numbers(grid.offsets)
-    falling = _numbers(grid.offsets[::-1])
-    offsets = F.when(clause["mirrored"], falling).otherwise(rising)
     lower = _bits([(1 << n) - 1 for n in range(grid.b_steps + 1)])
-    halves = _numbers([1 << i for i in reversed(range(grid.b_steps.bit_length()))])
+    sign = F.when(clause["mirrored"], -1.0).otherwise(1.0)
 
-    def search(base: Column) -> Column:
-        # Length of the run of equal answers that the offsets start with.
-        def longer(n: Column, half: Column) -> Column:
-            reach = n + half
-            value = base + F.get(offsets, reach - 1) - clause["level"]
-            fits = (reach <= grid.b_steps) & (_holds(clause, value) == clause["true_first"])
-            return F.when(fits, reach).otherwise(n)
-
-        run = F.get(lower, F.aggregate(halves, F.lit(0), longer))
+    def by_run(base: Column) -> Column:
+        run = F.get(lower, _run_length(clause, base, grid))
         return F.when(clause["true_first"], run).otherwise(run.bitwiseXOR(F.lit(grid.full)))
 
     def each(base: Column) -> Column:
         # `=` and `!=` are tested at every position of every profile.
+        offsets = F.when(clause["mirrored"], _numbers(grid.offsets[::-1])).otherwise(
+            _numbers(grid.offsets)
+        )
+
         def equal(offset: Column, level: Column) -> Column:
             return (base + offset - level == clause["threshold"]) == (clause["comparison"] == "=")
 
@@ -209,9 +242,9 @@ def _truth_at(clause: Column, slope: Column, time: Column, grid: ProfileGrid) ->
             ).otherwise(bits),
         )
 
-    return let(
-        slope * time, lambda base: F.when(clause["ordered"], search(base)).otherwise(each(base))
-    )
+    return F.when(
+        clause["ordered"], let(sign * (slope * time), by_run)
+    ).otherwise(let(slope * time, each))
 
 
 def _slope(clause: Column, place: Column, grid: ProfileGrid) -> Column:
@@ -232,8 +265,8 @@ def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
 
     always: false wherever the profile fails once, except at vacuous times behind the
     failure. eventually: true while a true time is still to come, and at vacuous times.
-    For the four order comparisons u moves one way in time, so the two ends of the
-    remaining times decide.
+    For the four order comparisons u moves one way in time, so the first and the last
+    time decide, unless an `eventually` grows harder with time.
     """
     full, none = F.lit(grid.full).cast("bigint"), F.lit(0).cast("bigint")
     times = clause["times"]
@@ -242,25 +275,34 @@ def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
     def at(time: Column) -> Column:
         return let(_slope(clause, place, grid), lambda m: _truth_at(clause, m, time, grid))
 
-    ends = F.array(F.get(times, F.lit(0)), last(times))
-    checked = F.when(count == 0, times).otherwise(F.when(clause["ordered"], ends).otherwise(times))
+    first_time, last_time = F.get(times, F.lit(0)), last(times)
+    checked = F.when((count > 0) & clause["ordered"], F.array(first_time, last_time)).otherwise(times)
     always = F.aggregate(F.transform(checked, at), full, lambda a, b: a.bitwiseAND(b))
 
     def to_come(masks: Column) -> Column:
         later = lambda i: F.aggregate(
             F.slice(masks, i + 1, F.size(masks)), none, lambda a, b: a.bitwiseOR(b)
         )
-        return F.when(
-            clause["ordered"], F.transform(masks, lambda m: m.bitwiseOR(last(masks)))
-        ).otherwise(F.transform(masks, lambda m, i: later(i)))
+        return F.transform(masks, lambda m, i: later(i))
 
+    def by_ends(latest: Column) -> Column:
+        easier = at(first_time).bitwiseOR(latest) == latest
+        return F.when(easier, F.array_repeat(latest, count)).otherwise(
+            F.transform(times, lambda t: at(t).bitwiseOR(latest))
+        )
+
+    eventual = (
+        F.when(count == 0, F.array().cast("array<bigint>"))
+        .when(clause["ordered"], let(at(last_time), by_ends))
+        .otherwise(let(truth_masks(clause, place, grid), to_come))
+    )
     vacuous_tail = F.array_repeat(full, clause["tail"])
     globally = let(
         always, lambda a: F.concat(F.array_repeat(a, clause["lead"] + count), vacuous_tail)
     )
     finally_ = F.concat(
         F.array_repeat(full, clause["lead"]),
-        let(truth_masks(clause, place, grid), to_come),
+        eventual,
         vacuous_tail,
     )
     return F.when(clause["operator"] == "G", globally).otherwise(finally_)
@@ -318,8 +360,9 @@ def read_pair(df: DataFrame, truth: str, pred: str, align: str = "reference") ->
 def _spread(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
     """Scoring costs milliseconds per row of a few hundred bytes, so file splits are far
     too coarse as units of work: deal the rows out by key."""
-    tasks = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks, key)
+    spark = df.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks or max(usual, 4 * spark.sparkContext.defaultParallelism), key)
 
 
 def formula_iou(
@@ -333,24 +376,15 @@ def formula_iou(
     An empty union scores 1; a pair without `ok` status has NULL.
     """
     pairs = read_pair(_spread(df, key, tasks), truth, pred, align)
-    zero = F.lit(0).cast("bigint")
+    high = 1 << 32  # both counts of a row in one BIGINT: shared cells above, all cells below
 
     def tally(pair: Column, total: Column, place: Column) -> Column:
         def add(left: Column, right: Column) -> Column:
             cells = F.zip_with(
                 left, right,
-                lambda a, b: F.struct(
-                    F.bit_count(a.bitwiseAND(b)).alias("both"),
-                    F.bit_count(a.bitwiseOR(b)).alias("either"),
-                ),
-            )
-            return F.aggregate(
-                cells, total,
-                lambda n, c: F.struct(
-                    (n["both"] + c["both"]).alias("both"),
-                    (n["either"] + c["either"]).alias("either"),
-                ),
+                lambda a, b: F.bit_count(a.bitwiseAND(b)) * F.lit(high) + F.bit_count(a.bitwiseOR(b)),
             )
+            return F.aggregate(cells, total, lambda n, c: n + c)
 
         return let(
             formula_masks(pair["truth"], place, grid),
@@ -359,16 +393,18 @@ def formula_iou(
             ),
         )
 
-    start = F.struct(zero.alias("both"), zero.alias("either"))
     pair = F.struct(formula("truth_").alias("truth"), formula("pred_").alias("pred"))
     slopes = indexes(F.lit(grid.m_steps))
-    cells = let(pair, lambda p: F.aggregate(slopes, start, lambda n, i: tally(p, n, i)))
+    cells = let(
+        pair,
+        lambda p: F.aggregate(slopes, F.lit(0).cast("bigint"), lambda n, i: tally(p, n, i)),
+    )
     counts = F.when(F.col("status") == "ok", cells)
     score = F.when(F.col("either") == 0, 1.0).otherwise(F.col("both") / F.col("either"))
     return (
         pairs.withColumn("_cells", counts)
-        .withColumn("both", F.col("_cells.both"))
-        .withColumn("either", F.col("_cells.either"))
+        .withColumn("both", F.shiftright("_cells", 32))
+        .withColumn("either", F.col("_cells").bitwiseAND(F.lit(high - 1)))
         .withColumn("iou", F.when(F.col("status") == "ok", score))
         .select(*df.columns, "both", "either", "iou", "status")
     )
