@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import indexes, let
+from quillmesh.functions.joins import salted_join
 from quillmesh.functions.text import as_column
 
 # Stop words of a completion, the failure mark, closeness of numbers.
@@ -222,11 +223,17 @@ def score_table(
     )
 
 
-def score_maps(table: DataFrame, prompt: str = "prompt", parts: int = 16) -> DataFrame:
-    """Completion-to-score maps, in `parts` rows per prompt so that none grows too large."""
-    part = F.pmod(F.xxhash64("completion"), F.lit(parts)).alias("part")
-    entries = F.collect_list(F.struct("completion", "score"))
-    return table.groupBy(prompt, part).agg(F.map_from_entries(entries).alias("scores"))
+def score_maps(table: DataFrame, prompt: str = "prompt", entries: int = 1000) -> DataFrame:
+    """Completion-to-score maps: `prompt, part, scores`.
+
+    A prompt has one map per about `entries` completions, so that no map (and no task that
+    makes one) grows with the number of completions of a prompt.
+    """
+    sizes = table.groupBy(prompt).agg(F.ceil(F.count(F.lit(1)) / entries).alias("_parts"))
+    sized = salted_join(table, sizes, prompt, "completion")
+    part = F.pmod(F.xxhash64("completion"), F.col("_parts")).alias("part")
+    pairs = F.collect_list(F.struct("completion", "score"))
+    return sized.groupBy(prompt, part).agg(F.map_from_entries(pairs).alias("scores"))
 
 
 def next_token(

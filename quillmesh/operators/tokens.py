@@ -44,19 +44,15 @@ def encode_with_vocab(
     The table is broadcast only when a count shows it to be small. Otherwise pieces are
     joined on (piece, salt), because one word may make up a third of all text.
     """
-    located = df.select(key, F.posexplode(pieces(text)).alias("_pos", "piece"))
-    small = vocab.limit(BROADCAST_VOCAB_ROWS + 1).count() <= BROADCAST_VOCAB_ROWS
-    if small:
-        found = located.join(F.broadcast(vocab), "piece", "left")
+    located = df.select(key, F.posexplode(pieces(text)).alias("_pos", "_piece"))
+    words = vocab.select(F.col("piece").alias("_piece"), F.col("id").cast("bigint").alias("_id"))
+    if words.limit(BROADCAST_VOCAB_ROWS + 1).count() <= BROADCAST_VOCAB_ROWS:
+        found = located.join(F.broadcast(words), "_piece", "left")
     else:
-        found = salted_join(located, vocab, "piece", spread=key, how="left")
-    ids = F.sort_array(
-        F.collect_list(
-            F.struct("_pos", F.coalesce("id", F.lit(UNKNOWN)).cast("bigint").alias("id"))
-        )
-    )
-    per_row = found.groupBy(key).agg(ids.alias("_ids"))
-    encoded = F.coalesce(F.col("_ids.id"), F.array().cast(_NO_IDS))
+        found = salted_join(located, words, "_piece", spread=key, how="left")
+    placed = F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN).cast("bigint")).alias("_id"))
+    per_row = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
+    encoded = F.coalesce(F.col("_ids._id"), F.array().cast(_NO_IDS))
     return df.join(per_row, key, "left").withColumn(name, encoded).drop("_ids")
 
 

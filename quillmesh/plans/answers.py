@@ -133,7 +133,7 @@ def boxed_documents(spark, sf_dir) -> DataFrame:
     # Angle brackets stand for the braces while the text is put together.
     marked = F.translate("text", "<>{}", "[]()")
     shape = text_column(_BOXED_SHAPE, t=marked, id=F.col("doc_id").cast("string"), lang=F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(shape, "<>", "{}").alias("text"))
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", "lang", F.translate(shape, "<>", "{}").alias("text"))
 
 
 @query(
@@ -172,7 +172,7 @@ def latex_answers(spark, sf_dir) -> DataFrame:
         place, [s for s, _ in SHAPES],
         a=(F.col("l_partkey") % 90 + 1).cast("string"), b=(F.col("l_suppkey") % 70 + 1).cast("string"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.translate(shape, "<>", "{}").alias("raw")
     )
 
@@ -209,7 +209,7 @@ def marked_documents(spark, sf_dir) -> DataFrame:
         [s for s, _ in MARKED],
         t=clean, id=numbered, pad=F.lpad(numbered, 7, "0"),
     )
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", "lang", F.translate(completion, "<>", "{}").alias("completion")
     )
 
@@ -242,7 +242,7 @@ LISTS = [
 def split_answers(spark, sf_dir):
     clean = F.regexp_replace(F.translate("text", "<>{}$", "[]()S"), "boxed|Problem:", "")
     place, numbered = F.col("doc_id") % 4, F.col("doc_id").cast("string")
-    rows = table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         pick_column(place, [s[0] for s in LISTS]).alias("question"),
         F.translate(pick_column(place, [s[1] for s in LISTS], t=clean, id=numbered), "<>", "{}").alias("completion"),

@@ -240,7 +240,7 @@ def shaped(id_: Column, size: Column) -> Column:
 
 def line_formulas(spark, sf_dir) -> DataFrame:
     id_ = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", id_.alias("id")
     )
     return rows.withColumn("sstl", shaped(F.col("id"), F.col("l_suppkey")))
@@ -304,7 +304,7 @@ def clause_variants(spark, sf_dir) -> DataFrame:
         F.lit("="),
         F.concat(F.lit("- ("), text(a), F.lit(" \\times x) <")),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.concat(
             F.when(n % 2 == 0, "F").otherwise("G"), F.lit("_[["), tenths(a), F.lit(", "),

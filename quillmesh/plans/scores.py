@@ -259,7 +259,7 @@ def score_rollup(spark, sf_dir):
 )
 def score_maps(spark, sf_dir):
     rows = completions(spark, sf_dir).withColumnRenamed("nl", "prompt")
-    maps = scores.score_maps(scores.score_table(rows, order="row_id"))
+    maps = scores.score_maps(scores.score_table(rows, order="row_id"), entries=20)
     total = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, v: a + v)
     parts = maps.select("prompt", F.size("scores").alias("n"), total.alias("total"))
     return parts.groupBy("prompt").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 3).alias("total"))
@@ -331,6 +331,6 @@ def cut_logprobs(spark, sf_dir):
         tokens.pieces("text"),
         lambda p: F.struct(p.alias("token"), F.length(p).alias("logprob")),
     )
-    rows = table(spark, sf_dir, "documents").withColumn("steps", steps)
+    rows = table(spark, sf_dir, "documents", "doc_id").withColumn("steps", steps)
     cut = scores.cut_logprobs(rows, "steps", MARKS[:2], MARKS[2])
     return cut.select("doc_id", joined(F.col("logprobs")).alias("logprobs"))

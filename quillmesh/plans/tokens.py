@@ -87,7 +87,7 @@ DPO_PROMPT_SQL = (
         FROM (SELECT doc_id, {q.encode('text')} AS ids FROM documents)""",
 )
 def encode_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("ids", tokens.encode("text"))
+    docs = table(spark, sf_dir, "documents", "doc_id").withColumn("ids", tokens.encode("text"))
     return docs.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_ids"), joined(F.col("ids")).alias("input_ids")
     )
@@ -112,7 +112,7 @@ def encode_with_vocab(spark, sf_dir):
     )
     placed = dense_position(words, "piece", SEED)
     vocab = placed.select("piece", (F.col("position") + tokens.FIRST_ID).alias("id"))
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id")
     encoded = tokens.encode_with_vocab(docs, "doc_id", "text", vocab)
     return encoded.select("doc_id", joined(F.col("input_ids")).alias("input_ids"))
 
@@ -134,7 +134,7 @@ def add_specials(spark, sf_dir):
         .when(F.col("doc_id") % 3 == 1, F.concat(ids, eos))
         .otherwise(ids)
     )
-    docs = table(spark, sf_dir, "documents").withColumn("ids", tokens.encode("text"))
+    docs = table(spark, sf_dir, "documents", "doc_id").withColumn("ids", tokens.encode("text"))
     return docs.withColumn("marked", marked).select(
         "doc_id",
         joined(tokens.add_specials("ids")).alias("input_ids"),
@@ -205,7 +205,7 @@ def encode_preference(spark, sf_dir):
         FROM (SELECT doc_id, {q.encode('text')} AS ids FROM documents)""",
 )
 def truncate_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("labels", tokens.encode("text"))
+    docs = table(spark, sf_dir, "documents", "doc_id").withColumn("labels", tokens.encode("text"))
     cut = tokens.truncate(docs.withColumn("input_ids", tokens.add_specials("labels")), MAX_LEN)
     return cut.select("doc_id", joined(F.col("input_ids")).alias("input_ids"), joined(F.col("labels")).alias("labels"))
 
@@ -218,7 +218,7 @@ def truncate_tokens(spark, sf_dir):
               FROM (SELECT doc_id, {q.encode('text')} AS ids FROM documents))""",
 )
 def pad_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("labels", tokens.encode("text"))
+    docs = table(spark, sf_dir, "documents", "doc_id").withColumn("labels", tokens.encode("text"))
     padded = tokens.truncate_and_pad(
         docs.withColumn("input_ids", tokens.add_specials("labels")), MAX_LEN
     )
@@ -254,7 +254,7 @@ def pad_tokens(spark, sf_dir):
         FROM packs WHERE len(packed) > 0""",
 )
 def pack_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.encode("text").alias("input_ids"))
+    docs = table(spark, sf_dir, "documents", "doc_id").select("doc_id", tokens.encode("text").alias("input_ids"))
     packed = tokens.pack(dense_position(docs, "doc_id", SEED), PACK_LEN)
     return packed.select(
         "batch", F.col("head").cast("bigint"), F.col("piece").cast("bigint"),
