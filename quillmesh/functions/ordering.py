@@ -23,22 +23,19 @@ def order_key(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
 
 
-def dense_position(
-    df: DataFrame, key: str, seed: int, name: str = "position", by: str | None = None
-) -> DataFrame:
-    """Add 0-based positions in the seeded order, of the table or of each group `by`.
+def _bucket(seed: int, key: str) -> Column:
+    return F.substring(order_key(seed, key), 1, BUCKET_DIGITS)
 
-    One shuffle of the rows, by hash bucket; the bucket offsets (at most 16^4 rows per
-    group) are joined on the same key, so the rows are not moved again.
+
+def _bucket_counts(df: DataFrame, key: str, seed: int, group: list[str]) -> DataFrame:
+    """Per group and bucket the rows in it (`_n`) and in front of it (`_offset`).
+
+    Running counts are taken inside blocks of 256 buckets (the upper two digits); per
+    group one array of at most 256 blocks gives what the earlier blocks hold.
     """
-    group = [by] if by else []
-    cell = [*group, "_bucket"]
-    bucket = F.substring(order_key(seed, key), 1, BUCKET_DIGITS)
-    hashed = df.withColumn("_h", order_key(seed, key)).withColumn("_bucket", bucket)
-    # The upper two digits name the block in which a bucket's running count is taken.
     counts = (
-        df.select(*group, bucket.alias("_bucket"))
-        .groupBy(*cell)
+        df.select(*group, _bucket(seed, key).alias("_bucket"))
+        .groupBy(*group, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_block", F.substring("_bucket", 1, 2))
     )
@@ -47,7 +44,6 @@ def dense_position(
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # Per group one array of at most 256 blocks, each with the rows in front of it.
     blocks = (
         counts.groupBy(*group, "_block")
         .agg(F.sum("_n").alias("_total"))
@@ -68,11 +64,25 @@ def dense_position(
             )
         ),
     )
-    offsets = (
-        counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return (
+        counts.withColumn("_inside", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .join(bases, [*group, "_block"])
-        .select(*cell, (F.col("_offset") + F.col("_base")).alias("_offset"))
+        .select(*group, "_bucket", "_n", (F.col("_inside") + F.col("_base")).alias("_offset"))
     )
+
+
+def dense_position(
+    df: DataFrame, key: str, seed: int, name: str = "position", by: str | None = None
+) -> DataFrame:
+    """Add 0-based positions in the seeded order, of the table or of each group `by`.
+
+    One shuffle of the rows, by hash bucket; the bucket offsets (at most 16^4 rows per
+    group) are joined on the same key, so the rows are not moved again.
+    """
+    group = [by] if by else []
+    cell = [*group, "_bucket"]
+    hashed = df.withColumn("_h", order_key(seed, key)).withColumn("_bucket", _bucket(seed, key))
+    offsets = _bucket_counts(df, key, seed, group).drop("_n")
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h"))
     return (
         hashed.withColumn("_rank", rank)
@@ -82,29 +92,30 @@ def dense_position(
     )
 
 
-def hash_cutoffs(df: DataFrame, by: str, key: str, seed: int, wanted: DataFrame) -> DataFrame:
-    """For each group of `wanted` (`by`, `_k`) the hash of its `_k`-th row in seeded order.
+def hash_cutoffs(
+    df: DataFrame, key: str, seed: int, wanted: DataFrame | int, by: str | None = None
+) -> DataFrame:
+    """The hash (`_cut`) of the k-th row in seeded order, of the table or of each group.
 
-    `wanted` must be small by construction (one row per named source); it is broadcast.
-    A group with `_k` of 0 or above its size has no row in the result.
+    `wanted` is k, or a table (`by`, `_k`) with one row per named group, small by
+    construction and therefore broadcast. Where k is 0 or above the size there is no row.
     """
-    hashed = df.select(by, order_key(seed, key).alias("_h")).withColumn(
-        "_bucket", F.substring("_h", 1, BUCKET_DIGITS)
-    )
-    running = F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket"))
-    boundary = (
-        hashed.groupBy(by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", running)
-        .join(F.broadcast(wanted), by)
-        .filter((F.col("_upto") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
-        .select(by, "_bucket", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_rest"))
-    )
-    # Only the rows of one bucket per source are ranked.
-    rank = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy("_h"))
+    group = [by] if by else []
+    cell = [*group, "_bucket"]
+    counts = _bucket_counts(df, key, seed, group)
+    if isinstance(wanted, int):
+        counts = counts.withColumn("_k", F.lit(wanted).cast("bigint"))
+    else:
+        counts = counts.join(F.broadcast(wanted), by)
+    boundary = counts.filter(
+        (F.col("_offset") < F.col("_k")) & (F.col("_k") <= F.col("_offset") + F.col("_n"))
+    ).select(*cell, (F.col("_k") - F.col("_offset")).alias("_rest"))
+    # Only the rows of one bucket per group are ranked.
+    hashed = df.select(*group, order_key(seed, key).alias("_h"), _bucket(seed, key).alias("_bucket"))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h"))
     return (
-        hashed.join(F.broadcast(boundary), [by, "_bucket"])
+        hashed.join(F.broadcast(boundary), cell)
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_rest"))
-        .select(by, F.col("_h").alias("_cut"))
+        .select(*group, F.col("_h").alias("_cut"))
     )

@@ -44,11 +44,7 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = SAMPLE_SEED) -> Dat
 
     The n-th smallest hash is a scalar subquery, so n may be millions of rows.
     """
-    everything = df.select(F.lit("all").alias("_all"), key)
-    wanted = df.sparkSession.range(1).select(
-        F.lit("all").alias("_all"), F.lit(n).cast("bigint").alias("_k")
-    )
-    cut = hash_cutoffs(everything, "_all", key, seed, wanted).agg(F.max("_cut")).scalar()
+    cut = hash_cutoffs(df, key, seed, n).agg(F.max("_cut")).scalar()
     # No cut-off means fewer than n rows. "~" sorts after every hex digit.
     return df.filter(order_key(seed, key) <= F.coalesce(cut, F.lit("~")))
 
@@ -81,7 +77,7 @@ def _take(df: DataFrame, by: str, key: str, seed: int, quotas: DataFrame) -> Dat
     checked = quotas.withColumn(
         "_k", F.when(F.col("_k") > F.col("_n"), F.raise_error(short).cast("bigint")).otherwise(F.col("_k"))
     ).select(by, "_k")
-    cuts = hash_cutoffs(df, by, key, seed, checked)
+    cuts = hash_cutoffs(df, key, seed, checked, by)
     return (
         df.join(F.broadcast(cuts), by).filter(order_key(seed, key) <= F.col("_cut")).drop("_cut")
     )
@@ -126,7 +122,7 @@ def mix_total(
         .withColumn("_copies", F.floor(share / F.col("_n")).cast("int"))
         .withColumn("_k", share - F.col("_copies") * F.col("_n"))
     )
-    cuts = hash_cutoffs(df, by, key, seed, quotas.select(by, "_k"))
+    cuts = hash_cutoffs(df, key, seed, quotas.select(by, "_k"), by)
     plan = quotas.select(by, "_copies").join(cuts, by, "left")
     sampled = F.coalesce((order_key(seed, key) <= F.col("_cut")).cast("int"), F.lit(0))
     return (

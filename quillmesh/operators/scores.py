@@ -164,7 +164,7 @@ def metric_cells(df: DataFrame, max_shots: int = 3, strict: bool = True) -> Data
         cells = (
             cells.withColumn("_most", F.max("n").over(line))
             .withColumn("_least", F.min("n").over(line))
-            .withColumn("n", F.when(F.col("_most") != F.col("_least"), unequal.cast("bigint")).otherwise(F.col("n")))
+            .withColumn("cell", F.when(F.col("_most") != F.col("_least"), unequal.cast("string")).otherwise(F.col("cell")))
         )
     return cells.select("method", "metric", "shots", "dataset", "n", "cell")
 
