@@ -76,13 +76,16 @@ def dense_position(
 ) -> DataFrame:
     """Add 0-based positions in the seeded order, of the table or of each group `by`.
 
-    One shuffle of the rows, by hash bucket; the bucket offsets (at most 16^4 rows per
-    group) are joined on the same key, so the rows are not moved again.
+    One shuffle of the rows, by hash bucket. The bucket offsets are joined without moving
+    the rows again: of a whole table they are at most 16^4 rows and broadcast, those of
+    groups are joined on the key by which the rows are already placed.
     """
     group = [by] if by else []
     cell = [*group, "_bucket"]
     hashed = df.withColumn("_h", order_key(seed, key)).withColumn("_bucket", _bucket(seed, key))
     offsets = _bucket_counts(df, key, seed, group).drop("_n")
+    if not by:
+        offsets = F.broadcast(offsets)
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h"))
     return (
         hashed.withColumn("_rank", rank)

@@ -448,27 +448,39 @@ def count_bits(masks: Column) -> Column:
     )
 
 
-def _outlook(df: DataFrame, key: str, time: str, when: Column, name: str, spread: str) -> DataFrame:
-    """Per key the last time at which `when` holds, put beside every row."""
-    latest = df.groupBy(key).agg(F.max(F.when(when, F.col(time))).alias(name))
-    return salted_join(df, latest, key, spread, "left")
-
-
-def always(df: DataFrame, key: str, time: str, state: str, name: str = "always") -> DataFrame:
-    """Row form of G along `time` inside each `key`; `state` NULL means vacuous.
+def _closed(
+    df: DataFrame, key: str, time: str, state: str, names: dict[str, str]
+) -> DataFrame:
+    """Row forms of the temporal operators along `time` inside each `key`.
 
-    True when nothing in the key is false, or at a vacuous time behind the last false.
-    One aggregate (combined before the shuffle) and a salted join: a key with a third of
+    All they need of the other rows is the last false and the last true time of the key:
+    one aggregate, combined before its shuffle, and one salted join. A key with a third of
     all rows is neither sorted nor held by one task.
     """
-    seen = _outlook(df, key, time, ~F.col(state), "_last_false", time)
-    quiet = F.col("_last_false").isNull()
-    behind = F.col(state).isNull() & (F.col(time) > F.col("_last_false"))
-    return seen.withColumn(name, quiet | F.coalesce(behind, F.lit(False))).drop("_last_false")
+    held, at = F.col(state), F.col(time)
+    ends = df.groupBy(key).agg(
+        F.max(F.when(~held, at)).alias("_last_false"), F.max(F.when(held, at)).alias("_last_true")
+    )
+    seen = salted_join(df, ends, key, time, "left")
+    forms = {
+        "always": F.col("_last_false").isNull()
+        | F.coalesce(held.isNull() & (at > F.col("_last_false")), F.lit(False)),
+        "eventually": held.isNull() | F.coalesce(at <= F.col("_last_true"), F.lit(False)),
+    }
+    added = {name: forms[form] for form, name in names.items()}
+    return seen.withColumns(added).drop("_last_false", "_last_true")
+
+
+def always(df: DataFrame, key: str, time: str, state: str, name: str = "always") -> DataFrame:
+    """G: nothing in the key is false, or the time is vacuous (NULL) and behind the last false."""
+    return _closed(df, key, time, state, {"always": name})
 
 
 def eventually(df: DataFrame, key: str, time: str, state: str, name: str = "eventually") -> DataFrame:
-    """Row form of F: vacuous times, and times with a true one at or after them."""
-    seen = _outlook(df, key, time, F.col(state), "_last_true", time)
-    ahead = F.coalesce(F.col(time) <= F.col("_last_true"), F.lit(False))
-    return seen.withColumn(name, F.col(state).isNull() | ahead).drop("_last_true")
+    """F: the time is vacuous (NULL), or a true one stands at it or after it."""
+    return _closed(df, key, time, state, {"eventually": name})
+
+
+def always_and_eventually(df: DataFrame, key: str, time: str, state: str) -> DataFrame:
+    """Both at the price of one, as columns `always` and `eventually`."""
+    return _closed(df, key, time, state, {"always": "always", "eventually": "eventually"})

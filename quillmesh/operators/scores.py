@@ -292,8 +292,11 @@ def cut_logprobs(
     def begins(tokens: Column, i: Column) -> Column:
         found = F.lit(False)
         for mark in marks:
+            # The first token alone rules most places out.
+            token = F.get(tokens, i)
+            fits = F.startswith(F.lit(mark), token) | F.startswith(token, F.lit(mark))
             ahead = F.array_join(F.slice(tokens, i + 1, len(mark) + 3), "")
-            found = found | F.startswith(ahead, F.lit(mark))
+            found = found | (fits & F.startswith(ahead, F.lit(mark)))
         return found
 
     def kept(tokens: Column) -> Column:

@@ -183,15 +183,16 @@ def pack(
     One shuffle, by batch: lengths (at most `batch_rows` integers) are folded once per
     batch, and packs, which hold at most `max_len` ids, are put together in place.
     """
-    batch = Window.partitionBy("batch").orderBy("_row")
+    batch = Window.partitionBy("batch").orderBy("_at")
     whole = batch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = (
         df.select(
             F.floor(F.col(position) / batch_rows).cast("bigint").alias("batch"),
-            (F.col(position) % batch_rows).cast("int").alias("_row"),
+            (F.col(position) % batch_rows).cast("int").alias("_at"),
             F.col(ids).alias("_ids"),
             F.size(ids).alias("_n"),
         )
+        .withColumn("_row", F.row_number().over(batch) - 1)
         .withColumn("_lengths", F.collect_list("_n").over(whole))
         .withColumn("_heads", F.when(F.col("_row") == 0, _pack_heads(F.col("_lengths"), max_len)))
         .withColumn("_heads", F.first("_heads").over(whole))

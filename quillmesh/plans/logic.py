@@ -377,5 +377,4 @@ def profile_grid(spark, sf_dir):
 def always_eventually(spark, sf_dir):
     state = F.when(F.col("event_type") != "signup", F.col("value") < 90)
     events = table(spark, sf_dir, "events").select("user_id", "event_id", state.alias("state"))
-    closed = logic.always(events, "user_id", "event_id", "state")
-    return logic.eventually(closed, "user_id", "event_id", "state").drop("state")
+    return logic.always_and_eventually(events, "user_id", "event_id", "state").drop("state")

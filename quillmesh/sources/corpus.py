@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,25 +13,37 @@ FORMATS = {"jsonl": "json", "json": "json", "parquet": "parquet", "csv": "csv"}
 
 
 def read_corpus(
-    spark: SparkSession, paths: list[str], fmt: str, schema: StructType | str | None = None,
-    sources: bool = True,
+    spark: SparkSession, paths: list[str], fmt: str | None, schema: StructType | str | None = None,
+    sources: bool = True, one_document: bool = False,
 ) -> DataFrame:
     """All data files of several directories.
 
-    `fmt` is the file extension (`jsonl` means json lines). Markdown files and files with
-    `description` before the first dot of their name are left out. A plain `json` file
-    may span lines. `source_dir` and `source_file` tell where a row is from.
+    `fmt` is the file extension (`jsonl` means json lines); None takes the files of every
+    known extension, each in its own format, and needs a schema. Markdown files and files
+    with `description` before the first dot of their name are left out. `one_document` is
+    for `json` files that hold one list instead of a record per line. `source_dir` and
+    `source_file` tell where a row is from.
     """
+    if fmt is None:
+        if schema is None:
+            raise ValueError("a schema is needed to read all formats together")
+        parts = [
+            read_corpus(spark, paths, f, schema, sources, one_document and f == "json")
+            for f in FORMATS
+        ]
+        return reduce(DataFrame.unionByName, parts)
     if fmt not in FORMATS:
         raise ValueError(f"unknown corpus format: {fmt}")
-    reader = spark.read.option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", "false")
+    reader = spark.read.option("pathGlobFilter", f"*.{fmt}")
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+    if one_document:
+        reader = reader.option("multiLine", "true")
     rows = reader.format(FORMATS[fmt]).load(paths)
-    file_name = F.col("_metadata.file_name")
-    data_files = rows.filter(~F.contains(F.substring_index(file_name, ".", 1), F.lit("description")))
+    stem = F.substring_index(F.col("_metadata.file_name"), ".", 1)
+    data_files = rows.filter(~F.contains(stem, F.lit("description")))
     if not sources:
         return data_files
     path = F.split(F.col("_metadata.file_path"), "/")

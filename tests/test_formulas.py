@@ -241,6 +241,8 @@ def test_row_forms_of_always_and_eventually(spark):
     df = spark.createDataFrame(rows, "k long, t long, s boolean")
     both = logic.eventually(logic.always(df, "k", "t", "s"), "k", "t", "s").collect()
     assert len(both) == len(rows)
+    at_once = logic.always_and_eventually(df, "k", "t", "s").collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, both))
     for r in both:
         mine = [(t, s) for k, t, s in rows if k == r.k]
         false_at = [t for t, s in mine if s is False]

@@ -49,6 +49,16 @@ def test_other_formats(spark, tmp_path):
         assert sorted((r.id, r.t) for r in back.collect()) == [(1, 'a "q"\nb'), (2, "c")]
 
 
+def test_all_formats_together(spark, corpus):
+    folder = corpus / "heat_nc1_train"
+    (folder / "more.json").write_text(json.dumps([{"nl": "a"}, {"nl": "b"}], indent=1))
+    (folder / "last.csv").write_text("nl,sstl,python\nc,f,x\n")
+    rows = read_corpus(spark, [str(folder)], None, RECORD, one_document=True).collect()
+    assert sorted(r.nl for r in rows) == ["a", "b", "c"] + [f"heat {i}" for i in range(6)]
+    with pytest.raises(ValueError):
+        read_corpus(spark, [str(folder)], None)
+
+
 def test_lineage_without_class(spark):
     df = spark.createDataFrame([("dpo_d0", "part_a.jsonl"), ("wave_heat", "x")], "p string, f string")
     loose = lineage.with_lineage(df, "p", "f", strict=False).collect()

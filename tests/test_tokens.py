@@ -100,6 +100,12 @@ def test_exact_fit_stays_and_long_rows_leave_the_open_pack_alone(spark):
     assert packs[(3, 0)] == [4] + [PAD] * 7
 
 
+def test_pack_of_rows_that_do_not_start_a_batch(spark):
+    rows = [(5, [1] * 3), (9, [2] * 3), (12, [3] * 3)]
+    got = tokens.pack(arrays(spark, rows, "position long, input_ids array<bigint>"), 7).collect()
+    assert sorted(r.input_ids for r in got) == [[1, 1, 1, 2, 2, 2, PAD], [3, 3, 3] + [PAD] * 4]
+
+
 def test_collate_pads_to_the_longest_of_each_batch(spark):
     rows = [(i, [9] * (i % 5 + 1), [8] * (i % 3)) for i in range(10)]
     df = spark.createDataFrame(rows, "id long, input_ids array<bigint>, labels array<bigint>")
