@@ -65,6 +65,18 @@ def test_clauses_that_cannot_be_read(spark):
     assert (rows[-1].parsed[0].x_lo, rows[-1].parsed[0].x_hi) == (2, 9)
 
 
+def test_runs_of_blanks_cost_nothing(spark):
+    blank = " " * 20_000
+    rows = read(
+        spark,
+        clause(f"u(x) -{blank}({blank}x{blank}/5{blank}+ 3{blank}){blank}<{blank}1"),
+        clause(f"u(x) - ( x /5 {blank} oops"),
+        clause("u(x) > 3").replace(r"\forall x", rf"\forall{blank}x"),
+    )
+    assert [r.status for r in rows] == ["ok", "failed", "failed"]
+    assert (rows[0].parsed[0].divisor, rows[0].parsed[0].intercept) == (5, 3)
+
+
 def test_grouping(spark):
     a = clause("u(x) > 3")
     joined = lambda text: text.replace("A", a)
