@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from posixpath import splitext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,15 @@ from pyspark.sql import functions as F
 CLASSES = ("heat", "wave")
 
 
+def stem_of(file_name: Column) -> Column:
+    """A file name without its extension."""
+    return F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", "")
+
+
 def source_keywords(parent: Column, file_name: Column) -> Column:
     """Words of directory and file name (without extension), each once, joined by `_`."""
-    stem = F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", "")
-    return F.array_join(F.array_distinct(F.concat(F.split(parent, "_"), F.split(stem, "_"))), "_")
+    words = F.concat(F.split(parent, "_"), F.split(stem_of(file_name), "_"))
+    return F.array_join(F.array_distinct(words), "_")
 
 
 def dataset_class(
@@ -54,23 +60,18 @@ def file_lineage(df: DataFrame, **options) -> DataFrame:
 def common_keywords(
     df: DataFrame, name: str, out_file: str, ignore: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row: the words every input name has, sorted, put behind the output name.
-
-    A shared word must occur in the first name, so only that name's words are looked up.
-    """
-    names = df.select(F.col(name).alias("_name")).distinct()
-    words = names.select(
-        "_name",
-        F.explode(F.array_distinct(F.split(F.regexp_replace("_name", r"(?<=.)\.[^.]*$", ""), "_"))).alias("word"),
-    ).filter(~F.col("word").isin(*ignore))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("_in"), F.min("_name").alias("_first"))
+    """One row: the words every input name has, sorted, put behind the output name."""
+    names = df.select(stem_of(F.substring_index(name, "/", -1)).alias("_name")).distinct()
+    words = names.select(F.explode(F.array_distinct(F.split("_name", "_"))).alias("word"))
+    if ignore:
+        words = words.filter(~F.col("word").isin(*ignore))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("_in"))
     total = names.agg(F.count(F.lit(1))).scalar()
     shared = counted.filter(F.col("_in") == total).agg(
         F.array_join(F.sort_array(F.collect_list("word")), "_").alias("keywords")
     )  # at most the words of one name
-    stem, dot, extension = out_file.rpartition(".")
-    base, tail = (stem, dot + extension) if dot else (out_file, "")
-    renamed = F.concat(F.lit(base + "_"), "keywords", F.lit(tail))
+    base, extension = splitext(out_file)
+    renamed = F.concat(F.lit(base + "_"), "keywords", F.lit(extension))
     return shared.withColumn(
         "output_name", F.when(F.col("keywords") != "", renamed).otherwise(F.lit(out_file))
     )

@@ -152,8 +152,10 @@ def with_few_shot(
     if shuffle:
         placed = dense_position(examples, "id", seed, "_at", by)
     else:
+        # The limit on the rank is applied before and after the shuffle.
         rank = F.row_number().over(Window.partitionBy(by).orderBy("id"))
-        placed = examples.withColumn("_at", rank - 1).filter(F.col("_at") < k)
+        first = examples.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+        placed = first.withColumn("_at", F.col("_rank") - 1)
     sizes = examples.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
     drawn = df.join(sizes, by, "left")
     for i in range(k):

@@ -91,8 +91,5 @@ def write_corpus(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("pathGlobFilter", "_none_").load(path)
-    except Exception:  # noqa: BLE001 - the reader raises when nothing is there
-        return False
-    return True
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -68,9 +68,9 @@ def test_lineage_without_class(spark):
 
 
 def test_common_keywords(spark):
-    df = spark.createDataFrame([("a_b_x.parquet",), ("b_a_y.parquet",), ("b_a_y.parquet",)], "name string")
-    row = lineage.common_keywords(df, "name", "out/all.parquet").first()
-    assert (row.keywords, row.output_name) == ("a_b", "out/all_a_b.parquet")
+    df = spark.createDataFrame([("x/a_b_x.parquet",), ("b_a_y.parquet",), ("b_a_y.parquet",)], "name string")
+    row = lineage.common_keywords(df, "name", "out.v1/all").first()
+    assert (row.keywords, row.output_name) == ("a_b", "out.v1/all_a_b")
     assert lineage.common_keywords(df, "name", "all.parquet", ("a", "b")).first().output_name == "all.parquet"
 
 
