@@ -1,22 +1,66 @@
-"""Join helpers that hold up under hot keys."""
+"""Joins from many rows to one row per key that hold up under hot keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+# A key is hot when one task should not take all its rows. The share keeps the number of
+# hot keys at 100,000 at most, whatever the data: so many shares make up all rows.
+ROWS_PER_TASK = 1_000_000
+MOST_HOT_KEYS = 100_000
+
+
+def _names(on: str | list[str]) -> list[str]:
+    return [on] if isinstance(on, str) else on
+
+
+def _hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
+    """`_key` (hash of the key) and the number of parts it is cut into."""
+    total = counts.agg(F.sum("_rows")).scalar()
+    limit = F.greatest(F.lit(ROWS_PER_TASK), F.ceil(total / MOST_HOT_KEYS))
+    by_hash = counts.groupBy(F.xxhash64(*on).alias("_key")).agg(F.sum("_rows").alias("_rows"))
+    parts = F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")
+    return by_hash.filter(F.col("_rows") > limit).select("_key", parts)
 
 
 def salted_join(
-    rows: DataFrame, per_key: DataFrame, on: str, spread: str, how: str = "inner"
+    rows: DataFrame, per_key: DataFrame, on: str | list[str], spread: str | Column,
+    how: str = "inner", counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join one row per key onto many, cutting every key into `SALTS` parts.
+    """Join `per_key` (one row per key) to `rows`, cutting hot keys into parts.
 
-    `spread` is a column that differs inside a key; a key with a third of all rows is
-    then worked on by several tasks. `per_key` is repeated `SALTS` times.
+    `counts` has the key and `_rows`, the number of rows of each key; without it they are
+    counted first. A hot key gets as many parts as it has shares of rows, and its row of
+    `per_key` is repeated for each; all other keys are joined as they are. `spread` is a
+    column that differs inside a key.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    left = rows.withColumn("_salt", salt)
-    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    on = _names(on)
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(_hot_keys(counts, on))  # at most MOST_HOT_KEYS rows of two numbers
+    parts = F.coalesce("_parts", F.lit(1))
+    left = (
+        rows.withColumn("_key", F.xxhash64(*on))
+        .join(hot, "_key", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
+        .drop("_key", "_parts")
+    )
+    right = (
+        per_key.withColumn("_key", F.xxhash64(*on))
+        .join(hot, "_key", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_key", "_parts")
+    )
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(
+    rows: DataFrame, per_key: DataFrame, on: str | list[str], spread: str | Column,
+    how: str = "inner", most: int = 500_000,
+) -> DataFrame:
+    """Join a table that is usually small: broadcast if a count finds no more than `most`
+    rows in it, otherwise `salted_join`."""
+    if per_key.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(per_key), _names(on), how)
+    return salted_join(rows, per_key, on, spread, how)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import indexes, last, let
-from quillmesh.functions.joins import salted_join
+from quillmesh.functions.joins import lookup_join
 from quillmesh.functions.text import (
     after_first,
     after_last,
@@ -417,8 +417,8 @@ def grade(
     rates are sums of flags, so a task with most of the rows is combined before it moves.
     """
     read = extract_by_task(preds, task, question, completion, "_answers")
-    # Salted by completion: one item may have been answered very often.
-    joined = salted_join(
+    # One item may have been answered very often: its completions are spread.
+    joined = lookup_join(
         read.select(key, task, completion, last(F.col("_answers")).alias("_pred")),
         expected.select(key, F.col(answer).alias("_answer")),
         key,

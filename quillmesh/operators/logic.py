@@ -454,14 +454,17 @@ def _closed(
     """Row forms of the temporal operators along `time` inside each `key`.
 
     All they need of the other rows is the last false and the last true time of the key:
-    one aggregate, combined before its shuffle, and one salted join. A key with a third of
-    all rows is neither sorted nor held by one task.
+    one aggregate, combined before its shuffle, and one join that cuts hot keys into parts. A
+    key with a third of all rows is neither sorted nor held by one task.
     """
     held, at = F.col(state), F.col(time)
     ends = df.groupBy(key).agg(
-        F.max(F.when(~held, at)).alias("_last_false"), F.max(F.when(held, at)).alias("_last_true")
+        F.max(F.when(~held, at)).alias("_last_false"),
+        F.max(F.when(held, at)).alias("_last_true"),
+        F.count(F.lit(1)).alias("_rows"),
     )
-    seen = salted_join(df, ends, key, time, "left")
+    sizes = ends.select(key, "_rows")
+    seen = salted_join(df, ends.drop("_rows"), key, time, "left", sizes)
     forms = {
         "always": F.col("_last_false").isNull()
         | F.coalesce(held.isNull() & (at > F.col("_last_false")), F.lit(False)),

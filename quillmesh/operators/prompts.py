@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.joins import lookup_join
 from quillmesh.functions.ordering import dense_position, order_key
 from quillmesh.functions.text import as_column, strip
 
@@ -31,6 +32,7 @@ SFT_FORMATS = {
     "to_python_misaligned": ("dpo_test_sstl_to_python", "stl", "python"),
 }
 MAX_SHOTS = 3
+BROADCAST_EXAMPLES = 10_000
 
 
 def instruction(fmt: Column | str) -> Column:
@@ -140,8 +142,8 @@ def with_few_shot(
     `examples` holds `by`, `id` and `text`. Without `shuffle` these are the class's first
     examples by id, with it a random choice per row: the i-th draw takes one of the
     examples that the earlier draws left over. Each draw is one equi-join on
-    (class, place), so neither the rows nor the examples are paired in full; Spark
-    broadcasts the examples when their size allows.
+    (class, place), so rows and examples are not paired in full. The examples are
+    broadcast when a count shows them to be few.
     """
     if not 0 <= k <= MAX_SHOTS:
         raise ValueError(f"only 0 to {MAX_SHOTS} shots")
@@ -157,7 +159,7 @@ def with_few_shot(
         first = examples.withColumn("_rank", rank).filter(F.col("_rank") <= k)
         placed = first.withColumn("_at", F.col("_rank") - 1)
     sizes = examples.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    drawn = df.join(sizes, by, "left")
+    drawn = lookup_join(df, sizes, by, key, "left")
     for i in range(k):
         left_over = F.col("_size") - i
         if shuffle:
@@ -174,7 +176,7 @@ def with_few_shot(
         shot = placed.select(
             by, F.col("_at").cast("bigint").alias(f"_draw{i}"), F.col("text").alias(f"_shot{i}")
         )
-        drawn = drawn.join(shot, [by, f"_draw{i}"], "left")
+        drawn = lookup_join(drawn, shot, [by, f"_draw{i}"], key, "left", BROADCAST_EXAMPLES)
     prefix = F.concat(*[F.coalesce(f"_shot{i}", F.lit("")) for i in range(k)])
     spare = [f"_{part}{i}" for i in range(k) for part in ("draw", "shot")]
     return drawn.withColumn(name, prefix).drop("_size", *spare)

@@ -229,9 +229,10 @@ def score_maps(table: DataFrame, prompt: str = "prompt", entries: int = 1000) ->
     A prompt has one map per about `entries` completions, so that no map (and no task that
     makes one) grows with the number of completions of a prompt.
     """
-    sizes = table.groupBy(prompt).agg(F.ceil(F.count(F.lit(1)) / entries).alias("_parts"))
-    sized = salted_join(table, sizes, prompt, "completion")
-    part = F.pmod(F.xxhash64("completion"), F.col("_parts")).alias("part")
+    counts = table.groupBy(prompt).agg(F.count(F.lit(1)).alias("_rows"))
+    maps = counts.select(prompt, F.ceil(F.col("_rows") / entries).alias("_maps"))
+    sized = salted_join(table, maps, prompt, "completion", counts=counts)
+    part = F.pmod(F.xxhash64("completion"), F.col("_maps")).alias("part")
     pairs = F.collect_list(F.struct("completion", "score"))
     return sized.groupBy(prompt, part).agg(F.map_from_entries(pairs).alias("scores"))
 

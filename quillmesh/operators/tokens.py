@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import indexes, last, let
-from quillmesh.functions.joins import salted_join
+from quillmesh.functions.joins import lookup_join
 from quillmesh.functions.ordering import dense_position
 from quillmesh.functions.text import as_column
 
@@ -41,15 +41,12 @@ def encode_with_vocab(
 ) -> DataFrame:
     """Ids from a (`piece`, `id`) table; pieces it lacks become UNKNOWN.
 
-    The table is broadcast only when a count shows it to be small. Otherwise pieces are
-    joined on (piece, salt), because one word may make up a third of all text.
+    The table is broadcast only when a count shows it to be small. Otherwise frequent
+    pieces are cut into parts, because one word may make up a third of all text.
     """
     located = df.select(key, F.posexplode(pieces(text)).alias("_pos", "_piece"))
     words = vocab.select(F.col("piece").alias("_piece"), F.col("id").cast("bigint").alias("_id"))
-    if words.limit(BROADCAST_VOCAB_ROWS + 1).count() <= BROADCAST_VOCAB_ROWS:
-        found = located.join(F.broadcast(words), "_piece", "left")
-    else:
-        found = salted_join(located, words, "_piece", spread=key, how="left")
+    found = lookup_join(located, words, "_piece", key, "left", BROADCAST_VOCAB_ROWS)
     placed = F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN).cast("bigint")).alias("_id"))
     per_row = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
     encoded = F.coalesce(F.col("_ids._id"), F.array().cast(_NO_IDS))
