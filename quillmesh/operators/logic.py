@@ -13,6 +13,7 @@ offsets; it is confirmed by the floating-point comparison a cell-by-cell test wo
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,12 +74,14 @@ def profile_grid(spark: SparkSession, grid: ProfileGrid = ProfileGrid()) -> Data
     )
 
 
-def _numbers(values: list[float] | list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _numbers(values: list[float]) -> Column:
+    """A constant array of doubles (as SQL text, which takes one call instead of one each)."""
+    texts = [f"double('{v}')" if math.isinf(v) else f"{v!r}D" for v in values]
+    return F.expr(f"array({', '.join(texts)})")
 
 
-def _bits(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values])
+def _whole(values: list[int], kind: str = "bigint") -> Column:
+    return F.expr(f"cast(array({', '.join(f'{v}L' for v in values)}) as array<{kind}>)")
 
 
 def _axis(low: Column, high: Column, backwards: Column) -> Column:
@@ -203,7 +206,7 @@ def _run_length(clause: Column, base: Column, grid: ProfileGrid) -> Column:
             value < clause["limit"]
         )
 
-    halves = _numbers([1 << i for i in reversed(range(count.bit_length()))])
+    halves = _whole([1 << i for i in reversed(range(count.bit_length()))], "int")
     searched = F.aggregate(
         halves, F.lit(0), lambda n, half: F.when(low(n + half), n + half).otherwise(n)
     )
@@ -215,36 +218,40 @@ def _run_length(clause: Column, base: Column, grid: ProfileGrid) -> Column:
     )
 
 
-def _truth_at(clause: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
-    """Bits of the offsets whose profile meets the clause at every position at `time`."""
-    lower = _bits([(1 << n) - 1 for n in range(grid.b_steps + 1)])
+def _ordered_truth(clause: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
+    """Bits of the offsets whose profile meets a `<, <=, >, >=` clause at `time`."""
+    lower = _whole([(1 << n) - 1 for n in range(grid.b_steps + 1)])
     sign = F.when(clause["mirrored"], -1.0).otherwise(1.0)
 
-    def by_run(base: Column) -> Column:
+    def bits(base: Column) -> Column:
         run = F.get(lower, _run_length(clause, base, grid))
         return F.when(clause["true_first"], run).otherwise(run.bitwiseXOR(F.lit(grid.full)))
 
-    def each(base: Column) -> Column:
-        # `=` and `!=` are tested at every position of every profile.
-        offsets = F.when(clause["mirrored"], _numbers(grid.offsets[::-1])).otherwise(
-            _numbers(grid.offsets)
-        )
+    return let(sign * (slope * time), bits)
+
+
+def _equal_truth(clause: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
+    """The same for `=` and `!=`, tested at every position of every profile."""
+    single = _whole([1 << n for n in range(grid.b_steps)])
+    offsets = F.when(clause["mirrored"], _numbers(grid.offsets[::-1])).otherwise(
+        _numbers(grid.offsets)
+    )
+    wanted = clause["comparison"] == "="
 
-        def equal(offset: Column, level: Column) -> Column:
-            return (base + offset - level == clause["threshold"]) == (clause["comparison"] == "=")
+    def bits(base: Column) -> Column:
+        def holds(offset: Column) -> Column:
+            value = lambda level: base + offset - level == clause["threshold"]
+            return F.forall(clause["levels"], lambda level: value(level) == wanted)
 
         return F.aggregate(
             indexes(F.lit(grid.b_steps)),
             F.lit(0).cast("bigint"),
-            lambda bits, j: F.when(
-                F.forall(clause["levels"], lambda level: equal(F.get(offsets, j), level)),
-                bits.bitwiseOR(F.get(_bits([1 << n for n in range(grid.b_steps)]), j)),
-            ).otherwise(bits),
+            lambda mask, j: F.when(
+                holds(F.get(offsets, j)), mask.bitwiseOR(F.get(single, j))
+            ).otherwise(mask),
         )
 
-    return F.when(
-        clause["ordered"], let(sign * (slope * time), by_run)
-    ).otherwise(let(slope * time, each))
+    return let(slope * time, bits)
 
 
 def _slope(clause: Column, place: Column, grid: ProfileGrid) -> Column:
@@ -254,10 +261,14 @@ def _slope(clause: Column, place: Column, grid: ProfileGrid) -> Column:
 
 def truth_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
     """One mask per non-vacuous time for the slope at `place`."""
-    return let(
-        _slope(clause, place, grid),
-        lambda m: F.transform(clause["times"], lambda t: _truth_at(clause, m, t, grid)),
-    )
+
+    def masks(m: Column) -> Column:
+        return F.when(
+            clause["ordered"],
+            F.transform(clause["times"], lambda t: _ordered_truth(clause, m, t, grid)),
+        ).otherwise(F.transform(clause["times"], lambda t: _equal_truth(clause, m, t, grid)))
+
+    return let(_slope(clause, place, grid), masks)
 
 
 def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
@@ -269,43 +280,46 @@ def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
     time decide, unless an `eventually` grows harder with time.
     """
     full, none = F.lit(grid.full).cast("bigint"), F.lit(0).cast("bigint")
-    times = clause["times"]
+    times, lead = clause["times"], clause["lead"]
     count = F.size(times)
+    tail = F.array_repeat(full, clause["tail"])
+    every = lambda masks: F.aggregate(masks, full, lambda a, b: a.bitwiseAND(b))
+    any_ = lambda masks: F.aggregate(masks, none, lambda a, b: a.bitwiseOR(b))
+
+    def closed(masks: Column, to_come: Column) -> Column:
+        always = let(every(masks), lambda a: F.concat(F.array_repeat(a, lead + count), tail))
+        eventually = F.concat(F.array_repeat(full, lead), to_come, tail)
+        return F.when(clause["operator"] == "G", always).otherwise(eventually)
+
+    def by_ends(m: Column) -> Column:
+        at = lambda t: _ordered_truth(clause, m, t, grid)
+        ends = F.transform(F.array(F.get(times, F.lit(0)), last(times)), at)
+
+        def read(first_last: Column) -> Column:
+            latest = F.get(first_last, F.lit(1))
+            easier = F.get(first_last, F.lit(0)).bitwiseOR(latest) == latest
+            to_come = F.when(easier, F.array_repeat(latest, count)).otherwise(
+                F.transform(times, lambda t: at(t).bitwiseOR(latest))
+            )
+            return closed(first_last, to_come)
 
-    def at(time: Column) -> Column:
-        return let(_slope(clause, place, grid), lambda m: _truth_at(clause, m, time, grid))
-
-    first_time, last_time = F.get(times, F.lit(0)), last(times)
-    checked = F.when((count > 0) & clause["ordered"], F.array(first_time, last_time)).otherwise(times)
-    always = F.aggregate(F.transform(checked, at), full, lambda a, b: a.bitwiseAND(b))
+        return let(ends, read)
 
-    def to_come(masks: Column) -> Column:
-        later = lambda i: F.aggregate(
-            F.slice(masks, i + 1, F.size(masks)), none, lambda a, b: a.bitwiseOR(b)
+    def by_all(m: Column) -> Column:
+        masks = F.transform(times, lambda t: _equal_truth(clause, m, t, grid))
+        return let(
+            masks,
+            lambda all_: closed(
+                all_, F.transform(all_, lambda _, i: any_(F.slice(all_, i + 1, count)))
+            ),
         )
-        return F.transform(masks, lambda m, i: later(i))
 
-    def by_ends(latest: Column) -> Column:
-        easier = at(first_time).bitwiseOR(latest) == latest
-        return F.when(easier, F.array_repeat(latest, count)).otherwise(
-            F.transform(times, lambda t: at(t).bitwiseOR(latest))
+    return F.when(count == 0, F.concat(F.array_repeat(full, lead), tail)).otherwise(
+        let(
+            _slope(clause, place, grid),
+            lambda m: F.when(clause["ordered"], by_ends(m)).otherwise(by_all(m)),
         )
-
-    eventual = (
-        F.when(count == 0, F.array().cast("array<bigint>"))
-        .when(clause["ordered"], let(at(last_time), by_ends))
-        .otherwise(let(truth_masks(clause, place, grid), to_come))
-    )
-    vacuous_tail = F.array_repeat(full, clause["tail"])
-    globally = let(
-        always, lambda a: F.concat(F.array_repeat(a, clause["lead"] + count), vacuous_tail)
-    )
-    finally_ = F.concat(
-        F.array_repeat(full, clause["lead"]),
-        eventual,
-        vacuous_tail,
     )
-    return F.when(clause["operator"] == "G", globally).otherwise(finally_)
 
 
 def combine_masks(masks: Column, steps: Column) -> Column:

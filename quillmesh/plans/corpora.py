@@ -9,7 +9,8 @@ from quillmesh.functions.arrays import joined
 from quillmesh.functions.ordering import dense_position
 from quillmesh.operators import answers, logic, mixing, prompts, scores, tokens
 from quillmesh.plans import sql as q
-from quillmesh.plans.catalog import query
+from quillmesh.plans.catalog import query, table
+from quillmesh.plans.logic import SMALL, formula_pairs, iou_sql
 from quillmesh.plans.tokens import PAIRS_SQL, PROMPT_SQL, LABEL_SQL, turn_pairs
 
 SHAPES = ("truncate", "pad", "pack")
@@ -44,7 +45,7 @@ def preference_corpus(df: DataFrame, keep: tuple[str, ...], max_len: int) -> Dat
 
 def scored_examples(
     df: DataFrame, key: str, completion: str = "completion", task: str = "direct",
-    align: str = "reference",
+    align: str = "reference", grid: logic.ProfileGrid = logic.ProfileGrid(),
 ) -> DataFrame:
     """Completions beside their true code and formula, with every row score.
 
@@ -62,7 +63,7 @@ def scored_examples(
     scored = scores.edit_distance(scored, "sstl", "predicted_sstl", "edit_distance_sstl")
     if "logits" in df.columns:
         scored = scores.perplexity(scored, "logits")
-    return logic.formula_iou(scored, key, "sstl", "predicted_sstl", align)
+    return logic.formula_iou(scored, key, "sstl", "predicted_sstl", align, grid)
 
 
 def run_metrics(df: DataFrame, by: list[str]) -> DataFrame:
@@ -112,3 +113,26 @@ def training_corpus_query(spark, sf_dir):
         "row_id", "family", F.col("copy").cast("bigint"), "position",
         joined(F.col("input_ids")).alias("input_ids"), joined(F.col("labels")).alias("labels"),
     )
+
+
+@query(
+    "run_metrics",
+    f"""WITH scored AS ({iou_sql("reference")}),
+        rows AS (SELECT p_brand AS dataset, iou, levenshtein(p_name, p_type) AS d FROM part JOIN scored ON pair_id = p_partkey),
+        runs AS (SELECT dataset, count(*)::DOUBLE AS n, avg(d) AS distance, avg(iou) AS iou FROM rows GROUP BY dataset)
+        SELECT dataset, metric, round(value, 6) AS value FROM (
+          SELECT dataset, unnest(['n_samples', 'edit distance', 'iou']) AS metric, unnest([n, distance, iou]) AS value FROM runs)""",
+)
+def run_metrics_query(spark, sf_dir):
+    """Completions that explain, give the predicted formula and then the code."""
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("pair_id"), F.col("p_brand").alias("dataset"),
+        F.col("p_name").alias("python"), F.col("p_type").alias("guess"),
+    )
+    pairs = formula_pairs(spark, sf_dir).withColumnRenamed("predicted_sstl", "guessed")
+    completion = F.concat(
+        F.lit("Formula:\n```latex\n"), "guessed", F.lit("\n```\nPython:\n```python\n"), "guess", F.lit("\n```\n")
+    )
+    rows = pairs.join(parts, "pair_id").withColumn("completion", completion)
+    metrics = run_metrics(scored_examples(rows, "pair_id", task="cot", grid=SMALL), ["dataset"])
+    return metrics.withColumn("value", F.round("value", 6))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.operators import chat, lineage
+from quillmesh.operators.scores import metric_report
 from quillmesh.plans import corpora
 from quillmesh.sources.corpus import read_corpus, spread, write_corpus
 from quillmesh.sources.examples import read_examples, write_examples
@@ -132,6 +133,16 @@ def test_run_metrics(spark, tmp_path):
     assert [r.value for r in read_run_metrics(spark, str(tmp_path), subset=8).collect()] == [9.0]
 
 
+def test_run_files_to_report(spark, tmp_path):
+    for seed, value in ((0, 0.5), (1, 0.7)):
+        for data in ("heat", "wave"):
+            folder = tmp_path / f"{data}_shots=2_seed={seed}" / "to_STL"
+            folder.mkdir(parents=True)
+            (folder / "metrics.json").write_text(json.dumps({"iou": value, "other": "text"}))
+    report = metric_report(read_run_metrics(spark, str(tmp_path), seeds=[0, 1])).collect()
+    assert {r.shots: r.heat for r in report} == {0: "n/a", 1: "n/a", 2: "0.6000 (0.1414)", 3: "n/a"}
+
+
 def test_training_corpus_shapes(spark, corpus):
     paths = [str(corpus / f"{f}_nc1_train") for f in ("heat", "wave")]
     rows = lineage.with_lineage(read_corpus(spark, paths, "jsonl", RECORD), "source_dir", "source_file")
