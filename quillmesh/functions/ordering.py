@@ -27,18 +27,24 @@ def _bucket(seed: int, key: str) -> Column:
     return F.substring(order_key(seed, key), 1, BUCKET_DIGITS)
 
 
-def _bucket_counts(df: DataFrame, key: str, seed: int, group: list[str]) -> DataFrame:
+def bucket_sizes(df: DataFrame, key: str, seed: int, by: str | None = None) -> DataFrame:
+    """Rows (`_n`) per group and hash bucket: the one count that all else is derived from.
+
+    Several uses in one plan share its shuffle.
+    """
+    group = [by] if by else []
+    hashed = df.select(*group, _bucket(seed, key).alias("_bucket"))
+    return hashed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _bucket_counts(df: DataFrame, key: str, seed: int, by: str | None) -> DataFrame:
     """Per group and bucket the rows in it (`_n`) and in front of it (`_offset`).
 
     Running counts are taken inside blocks of 256 buckets (the upper two digits); per
     group one array of at most 256 blocks gives what the earlier blocks hold.
     """
-    counts = (
-        df.select(*group, _bucket(seed, key).alias("_bucket"))
-        .groupBy(*group, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_block", F.substring("_bucket", 1, 2))
-    )
+    group = [by] if by else []
+    counts = bucket_sizes(df, key, seed, by).withColumn("_block", F.substring("_bucket", 1, 2))
     earlier = (
         Window.partitionBy(*group, "_block")
         .orderBy("_bucket")
@@ -83,7 +89,7 @@ def dense_position(
     group = [by] if by else []
     cell = [*group, "_bucket"]
     hashed = df.withColumn("_h", order_key(seed, key)).withColumn("_bucket", _bucket(seed, key))
-    offsets = _bucket_counts(df, key, seed, group).drop("_n")
+    offsets = _bucket_counts(df, key, seed, by).drop("_n")
     if not by:
         offsets = F.broadcast(offsets)
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h"))
@@ -105,7 +111,7 @@ def hash_cutoffs(
     """
     group = [by] if by else []
     cell = [*group, "_bucket"]
-    counts = _bucket_counts(df, key, seed, group)
+    counts = _bucket_counts(df, key, seed, by)
     if isinstance(wanted, int):
         counts = counts.withColumn("_k", F.lit(wanted).cast("bigint"))
     else:

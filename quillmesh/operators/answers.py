@@ -23,8 +23,18 @@ from quillmesh.functions.text import (
 )
 from quillmesh.operators.scores import close
 
+# Results without an answer, fences, and the texts around an answer.
 INVALID, PLACEHOLDER = "[invalid]", "placeholder"
 FENCE = "```"
+BLOCK_SEPARATOR = "\n# ========\n"
+PHRASE, PHRASE_END = "final answer is $", "$. I hope"
+SAID = "he answer is"
+NEXT_PROBLEM, NEXT_QUESTION, NEXT_INFORMAL = "Problem:", "Q: ", "Informal:"
+ANSWER_ZH, NEXT_ZH, NEXT_CMATH = "答案是", "问题 ", "问题："
+CHOICE = r"the final answer is \(?([abcd])\)?"
+HOPE = r"(?d)final answer is (.*)\. I hope it is correct."
+COMMA_LIST = "separated by commas"
+JOINT = r"\\text\{\s*and\s*\}"
 
 # --- Code blocks -----------------------------------------------------------------------
 
@@ -106,7 +116,7 @@ def program(text: Column | str, last_only: bool = True) -> Column:
                 end = F.coalesce(F.get(at, k + 1), F.size(lines))
                 inner = F.slice(lines, F.get(at, k) + 2, end - F.get(at, k) - 1)
                 text = F.array_join(F.transform(inner, lambda line: F.concat(line, F.lit("\n"))), "")
-                return text if last_only else F.concat(F.lit("\n# ========\n"), text)
+                return text if last_only else F.concat(F.lit(BLOCK_SEPARATOR), text)
 
             return F.array_join(F.transform(starts, body), "")
 
@@ -283,8 +293,8 @@ def answers(text: Column | str) -> Column:
     """All answers of a completion, normalised, by the first marker that it has."""
 
     def read(s: Column) -> Column:
-        phrase = strip(before(after_first(s, "final answer is $"), "$. I hope"))
-        said = strip(after_last(s, "he answer is"))
+        phrase = strip(before(after_first(s, PHRASE), PHRASE_END))
+        said = strip(after_last(s, SAID))
         numbers = F.regexp_extract_all(
             swap(s, ","), F.lit(rf"-?{_DIGIT}*\.?{_DIGIT}+"), F.lit(0)
         )
@@ -296,9 +306,9 @@ def answers(text: Column | str) -> Column:
             ),
         )
         return (
-            F.when(has(s, "final answer is $") & has(s, "$. I hope"), F.array(phrase))
+            F.when(has(s, PHRASE) & has(s, PHRASE_END), F.array(phrase))
             .when(has(s, "boxed"), boxed_answers(s))
-            .when(has(s, "he answer is"), F.array(said))
+            .when(has(s, SAID), F.array(said))
             .otherwise(printed)
         )
 
@@ -316,14 +326,13 @@ def extract_answer(df: DataFrame, text: str, name: str = "answer") -> DataFrame:
 
 def listed_answers(question: Column, found: Column) -> Column:
     """Split answers that are lists: by commas if the question says so, or by `and`."""
-    by_comma = has(question, "separated by commas")
-    joint = r"\\text\{\s*and\s*\}"
+    by_comma = has(question, COMMA_LIST)
 
     def split(answer: Column) -> Column:
         plain = ~F.regexp_like(answer, F.lit(r"[()\[\]]"))
         return (
             F.when(by_comma & plain, F.split(answer, ",", -1))
-            .when(F.regexp_like(answer, F.lit(joint)), F.split(answer, joint, -1))
+            .when(F.regexp_like(answer, F.lit(JOINT)), F.split(answer, JOINT, -1))
             .otherwise(F.array(answer))
         )
 
@@ -334,7 +343,7 @@ def split_answers(
     df: DataFrame, question: str, text: str, few_shot: bool = False, name: str = "answers"
 ) -> DataFrame:
     """The list of answers; with `few_shot` the text ends at the next `Problem:`."""
-    whole = before(F.col(text), "Problem:") if few_shot else F.col(text)
+    whole = before(F.col(text), NEXT_PROBLEM) if few_shot else F.col(text)
     return df.withColumn(name, listed_answers(F.col(question), answers(whole)))
 
 
@@ -348,28 +357,24 @@ def _last_number(text: Column) -> Column:
 
 def _marked(text: Column) -> Column:
     """First line behind the Chinese answer mark, NULL without the mark."""
-    return before(strip(after_first(before(text, "问题 "), "答案是")), "\n")
+    return before(strip(after_first(before(text, NEXT_ZH), ANSWER_ZH)), "\n")
 
 
 def _choice(text: Column) -> Column:
-    pattern = r"the final answer is \(?([abcd])\)?"
-    letter = F.regexp_extract(F.lower(before(text, "Problem:")), pattern, 1)
+    letter = F.regexp_extract(F.lower(before(text, NEXT_PROBLEM)), CHOICE, 1)
     return F.when(letter == "", PLACEHOLDER).otherwise(F.upper(letter))
 
 
 def _ocw(text: Column) -> Column:
-    pattern = r"(?d)final answer is (.*)\. I hope it is correct."
-    cut = before(text, "Problem:")
-    return F.when(F.regexp_like(cut, F.lit(pattern)), F.regexp_extract(cut, pattern, 1)).otherwise(
-        INVALID
-    )
+    cut = before(text, NEXT_PROBLEM)
+    return F.when(F.regexp_like(cut, F.lit(HOPE)), F.regexp_extract(cut, HOPE, 1)).otherwise(INVALID)
 
 
 def _cmath(text: Column) -> Column:
-    cut = before(text, "问题：")
-    line = before(strip(after_first(cut, "答案是")), "\n")
+    cut = before(text, NEXT_CMATH)
+    line = before(strip(after_first(cut, ANSWER_ZH)), "\n")
     number = _last_number(strip(strip(line, "："), "。"))
-    return F.when(has(cut, "答案是"), number).otherwise(last_answer(cut))
+    return F.when(has(cut, ANSWER_ZH), number).otherwise(last_answer(cut))
 
 
 def _one(rule: Rule) -> Callable[[Column, Column], Column]:
@@ -378,16 +383,16 @@ def _one(rule: Rule) -> Callable[[Column, Column], Column]:
 
 # Answers of a completion by task, always as a list.
 TASKS: dict[str, Callable[[Column, Column], Column]] = {
-    "gsm": _one(lambda t: _last_number(before(t, "Q: "))),
+    "gsm": _one(lambda t: _last_number(before(t, NEXT_QUESTION))),
     "gaokao_cloze": _one(lambda t: F.coalesce(strip(strip(_marked(t)), "$"), F.lit(PLACEHOLDER))),
     "gaokao_qa": _one(lambda t: F.coalesce(strip(_marked(t)), F.lit(PLACEHOLDER))),
     "sat": _one(_choice),
     "mmlu": _one(_choice),
     "ocw": _one(_ocw),
-    "minif2f": _one(lambda t: strip(before(t, "Informal:"))),
+    "minif2f": _one(lambda t: strip(before(t, NEXT_INFORMAL))),
     "cmath": _one(_cmath),
     "math": lambda q, t: listed_answers(q, answers(t)),
-    "math_few_shot": lambda q, t: listed_answers(q, answers(before(t, "Problem:"))),
+    "math_few_shot": lambda q, t: listed_answers(q, answers(before(t, NEXT_PROBLEM))),
     "last_answer": _one(last_answer),
     "pde": _one(lambda t: strip(t)),
 }

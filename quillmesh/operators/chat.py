@@ -12,9 +12,11 @@ from quillmesh.functions.arrays import let
 from quillmesh.functions.text import strip, strip_right, swap
 from quillmesh.operators.answers import answers, listed_answers, normalized
 
-# Sentences of the prompts.
+# Texts of the records.
 CHOICE = "\nWhat of the following is the right choice? Explain your answer.\n"
 CHOICE_ZH = "\n从以下选项中选择:    "
+BOXED, BOXED_END = "\nSo the answer is $\\boxed{", "}$."
+INFORMAL, PROOF, FORMAL = "(*### Problem\n\n", "\n\n### Solution\n\n", " *)\n\nFormal:\n"
 
 
 def messages(user: Column, assistant: Column) -> Column:
@@ -116,8 +118,7 @@ RECIPES: dict[str, Recipe] = {
         "gsm8k-cot",
         lambda: F.col("question"),
         lambda: F.concat(
-            F.regexp_replace("cot", "<<[^<>]*>>", ""), F.lit("\nSo the answer is $\\boxed{"),
-            strip("answer"), F.lit("}$."),
+            F.regexp_replace("cot", "<<[^<>]*>>", ""), F.lit(BOXED), strip("answer"), F.lit(BOXED_END)
         ),
         lambda: _one(swap(F.col("answer"), ",")),
     ),
@@ -180,8 +181,8 @@ RECIPES: dict[str, Recipe] = {
     "minif2f": Recipe(
         "minif2f-isabelle",
         lambda: F.concat(
-            F.lit("(*### Problem\n\n"), strip("informal_statement"), F.lit("\n\n### Solution\n\n"),
-            strip("informal_proof"), F.lit(" *)\n\nFormal:\n"), strip("formal_statement"),
+            F.lit(INFORMAL), strip("informal_statement"), F.lit(PROOF), strip("informal_proof"),
+            F.lit(FORMAL), strip("formal_statement"),
         ),
         _empty,
         lambda: _one(F.lit("placeholder")),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.ordering import dense_position, hash_cutoffs, order_key
+from quillmesh.functions.ordering import bucket_sizes, dense_position, hash_cutoffs, order_key
 
 SHUFFLE_SEED = 3407
 SAMPLE_SEED = 42
@@ -57,8 +57,8 @@ def _weights(df: DataFrame, by: str, weights: dict[str, float]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, f"`{by}` string, _place int, _weight double")
 
 
-def _sized(df: DataFrame, by: str, named: DataFrame) -> DataFrame:
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+def _sized(df: DataFrame, by: str, key: str, seed: int, named: DataFrame) -> DataFrame:
+    sizes = bucket_sizes(df, key, seed, by).groupBy(by).agg(F.sum("_n").alias("_n"))
     missing = F.concat(F.lit("no rows of source "), F.col(by))
     return named.join(sizes, by, "left").withColumn(
         "_n", F.coalesce("_n", F.raise_error(missing).cast("bigint"))
@@ -87,7 +87,7 @@ def mix_by_smallest(
     df: DataFrame, by: str, key: str, weights: dict[str, float], seed: int = SHUFFLE_SEED
 ) -> DataFrame:
     """Keep the smallest source whole and as much of the others as the weights allow."""
-    sized = _sized(df, by, _weights(df, by, weights))
+    sized = _sized(df, by, key, seed, _weights(df, by, weights))
     smallest = sized.agg(F.min(F.struct("_n", "_place", "_weight")).alias("_least"))
     total = smallest.select(F.col("_least._n") / F.col("_least._weight")).scalar()
     quotas = sized.withColumn("_k", F.floor(total * F.col("_weight")))
@@ -99,7 +99,7 @@ def mix_head(
 ) -> DataFrame:
     """`total` rows of each source."""
     named = df.sparkSession.createDataFrame([(s,) for s in sources], f"`{by}` string")
-    quotas = _sized(df, by, named).withColumn("_k", F.lit(total).cast("bigint"))
+    quotas = _sized(df, by, key, seed, named).withColumn("_k", F.lit(total).cast("bigint"))
     return _take(_known_only(df, by, sources), by, key, seed, quotas)
 
 
@@ -118,7 +118,7 @@ def mix_total(
         raise ValueError("a total is needed; without one use mix_by_smallest")
     share = F.floor(F.lit(float(total)) * F.col("_weight"))
     quotas = (
-        _sized(df, by, _weights(df, by, weights))
+        _sized(df, by, key, seed, _weights(df, by, weights))
         .withColumn("_copies", F.floor(share / F.col("_n")).cast("int"))
         .withColumn("_k", share - F.col("_copies") * F.col("_n"))
     )

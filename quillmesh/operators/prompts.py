@@ -20,7 +20,12 @@ INSTRUCTIONS = {
     "dpo_train_nl_to_sstl": "Below is a natural language description of partial differential equation optimization problem. Instead of optimizing the provided problem directly, we want to optimize an intermediate problem to produce a state that will better serve to achieve the final conditions outlined in the natural language problem. Generate a spatial-signal temporal logic description in Latex code for such an intermediate problem.",
     "dpo_test_sstl_to_python": "Below is a natural language description of partial differential equation optimization problem, paired with your spatial-signal temporal logic description of an intermediate problem provided earlier. Instead of optimizing the natural language problem directly, we want to optimize the intermediate problem to produce a state that will better serve to achieve the final conditions outlined in the natural language problem. Your spatial-signal temporal logic description in latex paired to the original problem describes this intermediate problem. Translate the intermediate problem into Python code following spatial-signal temporal logic.",
 }
+# The headings and fences of a prompt.
+HEAD = "### Instruction:\n"
+INPUT = "\n\n### Input:\n"
+RESPONSE = "\n\n### Response:\n"
 SECTION = "Spatial Signal Temporal Logic:\n```latex\n"
+CODE_SECTION = "\n```\n\nPython:\n```python\n"
 CLOSE = "\n```"
 
 # Per training format: instruction, column holding the given formula, target column.
@@ -52,10 +57,10 @@ def alpaca(head: Column, task_input: Column, output: Column, fence: str | None =
     With a fence the response opens a code block, closed only behind a non-empty output.
     """
     opening = F.concat(
-        F.lit("### Instruction:\n"), head, F.lit("\n\n### Input:\n"), task_input,
-        F.lit("\n\n### Response:\n" + (f"```{fence}\n" if fence else "")),
+        F.lit(HEAD), head, F.lit(INPUT), task_input,
+        F.lit(RESPONSE + (f"```{fence}\n" if fence else "")),
     )
-    closing = "\n```\n\n" if fence else "\n\n"
+    closing = (CLOSE if fence else "") + "\n\n"
     return F.concat(
         opening, output, F.when(output != "", F.lit(closing)).otherwise(F.lit(""))
     )
@@ -115,7 +120,7 @@ def eval_prompt(
         return alpaca(head, nl, python, "python")
     if fmt == "test_nl_to_python_with_sstl_cot":
         steps = F.concat(
-            F.lit(SECTION), sstl, F.lit("\n```\n\nPython:\n```python\n"), python, F.lit(CLOSE)
+            F.lit(SECTION), sstl, F.lit(CODE_SECTION), python, F.lit(CLOSE)
         )
         return alpaca(head, nl, F.when((sstl != "") & (python != ""), steps).otherwise(F.lit("")))
     if fmt == "nl_to_sstl":
