@@ -133,3 +133,22 @@ def mix_total(
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .drop("_copies", "_cut", "_times")
     )
+
+
+def balance(
+    df: DataFrame, by: str, key: str, sources: list[str], weights: list[float] | None = None,
+    total: int | None = None, seed: int = SHUFFLE_SEED,
+) -> DataFrame:
+    """The four ways to balance sources, chosen by what is given.
+
+    Neither weights nor total: everything. Only a total: that many rows of each source.
+    Only weights: as much as the smallest source allows. Both: `total` rows by weight.
+    """
+    if weights is None:
+        return df if total is None else mix_head(df, by, key, sources, total, seed)
+    if len(weights) != len(sources):
+        raise ValueError("one weight per source is needed")
+    named = dict(zip(sources, weights))
+    if total is None:
+        return mix_by_smallest(df, by, key, named, seed)
+    return mix_total(df, by, key, named, total, seed).drop("copy")

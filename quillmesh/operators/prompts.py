@@ -28,7 +28,16 @@ SECTION = "Spatial Signal Temporal Logic:\n```latex\n"
 CODE_SECTION = "\n```\n\nPython:\n```python\n"
 CLOSE = "\n```"
 
-# Per training format: instruction, column holding the given formula, target column.
+# Per prompt used in training: whether a formula is given, and what is asked for.
+TRAIN_PROMPTS = {
+    "nl_to_python": (False, "python"),
+    "nl_to_sstl": (False, "sstl"),
+    "train_nl_and_sstl_to_python": (True, "python"),
+    "train_nl_with_given_sstl_to_python": (True, "python"),
+    "dpo_train_nl_to_sstl": (False, "sstl"),
+    "dpo_test_sstl_to_python": (True, "python"),
+}
+# Per training format: prompt, column holding the given formula, target column.
 SFT_FORMATS = {
     "to_python_no_STL": ("nl_to_python", None, "python"),
     "to_STL": ("nl_to_sstl", None, "sstl"),
@@ -79,29 +88,41 @@ def _with_formula(nl: Column, formula: Column) -> Column:
     return F.concat(nl, F.lit("\n\n" + SECTION), formula, F.lit(CLOSE))
 
 
+def _text(value: Column | str | None) -> Column:
+    return F.lit("") if value is None else strip(value)
+
+
+def train_prompt(
+    fmt: str, nl: Column | str, sstl: Column | str | None = None,
+    python: Column | str | None = None,
+) -> Column:
+    """Prompt of a training format; with what it asks for given it is a worked example."""
+    if fmt not in TRAIN_PROMPTS:
+        raise ValueError(f"not a training format: {fmt}")
+    given, target = TRAIN_PROMPTS[fmt]
+    task = _with_formula(strip(nl), _text(sstl)) if given else strip(nl)
+    output = _text(sstl if target == "sstl" else python)
+    return alpaca(instruction(fmt), task, output, "latex" if target == "sstl" else "python")
+
+
 def build_sft(df: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """`text` and `labels` of a training format; other columns go, except those in `keep`."""
     if fmt not in SFT_FORMATS:
         raise ValueError(f"unknown prompt format: {fmt}")
     name, given, target = SFT_FORMATS[fmt]
-    task = strip("nl")
-    if given:
-        task = _with_formula(task, strip(given))
     answer = strip(target) if target == "python" else F.col(target)
-    fence = "latex" if target == "sstl" else "python"
     return df.select(
         *keep,
-        alpaca(instruction(name), task, F.lit(""), fence).alias("text"),
+        train_prompt(name, "nl", given).alias("text"),
         F.concat(answer, F.lit(CLOSE)).alias("labels"),
     )
 
 
 def build_preference(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """`prompt`, `chosen`, `rejected` from anchor, better and worse formula."""
-    prompt = alpaca(instruction("dpo_train_nl_to_sstl"), strip("anchor"), F.lit(""), "latex")
     return df.select(
         *keep,
-        prompt.alias("prompt"),
+        train_prompt("dpo_train_nl_to_sstl", "anchor").alias("prompt"),
         F.concat(strip("w_sstl"), F.lit(CLOSE)).alias("chosen"),
         F.concat(strip("l_sstl"), F.lit(CLOSE)).alias("rejected"),
     )
@@ -112,9 +133,7 @@ def eval_prompt(
     python: Column | str | None = None,
 ) -> Column:
     """Prompt of a test format; with formula and code given it is a worked example."""
-    nl = strip(nl)
-    sstl = F.lit("") if sstl is None else strip(sstl)
-    python = F.lit("") if python is None else strip(python)
+    nl, sstl, python = strip(nl), _text(sstl), _text(python)
     head = instruction(fmt)
     if fmt == "nl_to_python":
         return alpaca(head, nl, python, "python")
@@ -138,6 +157,14 @@ def build_eval_prompt(
     return df.withColumn(name, eval_prompt(fmt, nl, sstl, python))
 
 
+def few_shot_examples(
+    df: DataFrame, fmt: str, by: str, key: str, training: bool = False
+) -> DataFrame:
+    """Worked examples (`by`, `id`, `text`) from rows with nl, sstl and python."""
+    prompt = train_prompt if training else eval_prompt
+    return df.select(by, F.col(key).alias("id"), prompt(fmt, "nl", "sstl", "python").alias("text"))
+
+
 def with_few_shot(
     df: DataFrame, examples: DataFrame, k: int, by: str, key: str, shuffle: bool = False,
     seed: int = 42, dataset: str | None = None, name: str = "few_shot",

@@ -10,7 +10,8 @@ from quillmesh.operators import formulas, logic
 from quillmesh.plans.catalog import query, table
 
 SMALL = logic.ProfileGrid(m_steps=4, b_steps=4)
-CLAUSES_PER_FORMULA = 2
+# Key and size column of the tables that formula pairs are built from.
+PAIR_COLUMNS = {"part": ("p_partkey", "p_size"), "supplier": ("s_suppkey", "s_nationkey")}
 
 
 def tenths(value: Column) -> Column:
@@ -42,10 +43,11 @@ def clause_text(id_: Column, size: Column, k: int) -> Column:
     )
 
 
-def formula_pairs(spark, sf_dir) -> DataFrame:
-    """A true and a predicted formula of two clauses per part; every 13th cannot be read."""
-    parts = table(spark, sf_dir, "part")
-    id_, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+def formula_pairs(spark, sf_dir, name: str = "part") -> DataFrame:
+    """A true and a predicted formula of two clauses per row; every 13th cannot be read."""
+    parts = table(spark, sf_dir, name)
+    key, number = PAIR_COLUMNS[name]
+    id_, size = F.col(key), F.col(number).cast("bigint")
     both = lambda even: F.when(even, " \\land ").otherwise(" \\lor ")
     truth = F.concat(clause_text(id_, size, 0), both(id_ % 2 == 0), clause_text(id_, size, 1))
     pred = F.concat(clause_text(id_, size, 2), both(id_ % 5 < 3), clause_text(id_, size, 3))
@@ -57,7 +59,9 @@ def formula_pairs(spark, sf_dir) -> DataFrame:
     )
 
 
-PAIRS_SQL = """
+def pairs_sql(name: str = "part") -> str:
+    key, number = PAIR_COLUMNS[name]
+    return f"""
 c AS (
   SELECT pair_id, k, k // 2 AS side,
          CASE WHEN (pair_id + k) % 3 = 0 THEN 'F' ELSE 'G' END AS op,
@@ -66,9 +70,9 @@ c AS (
          ((pair_id * 11 + k * 13) % 61 - 30) / 100.0::DOUBLE AS slope,
          ((pair_id * 17 + k * 29) % 400 - 100)::DOUBLE AS icpt,
          (pair_id + 2 * k) % 4 AS sign, ((s + k) % 7 - 3)::DOUBLE AS thr
-  FROM (SELECT p_partkey AS pair_id, p_size::BIGINT AS s, k,
-               10 + (p_partkey * 7 + k * 3) % 20 AS t10, (p_partkey * 3 + k) % 40 AS x0
-        FROM part, range(4) r(k))),
+  FROM (SELECT {key} AS pair_id, {number}::BIGINT AS s, k,
+               10 + ({key} * 7 + k * 3) % 20 AS t10, ({key} * 3 + k) % 40 AS x0
+        FROM {name}, range(4) r(k))),
 dom AS (
   SELECT pair_id, min(tl) AS t_min, max(th) AS t_max, min(xl) AS x_min, max(xh) AS x_max
   FROM c WHERE pair_id % 13 <> 0 GROUP BY pair_id)"""
@@ -84,12 +88,12 @@ def point(i: str, low: str, high: str, back: str) -> str:
     return f"(CASE WHEN {back} THEN {backward} ELSE {forward} END)"
 
 
-def cells_sql(align: str, grid: logic.ProfileGrid = SMALL) -> str:
+def cells_sql(align: str, grid: logic.ProfileGrid = SMALL, name: str = "part") -> str:
     """All (clause, profile, time) cells with their state and the closed truth."""
     back = "op = 'F'" if align == "reference" else "false"
     slopes, offsets = (f"(CAST({v} AS DOUBLE[]))" for v in (grid.slopes, grid.offsets))
     n, m, b = grid.m_steps * grid.b_steps, grid.m_steps, grid.b_steps
-    return f"""{PAIRS_SQL},
+    return f"""{pairs_sql(name)},
 prep AS (
   SELECT *, slope * xs[1] + icpt AS e1, slope * xs[-1] + icpt AS e2, len(xs) AS nx FROM (
     SELECT *, list_filter(list_transform(range(52), lambda i: {point('i', 'x_min', 'x_max', back)}),
@@ -117,15 +121,16 @@ formula AS (
   FROM closed GROUP BY pair_id, side, p, slot)"""
 
 
-def iou_sql(align: str) -> str:
-    return f"""WITH {cells_sql(align)},
+def iou_sql(align: str, grid: logic.ProfileGrid = SMALL, name: str = "part") -> str:
+    key = PAIR_COLUMNS[name][0]
+    return f"""WITH {cells_sql(align, grid, name)},
 overlap AS (
   SELECT pair_id, sum((a.v AND b.v)::INT)::BIGINT AS "both", sum((a.v OR b.v)::INT)::BIGINT AS either
   FROM formula a JOIN formula b USING (pair_id, p, slot) WHERE a.side = 0 AND b.side = 1 GROUP BY pair_id)
-SELECT p_partkey AS pair_id, "both", either,
+SELECT {key} AS pair_id, "both", either,
        round(CASE WHEN either = 0 THEN 1.0::DOUBLE ELSE "both"::DOUBLE / either END, 9) AS iou,
-       CASE WHEN p_partkey % 13 = 0 THEN 'failed' ELSE 'ok' END AS status
-FROM part LEFT JOIN overlap ON pair_id = p_partkey"""
+       CASE WHEN {key} % 13 = 0 THEN 'failed' ELSE 'ok' END AS status
+FROM {name} LEFT JOIN overlap ON pair_id = {key}"""
 
 
 def _scores(df: DataFrame, **options) -> DataFrame:
@@ -155,6 +160,12 @@ def formula_iou_full(spark, sf_dir):
     return _scores(formula_pairs(spark, sf_dir))
 
 
+@query("formula_iou_suppliers", iou_sql("reference", logic.ProfileGrid(), "supplier"))
+def formula_iou_suppliers(spark, sf_dir):
+    """The full grid on a table small enough for the SQL to visit every cell."""
+    return _scores(formula_pairs(spark, sf_dir, "supplier"))
+
+
 @query(
     "clause_truth",
     f"""WITH {cells_sql("reference")}
@@ -206,7 +217,7 @@ def combine_clauses(spark, sf_dir):
 
 @query(
     "formula_domain",
-    f"""WITH {PAIRS_SQL} SELECT p_partkey AS pair_id, t_min, t_max, x_min::BIGINT AS x_min, x_max::BIGINT AS x_max
+    f"""WITH {pairs_sql()} SELECT p_partkey AS pair_id, t_min, t_max, x_min::BIGINT AS x_min, x_max::BIGINT AS x_max
         FROM part LEFT JOIN dom ON pair_id = p_partkey""",
 )
 def formula_domain(spark, sf_dir):

@@ -204,12 +204,14 @@ def _draw(i: int) -> str:
 )
 def few_shot_prefix(spark, sf_dir):
     family = lambda key: F.when(F.col(key) % 2 == 0, "heat").otherwise("wave")
-    code = F.concat(F.lit("item "), F.col("item_id").cast("string"))
-    shots = table(spark, sf_dir, "benchmark").select(
+    items = table(spark, sf_dir, "benchmark").select(
+        "item_id",
         family("item_id").alias("family"),
-        F.col("item_id").alias("id"),
-        prompts.eval_prompt("nl_to_python", F.col("text"), None, code).alias("text"),
+        F.col("text").alias("nl"),
+        F.lit("").alias("sstl"),
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("python"),
     )
+    shots = prompts.few_shot_examples(items, "nl_to_python", "family", "item_id")
     rows = turn_pairs(spark, sf_dir).select("row_id", family("conv_id").alias("family"))
     fixed = prompts.with_few_shot(rows, shots, 2, "family", "row_id", dataset="combined")
     drawn = prompts.with_few_shot(fixed, shots, 3, "family", "row_id", shuffle=True, name="random_shot")
@@ -248,3 +250,28 @@ def eval_prompt(spark, sf_dir):
         shown = prompts.build_eval_prompt(asked, fmt, "nl", "sstl", "python", name="example")
         parts[fmt] = shown.select("row_id", "prompt", "example")
     return lineage.union_aligned(parts).withColumnRenamed("input", "fmt")
+
+
+def _train_sql(fmt: str) -> str:
+    given, target = prompts.TRAIN_PROMPTS[fmt]
+    task = q.strip("nl")
+    if given:
+        task += f" || {q.text(LINE * 2 + prompts.SECTION)} || {q.strip('sstl')} || {q.text(prompts.CLOSE)}"
+    fence = "latex" if target == "sstl" else "python"
+    return f"SELECT {q.text(fmt)} AS fmt, row_id, {alpaca_sql(head_sql(fmt), task, q.strip(target), fence)} AS example FROM rows"
+
+
+@query(
+    "train_examples",
+    f"""WITH {PAIRS_SQL}, rows AS (SELECT row_id, nl, nl || ' ' AS sstl, python FROM pairs)
+        {' UNION ALL '.join(_train_sql(f) for f in prompts.TRAIN_PROMPTS)}""",
+)
+def train_examples(spark, sf_dir):
+    rows = turn_pairs(spark, sf_dir).withColumn("sstl", F.concat("nl", F.lit(" ")))
+    parts = {
+        fmt: prompts.few_shot_examples(rows, fmt, "conv_id", "row_id", training=True).select(
+            F.col("id").alias("row_id"), F.col("text").alias("example")
+        )
+        for fmt in prompts.TRAIN_PROMPTS
+    }
+    return lineage.union_aligned(parts).withColumnRenamed("input", "fmt")

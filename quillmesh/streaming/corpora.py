@@ -28,15 +28,27 @@ def training_rows(
     return tokens.truncate(tokens.encode_sft(prompts.build_sft(records, fmt, keep)), max_len)
 
 
-def write_arrived(rows: DataFrame, path: str, progress: str) -> StreamingQuery:
+def progress_folder(spark: SparkSession, name: str) -> str:
+    """Folder for a query's progress below the shared folder that the cluster names."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir is not set: give a folder all machines share")
+    return f"{shared.rstrip('/')}/{name}"
+
+
+def write_arrived(
+    rows: DataFrame, path: str, name: str, progress: str | None = None
+) -> StreamingQuery:
     """Append what has arrived to Parquet and stop; each file is taken exactly once.
 
-    `progress` is the query's own folder on storage that all machines share.
+    Progress is kept in `progress`, or under `name` in the cluster's shared folder.
     """
+    folder = progress or progress_folder(rows.sparkSession, name)
     return (
         rows.writeStream.format("parquet")
+        .queryName(name)
         .option("path", path)
-        .option("checkpointLocation", progress)
+        .option("checkpointLocation", folder)
         .trigger(availableNow=True)
         .start()
     )

@@ -57,6 +57,17 @@ def test_weights_are_checked(rows):
     assert mixing.mix_total(rows, "source", "id", {"all": 1}).count() == 1000
 
 
+def test_balance_picks_the_way(rows):
+    names, weights = ["big", "mid", "small"], [0.5, 0.25, 0.25]
+    given = lambda **options: sizes(mixing.balance(rows, "source", "id", names, **options))
+    assert given() == {"big": 700, "mid": 200, "small": 100}
+    assert given(total=50) == {"big": 50, "mid": 50, "small": 50}
+    assert given(weights=weights) == {"big": 200, "mid": 100, "small": 100}
+    assert given(weights=weights, total=800) == {"big": 400, "mid": 200, "small": 200}
+    with pytest.raises(ValueError):
+        given(weights=[1.0])
+
+
 def test_samples_do_not_depend_on_partitions(rows):
     once = {r.id for r in mixing.sample_rows(rows, "id", 300).collect()}
     again = {r.id for r in mixing.sample_rows(rows.repartition(13), "id", 300).collect()}

@@ -48,3 +48,26 @@ def test_plan(spark, sf_dir, name):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "MapInArrow"):
         assert bad not in plan
     assert windows_on_one_partition(plan) == []
+
+
+@pytest.mark.parametrize(
+    "name, columns",
+    [
+        ("seeded_shuffle", {"doc_id", "lang"}),
+        ("mix_total", {"doc_id", "lang", "n_chars"}),
+        ("corpus_scan", {"doc_id", "lang", "source", "n_chars"}),
+        ("label_rates", {"c_custkey", "c_acctbal", "c_mktsegment"}),
+        ("mean_std", {"event_type", "value"}),
+        ("formula_iou", {"p_partkey", "p_size"}),
+        ("outcome_counts", {"event_type", "value"}),
+    ],
+)
+def test_scans_read_only_what_is_used(spark, sf_dir, name, columns):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert read and {c.split(":")[0] for r in read for c in r.split(",")} <= columns
+
+
+def test_filters_reach_the_scan(spark, sf_dir):
+    plan = QUERIES["sft_mask"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(role,user)" in plan and "EqualTo(role,assistant)" in plan

@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from quillmesh.plans import corpora
 from quillmesh.sources.corpus import read_corpus, spread, write_corpus
 from quillmesh.sources.examples import read_examples, write_examples
 from quillmesh.sources.runs import read_run_metrics
-from quillmesh.streaming.corpora import training_rows, write_arrived
+from quillmesh.streaming.corpora import progress_folder, training_rows, write_arrived
 
 RECORD = "nl string, sstl string, python string"
 
@@ -183,7 +184,8 @@ def test_files_that_arrive_are_taken_once(spark, tmp_path):
     for new, total in ((None, 1), ("b.jsonl", 2), (None, 2)):
         if new:
             lines(folder / new, [{"nl": "two", "sstl": "g", "python": "y"}])
-        write_arrived(rows, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+        query = write_arrived(rows, str(tmp_path / "out"), "rows", str(tmp_path / "progress"))
+        query.awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == total
     batch = spark.read.schema(RECORD).json(str(folder))
     from quillmesh.operators import prompts, tokens
@@ -192,6 +194,14 @@ def test_files_that_arrive_are_taken_once(spark, tmp_path):
     assert sorted(map(str, same.collect())) == sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*same.columns).collect()))
 
 
+def test_progress_is_kept_in_the_shared_folder(spark):
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            progress_folder(spark, "rows")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: "/shared/"))
+    assert progress_folder(cluster, "rows") == "/shared/rows"
+
+
 def test_spread_leaves_large_scans_alone(spark):
     assert spread(spark.range(0, 100, 1, 8), "id").rdd.getNumPartitions() == 8
     assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 32
