@@ -375,8 +375,9 @@ def _spread(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
     """Scoring costs milliseconds per row of a few hundred bytes, so file splits are far
     too coarse as units of work: deal the rows out by key."""
     spark = df.sparkSession
-    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks or max(usual, 4 * spark.sparkContext.defaultParallelism), key)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    least = 4 * spark.sparkContext.defaultParallelism
+    return df.repartition(tasks or max(least, int(usual) if usual.isdigit() else 0), key)
 
 
 def formula_iou(

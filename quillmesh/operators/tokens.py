@@ -43,8 +43,12 @@ def encode_with_vocab(
 
     The table is broadcast only when a count shows it to be small. Otherwise frequent
     pieces are cut into parts, because one word may make up a third of all text.
+
+    Texts are dealt out by key before they are split: with a broadcast vocabulary the
+    pieces then stay where they are until their ids are gathered.
     """
-    located = df.select(key, F.posexplode(pieces(text)).alias("_pos", "_piece"))
+    texts = df.select(key, F.col(text).alias("_text")).repartition(key)
+    located = texts.select(key, F.posexplode(pieces("_text")).alias("_pos", "_piece"))
     words = vocab.select(F.col("piece").alias("_piece"), F.col("id").cast("bigint").alias("_id"))
     found = lookup_join(located, words, "_piece", key, "left", BROADCAST_VOCAB_ROWS)
     placed = F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN).cast("bigint")).alias("_id"))

@@ -236,10 +236,13 @@ def test_states_of_pairs(spark):
         (3, clause("u(x) > 0", time="1, 1"), clause("u(x) > 0", time="1, 1")),
         (4, clause("u(x) > 90000"), clause("u(x) > 80000", time="0.5, 1.5")),
         (5, clause("u(x) > 0", place=r"\forall x \in [12, 12]"), clause("u(x) > 0", place=r"\forall x \in [2, 40]")),
+        (6, clause("u(x) > 0", time="1.5, 0.5"), clause("u(x) < 0", op="F", time="1.5, 0.5")),
     ]
     df = spark.createDataFrame(rows, "id long, sstl string, predicted_sstl string")
     got = {r.id: r for r in logic.formula_iou(df, "id", tasks=4).collect()}
-    assert [got[i].status for i in range(6)] == ["ok", "failed", "failed", "error", "ok", "ok"]
+    assert [got[i].status for i in range(7)] == ["ok", "failed", "failed", "error", "ok", "ok", "ok"]
+    # An interval that ends before it begins: 51 times, all of them vacuous.
+    assert (got[6].iou, got[6].either) == (1, 2500 * 51)
     assert got[0].iou == 1 and got[1].iou is None
     # Nothing true inside, but the vacuous step behind the interval is true in both.
     assert 0 < got[4].either and got[4].iou == 1
