@@ -13,6 +13,12 @@ from quillmesh.functions.text import as_column
 STOP_WORDS = ("\n### Instruction:", "### Instruction:")
 FAILED = -100
 PRECISION = 1e-3
+# The names that label rates have in a metrics file.
+LABEL_METRICS = {
+    "positive_rate": "gt positive robustness rate",
+    "negative_rate": "gt negative robustness rate",
+    "failed_rate": "gt failed robustness rate",
+}
 
 
 def edit_distance(df: DataFrame, truth: str, pred: str, name: str = "edit_distance") -> DataFrame:
@@ -99,6 +105,14 @@ def label_rates(df: DataFrame, value: str, by: list[str] | None = None, strict:
     return df.groupBy(*(by or [])).agg(*rates, F.count(F.lit(1)).alias("n_samples"))
 
 
+def label_metrics(rates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Label rates as rows of a metrics file: `metric`, `value`."""
+    named = rates.withColumn("n_samples", F.col("n_samples").cast("double"))
+    named = named.withColumnsRenamed(LABEL_METRICS)
+    values = ["n_samples", *[f"`{name}`" for name in LABEL_METRICS.values()]]
+    return named.unpivot(by or [], values, "metric", "value")
+
+
 def backfill_labels(
     df: DataFrame, results: DataFrame, key: str, value: str = "robustness", time: str = "time"
 ) -> DataFrame:

@@ -10,8 +10,6 @@ from quillmesh.plans import sql as q
 from quillmesh.plans.catalog import query, table
 from quillmesh.plans.tokens import PAIRS_SQL, turn_pairs
 
-FENCE = "```"
-
 
 def text_column(parts: str, **columns: Column) -> Column:
     """`{name}` in `parts` replaced by a column, the rest taken as text."""

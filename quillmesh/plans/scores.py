@@ -106,6 +106,22 @@ def label_rates(spark, sf_dir):
     return rates.select("c_mktsegment", "n_samples", *[F.round(n, 9).alias(n) for n in names])
 
 
+@query(
+    "label_metrics",
+    f"""WITH rates AS (SELECT c_mktsegment, count(*)::DOUBLE AS n, round(avg((r > 0)::INT), 9) AS p,
+                    round(avg((r < 0 AND r <> -100)::INT), 9) AS m, round(avg((r = -100)::INT), 9) AS f
+             FROM (SELECT c_mktsegment, {ROBUSTNESS} AS r FROM customer) GROUP BY c_mktsegment)
+        SELECT c_mktsegment, metric, value FROM (
+          SELECT c_mktsegment, unnest([n, p, m, f]) AS value, unnest(['n_samples', 'gt positive robustness rate',
+            'gt negative robustness rate', 'gt failed robustness rate']) AS metric FROM rates)""",
+)
+def label_metrics(spark, sf_dir):
+    labelled = table(spark, sf_dir, "customer").withColumn("robustness", F.expr(ROBUSTNESS))
+    rates = scores.label_rates(labelled, "robustness", ["c_mktsegment"], strict=False)
+    metrics = scores.label_metrics(rates, ["c_mktsegment"])
+    return metrics.withColumn("value", F.round("value", 9))
+
+
 @query(
     "backfill_labels",
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n_chars / 10.0::DOUBLE ELSE quality::DOUBLE END AS robustness,

@@ -12,16 +12,36 @@ METHODS = (
     "to_python_two_step",
     "to_STL",
 )
+# The metrics that a report shows unless others are asked for.
+METRICS = (
+    "robustness accuracy",
+    "robustness mre",
+    "robustness failure rate",
+    "robustness timeout rate",
+    "simulation time mre",
+    "edit distance",
+    "iou",
+    "iou failures",
+    "iou timeout rate",
+    "perplexity",
+    "perplexity timeout rate",
+    "gt positive robustness rate",
+    "gt negative robustness rate",
+    "gt failed robustness rate",
+    "adjusted_failure_rate",
+)
 RUN_PATH = r"([^/]+?)_shots=(\d+)[^/]*?seed=(-?\d+)[^/]*/([^/]+)/[^/]+$"
 
 
 def read_run_metrics(
-    spark: SparkSession, root: str, subset: int | None = None, seeds: list[int] | None = None
+    spark: SparkSession, root: str, subset: int | None = None, seeds: list[int] | None = None,
+    methods: tuple[str, ...] | None = None, metrics: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """`dataset, shots, seed, method, metric, value`, one row per number in a metrics file.
 
     Files are `<root>/<dataset>_shots=N_seed=M/<method>/metrics[.<subset>].json`; runs
-    without a file and metrics without a number simply have no row.
+    without a file and metrics without a number simply have no row. `seeds`, `methods`
+    and `metrics` (for example METHODS and METRICS) keep only those.
     """
     name = "metrics.json" if subset is None or subset < 0 else f"metrics.{subset}.json"
     files = (
@@ -38,11 +58,13 @@ def read_run_metrics(
         part(4).alias("method"),
         F.from_json("value", "map<string,string>").alias("metrics"),
     )
-    if seeds is not None:
-        runs = runs.filter(F.col("seed").isin(seeds))
-    return (
+    values = (
         runs.select("dataset", "shots", "seed", "method", F.explode("metrics").alias("metric", "text"))
         .withColumn("value", F.col("text").try_cast("double"))
         .drop("text")
         .dropna(subset=["value"])
     )
+    for column, kept in (("seed", seeds), ("method", methods), ("metric", metrics)):
+        if kept is not None:
+            values = values.filter(F.col(column).isin(list(kept)))
+    return values

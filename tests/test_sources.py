@@ -9,7 +9,7 @@ from quillmesh.operators.scores import metric_report
 from quillmesh.plans import corpora
 from quillmesh.sources.corpus import read_corpus, spread, write_corpus
 from quillmesh.sources.examples import read_examples, write_examples
-from quillmesh.sources.runs import read_run_metrics
+from quillmesh.sources.runs import METHODS, METRICS, read_run_metrics
 from quillmesh.streaming.corpora import progress_folder, training_rows, write_arrived
 
 RECORD = "nl string, sstl string, python string"
@@ -132,6 +132,8 @@ def test_run_metrics(spark, tmp_path):
     }
     assert {r.dataset for r in read_run_metrics(spark, str(tmp_path), seeds=[3]).collect()} == {"heat_nc1"}
     assert [r.value for r in read_run_metrics(spark, str(tmp_path), subset=8).collect()] == [9.0]
+    reported = read_run_metrics(spark, str(tmp_path), methods=METHODS[3:], metrics=METRICS).collect()
+    assert sorted(r.value for r in reported) == [0.25, 0.5]
 
 
 def test_run_files_to_report(spark, tmp_path):
