@@ -121,10 +121,14 @@ def hash_cutoffs(
     ).select(*cell, (F.col("_k") - F.col("_offset")).alias("_rest"))
     # Only the rows of one bucket per group are ranked.
     hashed = df.select(*group, order_key(seed, key).alias("_h"), _bucket(seed, key).alias("_bucket"))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h"))
+    order = Window.partitionBy(*cell).orderBy("_h")
+    # A key that two rows share would let more than k rows pass the cut.
+    shared = F.raise_error(F.lit(f"{key} does not identify a row")).cast("string")
+    cut = F.when(F.col("_next") == F.col("_h"), shared).otherwise(F.col("_h"))
     return (
         hashed.join(F.broadcast(boundary), cell)
-        .withColumn("_rank", rank)
+        .withColumn("_rank", F.row_number().over(order))
+        .withColumn("_next", F.lead("_h").over(order))
         .filter(F.col("_rank") == F.col("_rest"))
-        .select(*group, F.col("_h").alias("_cut"))
+        .select(*group, cut.alias("_cut"))
     )

@@ -14,7 +14,7 @@ FORMATS = {"jsonl": "json", "json": "json", "parquet": "parquet", "csv": "csv"}
 
 def read_corpus(
     spark: SparkSession, paths: list[str], fmt: str | None, schema: StructType | str | None = None,
-    sources: bool = True, one_document: bool = False,
+    sources: bool = True, one_document: bool = False, row_ids: bool = False,
 ) -> DataFrame:
     """All data files of several directories.
 
@@ -22,8 +22,11 @@ def read_corpus(
     known extension, each in its own format, and needs a schema. Markdown files and files
     with `description` before the first dot of their name are left out. `one_document` is
     for `json` files that hold one list instead of a record per line. `source_dir` and
-    `source_file` tell where a row is from.
+    `source_file` tell where a row is from. `row_ids` (Parquet only) adds `row_id`, file
+    and place in the file, for rows that have no key of their own.
     """
+    if row_ids and fmt != "parquet":
+        raise ValueError("only Parquet files know the place of a row: store the corpus first")
     if fmt is None:
         if schema is None:
             raise ValueError("a schema is needed to read all formats together")
@@ -44,6 +47,9 @@ def read_corpus(
     rows = reader.format(FORMATS[fmt]).load(paths)
     stem = F.substring_index(F.col("_metadata.file_name"), ".", 1)
     data_files = rows.filter(~F.contains(stem, F.lit("description")))
+    if row_ids:
+        place = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
+        data_files = data_files.withColumn("row_id", place)
     if not sources:
         return data_files
     path = F.split(F.col("_metadata.file_path"), "/")

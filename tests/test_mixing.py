@@ -83,3 +83,11 @@ def test_shuffle_and_resume(rows):
     assert [places[i] for i in order] == list(range(1000)) and order != sorted(order)
     rest = mixing.resume_from(rows, "id", step=3, batch_size=100)
     assert {r.id for r in rest.collect()} == set(order[300:])
+
+
+def test_keys_that_rows_share(rows):
+    copies = rows.withColumn("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="id does not identify a row"):
+        for n in range(100, 900, 100):
+            mixing.sample_rows(copies, "id", n).collect()
+    assert sorted(r.position for r in mixing.with_shuffled_position(copies, "id").collect()) == list(range(1000))

@@ -61,6 +61,16 @@ def test_all_formats_together(spark, corpus):
         read_corpus(spark, [str(folder)], None)
 
 
+def test_row_ids(spark, tmp_path):
+    spark.range(0, 1000, 1, 4).withColumn("t", F.lit("same")).write.parquet(str(tmp_path / "p"))
+    rows = read_corpus(spark, [str(tmp_path / "p")], "parquet", "id long, t string", row_ids=True)
+    assert rows.select("row_id").distinct().count() == 1000
+    again = read_corpus(spark, [str(tmp_path / "p")], "parquet", "id long, t string", row_ids=True)
+    assert rows.join(again, ["row_id", "id"]).count() == 1000
+    with pytest.raises(ValueError):
+        read_corpus(spark, [str(tmp_path / "p")], "jsonl", "t string", row_ids=True)
+
+
 def test_lineage_without_class(spark):
     df = spark.createDataFrame([("dpo_d0", "part_a.jsonl"), ("wave_heat", "x")], "p string, f string")
     loose = lineage.with_lineage(df, "p", "f", strict=False).collect()
@@ -161,6 +171,20 @@ def test_training_corpus_shapes(spark, corpus):
         corpora.training_corpus(rows, *args, shape="heap")
 
 
+def test_from_files_to_a_stored_corpus(spark, corpus):
+    paths = [str(corpus / f"{f}_nc1_train") for f in ("heat", "wave")]
+    raw = lineage.with_lineage(read_corpus(spark, paths, "jsonl", RECORD), "source_dir", "source_file")
+    write_corpus(raw, str(corpus / "raw"), "dataset_class", expect_unique="source_file")
+    rows = read_corpus(spark, [str(corpus / "raw")], "parquet", row_ids=True, sources=False)
+    mixed = corpora.training_corpus(
+        rows, "to_python_no_STL", "row_id", "dataset_class", {"heat": 0.75, "wave": 0.25}, 16, 64
+    )
+    write_corpus(mixed, str(corpus / "tokenized"), "dataset_class")
+    stored = spark.read.parquet(str(corpus / "tokenized"))
+    assert {r["dataset_class"]: r["count"] for r in stored.groupBy("dataset_class").count().collect()} == {"heat": 12, "wave": 4}
+    assert stored.filter("size(input_ids) <> size(labels)").count() == 0
+
+
 def test_preference_corpus(spark):
     df = spark.createDataFrame([("a task", " good ", "bad")], "anchor string, w_sstl string, l_sstl string")
     row = corpora.preference_corpus(df, (), 5).first()
