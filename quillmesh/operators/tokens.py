@@ -90,13 +90,15 @@ def mask_source(ids: Column, source_length: Column) -> Column:
 
 def encode_sft(df: DataFrame, text: str = "text", labels: str = "labels") -> DataFrame:
     """`text` + `labels` to `input_ids`, and `labels` that ignore the prompt part."""
-    source = F.size(F.filter(encode(text), lambda i: i != PAD))
-    encoded = df.withColumn(
-        "input_ids", add_specials(encode(F.concat(text, labels)))
-    ).withColumn("_source", source)
+    # No piece is encoded as PAD, so the prompt is as long as it has pieces.
+    encoded = df.select(
+        *[c for c in df.columns if c not in (text, labels, "input_ids", "labels")],
+        add_specials(encode(F.concat(text, labels))).alias("input_ids"),
+        F.size(pieces(text)).alias("_source"),
+    )
     return encoded.withColumn(
         "labels", mask_source(F.col("input_ids"), F.col("_source"))
-    ).drop("_source", *([text] if text != "labels" else []))
+    ).drop("_source")
 
 
 def encode_pair(df: DataFrame, source: str = "text", target: str = "labels") -> DataFrame:

@@ -222,6 +222,19 @@ def extract_answer(spark, sf_dir):
     return answers.extract_answer(marked_documents(spark, sf_dir), "completion").select("doc_id", "answer")
 
 
+@query(
+    "extract_last_number",
+    r"""WITH found AS (
+          SELECT doc_id, coalesce(regexp_extract_all(replace(text, ',', ''), '-?[0-9]*[.]?[0-9]+')[-1], '') AS a FROM documents)
+        SELECT doc_id, CASE WHEN starts_with(a, '.') THEN '0' ELSE '' END || regexp_replace(a, '([0-9]+)[.]0+$', '\1') AS answer
+        FROM found""",
+)
+def extract_last_number(spark, sf_dir):
+    """The documents as they are: none has a marker, so the last number is the answer."""
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    return answers.extract_answer(docs, "text").select("doc_id", "answer")
+
+
 # Questions and completions whose answers are lists.
 LISTS = [
     ("Roots separated by commas?", "{t} \\boxed<{id}, 2 , 3> Problem: \\boxed<9>", "{id}|2|3", "{id}|2|3|9"),
