@@ -373,7 +373,9 @@ def read_pair(df: DataFrame, truth: str, pred: str, align: str = "reference") ->
 
 def _spread(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
     """Scoring costs milliseconds per row of a few hundred bytes, so file splits are far
-    too coarse as units of work: deal the rows out by key."""
+    too coarse as units of work: deal the rows out by key. With `tasks` of 0 they stay."""
+    if tasks == 0:
+        return df
     spark = df.sparkSession
     usual = spark.conf.get("spark.sql.shuffle.partitions")
     least = 4 * spark.sparkContext.defaultParallelism

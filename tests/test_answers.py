@@ -1,4 +1,7 @@
+import random
+
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillmesh.operators import answers
@@ -192,3 +195,38 @@ def test_grade(spark):
 def test_whole_texts_are_read(spark):
     long_text = "word " * 50_000 + r"\boxed{" + "{}" * 2000 + "7}"
     assert one(spark, F.element_at(answers.boxed_answers("t"), 1), long_text) == ["{}" * 2000 + "7"]
+
+
+def test_random_boxes_against_a_recursive_pattern(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["boxed{", "{", "}", "}", "%", "a", "b\n"], k=rng.randrange(25))) for _ in range(400)]
+    balanced = regex.compile(r"((?:[^{}]|\{(?1)\})*)\}(%?)")
+
+    def expected(text):
+        found = (balanced.match(piece) for piece in text.split("boxed{")[1:])
+        return [m[1] + "}" * len(m[2]) for m in found if m]
+
+    assert one(spark, answers.boxed_answers("t"), *texts) == [expected(t) for t in texts]
+
+
+def test_random_fences_line_by_line(spark):
+    rng = random.Random(9)
+    kinds = ["```python", "```latex", "```", "```output", "x", "y z", ""]
+    texts = ["\n".join(rng.choices(kinds, k=rng.randrange(9))) for _ in range(300)]
+
+    def expected(text, opening, inner):
+        """Split at the opening lines; the block is the first part that a fence ends, or the last."""
+        parts, open_ = [], False
+        for line in text.split("\n"):
+            if line.startswith(opening):
+                parts, open_ = [], True
+            elif open_ and line.startswith("```") and not line.startswith(inner):
+                return "\n".join(parts).strip()
+            elif open_:
+                parts.append(line)
+        return "\n".join(parts).strip() if open_ else "[invalid]"
+
+    python = [expected(t, "```python", ("```latex",)) for t in texts]
+    latex = [expected(t, "```latex", ("~",)) for t in texts]
+    assert one(spark, answers.code_block("t", "python", "cot"), *texts) == python
+    assert one(spark, answers.code_block("t", "latex", "cot"), *texts) == latex

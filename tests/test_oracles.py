@@ -71,3 +71,45 @@ def test_scans_read_only_what_is_used(spark, sf_dir, name, columns):
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = QUERIES["sft_mask"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,user)" in plan and "EqualTo(role,assistant)" in plan
+
+
+def above(plan: str, scan: str) -> list[str]:
+    """The operators between the output and the scan that reads a column."""
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and scan in line)
+    found, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            found, level = [*found, line.strip(" :+-")], depth(line)
+    return found
+
+
+@pytest.mark.parametrize(
+    "name, column",
+    [
+        ("mix_total", "n_chars"),
+        ("mix_smallest", "n_chars"),
+        ("sample_rows", "value"),
+        ("render_prompt", "text"),
+        ("is_correct", "l_extendedprice"),
+        ("perplexity", "embedding"),
+        ("cut_at_stop", "text"),
+        ("to_chat", "text"),
+    ],
+)
+def test_payload_is_not_shuffled(spark, sf_dir, name, column):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    operators = above(plan, column)
+    assert operators and not [line for line in operators if "Exchange" in line]
+
+
+@pytest.mark.parametrize(
+    "name, column, shuffles", [("pack_tokens", "text", 2), ("collate_batches", "text", 3), ("formula_iou", "p_size", 1)]
+)
+def test_payload_is_shuffled_only_so_often(spark, sf_dir, name, column, shuffles):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in above(plan, column) if "Exchange hashpartitioning" in line]
+    # The entry that deals out small scans (`spread`) does not count: large ones have none.
+    asked = [line for line in moved if "REPARTITION_BY_NUM" in line and name != "formula_iou"]
+    assert 0 < len(moved) - len(asked) <= shuffles
