@@ -105,7 +105,7 @@ def test_payload_is_not_shuffled(spark, sf_dir, name, column):
 
 
 @pytest.mark.parametrize(
-    "name, column, shuffles", [("pack_tokens", "text", 2), ("collate_batches", "text", 3), ("formula_iou", "p_size", 1)]
+    "name, column, shuffles", [("pack_tokens", "text", 2), ("seeded_shuffle", "lang", 1), ("formula_iou", "p_size", 1)]
 )
 def test_payload_is_shuffled_only_so_often(spark, sf_dir, name, column, shuffles):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
