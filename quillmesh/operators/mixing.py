@@ -44,6 +44,8 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = SAMPLE_SEED) -> Dat
 
     The n-th smallest hash is a scalar subquery, so n may be millions of rows.
     """
+    if n < 1:
+        raise ValueError("a sample needs at least one row")
     cut = hash_cutoffs(df, key, seed, n).agg(F.max("_cut")).scalar()
     # No cut-off means fewer than n rows. "~" sorts after every hex digit.
     return df.filter(order_key(seed, key) <= F.coalesce(cut, F.lit("~")))

@@ -73,6 +73,9 @@ def test_samples_do_not_depend_on_partitions(rows):
     again = {r.id for r in mixing.sample_rows(rows.repartition(13), "id", 300).collect()}
     assert once == again and len(once) == 300
     assert mixing.sample_rows(rows, "id", 5000).count() == 1000
+    assert mixing.sample_rows(rows, "id", 1000).count() == 1000
+    with pytest.raises(ValueError):
+        mixing.sample_rows(rows, "id", 0)
     first = [r.id for r in mixing.preview_sample(rows, "id", 3).collect()]
     assert set(first) <= once
 
