@@ -55,12 +55,17 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def is_small(df: DataFrame, most: int) -> bool:
+    """Whether a table has no more than `most` rows (reads no further than that)."""
+    return df.limit(most + 1).count() <= most
+
+
 def lookup_join(
     rows: DataFrame, per_key: DataFrame, on: str | list[str], spread: str | Column,
-    how: str = "inner", most: int = 500_000,
+    how: str = "inner", most: int = 500_000, small: bool | None = None,
 ) -> DataFrame:
-    """Join a table that is usually small: broadcast if a count finds no more than `most`
-    rows in it, otherwise `salted_join`."""
-    if per_key.limit(most + 1).count() <= most:
+    """Join a table that is usually small: broadcast if it has no more than `most` rows,
+    otherwise `salted_join`. `small` is the answer if the caller has counted already."""
+    if is_small(per_key, most) if small is None else small:
         return rows.join(F.broadcast(per_key), _names(on), how)
     return salted_join(rows, per_key, on, spread, how)

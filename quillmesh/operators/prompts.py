@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.joins import lookup_join
+from quillmesh.functions.joins import is_small, lookup_join
 from quillmesh.functions.ordering import dense_position, order_key
 from quillmesh.functions.text import strip
 
@@ -191,7 +191,8 @@ def with_few_shot(
         first = examples.withColumn("_rank", rank).filter(F.col("_rank") <= k)
         placed = first.withColumn("_at", F.col("_rank") - 1)
     sizes = examples.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    drawn = lookup_join(df, sizes, by, key, "left")
+    small = is_small(examples, BROADCAST_EXAMPLES)
+    drawn = lookup_join(df, sizes, by, key, "left", small=small)
     for i in range(k):
         left_over = F.col("_size") - i
         if shuffle:
@@ -208,7 +209,7 @@ def with_few_shot(
         shot = placed.select(
             by, F.col("_at").cast("bigint").alias(f"_draw{i}"), F.col("text").alias(f"_shot{i}")
         )
-        drawn = lookup_join(drawn, shot, [by, f"_draw{i}"], key, "left", BROADCAST_EXAMPLES)
+        drawn = lookup_join(drawn, shot, [by, f"_draw{i}"], key, "left", small=small)
     prefix = F.concat(*[F.coalesce(f"_shot{i}", F.lit("")) for i in range(k)])
     spare = [f"_{part}{i}" for i in range(k) for part in ("draw", "shot")]
     return drawn.withColumn(name, prefix).drop("_size", *spare)
