@@ -11,6 +11,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same as a pattern: `\s` of Java patterns knows only six of them.
+SPACE = f"[{WHITESPACE}]"
 
 
 def as_column(value: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.arrays import indexes, last, let
 from quillmesh.functions.joins import lookup_join
 from quillmesh.functions.text import (
+    SPACE,
     after_first,
     after_last,
     as_column,
@@ -34,7 +35,7 @@ ANSWER_ZH, NEXT_ZH, NEXT_CMATH = "答案是", "问题 ", "问题："
 CHOICE = r"the final answer is \(?([abcd])\)?"
 HOPE = r"(?d)final answer is (.*)\. I hope it is correct."
 COMMA_LIST = "separated by commas"
-JOINT = r"\\text\{\s*and\s*\}"
+JOINT = rf"\\text\{{{SPACE}*and{SPACE}*\}}"
 
 # --- Code blocks -----------------------------------------------------------------------
 
@@ -174,6 +175,7 @@ def _braced_fractions(s: Column) -> Column:
 
 _PART = r"(?:0|-?[1-9][0-9]*|[^/]*sqrt[^/]*)"
 _DIGIT = r"\p{Nd}"
+_WORD = r"[\p{L}\p{N}_]+"
 
 # The order of the rules matters. Texts and patterns are fixed values.
 RULES: list[Rule] = [
@@ -199,7 +201,7 @@ RULES: list[Rule] = [
     strip,
     _sub(r"p\.m\.\z"),
     strip,
-    _sub(rf"({_DIGIT})\s*t\z", "$1"),
+    _sub(rf"({_DIGIT}){SPACE}*t\z", "$1"),
     strip,
     _replace("\\$"),
     _replace("$"),
@@ -219,9 +221,9 @@ RULES: list[Rule] = [
     _sub(rf"({_DIGIT}+)\.0+\z", "$1"),
     _if(lambda s: F.startswith(s, F.lit(".")), lambda s: F.concat(F.lit("0"), s)),
     _sub(r"\\sqrt(-?[0-9.a-zA-Z]+)", r"\\sqrt{$1}"),
-    _sub(r"\\sqrt\s+([\p{L}\p{N}_]+)\z", r"\\sqrt{$1}"),
+    _sub(rf"\\sqrt{SPACE}+({_WORD})\z", r"\\sqrt{$1}"),
     _sub(r"\\tan(-?[0-9.a-zA-Z]+)", r"\\tan{$1}"),
-    _sub(r"\\tan\s+([\p{L}\p{N}_]+)\z", r"\\tan{$1}"),
+    _sub(rf"\\tan{SPACE}+({_WORD})\z", r"\\tan{$1}"),
     _replace(" "),
     _braced_fractions,
     _sub(rf"(?s)\A({_PART})/({_PART})\z", r"\\frac{$1}{$2}"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import let
-from quillmesh.functions.text import occurrences, strip
+from quillmesh.functions.text import WHITESPACE, occurrences, strip
 
 # What a clause looks like. The five expression patterns are tried in order.
 TIME_INTERVAL = r"([FG])_\[\[([\d.]+),\s*([\d.]+)\]\]"
@@ -216,9 +216,11 @@ def parse_clauses(df: DataFrame, prefix: str = "") -> DataFrame:
     wrong = F.exists(parsed, lambda c: c["status"] == "error")
     if f"{prefix}steps" in df.columns:
         wrong = wrong | (F.size(f"{prefix}steps") <= 0)
-    # Long runs of blanks, as broken completions have, only cost the patterns time. A run
-    # of eight matches all that a longer one does.
-    shortened = F.transform(clauses, lambda c: F.regexp_replace(c, r"\s{9,}", " " * 8))
+    # Blanks that Java patterns do not know as such become tabs. Long runs of blanks, as
+    # broken completions have, only cost time: eight match all that more of them do.
+    rare = "".join(c for c in WHITESPACE if c not in "\t\n\x0b\x0c\r ")
+    plain = lambda c: F.translate(c, rare, "\t" * len(rare))
+    shortened = F.transform(clauses, lambda c: F.regexp_replace(plain(c), r"\s{9,}", "\t" * 8))
     return df.withColumn(f"{prefix}parsed", F.transform(shortened, parse_clause)).withColumn(
         f"{prefix}status", F.when(failed, "failed").when(wrong, "error").otherwise("ok")
     )

@@ -72,8 +72,10 @@ def test_runs_of_blanks_cost_nothing(spark):
         clause(f"u(x) -{blank}({blank}x{blank}/5{blank}+ 3{blank}){blank}<{blank}1"),
         clause(f"u(x) - ( x /5 {blank} oops"),
         clause("u(x) > 3").replace(r"\forall x", rf"\forall{blank}x"),
+        clause("u(x)\u00a0>\x1c\u30003"),
+        clause("u(x) > 3").replace(r"\forall x", "\\forall\u00a0x"),
     )
-    assert [r.status for r in rows] == ["ok", "failed", "failed"]
+    assert [r.status for r in rows] == ["ok", "failed", "failed", "ok", "failed"]
     assert (rows[0].parsed[0].divisor, rows[0].parsed[0].intercept) == (5, 3)
 
 
