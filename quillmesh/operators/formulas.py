@@ -27,7 +27,8 @@ EXPRESSIONS = (
 # Parts of a text that one of the expression patterns has matched.
 _COMPARED = r"(<=|>=|!=|<|>|=|\\leq|\\geq)\s*(-?\d+(?:\.\d+)?)$"
 _EXPRESSION = r"^u\(x\)\s*-\s*\((.*)\)\s*(?:[<>=!]|\\leq|\\geq)"
-_NUMBER = r"(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?"
+# Whole numbers do not begin with zeros.
+_NUMBER = r"(?:(?:\d+\.\d*|\.\d+)(?:e[-+]?\d+)?|\d+e[-+]?\d+|0+|[1-9]\d*)"
 _LINEAR = (
     rf"^(?:[-+]?{_NUMBER}\*?x|[-+]?x\*(?:\([-+]?{_NUMBER}\)|[-+]?{_NUMBER})"
     rf"|[-+]?x/(?:\({_NUMBER}\)|{_NUMBER}))(?:[-+]{{1,2}}{_NUMBER})?$"
