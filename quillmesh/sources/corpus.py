@@ -59,14 +59,14 @@ def read_corpus(
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a file scan out by `key` if it has fewer splits than there are cores.
+    """Deal the rows of a file scan out by `key` if it has fewer than two splits per core.
 
-    For work that costs far more than reading, such as encoding. A large corpus has more
-    splits than cores and is left as it is, without a shuffle. Only for plain scans: the
+    For work that costs far more than reading, such as encoding. A large corpus has many
+    splits per core and is left as it is, without a shuffle. Only for plain scans: the
     number of splits of a plan with shuffles is not known before it runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(4 * cores, key)
 

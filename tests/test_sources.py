@@ -229,7 +229,7 @@ def test_progress_is_kept_in_the_shared_folder(spark):
 
 
 def test_spread_leaves_large_scans_alone(spark):
-    assert spread(spark.range(0, 100, 1, 8), "id").rdd.getNumPartitions() == 8
+    assert spread(spark.range(0, 100, 1, 16), "id").rdd.getNumPartitions() == 16
     assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 32
 
 
