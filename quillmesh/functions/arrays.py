@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute `value` once and use it several times inside `body`.
 
-    Catalyst copies an expression that is mentioned twice; inside a one-element
-    transform it is evaluated once and bound to a lambda variable.
+    Catalyst copies an expression that is mentioned twice. As the start of a fold over
+    nothing it is evaluated once and handed to the closing lambda.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda bound, _: bound, body)
 
 
 def indexes(count: Column) -> Column:
