@@ -47,10 +47,10 @@ LABEL_SQL = f"{q.strip('python')} || {q.text(prompts.CLOSE)}"
 
 
 def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per language and length class a good and a bad document of one source.
+    """Pairs of a good and a bad document of one source.
 
-    Documents of quality 1 and 0 meet on (source, place in the source), so no pair of
-    all with all arises; the anchor is the name of the source.
+    Documents of quality 1 and 0 meet on (source, place among their like), so each has one
+    partner at most; the anchor names language and source.
     """
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     good = dense_position(docs.filter("quality = 1"), "doc_id", SEED, "place", "source").select(
