@@ -5,9 +5,8 @@ import re
 import pytest
 from oracle import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from __spark_entry__ import entry
+from quillmesh.plans.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
