@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, sharding, token_counts
+from quillmesh.llm import chat, sharding, suffix_dedup, token_counts
 from quillmesh.llm.catalog import ORACLES, QUERIES, query
 from quillmesh.llm.common import shared_folder, stored, table
 
@@ -83,6 +83,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 OP9_SQL = """
 WITH whole AS (
   SELECT conv_id, count(*) AS n_turns,
