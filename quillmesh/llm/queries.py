@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, sharding, suffix_dedup, token_counts
+from quillmesh.llm import chat, jaccard_join, sharding, suffix_dedup, token_counts
 from quillmesh.llm.catalog import ORACLES, QUERIES, query
 from quillmesh.llm.common import shared_folder, stored, table
 
@@ -92,6 +92,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.link_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 OP9_SQL = """
 WITH whole AS (
   SELECT conv_id, count(*) AS n_turns,
