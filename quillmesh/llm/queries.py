@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, jaccard_join, sharding, suffix_dedup, token_counts
+from quillmesh.llm import chat, html_text, jaccard_join, sharding, suffix_dedup, token_counts, warc
 from quillmesh.llm.catalog import ORACLES, QUERIES, query
 from quillmesh.llm.common import shared_folder, stored, table
 
@@ -17,6 +17,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), "doc_id", "text", shards=40)
 
 
+# Forty hex digits in eight groups of five, each of which is four letters of base 32.
+_BASE32 = """
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+  ((('0x' || substr(digest, 1 + 5 * (i // 4)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31))::INTEGER, 1)), '')
+"""
+OP2_SQL = f"""
+WITH paid AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM paid)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP3_SQL = r"""
 WITH counted AS (
   SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^ \t-\r]+')) AS words,
@@ -98,6 +120,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(docs).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 OP9_SQL = """
 WITH whole AS (
   SELECT conv_id, count(*) AS n_turns,
