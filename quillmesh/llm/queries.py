@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, html_text, jaccard_join, quality, sharding, suffix_dedup, token_counts, warc
+from quillmesh.llm import bpe, chat, html_text, jaccard_join, quality, sharding, suffix_dedup, token_counts, warc
 from quillmesh.llm.catalog import ORACLES, QUERIES, query
 from quillmesh.llm.common import shared_folder, stored, table
 
@@ -105,6 +105,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def vocabulary() -> tuple[str, str]:
+    """The rank file of the queries and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, *vocabulary()).drop("text")
+    return bpe.digests(bpe.decode(encoded, *vocabulary()))
+
+
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
