@@ -1,13 +1,19 @@
 """Removal of byte strings that a document with a smaller id has too, by sorted suffixes.
 
 A suffix sort over all texts would move every position of the corpus. Instead suffixes are
-dealt by content first: the least hash of the 16-byte strings inside a 50-byte window (its
+dealt by content first: the least hash of the 24-byte strings inside a 50-byte window (its
 anchor) is the same wherever the window occurs, so windows that are equal meet in one
-bucket. Neighbouring windows with one anchor travel as one stretch of text. In a bucket,
-stretches that are equal as a whole are settled at once; the suffixes of the others are
-sorted by mergesort. Two suffixes are compared by a binary search for their common
-extension over prefix polynomial hashes. At the end each pair of neighbours in the order is
-compared byte by byte, so a collision cannot change the result.
+bucket. Neighbouring windows with one anchor form a stretch of text.
+
+1. The anchors of all stretches are counted: only those of two documents or more matter.
+2. Stretches with such anchors travel to the bucket of their anchor, with their text.
+   Stretches that are equal as a whole are settled at once, first in the task that sends
+   them, so that a passage shared by very many documents comes once per task. The suffixes
+   of the others are sorted by mergesort, in families with the anchor at one offset. Two
+   suffixes are compared by a binary search for their common extension over prefix
+   polynomial hashes. At the end each pair of neighbours in the order is compared byte by
+   byte, so a collision cannot change the result.
+3. The spans found are gathered per document and cut.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from quillmesh.llm.common import chunks, groups_of, mixed, parts, ranges, text_b
 from quillmesh.llm.hashing import PrefixHash, sliding_min
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 # Windows in one stretch at most (repetitive texts have one anchor for very long).
 STRETCH = 64
 # Text that a task gathers before it sends stretches off, and windows sorted at once.
@@ -241,6 +247,152 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 
 STRETCH_KINDS = (np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint8)
 SPAN_KINDS = (np.int64, np.int64, np.int32, np.int64, np.int64)
+ANCHOR_KINDS = (np.int64, np.int64, np.int32, np.uint8, np.uint8)
+NO_IDS = np.empty(0, np.int64)
+SENT = "bucket int, blob binary"
+
+
+def _batch(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())}
+    )
+
+
+def _by_document(mark: bytes, buckets: int, ids, checks, owner, *values) -> Iterator[pa.RecordBatch]:
+    """Values of documents, packed per bucket of the document."""
+    place = mixed(ids.astype(np.uint64) + checks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+    order = np.lexsort((owner, place[owner]))
+    owner, values = owner[order], [v[order] for v in values]
+    numbers, blobs = [], []
+    for at, n in zip(*groups_of(place[owner])):
+        part = slice(at, at + n)
+        used, local = np.unique(owner[part], return_inverse=True)
+        numbers.append(int(place[owner[at]]))
+        blobs.append(mark + _pack(ids[used], checks[used], local.astype(np.int32), *[v[part] for v in values]))
+    if blobs:
+        yield _batch(numbers, blobs)
+
+
+def _one_per_document(ids, checks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct documents of several lists, and the number of each entry's."""
+    order = np.lexsort((checks, ids))
+    i, c = ids[order], checks[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (i[1:] != i[:-1]) | (c[1:] != c[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return i[new], c[new], number
+
+
+# --- anchors ----------------------------------------------------------------------------
+
+
+def _six(values: np.ndarray) -> np.ndarray:
+    """The lower six bytes of each number."""
+    return np.ascontiguousarray(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+
+
+def _from_six(data: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = data.reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
+LOW = np.uint64((1 << 48) - 1)
+
+
+def _send_anchors(buckets: int, size: int):
+    """Per bucket the anchors of some texts and the documents that have them.
+
+    An anchor that two documents of one flush have is known to be shared: it goes once,
+    without documents, and these are told by a row of their own.
+    """
+
+    def flush(found: list) -> Iterator[pa.RecordBatch]:
+        ids, checks, anchor, text = (np.concatenate(x) for x in zip(*found))
+        # Each anchor of a document once; slices of a long text are one document.
+        ids, checks, number = _one_per_document(ids, checks)
+        text = number[text]
+        order = np.lexsort((text, anchor))
+        anchor, text = anchor[order], text[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        anchor, text = anchor[new], text[new]
+        first, n = groups_of(anchor)
+        if len(first):
+            # Rows that share an id are one document.
+            several = np.minimum.reduceat(ids[text], first) != np.maximum.reduceat(ids[text], first)
+            here = np.repeat(several, n)
+            yield from _by_document(b"D", buckets, ids, checks, text[here], anchor[here])
+            head = first[several]
+            anchor = np.r_[anchor[~here], anchor[head]]
+            text = np.r_[text[~here], np.full(len(head), -1)]
+        bucket = (mixed(anchor) >> np.uint64(20)) % np.uint64(buckets)
+        order = np.lexsort((text, bucket))
+        anchor, text, bucket = anchor[order], text[order], bucket[order]
+        numbers, blobs = [], []
+        for at, n in zip(*groups_of(bucket)):
+            part = slice(at, at + n)
+            own = text[part]
+            used, local = np.unique(own[own >= 0], return_inverse=True)
+            numbers.append(int(bucket[at]))
+            step = np.r_[np.full(int((own < 0).sum()), -1), local]
+            blobs.append(
+                b"A" + _pack(ids[used], checks[used], np.diff(step, prepend=0).astype(np.int32), _six(anchor[part]), np.empty(0, np.uint8))
+            )
+            if len(blobs) >= 512:
+                yield _batch(numbers, blobs)
+                numbers, blobs = [], []
+        if blobs:
+            yield _batch(numbers, blobs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen, texts = [], 0, 0
+        for ids, checks, raw, at, _, _ in _texts(batches, size):
+            anchor, _, _, text, _ = _stretches(raw, at)
+            found.append((ids, checks, anchor & LOW, text + texts))
+            seen += len(raw)
+            texts += len(ids)
+            if seen >= FLUSH:
+                yield from flush(found)
+                found, seen, texts = [], 0, 0
+        if found:
+            yield from flush(found)
+
+    return run
+
+
+def _shared_anchors(buckets: int):
+    """Per document the anchors of this bucket that other documents have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = [], 0
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                if blob[:1] == b"D":
+                    yield _batch([bucket], [blob])
+                    continue
+                ids, checks, step, six, _ = _unpack(blob[1:], ANCHOR_KINDS)
+                local = np.cumsum(step)
+                found.append((ids, checks, np.where(local >= 0, local + seen, -1), _from_six(six)))
+                seen += len(ids)
+        if not found:
+            return
+        ids, checks, owner, anchor = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        doc = np.where(owner >= 0, ids[owner], 0) if len(ids) else np.zeros(len(owner), np.int64)
+        order = np.lexsort((doc, anchor))
+        anchor, owner, doc = anchor[order], owner[order], doc[order]
+        first, n = groups_of(anchor)
+        known = np.minimum.reduceat(owner, first) < 0
+        several = known | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+        use = np.repeat(several, n) & (owner >= 0)
+        yield from _by_document(b"D", buckets, ids, checks, owner[use], anchor[use])
+
+    return run
+
+
+# --- stretches on their way -------------------------------------------------------------
 
 
 class _Sender:
@@ -259,8 +411,14 @@ class _Sender:
         self.found: list[tuple[np.ndarray, ...]] = []
         self.texts = 0
 
-    def add(self, raw, at, ids, checks, offsets) -> None:
+    def add(self, ids, checks, raw, at, offsets, lists: list[bytes]) -> None:
         anchor, start, count, text, whole = _stretches(raw, at)
+        # Only the stretches whose anchors another document has too.
+        wanted = [_from_six(np.frombuffer(x, np.uint8)) for x in lists]
+        owner = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted]).astype(np.uint64)
+        salt = np.uint64(0x9E3779B97F4A7C15)
+        use = np.isin((anchor & LOW) ^ (text.astype(np.uint64) * salt), np.concatenate(wanted) ^ (owner * salt))
+        anchor, start, count, text, whole = (x[use] for x in (anchor, start, count, text, whole))
         self.found.append((anchor, whole, start + self.size, count, text + self.texts))
         self.raw.append(raw)
         self.ids.append(ids)
@@ -280,57 +438,54 @@ class _Sender:
         order, first, later = _settle(raw, anchor, whole, start, count, ids[text])
         # What a smaller document here has as well need not travel: its spans do.
         gone = order[later]
-        o, s, e = merged_spans(text[gone], start[gone] - base[text[gone]], start[gone] - base[text[gone]] + count[gone] + WINDOW - 1)
-        buckets, blobs = [], []
-        if len(o):
-            used, local = np.unique(o, return_inverse=True)
-            buckets.append(int(ids[used[0]] % self.buckets))
-            blobs.append(b"S" + _pack(ids[used], checks[used], local.astype(np.int32), s, e))
+        place = start - base[text]
+        o, s, e = merged_spans(text[gone], place[gone], place[gone] + count[gone] + WINDOW - 1)
+        yield from _by_document(b"S", self.buckets, ids, checks, o, s, e)
         keep = np.ones(len(order), bool)
         keep[gone] = False
         left = np.flatnonzero(keep)
         bucket = (mixed(anchor[left]) >> np.uint64(20)) % np.uint64(self.buckets)
         by = np.argsort(bucket, kind="stable")
         left, bucket = left[by], bucket[by]
+        buckets, blobs = [], []
         for b, n in zip(*groups_of(bucket)):
             at = left[b : b + n]
             used, local = np.unique(text[at], return_inverse=True)
-            place = (start[at] - base[text[at]]).astype(np.int64)
             content = raw[ranges(start[at], count[at] + WINDOW - 1)]
             buckets.append(int(bucket[b]))
             blobs.append(
                 b"T" + _pack(
                     ids[used], checks[used], np.diff(local, prepend=0).astype(np.int32),
-                    np.diff(place, prepend=0).astype(np.int32) if place.max() < 2**31 else _too_long(),
-                    count[at].astype(np.uint8), content,
+                    np.diff(place[at], prepend=0).astype(np.int32), count[at].astype(np.uint8), content,
                 )
             )
             if len(blobs) >= 256:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+                yield _batch(buckets, blobs)
                 buckets, blobs = [], []
         if blobs:
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            yield _batch(buckets, blobs)
 
 
-def _too_long():
-    raise ValueError("a text of more than 2 GB")
+def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """Texts in chunks: ids, checks, bytes, offsets, where each begins in its document, and
+    the rows. A long text comes in slices that overlap by a window less a byte."""
+    for part in chunks(batches, "text", size):
+        raw, at = text_bytes(part.column("text"))
+        ids = part.column("_id").to_numpy(zero_copy_only=False)
+        checks = part.column("_check").to_numpy(zero_copy_only=False)
+        if len(raw) <= 2 * size:
+            yield ids, checks, raw, at, np.zeros(len(ids), np.int64), part
+            continue
+        for begin in range(0, len(raw) - WINDOW + 1, size):
+            piece = raw[begin : begin + size + WINDOW - 1]
+            yield ids, checks, piece, np.array([0, len(piece)]), np.array([begin]), part
 
 
 def _send(buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets)
-        for part in chunks(batches, "text", size):
-            raw, at = text_bytes(part.column("text"))
-            ids = part.column("_id").to_numpy(zero_copy_only=False)
-            checks = part.column("_check").to_numpy(zero_copy_only=False)
-            if len(raw) <= 2 * size:
-                sender.add(raw, at, ids, checks, np.zeros(len(ids), np.int64))
-            else:  # one long text, in slices that overlap by a window less a byte
-                for begin in range(0, max(len(raw) - WINDOW + 1, 1), size):
-                    piece = raw[begin : begin + size + WINDOW - 1]
-                    sender.add(piece, np.array([0, len(piece)]), ids, checks, np.array([begin]))
-                    if sender.size >= FLUSH:
-                        yield from sender.flush()
+        for ids, checks, raw, at, offsets, part in _texts(batches, size):
+            sender.add(ids, checks, raw, at, offsets, part.column("_anchors").to_pylist())
             if sender.size >= FLUSH:
                 yield from sender.flush()
         yield from sender.flush()
@@ -338,7 +493,7 @@ def _send(buckets: int, size: int):
     return run
 
 
-def _read_stretches(blob: bytes, number: int):
+def _read_stretches(blob: bytes) -> tuple:
     ids, checks, local, place, count, content = _unpack(blob, STRETCH_KINDS)
     local, place, count = np.cumsum(local), np.cumsum(place.astype(np.int64)), count.astype(np.int64)
     length = count + WINDOW - 1
@@ -359,44 +514,59 @@ def _read_stretches(blob: bytes, number: int):
     return ids, checks, local, place, count, content, np.concatenate(anchors), np.concatenate(wholes)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(buckets: int):
     """Per document, the spans that the windows of this bucket show to be repeated."""
-    texts, spans = [], []
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            if blob[:1] == b"S":
-                spans.append(_unpack(blob[1:], SPAN_KINDS))
-            else:
-                texts.append(_read_stretches(blob[1:], len(texts)))
-    ids = np.concatenate([x[0] for x in [*texts, *spans]] or [np.empty(0, np.int64)])
-    checks = np.concatenate([x[1] for x in [*texts, *spans]] or [np.empty(0, np.int64)])
-    owner, start, end, seen = [], [], [], sum(len(x[0]) for x in texts)
-    for found in spans:
-        owner.append(found[2] + seen)
-        start.append(found[3])
-        end.append(found[4])
-        seen += len(found[0])
-    if texts:
-        o, s, e = _repeated(texts)
-        owner, start, end = [*owner, o], [*start, s], [*end, e]
-    if not owner:
-        return
-    owner, start, end = np.concatenate(owner), np.concatenate(start), np.concatenate(end)
-    if not len(owner):
-        return
-    # A document may come in several blobs.
-    keys = np.rec.fromarrays([ids, checks])
-    unique, number = np.unique(keys, return_inverse=True)
-    o, s, e = merged_spans(number.ravel()[owner], start, end)
-    first, size = groups_of(o)
-    pairs = np.c_[s, e].astype("<i8")
-    for i in range(0, len(first), 4096):
-        f, n = first[i : i + 4096], size[i : i + 4096]
-        yield pa.RecordBatch.from_pydict({
-            "_id": pa.array(unique.f0[o[f]], pa.int64()),
-            "_check": pa.array(unique.f1[o[f]], pa.int64()),
-            "spans": pa.array([pairs[a : a + k].tobytes() for a, k in zip(f, n)], pa.binary()),
-        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                if blob[:1] == b"S":
+                    yield _batch([bucket], [blob])
+                else:
+                    texts.append(_read_stretches(blob[1:]))
+        if not texts:
+            return
+        ids, checks, number = _one_per_document(*(np.concatenate([x[i] for x in texts]) for i in (0, 1)))
+        owner, start, end = _repeated(texts)
+        owner, start, end = merged_spans(number[owner], start, end)
+        yield from _by_document(b"S", buckets, ids, checks, owner, start, end)
+
+    return run
+
+
+def _gathered(kinds: tuple):
+    """One row per document, with all its values of this bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = [], 0
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                ids, checks, local, *values = _unpack(blob[1:], kinds)
+                found.append((ids, checks, local + seen, *values))
+                seen += len(ids)
+        if not found:
+            return
+        ids, checks, owner, *values = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        ids, checks, number = _one_per_document(ids, checks)
+        owner = number[owner]
+        if len(values) == 2:
+            owner, *values = merged_spans(owner, *values)
+            packed = np.c_[values[0], values[1]].astype("<i8")
+        else:
+            order = np.argsort(owner, kind="stable")
+            owner, packed = owner[order], _six(values[0][order]).reshape(-1, 6)
+        first, size = groups_of(owner)
+        for i in range(0, len(first), 4096):
+            f, n = first[i : i + 4096], size[i : i + 4096]
+            yield pa.RecordBatch.from_pydict({
+                "_id": pa.array(ids[owner[f]], pa.int64()),
+                "_check": pa.array(checks[owner[f]], pa.int64()),
+                "_values": pa.array([packed[a : a + k].tobytes() for a, k in zip(f, n)], pa.binary()),
+            })
+
+    return run
 
 
 def _repeated(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -444,8 +614,14 @@ def _repeated(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         base = np.cumsum(length) - length
         which = np.repeat(np.arange(len(h)), n)
         offset = ranges(np.zeros_like(n), n)
-        kin = np.repeat(family[i:j], n)
-        sorted_, equal = sort_suffixes(local, base[which] + offset, kin)
+        # Equal windows have the anchor at the same offset.
+        grams = mixed(PrefixHash(local).every(GRAM))
+        at_anchor = np.flatnonzero(grams == np.repeat(anchor[h], length)[: len(grams)])
+        begin_ = base[which] + offset
+        kin = np.repeat(family[i:j], n) * WINDOW + at_anchor[np.searchsorted(at_anchor, begin_)] - begin_
+        by_kin = np.argsort(kin, kind="stable")
+        sorted_, equal = sort_suffixes(local, begin_[by_kin], kin[by_kin])
+        sorted_ = by_kin[sorted_]
         begins = np.flatnonzero(~equal)
         d = doc[h][which[sorted_]]
         least = np.minimum.reduceat(d, begins)
@@ -475,7 +651,15 @@ def _repeated(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # --- the operator -----------------------------------------------------------------------
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Widen removed bytes to the characters they belong to."""
+    character = np.cumsum((text & 0xC0) != 0x80) - 1
+    lost = np.zeros(int(character[-1]) + 1, bool)
+    lost[character[gone]] = True
+    return lost[character]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], characters: bool) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", 16 << 20):
         raw, at = text_bytes(part.column("text"))
         kept, removed, spans = [], [], []
@@ -486,12 +670,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(0)
                 spans.append([])
                 continue
-            pairs = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in found])
-            _, s, e = merged_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+            s, e = np.frombuffer(found, "<i8").reshape(-1, 2).T
             mark = np.zeros(len(text) + 1, np.int8)
             mark[s] += 1
             mark[e] -= 1
-            kept.append(text[np.cumsum(mark[:-1]) == 0].tobytes())
+            gone = np.cumsum(mark[:-1]) > 0
+            kept.append(text[~(_whole_characters(text, gone) if characters else gone)].tobytes())
             removed.append(int((e - s).sum()))
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(s, e)])
         rest = {n: part.column(n) for n in part.schema.names if n not in ("text", "_spans")}
@@ -499,58 +683,64 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 **rest,
                 "n_bytes": pa.array(np.diff(at), pa.int64()),
-                "kept": pa.array(kept, pa.binary()),
+                "kept": pa.array(kept, pa.binary()).cast(pa.string() if characters else pa.binary()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             }
         )
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The spans to remove: `_id`, `_check` (crc32 of the text), spans (pairs of int64).
-
-    A document has one row per bucket that found something in it.
-    """
-    rows = df.select(
+def _keyed(df: DataFrame, key: str, text: str) -> list:
+    return [
         F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("_id"),
         F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("_check"),
         F.col(text).cast("binary").alias("text"),
+    ]
+
+
+def _repeated_spans(rows: DataFrame, buckets: int) -> DataFrame:
+    """The spans to remove, a row per document that has any: `_id`, `_check` (crc32 of the
+    text), `_values` (pairs of 64-bit numbers: first byte and the byte behind the last)."""
+    found = "_id bigint, _check bigint, _values binary"
+    anchors = (
+        rows.select("_id", "_check", "text").mapInArrow(_send_anchors(buckets, 4 << 20), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(_shared_anchors(buckets), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(_gathered((np.int64, np.int64, np.int32, np.uint64)), found)
+        .withColumnRenamed("_values", "_anchors")
     )
-    buckets = parts(df)
-    sent = rows.mapInArrow(_send(buckets, 4 << 20), "bucket int, blob binary")
-    return sent.repartitionById(buckets, "bucket").mapInArrow(
-        _compare, "_id bigint, _check bigint, spans binary"
+    # All columns, so that this join and that with the spans share one shuffle of the texts.
+    sharing = rows.join(anchors.hint("shuffle_hash"), ["_id", "_check"])
+    return (
+        sharing.mapInArrow(_send(buckets, 4 << 20), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(_compare(buckets), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(_gathered(SPAN_KINDS), found)
     )
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    df: DataFrame, key: str = "doc_id", text: str = "text", characters: bool = False
+) -> DataFrame:
     """Cut every byte that lies in a 50-byte string which a smaller document has too.
 
     Returns all columns but the text and instead `n_bytes`, `kept` (the bytes that stay),
     `n_removed` and `removed` (maximal spans of bytes). Strings are judged on the input;
-    matches do not cross documents; repeats inside one document stay.
+    matches do not cross documents; repeats inside one document stay. With `characters` the
+    kept part is text instead of bytes: a character of which a byte goes, goes whole.
 
     A NULL text is empty. Rows without id count as greater than all others and as one
     document among themselves, as do rows that share an id. Texts of fewer than 50 bytes
     stay whole. Repeated rows are cut alike. An empty table gives no rows. Columns that
     would clash with the new ones are replaced.
     """
-    spans = (
-        repeated_spans(df, key, text)
-        .groupBy("_id", "_check")
-        .agg(F.collect_list("spans").alias("_spans"))
-    )
     rest = [c for c in df.columns if c not in (text, "n_bytes", "kept", "n_removed", "removed", "_id", "_check", "_spans")]
-    rows = df.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("_id"),
-        F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("_check"),
-        F.col(text).cast("binary").alias("text"),
-    )
+    rows = df.select(*_keyed(df, key, text), *[F.col(f"`{c}`") for c in rest])
+    spans = _repeated_spans(rows, parts(df)).withColumnRenamed("_values", "_spans")
     joined = rows.join(spans.hint("shuffle_hash"), ["_id", "_check"], "left").drop("_id", "_check")
     same = [f for f in joined.schema.fields if f.name not in ("text", "_spans")]
     added = StructType.fromDDL(
-        "n_bytes bigint, kept binary, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"
+        f"n_bytes bigint, kept {'string' if characters else 'binary'}, n_removed bigint, "
+        "removed array<struct<start:bigint,end:bigint>>"
     )
     schema = StructType([*same, *added.fields])
-    return joined.mapInArrow(_cut, schema)
+    return joined.mapInArrow(lambda batches: _cut(batches, characters), schema)
+
