@@ -197,6 +197,7 @@ class Benchmark:
         return text[begin], item[begin], place[begin], place[last] + length[last] - place[begin]
 
 
+ADDED = ["n_words", "matches", "n_hit", "items", "contaminated", "_text", "_n", "_m"]
 MATCHES = "n_words bigint, matches array<struct<item_id:string,start:bigint,length:bigint>>"
 
 
@@ -271,8 +272,7 @@ def find_contamination(
     alike. An empty benchmark contaminates nothing. Columns that would clash with the new
     ones are replaced.
     """
-    added = ["n_words", "matches", "n_hit", "items", "contaminated", "_text"]
-    rest = [c for c in df.columns if c not in added]
+    rest = [c for c in df.columns if c not in ADDED]
     rows = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias("_text"))
     blocks = _blocks(benchmark, item, item_text, block)
     found = _look_up(rows, [(i or "", t) for i, t in next(blocks)], window)
@@ -286,6 +286,8 @@ def find_contamination(
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `df` that are not contaminated, with their own columns."""
-    return find_contamination(df, benchmark, **options).filter(~F.col("contaminated")).select(
-        *[f"`{c}`" for c in df.columns]
+    clashing = {c: f"_own_{c}" for c in df.columns if c in ADDED}
+    found = find_contamination(df.withColumnsRenamed(clashing), benchmark, **options)
+    return found.filter(~F.col("contaminated")).select(
+        *[F.col(f"`{clashing.get(c, c)}`").alias(c) for c in df.columns]
     )

@@ -73,6 +73,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNFINISHED = re.compile(r"</?[a-zA-Z]|<[!?]")
 SPACE = re.compile(r"\s+")
 
 
@@ -134,8 +135,8 @@ def parse(page: str) -> Element:
 
     while at < end:
         found = TOKEN.search(page, at)
-        if found is None:
-            text(page[at:])
+        if found is None:  # a tag that the page ends in is no text
+            text(UNFINISHED.split(page[at:], maxsplit=1)[0])
             break
         text(page[at : found.start()])
         at = found.end()
