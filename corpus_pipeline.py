@@ -1,18 +1,78 @@
-"""From raw documents to encoded training rows, in stages that are each stored."""
+"""From raw documents to encoded training rows, in stages that are each stored.
+
+Every stage takes (spark, docs, sf_dir), with the columns of `documents`, works on all that
+the stage before it kept, and returns a DataFrame; all but the last return the columns of
+`documents` again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.llm import bpe, decontamination, jaccard_join, quality, suffix_dedup
+from quillmesh.llm.common import ship, stored, table
+from quillmesh.llm.queries import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep. The model is fitted to the documents given."""
+    ship(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id."""
+    ship(spark)
+    return jaccard_join.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document with a smaller id has too.
+
+    A character of which a byte goes, goes whole. A document of which nothing is left stays
+    as an empty one.
+    """
+    ship(spark)
+    cut = suffix_dedup.remove_repeats(docs, characters=True).withColumnRenamed("kept", "text")
+    left = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", left).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with benchmark passages."""
+    ship(spark)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, checked by decoding them."""
+    ship(spark)
+    ids = bpe.encode(docs, *vocabulary())
+    back = bpe.decode(ids, *vocabulary())
+    return back.select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
 
-from quillmesh.llm.common import stored, table
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", without_benchmark),
+    ("byte-level bpe", encoded),
+]
 
-STAGES = []
-# No SQL states the whole chain; tests compare each stage with brute force.
+# Hashed n-grams, components and token merges are beyond SQL; tests compare every stage with
+# brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to `documents`; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

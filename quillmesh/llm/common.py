@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, unless their path has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(":") or getattr(context, "_quillmesh_sent", False):
+        return
+    package = os.path.join(root, "quillmesh")
+    archive = os.path.join(tempfile.mkdtemp(), "quillmesh.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._quillmesh_sent = True
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share.
 
