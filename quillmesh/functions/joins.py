@@ -55,17 +55,18 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def is_small(df: DataFrame, most: int) -> bool:
-    """Whether a table has no more than `most` rows (reads no further than that)."""
-    return df.limit(most + 1).count() <= most
+def one_per_key(df: DataFrame, on: str | list[str], what: str) -> DataFrame:
+    """The rows of a table that must have one row per key; a repeated key is an error."""
+    on = _names(on)
+    rest = [c for c in df.columns if c not in on]
+    many = F.raise_error(F.concat(F.lit(f"{what} repeats a key: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on])))
+    counted = df.groupBy(*on).agg(F.first(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_rows"))
+    checked = F.when(F.col("_rows") == 1, F.col("_row")).otherwise(many.cast(counted.schema["_row"].dataType))
+    return counted.select(*on, checked.alias("_row")).select(*on, *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def lookup_join(
-    rows: DataFrame, per_key: DataFrame, on: str | list[str], spread: str | Column,
-    how: str = "inner", most: int = 500_000, small: bool | None = None,
-) -> DataFrame:
-    """Join a table that is usually small: broadcast if it has no more than `most` rows,
-    otherwise `salted_join`. `small` is the answer if the caller has counted already."""
-    if is_small(per_key, most) if small is None else small:
-        return rows.join(F.broadcast(per_key), _names(on), how)
-    return salted_join(rows, per_key, on, spread, how)
+def lookup_join(rows: DataFrame, per_key: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join a table that is usually small. No size is asked while the plan is built: adaptive
+    execution broadcasts a side whose measured bytes allow it, and splits the partitions of
+    hot keys otherwise."""
+    return rows.join(per_key, _names(on), how)

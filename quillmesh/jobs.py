@@ -1,4 +1,4 @@
-"""Command line: `python -m quillmesh.jobs prepare|prefer|label|report ...`.
+"""Command line: `python -m quillmesh.jobs prepare|prefer|label|score|report ...`.
 
 Each job reads files, runs the operators as one or two lazy plans and writes files.
 """
@@ -16,7 +16,7 @@ from quillmesh.operators.prompts import SFT_FORMATS
 from quillmesh.plans import corpora
 from quillmesh.sources.corpus import read_corpus, write_corpus
 from quillmesh.sources.examples import read_examples, write_examples
-from quillmesh.sources.runs import METHODS, METRICS, read_run_metrics
+from quillmesh.sources.runs import METHODS, METRICS, read_run_metrics, write_run_metrics
 
 RECORD = "nl string, sstl string, python string, train_predicted_sstl string, stl string"
 PREFERENCE = (
@@ -31,7 +31,7 @@ def _stored(spark: SparkSession, args: argparse.Namespace, schema: str, strict:
     if "dataset_class" in raw.columns:
         raw = raw.drop("dataset_class")
     named = with_lineage(raw, "source_dir", "source_file", strict=strict)
-    write_corpus(named, f"{args.out}/raw", "output_name", expect_unique="source_file")
+    write_corpus(named, f"{args.out}/raw", "output_name", expect_unique="source_path")
     stored = spark.read.parquet(f"{args.out}/raw").schema
     return read_corpus(spark, [f"{args.out}/raw"], "parquet", stored, sources=False, row_ids=True)
 
@@ -78,7 +78,26 @@ def label(spark: SparkSession, args: argparse.Namespace) -> None:
     write_examples(examples, f"{args.out}/examples")
     labelled = spark.read.json(f"{args.out}/examples")
     rates = scores.label_metrics(scores.label_rates(labelled, "robustness"))
-    rates.write.mode("overwrite").json(f"{args.out}/metrics")
+    write_run_metrics(_of_run(rates, args), args.out)
+
+
+def _of_run(metrics: DataFrame, args: argparse.Namespace) -> DataFrame:
+    """Metrics with the names of the run they belong to."""
+    return metrics.select(
+        F.lit(args.dataset).alias("dataset"), F.lit(args.shots).alias("shots"), F.lit(args.seed).alias("seed"),
+        F.lit(args.method).alias("method"), "metric", "value",
+    )
+
+
+def score(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Completions to scored rows and the metrics of the run."""
+    rows = read_examples(spark, args.completions)
+    scored = corpora.scored_examples(rows, args.key, args.completion, args.task)
+    folder = f"{args.out}/{args.dataset}_shots={args.shots}_seed={args.seed}/{args.method}"
+    scored.write.mode("overwrite").parquet(f"{folder}/scored")
+    stored = spark.read.parquet(f"{folder}/scored")
+    metrics = corpora.run_metrics(stored.withColumn("_run", F.lit(0)), ["_run"]).drop("_run")
+    write_run_metrics(_of_run(metrics, args), args.out)
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -106,6 +125,12 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--max-len", type=int, default=4096)
         return one
 
+    def run_names(one: argparse.ArgumentParser) -> None:
+        one.add_argument("--dataset", default="test")
+        one.add_argument("--shots", type=int, default=0)
+        one.add_argument("--seed", type=int, default=-1)
+        one.add_argument("--method", default="gt" if one.prog.endswith("label") else "to_python")
+
     one = job(prepare, corpus=True)
     one.add_argument("--format", choices=list(SFT_FORMATS), default="to_python_no_STL")
     one.add_argument("--balance", nargs="*", default=[], help="keywords=weight of each input")
@@ -115,13 +140,20 @@ def parser() -> argparse.ArgumentParser:
     one = job(label, corpus=False)
     one.add_argument("--examples", required=True)
     one.add_argument("--results")
-    one.add_argument("--key", default="nl")
+    one.add_argument("--key", default="nl", help="a column that identifies a row; repeated keys are an error")
     one.add_argument("--most", type=int)
+    run_names(one)
+    one = job(score, corpus=False)
+    one.add_argument("--completions", required=True, help="JSON lines with nl, sstl, python and the completion")
+    one.add_argument("--completion", default="completion")
+    one.add_argument("--key", required=True, help="a column that identifies a row")
+    one.add_argument("--task", choices=("direct", "cot"), default="direct")
+    run_names(one)
     one = job(report, corpus=False)
     one.add_argument("--runs", required=True)
     one.add_argument("--subset", type=int)
     one.add_argument("--seeds", type=int, nargs="+", default=[-1])
-    one.add_argument("--shots", type=int, default=3)
+    one.add_argument("--shots", type=int, help="most shots; more are an error (default: the most there are)")
     one.add_argument("--methods", nargs="+", default=list(METHODS))
     one.add_argument("--metrics", nargs="+", default=list(METRICS))
     return top

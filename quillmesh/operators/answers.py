@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import indexes, last, let
-from quillmesh.functions.joins import lookup_join
+from quillmesh.functions.joins import lookup_join, one_per_key
 from quillmesh.functions.text import (
     SPACE,
     after_first,
@@ -414,25 +414,30 @@ def extract_by_task(
     return df.withColumn(name, task_answers(F.col(task), F.col(question), F.col(text)))
 
 
+# What counts as a number when answers are compared.
+NUMBER = r"^\s*[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
+
+
 def grade(
     preds: DataFrame, expected: DataFrame, key: str, task: str = "task",
     question: str = "question", completion: str = "completion", answer: str = "answer",
 ) -> DataFrame:
     """Accuracy and rate of invalid extractions per task.
 
-    The last extracted answer counts; two numbers must be close, other texts equal. The
-    rates are sums of flags, so a task with most of the rows is combined before it moves.
+    The last extracted answer counts; two numbers must be close, other texts equal. A number
+    is a text of digits with a point and exponent at most: `NaN` and `5d` are texts. Two
+    expected answers for one key are an error. The rates are sums of flags, so a task with
+    most of the rows is combined before it moves.
     """
     read = extract_by_task(preds, task, question, completion, "_answers")
-    # One item may have been answered very often: its completions are spread.
     joined = lookup_join(
-        read.select(key, task, completion, last(F.col("_answers")).alias("_pred")),
-        expected.select(key, F.col(answer).alias("_answer")),
+        read.select(key, task, last(F.col("_answers")).alias("_pred")),
+        one_per_key(expected.select(key, F.col(answer).alias("_answer")), key, "expected"),
         key,
-        completion,
     )
     pred, wanted = F.col("_pred"), F.col("_answer")
-    numbers = close(pred.try_cast("double"), wanted.try_cast("double"))
+    number = lambda x: F.when(x.rlike(NUMBER), x.try_cast("double"))
+    numbers = close(number(pred), number(wanted))
     right = F.coalesce(numbers, pred == wanted, F.lit(False))
     return joined.groupBy(task).agg(
         F.avg(right.cast("double")).alias("accuracy"),

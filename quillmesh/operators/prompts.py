@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.joins import is_small, lookup_join
+from quillmesh.functions.joins import lookup_join
 from quillmesh.functions.ordering import dense_position, order_key
 from quillmesh.functions.text import strip
 
@@ -46,7 +46,6 @@ SFT_FORMATS = {
     "to_python_misaligned": ("dpo_test_sstl_to_python", "stl", "python"),
 }
 MAX_SHOTS = 3
-BROADCAST_EXAMPLES = 10_000
 
 
 def instruction(fmt: Column | str) -> Column:
@@ -174,8 +173,8 @@ def with_few_shot(
     `examples` holds `by`, `id` and `text`. Without `shuffle` these are the class's first
     examples by id, with it a random choice per row: the i-th draw takes one of the
     examples that the earlier draws left over. Each draw is one equi-join on
-    (class, place), so rows and examples are not paired in full. The examples are
-    broadcast when a count shows them to be few.
+    (class, place), so rows and examples are not paired in full. Without `shuffle` it is a
+    single join with one text per class.
     """
     if not 0 <= k <= MAX_SHOTS:
         raise ValueError(f"only 0 to {MAX_SHOTS} shots")
@@ -183,23 +182,21 @@ def with_few_shot(
         raise ValueError("the combined set has 0 or 2 shots")
     if k == 0:
         return df.withColumn(name, F.lit(""))
-    if shuffle:
-        placed = dense_position(examples, "id", seed, "_at", by)
-    else:
+    if not shuffle:
         # The limit on the rank is applied before and after the shuffle.
         rank = F.row_number().over(Window.partitionBy(by).orderBy("id"))
         first = examples.withColumn("_rank", rank).filter(F.col("_rank") <= k)
-        placed = first.withColumn("_at", F.col("_rank") - 1)
+        shots = F.sort_array(F.collect_list(F.struct("_rank", "text")))
+        per_class = first.groupBy(by).agg(shots.alias("_shots")).select(by, F.array_join("_shots.text", "").alias("_prefix"))
+        joined = lookup_join(df, per_class, by, "left")
+        return joined.withColumn(name, F.coalesce("_prefix", F.lit(""))).drop("_prefix")
+    placed = dense_position(examples, "id", seed, "_at", by)
     sizes = examples.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    small = is_small(examples, BROADCAST_EXAMPLES)
-    drawn = lookup_join(df, sizes, by, key, "left", small=small)
+    drawn = lookup_join(df, sizes, by, "left")
     for i in range(k):
         left_over = F.col("_size") - i
-        if shuffle:
-            number = F.conv(F.substring(order_key(seed, key, F.lit(i)), 1, 8), 16, 10)
-            place = number.cast("bigint") % F.when(left_over > 0, left_over)
-        else:
-            place = F.when(left_over > 0, F.lit(0).cast("bigint"))
+        number = F.conv(F.substring(order_key(seed, key, F.lit(i)), 1, 8), 16, 10)
+        place = number.cast("bigint") % F.when(left_over > 0, left_over)
         # `place` counts among the left-over examples: step over those already drawn.
         for taken in range(i):
             lower = F.sort_array(F.array(*[F.col(f"_draw{j}") for j in range(i)]))[taken]
@@ -209,7 +206,7 @@ def with_few_shot(
         shot = placed.select(
             by, F.col("_at").cast("bigint").alias(f"_draw{i}"), F.col("text").alias(f"_shot{i}")
         )
-        drawn = lookup_join(drawn, shot, [by, f"_draw{i}"], key, "left", small=small)
+        drawn = lookup_join(drawn, shot, [by, f"_draw{i}"], "left")
     prefix = F.concat(*[F.coalesce(f"_shot{i}", F.lit("")) for i in range(k)])
     spare = [f"_{part}{i}" for i in range(k) for part in ("draw", "shot")]
     return drawn.withColumn(name, prefix).drop("_size", *spare)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import indexes, let
-from quillmesh.functions.joins import salted_join
+from quillmesh.functions.joins import one_per_key, salted_join
 from quillmesh.functions.text import as_column
 
 # Stop words of a completion, the failure mark, closeness of numbers.
@@ -49,9 +49,14 @@ def perplexity(df: DataFrame, logprobs: str, name: str = "perplexity") -> DataFr
 
 
 def close(pred: Column, answer: Column, precision: float = PRECISION) -> Column:
-    """Equal up to a share of the larger of the two magnitudes."""
-    gap = F.abs(pred - answer)
-    return (pred == answer) | (gap <= precision * F.greatest(F.abs(pred), F.abs(answer)))
+    """Equal up to a share of the larger of the two magnitudes.
+
+    NaN is close to nothing, an infinity to itself only.
+    """
+    pred, answer = pred.cast("double"), answer.cast("double")
+    most = F.greatest(F.abs(pred), F.abs(answer))
+    near = F.abs(pred - answer) <= precision * most
+    return F.when(F.isnan(most), False).when(most == float("inf"), pred == answer).otherwise((pred == answer) | near)
 
 
 def is_correct(
@@ -116,9 +121,12 @@ def label_metrics(rates: DataFrame, by: list[str] | None = None) -> DataFrame:
 def backfill_labels(
     df: DataFrame, results: DataFrame, key: str, value: str = "robustness", time: str = "time"
 ) -> DataFrame:
-    """Take value and time from `results` for the rows that have no value yet."""
+    """Take value and time from `results` for the rows that have no value yet.
+
+    Two results for one key are an error.
+    """
     found = results.select(key, F.col(value).alias("_value"), F.col(time).alias("_time"))
-    joined = df.join(found, key, "left")
+    joined = df.join(one_per_key(found, key, "results"), key, "left")
     own_time = F.col(time) if time in df.columns else F.lit(None)
     return (
         joined.withColumn(time, F.when(F.col(value).isNull(), F.col("_time")).otherwise(own_time))
@@ -150,26 +158,32 @@ def outcome_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def metric_cells(df: DataFrame, max_shots: int = 3, strict: bool = True) -> DataFrame:
+def metric_cells(df: DataFrame, max_shots: int | None = None, strict: bool = True) -> DataFrame:
     """`method, metric, shots, dataset, n, cell`: `mean (std)` over the seeds of a run.
 
+    There is a row for each number of shots from 0 to `max_shots`, or to the largest there
+    is; a score beyond `max_shots`, or without a number of shots, is an error.
     A dataset without any score of a metric has no column; an empty cell is `n/a`.
     Datasets with unequal numbers of scores for one number of shots are an error.
     """
     names = ["method", "metric", "dataset"]
+    given = F.col("shots")
+    wrong = given.isNull() | (given < 0)
+    if max_shots is not None:
+        wrong = wrong | (given > max_shots)
+    message = F.concat(F.lit("a score with unexpected shots: "), F.coalesce(given.cast("string"), F.lit("NULL")))
+    counted = df.filter(F.col("value").isNotNull()).withColumn(
+        "shots", F.when(wrong, F.raise_error(message).cast("int")).otherwise(given.cast("int"))
+    )
     scored = (
-        df.filter(F.col("shots").between(0, max_shots) & F.col("value").isNotNull())
-        .groupBy(*names, "shots")
+        counted.groupBy(*names, "shots")
         .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     )
-    rows = scored.select(*names).distinct().withColumn(
-        "shots", F.explode(F.sequence(F.lit(0), F.lit(max_shots)))
-    )
+    most = F.lit(max_shots) if max_shots is not None else scored.agg(F.max("shots")).scalar()
+    rows = scored.select(*names).distinct().withColumn("shots", F.explode(F.sequence(F.lit(0), most)))
     number = lambda c: F.when(c.isNull(), "nan").otherwise(F.format_string("%.4f", c))
     text = F.concat(number(F.col("mean")), F.lit(" ("), number(F.col("std")), F.lit(")"))
-    cells = rows.join(
-        scored.withColumn("shots", F.col("shots").cast("int")), [*names, "shots"], "left"
-    ).withColumn("n", F.coalesce("n", F.lit(0)))
+    cells = rows.join(scored, [*names, "shots"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     cells = cells.withColumn("cell", F.when(F.col("n") > 0, text).otherwise("n/a"))
     if strict:
         # One row per dataset of a report, not per score.
@@ -184,10 +198,17 @@ def metric_cells(df: DataFrame, max_shots: int = 3, strict: bool = True) -> Data
 
 
 def metric_report(
-    df: DataFrame, datasets: list[str] | None = None, max_shots: int = 3, strict: bool = True
+    df: DataFrame, datasets: list[str] | None = None, max_shots: int | None = None, strict: bool = True
 ) -> DataFrame:
-    """The cells as a table: one row per method, metric and shots, one column per dataset."""
+    """The cells as a table: one row per method, metric and shots, one column per dataset.
+
+    A dataset that a given list lacks is an error.
+    """
     cells = metric_cells(df, max_shots, strict)
+    if datasets is not None:
+        unlisted = F.raise_error(F.concat(F.lit("a dataset that is not listed: "), F.coalesce("dataset", F.lit("NULL"))))
+        listed = F.coalesce(F.col("dataset").isin(datasets), F.lit(False))
+        cells = cells.withColumn("dataset", F.when(listed, F.col("dataset")).otherwise(unlisted.cast("string")))
     table = cells.groupBy("method", "metric", "shots").pivot("dataset", datasets).agg(F.first("cell"))
     return table.na.fill("n/a")
 

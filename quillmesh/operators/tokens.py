@@ -15,8 +15,6 @@ IGNORE = -100
 FIRST_ID = 10
 VOCAB_SIZE = 32000
 PIECE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
-# A vocabulary up to this many rows is broadcast, a larger one is joined with salting.
-BROADCAST_VOCAB_ROWS = 500_000
 
 _NO_IDS = "array<bigint>"
 
@@ -41,8 +39,8 @@ def encode_with_vocab(
 ) -> DataFrame:
     """Ids from a (`piece`, `id`) table; pieces it lacks become UNKNOWN.
 
-    The table is broadcast only when a count shows it to be small. Otherwise frequent
-    pieces are cut into parts, because one word may make up a third of all text.
+    Whether the table is broadcast is decided when its bytes are known; otherwise the
+    partitions of frequent pieces are split, because one word may make up a third of all text.
 
     Texts are dealt out by key before they are split: with a broadcast vocabulary the
     pieces then stay where they are until their ids are gathered.
@@ -50,7 +48,7 @@ def encode_with_vocab(
     texts = df.select(key, F.col(text).alias("_text")).repartition(key)
     located = texts.select(key, F.posexplode(pieces("_text")).alias("_pos", "_piece"))
     words = vocab.select(F.col("piece").alias("_piece"), F.col("id").cast("bigint").alias("_id"))
-    found = lookup_join(located, words, "_piece", key, "left", BROADCAST_VOCAB_ROWS)
+    found = lookup_join(located, words, "_piece", "left")
     placed = F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN).cast("bigint")).alias("_id"))
     per_row = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
     encoded = F.coalesce(F.col("_ids._id"), F.array().cast(_NO_IDS))

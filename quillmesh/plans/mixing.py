@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.operators import mixing
+from quillmesh.operators.lineage import with_lineage
 from quillmesh.plans import sql as q
 from quillmesh.plans.catalog import query, table
+from quillmesh.sources.corpus import output_clashes
 
 SEED = mixing.SHUFFLE_SEED
 WEIGHTS = {"en": 0.25, "de": 0.25, "fr": 0.375, "es": 0.125}
@@ -28,6 +30,21 @@ weights AS (
 KEPT = "doc_id, lang, n_chars"
 
 
+@query(
+    "output_clashes",
+    """SELECT 'tokenized_' || source || '_part' AS output_name, min('/' || lang || '/' || source || '/part.jsonl') AS first_input,
+              max('/' || lang || '/' || source || '/part.jsonl') AS last_input
+       FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1""",
+)
+def output_clashes_query(spark, sf_dir):
+    """Documents as rows of files `/<lang>/<source>/part.jsonl`: one output per source."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", F.lit(""), "lang", "source", F.lit("part.jsonl")).alias("path"), "source"
+    )
+    named = with_lineage(docs, "source", F.lit("part.jsonl"), strict=False)
+    return output_clashes(named, "output_name", "path")
+
+
 @query(
     "seeded_shuffle",
     f"""SELECT doc_id, lang, row_number() OVER (ORDER BY {q.shuffled('doc_id', SEED)}) - 1 AS position

@@ -10,6 +10,8 @@ from quillmesh.operators import scores, tokens
 from quillmesh.plans import sql as q
 from quillmesh.plans.catalog import query, table
 from quillmesh.plans.tokens import PAIRS_SQL, turn_pairs
+from quillmesh.sources.examples import ordered_examples, standard_examples
+from quillmesh.sources.runs import metrics_from_text
 
 
 @query(
@@ -62,15 +64,21 @@ def perplexity(spark, sf_dir):
     "is_correct",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
          CASE WHEN l_returnflag <> 'N' AND l_suppkey % 5 <> 0 THEN
-                abs(p - a) <= 0.001 * greatest(abs(p), abs(a))
+                CASE WHEN l_linenumber = 6 THEN false WHEN l_linenumber = 7 THEN l_suppkey % 2 = 0
+                     ELSE abs(p - a) <= 0.001 * greatest(abs(p), abs(a)) END
               WHEN l_suppkey % 5 = 0 THEN true ELSE false END AS correct
        FROM (SELECT *, l_extendedprice * (1 + l_tax / 100) AS p, l_extendedprice AS a FROM lineitem)""",
 )
 def is_correct(spark, sf_dir):
+    """Prices with a small error; line 6 has NaN on one side or both, line 7 an infinity."""
+    price, line, even = F.col("l_extendedprice"), F.col("l_linenumber"), F.col("l_suppkey") % 2 == 0
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    pred = F.when(line == 6, nan).when(line == 7, inf).otherwise(price * (1 + F.col("l_tax") / 100))
+    answer = F.when((line == 6) & even, nan).when((line == 7) & even, inf).otherwise(price)
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice") * (1 + F.col("l_tax") / 100)).alias("pred"),
-        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_extendedprice")).alias("answer"),
+        F.when(F.col("l_returnflag") != "N", pred).alias("pred"),
+        F.when(F.col("l_suppkey") % 5 != 0, answer).alias("answer"),
         F.when(F.col("l_returnflag") == "N", "failed").alias("pred_status"),
         F.when(F.col("l_suppkey") % 5 == 0, "timeout").alias("answer_status"),
     )
@@ -167,21 +175,21 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def run_scores(spark, sf_dir) -> DataFrame:
-    """One score per run: event type = dataset, event id gives shots and seed."""
+    """One score per run: event type = dataset, event id gives shots (0, 1 or 3) and seed."""
     events = table(spark, sf_dir, "events")
     runs = events.groupBy(
         F.col("event_type").alias("dataset"),
-        (F.col("event_id") % 4).cast("int").alias("shots"),
+        F.greatest(F.col("event_id") % 4, F.when(F.col("event_id") % 4 > 1, 3)).cast("int").alias("shots"),
         (F.floor(F.col("event_id") / 4) % 5).cast("int").alias("seed"),
     ).agg(F.avg("value").alias("value"))
-    return runs.filter("shots <> 2").select(
+    return runs.select(
         F.lit("to_STL").alias("method"), F.lit("iou").alias("metric"), "dataset", "shots", "value"
     )
 
 
 REPORT_SQL = """
-runs AS (SELECT event_type AS dataset, event_id % 4 AS shots, (event_id // 4) % 5 AS seed, avg(value) AS value
-         FROM events WHERE event_id % 4 <> 2 GROUP BY 1, 2, 3),
+runs AS (SELECT event_type AS dataset, CASE WHEN event_id % 4 > 1 THEN 3 ELSE event_id % 4 END AS shots,
+                (event_id // 4) % 5 AS seed, avg(value) AS value FROM events GROUP BY 1, 2, 3),
 scored AS (SELECT dataset, shots, count(*) AS n,
                   printf('%.4f (%.4f)', avg(value), stddev_samp(value)) AS cell FROM runs GROUP BY 1, 2),
 cells AS (SELECT 'to_STL' AS method, 'iou' AS metric, s.shots, d.dataset, coalesce(n, 0) AS n, coalesce(cell, 'n/a') AS cell
@@ -189,6 +197,41 @@ cells AS (SELECT 'to_STL' AS method, 'iou' AS metric, s.shots, d.dataset, coales
           LEFT JOIN scored USING (dataset, shots))"""
 
 
+@query(
+    "metrics_from_text",
+    """SELECT event_type AS dataset, (event_id % 5)::INTEGER AS shots, (event_id % 3)::INTEGER AS seed, 'to_STL' AS method,
+              m.metric AS metric, m.value AS value
+       FROM events, LATERAL (SELECT unnest(['iou', 'edit distance']) AS metric, unnest([round(events.value, 3), event_id::DOUBLE]) AS value) m""",
+)
+def metrics_from_text_query(spark, sf_dir):
+    """Each event as the metrics file of a run, with a text among its numbers."""
+    event, number = F.col("event_id"), F.round("value", 3)
+    files = table(spark, sf_dir, "events").select(
+        F.concat(
+            F.lit("/runs/"), "event_type", F.lit("_shots="), (event % 5).cast("string"), F.lit("_seed="),
+            (event % 3).cast("string"), F.lit("/to_STL/metrics.json"),
+        ).alias("path"),
+        F.to_json(F.create_map(
+            F.lit("iou"), number.cast("string"), F.lit("edit distance"), event.cast("string"), F.lit("note"), F.lit("timeout")
+        )).alias("value"),
+    )
+    return metrics_from_text(files)
+
+
+@query(
+    "standard_examples",
+    f"""WITH {PAIRS_SQL} SELECT row_id, nl AS question, nl, {q.strip('python')} AS python, python AS answer, 'f ' || turn AS formula,
+              'f ' || turn AS sstl FROM pairs""",
+)
+def standard_examples_query(spark, sf_dir):
+    rows = turn_pairs(spark, sf_dir).select(
+        "row_id", F.col("nl").alias("question"), F.col("python").alias("answer"),
+        F.concat(F.lit("f "), F.col("turn").cast("string")).alias("formula"),
+    )
+    keys = {"nl": "question", "python": "answer", "sstl": "formula"}
+    return ordered_examples(standard_examples(rows, keys))
+
+
 @query(
     "metric_cells",
     f"WITH {REPORT_SQL} SELECT method, metric, shots::BIGINT AS shots, dataset, n, cell FROM cells",

@@ -49,18 +49,24 @@ LABEL_SQL = f"{q.strip('python')} || {q.text(prompts.CLOSE)}"
 def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a good and a bad document of one source.
 
-    Documents of quality 1 and 0 meet on (source, place among their like), so each has one
-    partner at most; the anchor names language and source.
+    Every labelled document of a source that has both kinds is in a pair: those of the
+    smaller kind, in seeded order, are handed out again and again to those of the larger.
+    The anchor names language and source.
     """
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    good = dense_position(docs.filter("quality = 1"), "doc_id", SEED, "place", "source").select(
-        "source", "place", F.col("doc_id").alias("w_id"), F.col("text").alias("w_sstl"), "lang"
+    kinds = docs.groupBy("source").agg(
+        F.count(F.when(F.col("quality") == 1, 1)).alias("_good"), F.count(F.when(F.col("quality") == 0, 1)).alias("_bad")
     )
-    bad = dense_position(docs.filter("quality = 0"), "doc_id", SEED, "place", "source").select(
-        "source", "place", F.col("doc_id").alias("l_id"), F.col("text").alias("l_sstl")
-    )
-    return good.join(bad, ["source", "place"]).withColumn(
-        "anchor", F.concat_ws(" ", "lang", "source")
+    fewer = kinds.select("source", F.least("_good", "_bad").alias("_fewer")).filter("_fewer > 0")
+
+    def placed(quality: int) -> DataFrame:
+        rows = dense_position(docs.filter(F.col("quality") == quality), "doc_id", SEED, "place", "source")
+        return rows.join(fewer, "source").withColumn("place", F.col("place") % F.col("_fewer"))
+
+    good = placed(1).select("source", "place", F.col("doc_id").alias("w_id"), F.col("text").alias("w_sstl"), "lang")
+    bad = placed(0).select("source", "place", F.col("doc_id").alias("l_id"), F.col("text").alias("l_sstl"))
+    return good.join(bad, ["source", "place"]).withColumns(
+        {"anchor": F.concat_ws(" ", "lang", "source"), "pair_id": F.concat_ws("-", "w_id", "l_id")}
     )
 
 
@@ -69,11 +75,13 @@ labelled AS (
   SELECT d.*, l.quality,
          row_number() OVER (PARTITION BY quality, source ORDER BY {q.shuffled('doc_id', SEED)}) - 1 AS place
   FROM documents d JOIN labels l USING (doc_id)),
+fewer AS (
+  SELECT source, least(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0)) AS n FROM labelled GROUP BY source),
 preferences AS (
   SELECT w.doc_id AS w_id, l.doc_id AS l_id, w.lang || ' ' || w.source AS anchor,
-         w.text AS w_sstl, l.text AS l_sstl
-  FROM labelled w JOIN labelled l USING (source, place)
-  WHERE w.quality = 1 AND l.quality = 0)"""
+         w.text AS w_sstl, l.text AS l_sstl, w.doc_id::VARCHAR || '-' || l.doc_id::VARCHAR AS pair_id
+  FROM labelled w JOIN fewer USING (source) JOIN labelled l USING (source)
+  WHERE w.quality = 1 AND l.quality = 0 AND n > 0 AND w.place % n = l.place % n)"""
 
 DPO_PROMPT_SQL = (
     f"{q.text('### Instruction:' + chr(10) + DPO + chr(10) * 2 + '### Input:' + chr(10))} || "
@@ -165,8 +173,8 @@ sft AS (
         SELECT row_id, {q.joined('input_ids')} AS input_ids, {q.joined('labels')} AS labels FROM sft""",
 )
 def sft_mask(spark, sf_dir):
-    cut = tokens.truncate(sft_rows(spark, sf_dir), 4096)
-    return cut.select("row_id", joined(F.col("input_ids")).alias("input_ids"), joined(F.col("labels")).alias("labels"))
+    masked = sft_rows(spark, sf_dir)
+    return masked.select("row_id", joined(F.col("input_ids")).alias("input_ids"), joined(F.col("labels")).alias("labels"))
 
 
 @query(
@@ -286,12 +294,12 @@ def collate_batches(spark, sf_dir):
 @query(
     "collate_preference",
     f"""WITH {PREFERENCES_SQL},
-        encoded AS (SELECT w_id, l_id,
+        encoded AS (SELECT w_id, l_id, pair_id,
           {q.encode(DPO_PROMPT_SQL)} AS prompt_input_ids,
           list_concat({q.encode(q.strip('w_sstl') + ' || ' + q.text(prompts.CLOSE))}, [2::BIGINT]) AS chosen_input_ids,
           list_concat({q.encode(q.strip('l_sstl') + ' || ' + q.text(prompts.CLOSE))}, [2::BIGINT]) AS rejected_input_ids
           FROM preferences),
-        batched AS (SELECT *, (row_number() OVER (ORDER BY {q.shuffled('w_id', SEED)}) - 1) // {BATCH} AS batch FROM encoded),
+        batched AS (SELECT *, (row_number() OVER (ORDER BY {q.shuffled('pair_id', SEED)}) - 1) // {BATCH} AS batch FROM encoded),
         sized AS (SELECT *, max(len(prompt_input_ids)) OVER (PARTITION BY batch) AS p,
                   max(len(chosen_input_ids)) OVER (PARTITION BY batch) AS c,
                   max(len(rejected_input_ids)) OVER (PARTITION BY batch) AS r FROM batched)
@@ -304,8 +312,8 @@ def collate_batches(spark, sf_dir):
         FROM sized""",
 )
 def collate_preference(spark, sf_dir):
-    built = prompts.build_preference(preference_rows(spark, sf_dir), keep=("w_id", "l_id"))
-    batches = tokens.collate_preference(tokens.encode_preference(built), "w_id", BATCH, SEED)
+    built = prompts.build_preference(preference_rows(spark, sf_dir), keep=("w_id", "l_id", "pair_id"))
+    batches = tokens.collate_preference(tokens.encode_preference(built), "pair_id", BATCH, SEED)
     names = ("prompt", "chosen", "rejected")
     return batches.select(
         "batch", "w_id", "l_id",

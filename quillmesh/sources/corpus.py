@@ -22,7 +22,7 @@ def read_corpus(
     known extension, each in its own format, and needs a schema. Markdown files and files
     with `description` before the first dot of their name are left out. `one_document` is
     for `json` files that hold one list instead of a record per line. `source_dir` and
-    `source_file` tell where a row is from. `row_ids` (Parquet only) adds `row_id`, file
+    `source_file` tell where a row is from, `source_path` is the whole path. `row_ids` (Parquet only) adds `row_id`, file
     and place in the file, for rows that have no key of their own.
     """
     if row_ids and fmt != "parquet":
@@ -54,7 +54,8 @@ def read_corpus(
         return data_files
     path = F.split(F.col("_metadata.file_path"), "/")
     return data_files.select(
-        "*", F.element_at(path, -2).alias("source_dir"), F.element_at(path, -1).alias("source_file")
+        "*", F.element_at(path, -2).alias("source_dir"), F.element_at(path, -1).alias("source_file"),
+        F.col("_metadata.file_path").alias("source_path"),
     )
 
 
@@ -71,6 +72,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(4 * cores, key)
 
 
+def output_clashes(df: DataFrame, output: str, path: str) -> DataFrame:
+    """Outputs that two inputs or more would be written to, with the least and the greatest
+    of their paths. `path` must tell inputs apart: the whole path."""
+    return (
+        df.groupBy(output)
+        .agg(F.min(path).alias("first_input"), F.max(path).alias("last_input"))
+        .filter(F.col("first_input") != F.col("last_input"))
+        .select(output, "first_input", "last_input")
+    )
+
+
 def write_corpus(
     df: DataFrame, path: str, partition_by: str | None = "source", expect_unique: str | None = None
 ) -> None:
@@ -80,14 +92,11 @@ def write_corpus(
     are an error: the second would take the place of the first.
     """
     if expect_unique and partition_by:
-        clashes = (
-            df.groupBy(partition_by)
-            .agg(F.min(expect_unique).alias("_least"), F.max(expect_unique).alias("_most"))
-            .filter(F.col("_least") != F.col("_most"))
-        )
-        clash = clashes.first()
+        clash = output_clashes(df, partition_by, expect_unique).first()
         if clash is not None:
-            raise ValueError(f"output {clash[partition_by]} is made from two inputs")
+            raise ValueError(
+                f"output {clash[partition_by]} is made from two inputs: {clash.first_input}, {clash.last_input}"
+            )
     if _exists(df.sparkSession, path):
         warnings.warn(f"{path} already exists and is replaced", stacklevel=2)
     writer = df.write.mode("overwrite")

@@ -37,7 +37,8 @@ def read_run_metrics(
     spark: SparkSession, root: str, subset: int | None = None, seeds: list[int] | None = None,
     methods: tuple[str, ...] | None = None, metrics: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """`dataset, shots, seed, method, metric, value`, one row per number in a metrics file.
+    """`dataset, shots, seed, method, metric, value`, one row per number in a metrics file
+    (see `metrics_from_text`).
 
     Files are `<root>/<dataset>_shots=N_seed=M/<method>/metrics[.<subset>].json`; runs
     without a file and metrics without a number simply have no row. `seeds`, `methods`
@@ -50,6 +51,14 @@ def read_run_metrics(
         .text(root, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
+    return metrics_from_text(files, seeds, methods, metrics)
+
+
+def metrics_from_text(
+    files: DataFrame, seeds: list[int] | None = None, methods: tuple[str, ...] | None = None,
+    metrics: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """The numbers in metrics files, given as `path` and text (`value`, one JSON object)."""
     part = lambda i: F.regexp_extract("path", RUN_PATH, i)
     runs = files.filter(F.regexp_like("path", F.lit(RUN_PATH))).select(
         part(1).alias("dataset"),
@@ -68,3 +77,21 @@ def read_run_metrics(
         if kept is not None:
             values = values.filter(F.col(column).isin(list(kept)))
     return values
+
+
+def write_run_metrics(metrics: DataFrame, root: str, subset: int | None = None) -> int:
+    """Write `dataset, shots, seed, method, metric, value` as `read_run_metrics` reads it:
+    one object per run. Returns the number of files, of which there is one per run."""
+    name = "metrics.json" if subset is None or subset < 0 else f"metrics.{subset}.json"
+    spark = metrics.sparkSession
+    values = F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value"))))
+    runs = metrics.groupBy("dataset", "shots", "seed", "method").agg(F.to_json(values).alias("text"))
+    count = 0
+    for run in runs.toLocalIterator():
+        folder = f"{root.rstrip('/')}/{run.dataset}_shots={run.shots}_seed={run.seed}/{run.method}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(run.text.encode()))
+        out.close()
+        count += 1
+    return count

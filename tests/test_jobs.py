@@ -49,7 +49,7 @@ def test_label(spark, tmp_path):
     main(["label", "--examples", str(tmp_path / "test.jsonl"), "--results", str(tmp_path / "results.jsonl"), "--out", str(tmp_path / "out")], spark)
     got = {r.nl: (r.robustness, r.time) for r in spark.read.json(str(tmp_path / "out" / "examples")).collect()}
     assert got == {"a": (2.0, None), "b": (-1.0, 3.5)}
-    metrics = {r.metric: r.value for r in spark.read.json(str(tmp_path / "out" / "metrics")).collect()}
+    metrics = json.loads((tmp_path / "out" / "test_shots=0_seed=-1" / "gt" / "metrics.json").read_text())
     assert metrics == {"n_samples": 2, "gt positive robustness rate": 0.5, "gt negative robustness rate": 0.5, "gt failed robustness rate": 0}
 
 
@@ -61,3 +61,30 @@ def test_report(spark, tmp_path):
     main(["report", "--runs", str(tmp_path / "runs"), "--seeds", "0", "1", "--out", str(tmp_path / "out")], spark)
     text = "".join(p.read_text() for p in (tmp_path / "out" / "method=to_STL").glob("*.txt"))
     assert text.startswith("## Metric: iou\n\n| shots | heat |\n") and "|   2   | 0.6000 (0.1414) |" in text
+
+
+FORMULA = r"G_[[0.2, 0.6]] (\forall x \in [10, 30] (u(x) - (1 \cdot x + 2) < 0))"
+
+
+def test_from_completions_to_a_report(spark, tmp_path):
+    rows = [
+        {"id": i, "nl": "t", "sstl": FORMULA, "python": "x = 1", "completion": f"Formula:\n```latex\n{FORMULA}\n```\nPython:\n```python\nx = {i}\n```\n"}
+        for i in (1, 2)
+    ]
+    for seed in (0, 1):
+        lines(tmp_path / f"completions{seed}.jsonl", rows)
+        main(["score", "--completions", str(tmp_path / f"completions{seed}.jsonl"), "--key", "id", "--task", "cot", "--dataset", "heat",
+              "--shots", "2", "--seed", str(seed), "--method", "to_python", "--out", str(tmp_path / "runs")], spark)
+    metrics = json.loads((tmp_path / "runs" / "heat_shots=2_seed=1" / "to_python" / "metrics.json").read_text())
+    assert metrics["n_samples"] == 2 and metrics["edit distance"] == 0.5 and metrics["iou"] == 1
+    main(["report", "--runs", str(tmp_path / "runs"), "--seeds", "0", "1", "--methods", "to_python", "--out", str(tmp_path / "out")], spark)
+    text = "".join(p.read_text() for p in (tmp_path / "out" / "method=to_python").glob("*.txt"))
+    assert "## Metric: edit distance" in text and "|   2   | 0.5000 (0.0000) |" in text
+
+
+def test_two_folders_of_one_name(spark, tmp_path):
+    for parent in ("a", "b"):
+        lines(tmp_path / parent / "heat_train" / "d.jsonl", [{"nl": parent, "sstl": "f", "python": "x"}])
+    folders = [str(tmp_path / p / "heat_train") for p in ("a", "b")]
+    with pytest.raises(ValueError, match="made from two inputs"):
+        main(["prepare", "--paths", *folders, "--out", str(tmp_path / "out"), "--format", "to_STL"], spark)

@@ -56,9 +56,24 @@ def test_operators_on_hot_keys(spark, rows, small_shares):
     assert sum(len(r.scores) for r in maps) == 3000 and max(len(r.scores) for r in maps) < 120
 
 
-def test_lookup_with_and_without_broadcast(spark, rows, small_shares, monkeypatch):
+def test_lookup_with_and_without_broadcast(spark, rows):
     shots = spark.range(6).select(F.lit("hot").alias("k"), "id", F.concat(F.lit("e"), F.col("id").cast("string")).alias("text"))
     wide = prompts.with_few_shot(rows, shots, 3, "k", "id", shuffle=True)
-    monkeypatch.setattr(prompts, "BROADCAST_EXAMPLES", 1)
-    salted = prompts.with_few_shot(rows, shots, 3, "k", "id", shuffle=True)
-    assert Counter(map(str, wide.select("id", "few_shot").collect())) == Counter(map(str, salted.select("id", "few_shot").collect()))
+    found = Counter(map(str, wide.select("id", "few_shot").collect()))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sorted_ = prompts.with_few_shot(rows, shots, 3, "k", "id", shuffle=True)
+        assert found == Counter(map(str, sorted_.select("id", "few_shot").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, rows):
+    shots = spark.range(6).select(F.lit("hot").alias("k"), "id", F.lit("e").alias("text"))
+    spark.sparkContext.setJobGroup("building", "")
+    prompts.with_few_shot(rows, shots, 3, "k", "id", shuffle=True)
+    prompts.with_few_shot(rows, shots, 3, "k", "id")
+    tracker = spark.sparkContext.statusTracker()
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("", "")

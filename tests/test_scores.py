@@ -70,12 +70,14 @@ def runs(spark, rows):
 
 
 def test_report(spark):
-    rows = [("heat", 0, 0.5), ("heat", 0, 0.7), ("wave", 0, 0.1), ("wave", 0, 0.2), ("heat", 2, 0.25), ("wave", 2, 1.0), ("heat", 9, 1.0), ("none", 1, None)]
+    rows = [("heat", 0, 0.5), ("heat", 0, 0.7), ("wave", 0, 0.1), ("wave", 0, 0.2), ("heat", 2, 0.25), ("wave", 2, 1.0), ("none", 1, None)]
     report = {r.shots: r for r in scores.metric_report(runs(spark, rows)).collect()}
-    assert sorted(report) == [0, 1, 2, 3] and not hasattr(report[0], "none")
+    assert sorted(report) == [0, 1, 2] and not hasattr(report[0], "none")
     assert report[0].heat == f"0.6000 ({statistics.stdev([0.5, 0.7]):.4f})"
-    assert report[2].heat == "0.2500 (nan)" and report[1].heat == "n/a" and report[3].wave == "n/a"
-    text = scores.report_lines(scores.metric_cells(runs(spark, rows), max_shots=0)).first().text
+    assert report[2].heat == "0.2500 (nan)" and report[1].heat == "n/a"
+    wide = scores.metric_report(runs(spark, rows), ["heat", "wave"], max_shots=3)
+    assert wide.filter("shots = 3").first().wave == "n/a"
+    text = scores.report_lines(scores.metric_cells(runs(spark, rows[:4]))).first().text
     assert text == (
         "## Metric: iou\n\n| shots | heat | wave |\n|-------|------------|------------|\n"
         f"|   0   | {report[0].heat} | {report[0].wave} |\n\n\n"
@@ -86,7 +88,33 @@ def test_unequal_numbers_of_scores(spark):
     rows = [("heat", 0, 0.5), ("heat", 0, 0.7), ("wave", 0, 0.1)]
     with pytest.raises(Exception, match="unequal numbers of scores"):
         scores.metric_report(runs(spark, rows)).collect()
-    assert scores.metric_report(runs(spark, rows), strict=False).count() == 4
+    assert scores.metric_report(runs(spark, rows), strict=False).count() == 1
+
+
+def test_nothing_is_left_out_of_a_report(spark):
+    rows = [("heat", s, float(s)) for s in range(6)]
+    assert {r.shots for r in scores.metric_report(runs(spark, rows)).collect()} == set(range(6))
+    with pytest.raises(Exception, match="unexpected shots: 4"):
+        scores.metric_cells(runs(spark, rows[:5]), max_shots=3).collect()
+    with pytest.raises(Exception, match="unexpected shots: NULL"):
+        scores.metric_cells(runs(spark, [("heat", None, 1.0)])).collect()
+    with pytest.raises(Exception, match="not listed: heat"):
+        scores.metric_report(runs(spark, rows), ["wave"]).collect()
+
+
+def test_marks_of_odd_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(nan, 1.0), (1.0, nan), (nan, nan), (inf, 1.0), (1.0, -inf), (inf, inf), (-inf, inf), (0.0, 0.0), (1.0, 1.0005), (1.0, 1.01)]
+    df = spark.createDataFrame(rows, "p double, a double")
+    got = [r.correct for r in scores.is_correct(df, "p", "a").collect()]
+    assert got == [False, False, False, False, False, True, False, True, True, False]
+
+
+def test_repeated_results_are_an_error(spark):
+    df = spark.createDataFrame([(1, None)], "id long, robustness double")
+    results = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 2.0)], "id long, robustness double, time double")
+    with pytest.raises(Exception, match="results repeats a key: 1"):
+        scores.backfill_labels(df, results, "id").collect()
 
 
 def test_flat_metrics(spark):

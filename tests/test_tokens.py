@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.ordering import dense_position
 from quillmesh.operators import prompts, tokens
+from quillmesh.plans.tokens import preference_rows
 from quillmesh.operators.tokens import BOS, EOS, IGNORE, PAD
 
 
@@ -119,13 +120,28 @@ def test_collate_pads_to_the_longest_of_each_batch(spark):
         assert all(sum(r.attention_mask) == r.id % 5 + 1 for r in rows_)
 
 
-def test_vocab_join_with_and_without_broadcast(spark, monkeypatch):
+def test_vocab_join(spark):
     docs = spark.createDataFrame([(1, "a b a zz"), (2, "")], "id long, text string")
     vocab = spark.createDataFrame([("a", 20), ("b", 21)], "piece string, id long")
-    for limit in (10, 1):
-        monkeypatch.setattr(tokens, "BROADCAST_VOCAB_ROWS", limit)
-        got = {r.id: r.input_ids for r in tokens.encode_with_vocab(docs, "id", "text", vocab).collect()}
-        assert got == {1: [20, 21, 20, 3], 2: []}
+    got = {r.id: r.input_ids for r in tokens.encode_with_vocab(docs, "id", "text", vocab).collect()}
+    assert got == {1: [20, 21, 20, 3], 2: []}
+
+
+def test_every_labelled_document_is_in_a_pair(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    kinds = {}
+    for r in docs.collect():
+        kinds.setdefault(r.source, {0: set(), 1: set()})[r.quality].add(r.doc_id)
+    wanted = {d for k in kinds.values() if k[0] and k[1] for d in k[0] | k[1]}
+    pairs = preference_rows(spark, sf_dir).collect()
+    assert {r.w_id for r in pairs} | {r.l_id for r in pairs} == wanted
+    assert len(pairs) == sum(max(len(k[0]), len(k[1])) for k in kinds.values() if k[0] and k[1])
+
+
+def test_masks_of_long_rows_are_whole(spark):
+    built = spark.createDataFrame([("a " * 5000, "b " * 500)], "text string, labels string")
+    row = tokens.encode_sft(built).first()
+    assert len(row.input_ids) == len(row.labels) == 5502 and row.labels.count(-100) == 5001
 
 
 def test_dense_positions_are_a_permutation_also_per_group(spark):
