@@ -199,7 +199,7 @@ def clause_truth(spark, sf_dir):
         FROM part LEFT JOIN formula ON pair_id = p_partkey GROUP BY p_partkey""",
 )
 def combine_clauses(spark, sf_dir):
-    pairs = logic.read_pair(formula_pairs(spark, sf_dir).repartition(32, "pair_id"), "sstl", "predicted_sstl")
+    pairs = logic.read_pair(formula_pairs(spark, sf_dir).repartition("pair_id"), "sstl", "predicted_sstl")
     slopes = indexes(F.lit(SMALL.m_steps))
     cells = lambda prefix: let(
         logic.formula(prefix),
