@@ -2,21 +2,23 @@
 
 The sketch of a set has one bit for each possible shingle, cut into p pieces; each shingle
 flips its bit. The Hamming distance of two sketches is at most the size of the symmetric
-difference D of the sets (here even equal to it, but for hash collisions), and so is the
-number of pieces that differ. A piece is kept as the XOR of the hashes of its shingles. Sets
+difference D of the sets, and so is the number of pieces that differ. A piece is kept as the XOR of the hashes of its shingles. Sets
 of similarity 3/4 or more have |D| <= (|A| + |B|) / 7 and sizes in one band or two
 neighbouring ones, so with more pieces than that they agree in one of them.
 
 Per pair of neighbouring bands, p is chosen such that a set has more non-empty pieces than
 |D| can be: it has `slack` pieces to spare. Sets without slack send their empty pieces too.
 A piece that many sets share is hot. A set whose slack exceeds the number of its hot pieces
-need not use them, as one of its other pieces must agree; only sets made of common material
-are compared within hot groups.
-
-Comparing all pairs of a group would be quadratic. First each member is compared with the
-least one of its group, and links are joined to components; then only pairs that lie in
-different components, and share as many pieces as the bound demands, are left. Every link is
-confirmed by the sets.
+need not use them, as one of its other pieces must agree. The others, sets made of common
+material, are compared among each other by smaller pieces, of one shingle each: linked sets
+agree in one of the n/4 + 1 rarest shingles of either. Where all of these are common, sets
+form families (that share such shingles), which are compared in blocks, by the Hamming
+distance of sketches of a few thousand bits.
+
+Pairs of small groups are counted; those that share fewer pieces than the bound demands are
+out. Of the others, each set is first compared with one other, the least of its partners,
+and links are joined to components; then only pairs that lie in different components are
+left. Every link is confirmed by the sets.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import chunks, groups_of, mixed, parts, ranges, stored, text_bytes
@@ -36,9 +39,12 @@ from quillmesh.llm.components import components
 from quillmesh.llm.shingles import set_fingerprints, shingle_sets, word_hashes
 
 # A group of more sets than this is hot.
-COLD = 64
+COLD = 16
 # Text that a task gathers before it sends pieces off.
 FLUSH = 16 << 20
+# A shingle that more sets of common material share is common; sets of a block of a family.
+RARE = 64
+BLOCK = 1024
 # Partners of one set that are compared in one task.
 PARTNERS = 512
 _MIX = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
@@ -126,7 +132,9 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 
 
 ROW_KINDS = (np.int64, np.uint8, np.int64, np.int64, np.uint64, np.int32, np.int32)
-PIECE_KINDS = (np.uint64, np.int32, np.int32, np.int32, np.uint8, np.uint8)
+PIECE_KINDS = (np.uint64, np.int32, np.uint8, np.uint8)
+# Bytes of a piece's key that are sent; what falls together is told apart by the sets.
+KEY_BYTES = 5
 
 
 def _batch(buckets: list, blobs: list) -> pa.RecordBatch:
@@ -141,10 +149,10 @@ def _send(buckets: int):
     def flush(rows: list, sent: list) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*rows)]
         yield _batch([int(columns[4][0] % np.uint64(buckets))], [b"R" + _pack(*columns)])
-        node, slack0, slack1 = (np.concatenate([x[i] for x in sent]) for i in range(3))
+        node = np.concatenate([x[0] for x in sent])
         shift = np.cumsum([0, *[len(x[0]) for x in sent]])
-        who = np.concatenate([x[3] + s for x, s in zip(sent, shift)])
-        side, key = (np.concatenate([x[i] for x in sent]) for i in (4, 5))
+        who = np.concatenate([x[1] + s for x, s in zip(sent, shift)])
+        side, key = (np.concatenate([x[i] for x in sent]) for i in (2, 3))
         bucket = (mixed(key) >> np.uint64(24)) % np.uint64(buckets)
         order = np.lexsort((who, bucket))
         who, side, key, bucket = who[order], side[order], key[order], bucket[order]
@@ -152,12 +160,12 @@ def _send(buckets: int):
         for at, n in zip(*groups_of(bucket)):
             part = slice(at, at + n)
             used, local = np.unique(who[part], return_inverse=True)
-            low = np.ascontiguousarray(key[part].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+            low = np.ascontiguousarray(key[part].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             numbers.append(int(bucket[at]))
             blobs.append(
                 b"P" + _pack(
-                    node[used], slack0[used], slack1[used],
-                    np.diff(local, prepend=0).astype(np.int32), side[part], np.ascontiguousarray(low).ravel(),
+                    node[used], np.diff(local, prepend=0).astype(np.int32), side[part],
+                    np.ascontiguousarray(low).ravel(),
                 )
             )
             if len(blobs) >= 512:
@@ -179,7 +187,7 @@ def _send(buckets: int):
             who0, key0, slack0 = sketch(h[own], n[first], 0)
             who1, key1, slack1 = sketch(h[own], n[first], 1)
             sent.append((
-                node[first], slack0.astype(np.int32), slack1.astype(np.int32), np.r_[who0, who1],
+                node[first], np.r_[who0, who1],
                 np.r_[np.zeros(len(who0), np.uint8), np.ones(len(who1), np.uint8)], np.r_[key0, key1],
             ))
             seen = np.r_[seen, node[first]]
@@ -233,27 +241,27 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     node=pa.array(node.view(np.int64)), slack0=pa.array(slack0), slack1=pa.array(slack1),
                 )
                 continue
-            node, slack0, slack1, local, side, low = _unpack(blob[1:], PIECE_KINDS)
-            local = np.cumsum(local)
+            node, local, side, low = _unpack(blob[1:], PIECE_KINDS)
             wide = np.zeros((len(local), 8), np.uint8)
-            wide[:, :6] = low.reshape(-1, 6)
-            found.append((node.view(np.int64)[local], wide.view("<u8").ravel().astype(np.int64), np.where(side == 0, slack0[local], slack1[local]), side))
+            wide[:, :KEY_BYTES] = low.reshape(-1, KEY_BYTES)
+            found.append((node.view(np.int64)[np.cumsum(local)], wide.view("<i8").ravel(), side))
     if not found:
         return
-    node, key, slack, side = (np.concatenate(x) for x in zip(*found))
+    node, key, side = (np.concatenate(x) for x in zip(*found))
     found.clear()
     order = np.lexsort((node, key))
-    node, key, slack, side = node[order], key[order], slack[order], side[order]
+    node, key, side = node[order], key[order], side[order]
     # A set may be sent by several tasks.
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    node, key, slack, side = node[new], key[new], slack[new], side[new]
+    node, key, side = node[new], key[new], side[new]
+    bucket = TaskContext.get().partitionId()
     begin, size = groups_of(key)
     for at, n in zip(begin[size > COLD], size[size > COLD]):
         part = slice(at, at + n)
         yield _found(
-            HOT, n, node=pa.array(node[part]), key=pa.array(key[part]), slack0=pa.array(slack[part].astype(np.int32)),
-            slack1=pa.array(side[part].astype(np.int32)),
+            HOT, n, node=pa.array(node[part]), key=pa.array(key[part] + (bucket << 8 * KEY_BYTES)),
+            n=pa.array(side[part].astype(np.int64)),
         )
     small = (size > 1) & (size <= COLD)
     begin, size = begin[small], size[small]
@@ -280,7 +288,12 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of some texts; rows repeated in full lie in one partition and come once."""
+    seen: set[int] = set()
     for part in chunks(batches, "text"):
+        nodes = part.column("node").to_pylist()
+        new = [not (x in seen or seen.add(x)) for x in nodes]
+        part = part.filter(pa.array(new, pa.bool_()))
         raw, at = text_bytes(part.column("text"))
         h, n = shingle_sets(*word_hashes(raw, at))
         ends = np.cumsum(n)
@@ -331,38 +344,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, count: int) -> DataFrame:
     return rows.repartitionById(count, "_task").select("a", "b", "hashes").mapInArrow(_confirm, "a bigint, b bigint")
 
 
-def _needs(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Per set its size and the fewest cold pieces it shares with any linked set."""
+def _needs(by_node: DataFrame, hot: DataFrame) -> DataFrame:
+    """Per set its size, the fewest cold pieces it shares with any linked set, and whether
+    all the pieces that must agree may be hot."""
     counts = hot.groupBy("node").agg(
         F.count(F.when(F.col("side") == 0, 1)).alias("_hot0"), F.count(F.when(F.col("side") == 1, 1)).alias("_hot1")
     )
-    left = [F.greatest(F.lit(1), F.col(f"slack{i}") - F.coalesce(f"_hot{i}", F.lit(0))) for i in (0, 1)]
-    sizes = rows.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "slack0", "slack1")])
-    return sizes.join(counts, "node", "left").select("node", "n", F.least(*left).alias("_need"))
+    left = [F.col(f"slack{i}") - F.coalesce(f"_hot{i}", F.lit(0)) for i in (0, 1)]
+    return by_node.join(counts, "node", "left").select(
+        "node", "n", F.greatest(F.lit(1), F.least(*left)).alias("_need"),
+        F.greatest(*[(x <= 0) & F.col(f"_hot{i}").isNotNull() & (F.col(f"_hot{i}") > 0) for i, x in enumerate(left)]).alias("_unsafe"),
+    )
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _crossing(lists: DataFrame, labels: DataFrame, needs: DataFrame) -> DataFrame:
-    """Pairs of one list but different components that share enough pieces."""
-    flat = lists.select("list", "times", F.explode("members").alias("node"))
-    told = flat.join(labels, "node", "left").select(
-        "list", "times", F.struct("node", F.coalesce("label", "node").alias("label")).alias("m")
-    )
-    both = (
-        told.groupBy("list", "times")
-        .agg(F.collect_list("m").alias("ms"), F.min("m.label").alias("least"), F.max("m.label").alias("most"))
-        .filter("least <> most")
-    )
-    pairs = both.select("times", "ms", F.explode("ms").alias("x")).select(
-        "times", "x",
-        F.explode(
-            F.filter("ms", lambda m: (m["node"] > F.col("x")["node"]) & (m["label"] != F.col("x")["label"]))
-        ).alias("y"),
-    )
-    seen = pairs.groupBy(F.col("x")["node"].alias("a"), F.col("y")["node"].alias("b")).agg(F.sum("times").alias("seen"))
+def _plausible(lists: DataFrame, needs: DataFrame) -> DataFrame:
+    """Pairs of sets of one list whose sizes and shared pieces allow a link."""
+    each = lists.select("times", "members", F.explode("members").alias("a"))
+    pairs = each.select("times", "a", F.explode(F.filter("members", lambda m: m > F.col("a"))).alias("b"))
+    seen = pairs.groupBy("a", "b").agg(F.sum("times").alias("seen"))
 
     def side(name: str) -> DataFrame:
         return needs.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("_need").alias(f"need_{name}"))
@@ -374,23 +377,191 @@ def _crossing(lists: DataFrame, labels: DataFrame, needs: DataFrame) -> DataFram
     )
 
 
-def _hot_crossing(hot: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one hot group but different components: those outside the largest component
-    of the group against all of it."""
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    for name in ("a", "b"):
+        told = labels.select(F.col("node").alias(name), F.col("label").alias(f"_{name}"))
+        pairs = pairs.join(told, name, "left").withColumn(f"_{name}", F.coalesce(f"_{name}", name))
+    return pairs.filter("_a <> _b").select("a", "b")
+
+
+# --- sets made of common material -------------------------------------------------------
+
+
+def _spread_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            raw, ends = text_bytes(part.column("hashes"))
+            n = np.diff(ends) // 8
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array(np.repeat(part.column("node").to_numpy(), n)),
+                "shingle": pa.array(np.frombuffer(raw.tobytes(), np.int64)),
+            })
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(node, n, at, shared, shingle): the rarest n - ceil(3n/4) + 1 shingles of each set
+    that other sets have too, with their place in the order of rarity."""
+    each = sets.mapInArrow(_spread_shingles, "node bigint, shingle bigint")
+    counts = stored(
+        each.groupBy("shingle").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1"), "shingles"
+    )
+    ranked = (
+        each.join(counts, "shingle", "left")
+        .groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("shared", F.lit(1)).alias("shared"), "shingle"))).alias("all"))
+        .withColumn("n", F.size("all"))
+    )
+    first = F.slice("all", 1, F.col("n") - F.ceil(F.col("n") * 3 / 4).cast("int") + 1)
+    return ranked.select("node", "n", F.posexplode(first).alias("at", "s")).select(
+        "node", "n", "at", F.col("s")["shared"].alias("shared"), F.col("s")["shingle"].alias("shingle")
+    ).filter("shared > 1")
+
+
+def _rare_pairs(rarest: DataFrame) -> DataFrame:
+    """Pairs that agree in a rare shingle, where sizes and what follows it allow a link."""
+    member = F.struct("node", "n", "at")
+    groups = (
+        rarest.filter(F.col("shared") <= RARE).groupBy("shingle").agg(F.collect_list(member).alias("ms"))
+    )
+
+    def fit(m: Column) -> Column:
+        x = F.col("x")
+        # The first shingle in common is at most in these places if enough can follow it.
+        rest = F.least(m["n"] - m["at"], x["n"] - x["at"])
+        return (
+            (m["node"] > x["node"]) & (4 * F.least(m["n"], x["n"]) >= 3 * F.greatest(m["n"], x["n"]))
+            & (7 * rest >= 3 * (m["n"] + x["n"]))
+        )
+
+    pairs = groups.select("ms", F.explode("ms").alias("x")).select("x", F.explode(F.filter("ms", fit)).alias("y"))
+    return pairs.select(F.col("x")["node"].alias("a"), F.col("y")["node"].alias("b")).distinct()
+
+
+def _families(rarest: DataFrame) -> DataFrame:
+    """(family, block, blocks, node) of the sets whose rarest shingles are common."""
+    common = rarest.filter(F.col("shared") > RARE)
+    edges = common.select(F.xxhash64(F.lit("shingle"), "shingle").alias("a"), F.col("node").alias("b"))
+    labels = components(edges).withColumnRenamed("label", "family")
+    found = stored(labels.join(common.select("node").distinct(), "node"), "families")
+    sizes = stored(
+        found.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "families"
+    )
+    return stored(
+        found.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "families"
+    )
+
+
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches of sets: each shingle flips one bit."""
+    size = 1 << max(10, int(4 * max(map(len, sets))).bit_length())
+    size = min(size, 1 << 16)
+    shift = np.uint64(64 - (size.bit_length() - 1))
+    rows = np.zeros((len(sets), size // 64), np.uint64)
+    for row, h in zip(rows, sets):
+        odd = np.bincount((mixed(h) >> shift).astype(np.int64), minlength=size).astype(np.uint8) & 1
+        row[:] = np.packbits(odd).view(np.uint64)
+    return rows
+
+
+def _block_links(nodes: list[int], sets: list[np.ndarray], query: list[bool], labels: list[int]) -> list[tuple[int, int]]:
+    """Links between sets of a block, as many as join what is linked (no more).
+
+    Only sets marked as queries are compared, with sets whose label differs.
+    """
+    numbers: dict[int, int] = {}
+    root = np.array([numbers.setdefault(x, len(numbers)) for x in labels], np.int64)
+    n = np.array([len(x) for x in sets], np.int64)
+    sketches, found = _bits(sets), []
+    for i in np.flatnonzero(query):
+        other = (root != root[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
+        near = np.flatnonzero(other)
+        distance = np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        for j in near[7 * distance <= n[near] + n[i]]:
+            if root[i] == root[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= 75 * (n[i] + n[j] - both):
+                root[root == root[j]] = root[i]
+                found.append((nodes[i], nodes[j]))
+    return found
+
+
+def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each block of the partition; the rows of a block come together."""
+
+    def links() -> Iterator[tuple[int, int]]:
+        now, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("work", "node", "label", "query", "hashes")]
+            for work, *row in zip(*columns):
+                if work != now and rows:
+                    yield from compare(rows)
+                    rows = []
+                now = work
+                rows.append(row)
+        if rows:
+            yield from compare(rows)
+
+    def compare(rows: list) -> list[tuple[int, int]]:
+        known = {}
+        for node, label, query, hashes in rows:
+            known[node] = (label, query or (node in known and known[node][1]), hashes)
+        sets = [np.frombuffer(h, np.uint64) for _, _, h in known.values()]
+        return _block_links(list(known), sets, [q for _, q, _ in known.values()], [x for x, _, _ in known.values()])
+
+    found = list(links())
+    for i in range(0, len(found), 65536):
+        a, b = zip(*found[i : i + 65536])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _work(rows: DataFrame, sets: DataFrame, count: int) -> DataFrame:
+    """Compare the rows (work, node, label, query) of each piece of work."""
+    carried = rows.join(sets, "node").withColumn("_task", F.pmod(F.xxhash64("work"), F.lit(count)).cast("int"))
+    return (
+        carried.repartitionById(count, "_task").sortWithinPartitions("work")
+        .select("work", "node", "label", "query", "hashes").mapInArrow(_confirm_blocks, "a bigint, b bigint")
+    )
+
+
+def _family_links(rarest: DataFrame, sets: DataFrame, count: int) -> DataFrame:
+    """Links inside families, as many as join what is linked.
+
+    First each block by itself and against the first one; then, of families that are not
+    one component yet, the sets outside of the largest component against all other blocks.
+    """
+    families = _families(rarest)
+    work = F.concat_ws(":", "family", "first", "block")
+    own = families.select("family", "block", "node", F.col("block").alias("first"))
+    with_first = families.filter("block = 0 AND blocks > 1").select(
+        "family", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("block"), "node"
+    ).select("family", "block", "node", F.col("block").alias("first"))
+    rows = own.unionByName(with_first).select(work.alias("work"), "node", F.col("node").alias("label"), F.lit(True).alias("query"))
+    links = stored(_work(rows, sets, count), "family-links")
+    if families.filter("blocks > 2").isEmpty():
+        return links
     told = stored(
-        hot.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "hot"
+        families.filter("blocks > 2").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")),
+        "families",
     )
     main = stored(
-        told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("key").agg(F.max_by("label", "_n").alias("_main"), F.count(F.lit(1)).alias("_labels"))
-        .filter("_labels > 1").select("key", "_main"),
-        "hot-main",
+        told.groupBy("family", "label").agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("family").agg(F.max_by("label", "_n").alias("_main"), F.count(F.lit(1)).alias("_labels"))
+        .filter("_labels > 1").select("family", "_main"),
+        "families",
     )
-    minor = told.join(main, "key").filter("label <> _main").select(
-        "key", F.col("node").alias("a"), F.col("label").alias("_label")
+    told = told.join(main, "family")
+    others = F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))
+    queries = told.filter("label <> _main AND block > 0").select(
+        "family", F.col("block").alias("first"), others.alias("block"), "node", "label", F.lit(True).alias("query")
     )
-    pairs = minor.join(told, "key").filter("label <> _label").select("a", F.col("node").alias("b"))
-    return _ordered(pairs)
+    targets = told.filter("block > 0").select(
+        "family", others.alias("first"), "block", "node", "label", F.lit(False).alias("query")
+    )
+    rows = queries.unionByName(targets).filter("first <> block").select(work.alias("work"), "node", "label", "query")
+    return links.unionByName(stored(_work(rows, sets, count), "family-links"))
 
 
 def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,23 +587,16 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     found = stored(sent.repartitionById(count, "bucket").mapInArrow(_group, FOUND), "pieces")
     rows = found.filter(F.col("kind") == ROW).select("doc_id", "check", "n", "node", "slack0", "slack1")
     full = rows.filter("n > 0")
-    lists = stored(
-        found.filter(F.col("kind") == LIST).groupBy("members").agg(F.sum("times").alias("times"))
-        .withColumn("list", F.monotonically_increasing_id()),
-        "lists",
-    )
-    hot = found.filter(F.col("kind") == HOT).select(
-        "node", "key", F.col("slack0").alias("slack"), F.col("slack1").alias("side")
+    lists = found.filter(F.col("kind") == LIST).groupBy("members").agg(F.sum("times").alias("times"))
+    hot = found.filter(F.col("kind") == HOT).select("node", "key", F.col("n").alias("side"))
+    by_node = full.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "slack0", "slack1")])
+    needs = stored(_needs(by_node, hot), "needs")
+    unsafe = needs.filter(F.coalesce("_unsafe", F.lit(False))).select("node")
+    plausible = stored(_plausible(lists, needs), "plausible")
+    nodes = (
+        plausible.select(F.col("a").alias("node")).unionByName(plausible.select(F.col("b").alias("node")))
+        .unionByName(unsafe).distinct()
     )
-    # Sets with as many hot pieces as slack meet in hot groups too.
-    bound = hot.groupBy("node", "side").agg(F.count(F.lit(1)).alias("_n"), F.min("slack").alias("_slack"))
-    unsafe = bound.filter("_n >= _slack").select("node", "side")
-    common = stored(hot.join(unsafe, ["node", "side"]).select("key", "node"), "common")
-    centers = stored(common.groupBy("key").agg(F.min("node").alias("a")), "centers")
-
-    near = lists.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
-    near = _ordered(near.unionByName(common.join(centers, "key").select("a", F.col("node").alias("b"))))
-    nodes = lists.select(F.explode("members").alias("node")).unionByName(common.select("node")).distinct()
     none = F.lit(2**63 - 1)
     chosen = (
         full.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("_id"), "check")).alias("_d"))
@@ -443,11 +607,13 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         chosen.hint("shuffle_hash"), ["_id", "check"]
     )
     sets = stored(texts.select("node", "text").mapInArrow(_sets, "node bigint, hashes binary"), "sets")
-    sets = sets.dropDuplicates(["node"])
 
-    links = stored(_linked(near, sets, count), "links")
+    rarest = stored(_rarest(sets.join(unsafe, "node", "left_semi")), "rarest")
+    pairs = plausible.unionByName(stored(_rare_pairs(rarest), "pairs"))
+    stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _linked(stars, sets, count).unionByName(_family_links(rarest, sets, count))
     labels = stored(components(links), "labels")
-    rest = _crossing(lists, labels, _needs(full, hot)).unionByName(_hot_crossing(common, labels))
+    rest = _crossing(pairs, labels)
     more = stored(_linked(_ordered(rest), sets, count), "links")
     if not more.isEmpty():
         known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
