@@ -28,6 +28,15 @@ def _small_stars(edges: DataFrame) -> DataFrame:
     return others.unionByName(own).filter("a <> b").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a center or hangs on a single one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("center"), F.lit(0).alias("leaf")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("center"), F.lit(1).alias("leaf"))
+    )
+    mixed = ends.groupBy("node").agg(F.max("center").alias("center"), F.sum("leaf").alias("leaves"))
+    return mixed.filter("leaves > 1 OR (center = 1 AND leaves = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes that have an edge; the label is the least node.
 
@@ -37,14 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     now = stored(now.distinct(), "edges")
-    mark = None
-    while True:
+    while not _is_stars(now):
         now = stored(_small_stars(_stars(now)), "edges")
-        state = now.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")
-        ).first()
-        if (state.n, state.x) == mark:
-            break
-        mark = (state.n, state.x)
     labels = now.select(F.col("b").alias("node"), F.col("a").alias("label"))
     return labels.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()

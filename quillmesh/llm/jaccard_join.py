@@ -72,8 +72,9 @@ def bands(most: int) -> np.ndarray:
 
 @cache
 def pieces(top: int) -> int:
-    """Pieces for sets of up to `top` shingles: more non-empty ones than can differ."""
-    wanted = 2 * top / 7 + 0.6 * top**0.5 + 1
+    """Pieces for sets of up to `top` shingles: more non-empty ones than can differ, and
+    some to spare for hot ones."""
+    wanted = (2 / 7 + 0.05) * top + 0.6 * top**0.5 + 1
     p = top // 3 + 1
     while p * (1 - np.exp(-top / p)) < wanted and p < 4 * top + 8:
         p += max(1, p // 64)
@@ -304,7 +305,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of this partition that are linked; their sets are in the partition too."""
+    """What the linked pairs of this partition connect; their sets are in the partition too."""
     sets, pairs = {}, []
     for batch in batches:
         a, b, hashes = (batch.column(c).to_pylist() for c in ("a", "b", "hashes"))
@@ -321,13 +322,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = len(np.intersect1d(one, two, assume_unique=True))
         if 100 * both >= 75 * (len(one) + len(two) - both):
             linked.append((x, y))
+    linked = _stars(linked)
     for i in range(0, len(linked), 65536):
         a, b = zip(*linked[i : i + 65536])
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, count: int) -> DataFrame:
-    """The pairs (a, b) of sets that are linked. Each set goes once to each task that needs
+    """Pairs (a, b) that connect what the linked ones of the given pairs do. Each set goes once to each task that needs
     it; the partners of a set with very many are dealt to several tasks."""
     crowd = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("_parts"))
     dealt = pairs.join(crowd, "a").select(
@@ -485,7 +487,23 @@ def _block_links(nodes: list[int], sets: list[np.ndarray], query: list[bool], la
             if 100 * both >= 75 * (n[i] + n[j] - both):
                 root[root == root[j]] = root[i]
                 found.append((nodes[i], nodes[j]))
-    return found
+    return _stars(found)
+
+
+def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs that connect the same, each with the least of its component."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    return [(find(x), x) for x in list(parent) if find(x) != x]
 
 
 def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
