@@ -9,8 +9,9 @@ the tree; what all branches that can still go on have in common is certain and e
 branch can go on as long as its bytes begin a token, so the lookahead is bounded by the
 longest token.
 
-States and arcs are made when first needed and kept (determinised lazily); a table of more
-than STATES states is begun anew.
+States and arcs are made when they are needed for the second time and kept (determinised
+lazily), so that rare pieces do not fill the table; what has no arc yet is read without
+making states. A table of more than STATES states is begun anew.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import base64
 import codecs
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from itertools import chain
 
@@ -31,9 +32,14 @@ from pyspark.sql.types import StructType
 
 from quillmesh.llm.common import chunks
 
-# States of the transducer, and encoded pieces, that a worker keeps.
-STATES = 200_000
-PIECES = 400_000
+# States of the transducer, arcs asked for once, pairs of tokens looked at, and encoded
+# pieces, that a worker keeps.
+STATES = 50_000
+ASKED = 200_000
+PAIRS = 400_000
+PIECES = 300_000
+# Bytes of a piece that is read as a stream.
+LONG = 1000
 
 
 class Transducer:
@@ -79,6 +85,7 @@ class Transducer:
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.rests: dict[int, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
+        self.asked: set[int] = set()
         self.state(-1, b"", (), ())
 
     def state(self, last: int, pending: bytes, ids: tuple, alive: tuple) -> int:
@@ -182,7 +189,40 @@ class Transducer:
         self.arcs[state << 8 | byte] = arc
         return arc
 
-    def _path(self, ids: tuple[int, ...], end: int) -> tuple[int, ...]:
+    def _ahead(self, state: int, text: bytes) -> tuple[int, ...]:
+        """The tokens of what is pending in a state and the rest of a piece, without making
+        states: as `_arc`, but nothing needs to be certain before the end."""
+        last, _, ids, alive = self.states[state]
+        child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
+        ids, end = [*ids], len(ids)
+        for byte in text:
+            token, going = -1, []
+            for begin, node in (*alive, (end, 0)):
+                to = child.get(node << 8 | byte)
+                if to is None:
+                    continue
+                found = ends[to]
+                if token < 0 <= found:
+                    before = ids[begin - 1] if begin else last
+                    if before < 0:
+                        token = found
+                    else:
+                        pair = before << 32 | found
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            fits = pairs[pair] = self.fits(before, found)
+                        if fits:
+                            token = found
+                if inner[to]:
+                    going.append((begin, to))
+            if token < 0:
+                raise ValueError("a byte without a token")
+            ids.append(token)
+            alive = going
+            end += 1
+        return self._path(ids, end)
+
+    def _path(self, ids: Sequence[int], end: int) -> tuple[int, ...]:
         """The tokens of the encoding that ends here."""
         found = []
         while end:
@@ -217,14 +257,24 @@ class Transducer:
         whole = self.ranks.get(text)
         if whole is not None:
             return (whole,)
-        if len(text) > STATES // 4:
+        if len(text) > LONG:
             return tuple(self.stream(text))
-        # As `stream`, but for a whole piece.
         if len(self.states) > STATES:
             self.reset()
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         state, arcs, found = 0, self.arcs, ()
-        for byte in text:
-            state, emitted = arcs.get(state << 8 | byte) or self._arc(state, byte)
+        for i, byte in enumerate(text):
+            key = state << 8 | byte
+            arc = arcs.get(key)
+            if arc is None:
+                if key not in self.asked:
+                    if len(self.asked) >= ASKED:
+                        self.asked.clear()
+                    self.asked.add(key)
+                    return found + self._ahead(state, text[i:])
+                arc = self._arc(state, byte)
+            state, emitted = arc
             if emitted:
                 found += emitted
         return found + self._rest(state)
@@ -330,15 +380,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Pieces(dict):
-    """Encodings of the pieces met so far, but for very long ones."""
+    """Encodings of the pieces met last, but for very long ones. When it is full it begins
+    anew, but what it had before is looked up once more, so that frequent pieces stay."""
 
     def __init__(self, transducer: Transducer) -> None:
         self.transducer = transducer
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.transducer.encode(piece.encode())
+        found = self.before.get(piece)
+        if found is None:
+            found = self.transducer.encode(piece.encode())
         if len(piece) <= 64:
             if len(self) >= PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -355,9 +410,6 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
 
-    def decoder(self) -> StreamingDecoder:
-        return StreamingDecoder(self.transducer.tokens)
-
 
 @cache
 def tokenizer(path: str, pattern: str) -> Tokenizer:
@@ -365,6 +417,16 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
+@cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def _lists(found: list[array]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def _with(df: DataFrame, added: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
 
@@ -384,15 +446,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", name: str
         known = tokenizer(path, pattern)
         for part in chunks(batches, text):
             found = [array("i", known.encode(t or "")) for t in part.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            flat = np.frombuffer(b"".join(found), np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], ids], names=[*rest, name])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], _lists(found)], names=[*rest, name])
 
     return kept.mapInArrow(run, _with(kept, f"`{name}` array<int>"))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns and the text of the token ids, read as a stream.
 
     Bytes that are no UTF-8 become U+FFFD. NULL ids give an empty text; an id that the
@@ -402,11 +461,14 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", name: str =
     kept = df.select(*[f"`{c}`" for c in rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = tokenizer(path, pattern).decoder()
+        decoder = StreamingDecoder(token_bytes(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [decoder.feed(x or ()) + decoder.finish() for x in part.column(ids).to_pylist()]
+                column = part.column(ids)
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(np.r_[0, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+                texts = [decoder.feed(flat[a:b].tolist()) + decoder.finish() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in rest], pa.array(texts, pa.string())], names=[*rest, name]
                 )
@@ -414,6 +476,29 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", name: str =
     return kept.mapInArrow(run, _with(kept, f"`{name}` string"))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The columns but the text, and `ids` and `decoded`: `encode` and `decode` in one pass."""
+    rest = [c for c in df.columns if c not in (text, "ids", "decoded")]
+    kept = df.select(*[f"`{c}`" for c in rest], F.col(f"`{text}`").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokenizer(path, pattern)
+        decoder = StreamingDecoder(known.transducer.tokens)
+        for part in chunks(batches, "_text"):
+            found, texts = [], []
+            for t in part.column("_text").to_pylist():
+                ids = known.encode(t or "")
+                texts.append(decoder.feed(ids) + decoder.finish())
+                found.append(array("i", ids))
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in rest], _lists(found), pa.array(texts, pa.string())],
+                names=[*rest, "ids", "decoded"],
+            )
+
+    schema = _with(kept.drop("_text"), "ids array<int>, decoded string")
+    return kept.mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The key, the number of tokens and the hashes of ids and text."""
     return df.select(

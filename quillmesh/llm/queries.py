@@ -125,8 +125,7 @@ def vocabulary() -> tuple[str, str]:
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, *vocabulary()).drop("text")
-    return bpe.digests(bpe.decode(encoded, *vocabulary()))
+    return bpe.digests(bpe.round_trip(docs, *vocabulary()))
 
 
 @query("op6_suffix_dedup")

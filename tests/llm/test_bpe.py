@@ -54,6 +54,25 @@ def test_small_table_of_states(ours, monkeypatch):
     fresh = bpe.Transducer(RANKS)
     text = "Étion dans çouelle un éonierç antidisestablishmentarianism".encode()
     assert list(fresh.stream(text)) == list(ours.transducer.stream(text))
+    for _ in range(3):
+        assert list(fresh.encode(text)) == list(ours.transducer.stream(text))
+
+
+def test_read_ahead_and_determinised(library):
+    """The first reading makes no states, later ones follow arcs, with the same tokens."""
+    fresh = bpe.Transducer(RANKS)
+    pieces = [w.encode() for w in " the internationalisation ouéaieuxlepa zuverberheit 12345 élèves".split(" ")]
+    expected = [tuple(library.encode_ordinary(p.decode())) for p in pieces]
+    rounds = [[fresh.encode(p) if p not in RANKS else tuple(fresh.stream(p)) for p in pieces] for _ in range(12)]
+    assert all(r == expected for r in rounds) and len(fresh.arcs) > 20
+
+
+def test_frequent_pieces_stay(ours, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 4)
+    pieces = bpe._Pieces(ours.transducer)
+    for word in "a b c d e a f g h a".split():
+        assert pieces[word] == tuple(ours.encode(word))
+    assert len(pieces) <= 4 and "a" in pieces
 
 
 def test_tokens_come_early(ours):
@@ -77,7 +96,7 @@ def test_streaming_decoder(ours):
     rng = random.Random(4)
     for _ in range(3000):
         data = bytes(rng.choice(BYTES) for _ in range(rng.randrange(14)))
-        decoder = ours.decoder()
+        decoder = bpe.StreamingDecoder(ours.transducer.tokens)
         text = "".join(decoder.feed([RANKS[data[i : i + 1]]]) for i in range(len(data))) + decoder.finish()
         assert text == data.decode(errors="replace")
 
@@ -99,7 +118,7 @@ def test_query(spark, sf_dir, library):
 
 def test_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "hé", "c")], "doc_id long, text string, ids string")
-    rows = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()
+    rows = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH).collect()
     assert [(r.doc_id, r.decoded, len(r.ids)) for r in rows][:2] == [(1, "", 0), (2, "", 0)]
     assert rows[2].decoded == "hé"
     assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
