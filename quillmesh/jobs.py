@@ -19,6 +19,8 @@ from quillmesh.sources.examples import read_examples, write_examples
 from quillmesh.sources.runs import METHODS, METRICS, read_run_metrics, write_run_metrics
 
 RECORD = "nl string, sstl string, python string, train_predicted_sstl string, stl string"
+TEXT = "text string"
+PRETRAINING = "pretraining"
 PREFERENCE = (
     "anchor string, w_utility double, w_time double, w_sstl string, l_utility double, "
     "l_time double, l_sstl string, dataset_class string, pidx long, nc long"
@@ -36,29 +38,38 @@ def _stored(spark: SparkSession, args: argparse.Namespace, schema: str, strict:
     return read_corpus(spark, [f"{args.out}/raw"], "parquet", stored, sources=False, row_ids=True)
 
 
-def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Record files to a mixed, shuffled and cut training corpus."""
-    rows = _stored(spark, args, RECORD, strict=True)
+def _mixed(rows: DataFrame, args: argparse.Namespace) -> tuple[DataFrame, dict[str, float], int | None]:
+    """The rows to choose from, and the shares and total that are still to be taken."""
     weights = dict(part.rsplit("=", 1) for part in args.balance)
     shares = {f"tokenized_{name}": float(weight) for name, weight in weights.items()}
-    if shares and args.total is None:
+    if shares and args.total is not None:
+        return rows, shares, args.total
+    if shares:
         rows = mixing.mix_by_smallest(rows, "output_name", "row_id", shares)
-        shares = {}
-    elif args.total is not None and not shares:
-        # One name per input file.
-        names = [r.output_name for r in rows.select("output_name").distinct().collect()]
-        rows = mixing.mix_head(rows, "output_name", "row_id", names, args.total)
-    total = args.total if shares else None
-    corpus = corpora.training_corpus(
-        rows, args.format, "row_id", "output_name", shares or {"all": 1}, total, args.max_len, args.shape
-    )
+    elif args.total is not None:
+        rows = mixing.mix_head(rows, "output_name", "row_id", None, args.total)
+    return rows, {"all": 1}, None
+
+
+def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Record files to a mixed, shuffled and cut training corpus."""
+    plain = args.format == PRETRAINING
+    rows, shares, total = _mixed(_stored(spark, args, TEXT if plain else RECORD, strict=not plain), args)
+    mix = ("row_id", "output_name", shares, total, args.max_len, args.shape)
+    if plain:
+        corpus = corpora.pretraining_corpus(rows, *mix)
+    else:
+        corpus = corpora.training_corpus(rows, args.format, *mix)
     name = common_keywords(rows.select("output_name"), "output_name", "corpus", ("tokenized",))
     write_corpus(corpus, f"{args.out}/{name.first().output_name}", None)
 
 
 def prefer(spark: SparkSession, args: argparse.Namespace) -> None:
     """Preference files to prompt, chosen and rejected ids in shuffled order."""
-    rows = mixing.seeded_shuffle(_stored(spark, args, PREFERENCE, strict=False), "row_id")
+    rows, shares, total = _mixed(_stored(spark, args, PREFERENCE, strict=False), args)
+    mixed = mixing.mix_total(rows, "output_name", "row_id", shares, total)
+    numbered = mixed.withColumn("row_id", F.concat_ws("/", "row_id", "copy"))
+    rows = mixing.seeded_shuffle(numbered, "row_id")
     write_corpus(corpora.preference_corpus(rows, (), args.max_len), f"{args.out}/preferences", None)
 
 
@@ -123,6 +134,8 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--paths", nargs="+", required=True, help="folders of record files")
             one.add_argument("--input", default="jsonl", help="extension of the record files")
             one.add_argument("--max-len", type=int, default=4096)
+            one.add_argument("--balance", nargs="*", default=[], help="keywords=weight of each input")
+            one.add_argument("--total", type=int)
         return one
 
     def run_names(one: argparse.ArgumentParser) -> None:
@@ -132,9 +145,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--method", default="gt" if one.prog.endswith("label") else "to_python")
 
     one = job(prepare, corpus=True)
-    one.add_argument("--format", choices=list(SFT_FORMATS), default="to_python_no_STL")
-    one.add_argument("--balance", nargs="*", default=[], help="keywords=weight of each input")
-    one.add_argument("--total", type=int)
+    one.add_argument("--format", choices=[*SFT_FORMATS, PRETRAINING], default="to_python_no_STL")
     one.add_argument("--shape", choices=corpora.SHAPES, default="truncate")
     job(prefer, corpus=True)
     one = job(label, corpus=False)

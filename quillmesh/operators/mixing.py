@@ -97,12 +97,16 @@ def mix_by_smallest(
 
 
 def mix_head(
-    df: DataFrame, by: str, key: str, sources: list[str], total: int, seed: int = SHUFFLE_SEED
+    df: DataFrame, by: str, key: str, sources: list[str] | None, total: int, seed: int = SHUFFLE_SEED
 ) -> DataFrame:
-    """`total` rows of each source."""
-    named = df.sparkSession.createDataFrame([(s,) for s in sources], f"`{by}` string")
+    """`total` rows of each of the given sources, or with None of each there is."""
+    if sources is None:
+        named = df.select(by).distinct()
+    else:
+        named = df.sparkSession.createDataFrame([(s,) for s in sources], f"`{by}` string")
+        df = _known_only(df, by, sources)
     quotas = _sized(df, by, key, seed, named).withColumn("_k", F.lit(total).cast("bigint"))
-    return _take(_known_only(df, by, sources), by, key, seed, quotas)
+    return _take(df, by, key, seed, quotas)
 
 
 def mix_total(

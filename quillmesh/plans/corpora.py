@@ -31,12 +31,29 @@ def training_corpus(
     built = prompts.build_sft(mixed, fmt, keep=(key, by, "copy"))
     numbered = built.withColumn("_row", F.concat_ws("/", F.col(key), F.col("copy")))
     encoded = tokens.encode_sft(dense_position(numbered, "_row", seed)).drop("_row")
+    return _shaped(encoded, max_len, shape)
+
+
+def _shaped(encoded: DataFrame, max_len: int, shape: str) -> DataFrame:
     if shape == "pack":
         return tokens.pack(encoded, max_len)
     cut = tokens.truncate if shape == "truncate" else tokens.truncate_and_pad
     return cut(encoded, max_len)
 
 
+def pretraining_corpus(
+    df: DataFrame, key: str, by: str, weights: dict[str, float], total: int | None, max_len: int,
+    shape: str = "truncate", seed: int = mixing.SHUFFLE_SEED, text: str = "text",
+) -> DataFrame:
+    """Plain texts to mixed, shuffled and cut rows of `input_ids`, in one lazy plan."""
+    if shape not in SHAPES:
+        raise ValueError(f"unknown shape: {shape}")
+    mixed = mixing.mix_total(df, by, key, weights, total, seed).select(key, by, "copy", text)
+    numbered = mixed.withColumn("_row", F.concat_ws("/", F.col(key), F.col("copy")))
+    placed = dense_position(numbered, "_row", seed).drop("_row")
+    return _shaped(tokens.encode_pretraining(placed, text).drop(text), max_len, shape)
+
+
 def preference_corpus(df: DataFrame, keep: tuple[str, ...], max_len: int) -> DataFrame:
     """Preference records to prompt, chosen and rejected ids."""
     built = prompts.build_preference(df, keep=keep)

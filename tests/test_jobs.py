@@ -88,3 +88,20 @@ def test_two_folders_of_one_name(spark, tmp_path):
     folders = [str(tmp_path / p / "heat_train") for p in ("a", "b")]
     with pytest.raises(ValueError, match="made from two inputs"):
         main(["prepare", "--paths", *folders, "--out", str(tmp_path / "out"), "--format", "to_STL"], spark)
+
+
+@pytest.mark.parametrize("options, rows", [([], 9), (["--total", "3"], 6), (["--balance", "dpo_d0_a=0.25", "dpo_d1_a=0.75", "--total", "12"], 12)])
+def test_prefer_balanced(spark, tmp_path, options, rows):
+    for name, n in (("dpo_d0", 5), ("dpo_d1", 4)):
+        lines(tmp_path / name / "a.jsonl", [{"anchor": f"{name} {i}", "w_sstl": "good", "l_sstl": "bad"} for i in range(n)])
+    folders = [str(tmp_path / f"dpo_d{i}") for i in (0, 1)]
+    main(["prefer", "--paths", *folders, "--out", str(tmp_path / "out"), *options], spark)
+    assert spark.read.parquet(str(tmp_path / "out" / "preferences")).count() == rows
+
+
+def test_pretraining(spark, tmp_path):
+    lines(tmp_path / "web" / "part.jsonl", [{"text": f"plain text {i}"} for i in range(7)])
+    main(["prepare", "--paths", str(tmp_path / "web"), "--out", str(tmp_path / "out"), "--format", "pretraining", "--max-len", "4"], spark)
+    (folder,) = [p for p in (tmp_path / "out").iterdir() if p.name != "raw"]
+    rows = spark.read.parquet(str(folder)).collect()
+    assert len(rows) == 7 and all(len(r.input_ids) == 4 and r.input_ids[0] == 1 for r in rows)
