@@ -301,6 +301,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({
             "node": part.column("node"),
             "hashes": pa.array([h[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary()),
+            "sketch": pa.array([_bits([h[e - k : e]])[0].tobytes() for e, k in zip(ends, n)], pa.binary()),
         })
 
 
@@ -328,9 +329,53 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of this partition whose sketches allow a link: the Hamming distance is not
+    above what linked sets can differ in. Sketches are given as size of the set and bits."""
+    sketches, pairs = {}, []
+    for batch in batches:
+        a, b, bits = (batch.column(c).to_pylist() for c in ("a", "b", "hashes"))
+        for x, y, z in zip(a, b, bits):
+            if z is None:
+                pairs.append((x, y))
+            else:
+                sketches[x] = (int.from_bytes(z[:8], "big"), np.frombuffer(z, np.uint8, offset=8))
+    kept = []
+    for x, y in pairs:
+        (n, one), (m, two) = sketches[x], sketches[y]
+        if len(one) != len(two):
+            one, two = (_folded(s, min(len(one), len(two))) for s in (one, two))
+        if 7 * int(np.bitwise_count(one ^ two).sum(dtype=np.int64)) <= n + m:
+            kept.append((x, y))
+    for i in range(0, len(kept), 65536):
+        a, b = zip(*kept[i : i + 65536])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of `size` bytes that the set of a longer sketch has: a bit of it stands
+    for neighbouring bits of the longer one."""
+    while len(bits) > size:
+        pairs = np.unpackbits(bits).reshape(-1, 2)
+        bits = np.packbits(pairs[:, 0] ^ pairs[:, 1])
+    return bits
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, count: int) -> DataFrame:
-    """Pairs (a, b) that connect what the linked ones of the given pairs do. Each set goes once to each task that needs
-    it; the partners of a set with very many are dealt to several tasks."""
+    """Pairs (a, b) that connect what the linked ones of the given pairs do.
+
+    Sketches, a sixteenth of the sets, are compared first; sets only where these allow it.
+    """
+    size = F.lpad(F.hex((F.length("hashes") / 8).cast("bigint")), 16, "0")
+    sketches = sets.select("node", F.concat(F.unhex(size), "sketch").alias("hashes"))
+    near = stored(_together(pairs, sketches, count, _near), "near")
+    return _together(near, sets.select("node", "hashes"), count, _confirm)
+
+
+def _together(pairs: DataFrame, sets: DataFrame, count: int, compare) -> DataFrame:
+    """Compare pairs in tasks that have what is known of their sets. Each set goes once to
+    each task that needs it; the partners of a set with very many are dealt to several
+    tasks."""
     crowd = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("_parts"))
     dealt = pairs.join(crowd, "a").select(
         "a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_parts"))), F.lit(count)).cast("int").alias("_task")
@@ -343,7 +388,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, count: int) -> DataFrame:
         "_task", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "hashes"
     )
     rows = carried.unionByName(dealt.withColumn("hashes", F.lit(None).cast("binary")))
-    return rows.repartitionById(count, "_task").select("a", "b", "hashes").mapInArrow(_confirm, "a bigint, b bigint")
+    return rows.repartitionById(count, "_task").select("a", "b", "hashes").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _needs(by_node: DataFrame, hot: DataFrame) -> DataFrame:
@@ -456,7 +501,7 @@ def _families(rarest: DataFrame) -> DataFrame:
 
 
 def _bits(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity sketches of sets: each shingle flips one bit."""
+    """Parity sketches of sets, of one size: each shingle flips one bit."""
     size = 1 << max(10, int(4 * max(map(len, sets))).bit_length())
     size = min(size, 1 << 16)
     shift = np.uint64(64 - (size.bit_length() - 1))
@@ -537,7 +582,7 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _work(rows: DataFrame, sets: DataFrame, count: int) -> DataFrame:
     """Compare the rows (work, node, label, query) of each piece of work."""
-    carried = rows.join(sets, "node").withColumn("_task", F.pmod(F.xxhash64("work"), F.lit(count)).cast("int"))
+    carried = rows.join(sets.select("node", "hashes"), "node").withColumn("_task", F.pmod(F.xxhash64("work"), F.lit(count)).cast("int"))
     return (
         carried.repartitionById(count, "_task").sortWithinPartitions("work")
         .select("work", "node", "label", "query", "hashes").mapInArrow(_confirm_blocks, "a bigint, b bigint")
@@ -624,9 +669,9 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = docs.select(F.coalesce("doc_id", none).alias("_id"), "check", "text").join(
         chosen.hint("shuffle_hash"), ["_id", "check"]
     )
-    sets = stored(texts.select("node", "text").mapInArrow(_sets, "node bigint, hashes binary"), "sets")
+    sets = stored(texts.select("node", "text").mapInArrow(_sets, "node bigint, hashes binary, sketch binary"), "sets")
 
-    rarest = stored(_rarest(sets.join(unsafe, "node", "left_semi")), "rarest")
+    rarest = stored(_rarest(sets.select("node", "hashes").join(unsafe, "node", "left_semi")), "rarest")
     pairs = plausible.unionByName(stored(_rare_pairs(rarest), "pairs"))
     stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _linked(stars, sets, count).unionByName(_family_links(rarest, sets, count))

@@ -103,3 +103,12 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     found = components(spark.createDataFrame(edges, "a long, b long"))
     assert dict(map(tuple, found.collect())) == {x: find(x) for x in list(parent)}
+
+
+def test_folded_sketch_is_that_of_the_smaller_size():
+    rng = np.random.default_rng(3)
+    small, large = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (200, 900))
+    both = jaccard_join._bits([small, large])
+    alone = jaccard_join._bits([small])[0].view(np.uint8)
+    assert len(alone) < both.shape[1] * 8
+    assert np.array_equal(jaccard_join._folded(both[0].view(np.uint8), len(alone)), alone)
