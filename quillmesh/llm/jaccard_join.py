@@ -640,6 +640,12 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Rows that share an id are judged each by its text. Repeated rows are linked. Other
     columns are ignored. An empty table gives no rows.
     """
+    return _labelled(df, key, text).drop("_label")
+
+
+def _labelled(df: DataFrame, key: str, text: str) -> DataFrame:
+    """`link_documents` with the `_label` of each component, also of those without ids; NULL
+    for rows without shingles."""
     docs = df.select(
         F.col(key).cast("bigint").alias("doc_id"),
         F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("check"),
@@ -686,10 +692,11 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "classes")
     component = named.groupBy("label").agg(F.min("_least").alias("component_id"))
-    by_node = stored(named.join(component, "label").select("node", "component_id"), "classes")
-    linked = full.join(by_node, "node").select("doc_id", "check", F.col("n").alias("n_shingles"), "component_id")
+    by_node = stored(named.join(component, "label").select("node", "component_id", "label"), "classes")
+    linked = full.join(by_node, "node").select("doc_id", "check", F.col("n").alias("n_shingles"), "component_id", F.col("label").alias("_label"))
     alone = rows.filter("n = 0").select(
-        "doc_id", "check", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
+        "doc_id", "check", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+        F.lit(None).cast("bigint").alias("_label"),
     )
     return linked.unionByName(alone)
 
@@ -697,20 +704,20 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of which no smaller one is in their component, with all their columns.
 
-    Rows that agree in id and text count as one document. In a component without ids the
-    rows of one text stay.
+    Rows that agree in id and text count as one document. Components are told apart by their
+    links, not by their ids: of unrelated texts that share an id, or have none, all stay. In a
+    component without ids the rows of one text stay.
     """
     check = F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
     none = F.lit(2**63 - 1)
-    linked = link_documents(df, key, text)
+    linked = _labelled(df, key, text).withColumn("_k", F.coalesce("doc_id", none))
     # Of the rows with the least id of a component, those of the least text.
     heads = (
-        linked.withColumn("_k", F.coalesce("doc_id", none))
-        .filter("n_shingles = 0 OR doc_id <=> component_id")
-        .withColumn("_group", F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("check")))
-        .groupBy("_k", "_group", F.coalesce("component_id", none).alias("_c"))
-        .agg(F.min("check").alias("_check"))
-        .select("_k", "_check").distinct()
+        linked.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("_label")
+        .agg(F.min(F.struct("_k", "check")).alias("_d"))
+        .select(F.col("_d")["_k"].alias("_k"), F.col("_d")["check"].alias("_check"))
+        .unionByName(linked.filter("n_shingles = 0").select("_k", F.col("check").alias("_check")))
+        .distinct()
     )
     marked = df.withColumns({"_k": F.coalesce(F.col(key).cast("bigint"), none), "_check": check})
     return marked.dropDuplicates(["_k", "_check"]).join(heads, ["_k", "_check"], "left_semi").drop("_k", "_check")

@@ -69,6 +69,21 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6]
 
 
+def test_keep_one_of_each_component(spark):
+    """Unrelated texts stay, whether they share an id or have none."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [
+        (None, a), (None, a), (None, a + " more"), (None, b), (7, c), (7, d), (7, d), (7, c + " more"), (9, d), (None, e),
+        (8, e), (None, None), (None, ""), (None, " "),
+    ]
+    kept = ordered(jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    texts = {t for i, t in kept if i is None and t and t != " "}
+    assert b in texts and len(texts & {a, a + " more"}) == 1 and e not in texts and len(texts) == 2
+    sevens = [t for i, t in kept if i == 7]
+    assert d in sevens and len(sevens) == 2 and (8, e) in kept and not any(i == 9 for i, _ in kept)
+    assert sum(i is None and not (t or "").strip() for i, t in kept) == 2
+
+
 def test_pieces_allow_for_the_difference():
     """A set has more pieces of its own than two linked sets of its bands can differ in."""
     rng = np.random.default_rng(1)
