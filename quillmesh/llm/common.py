@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Bytes of text that one step of a task works on; numpy needs some ten times as much.
 CHUNK = 4 << 20
@@ -68,6 +69,16 @@ def parts(df: DataFrame) -> int:
     return max(asked, df.rdd.getNumPartitions())
 
 
+def content_key(key: Column, text: Column) -> list[Column]:
+    """`hash0`, `hash1`: what stands for a text beside the id; NULL counts as empty.
+
+    64 bits beside an id of 64 bits, 128 where there is no id (`hash1` is 0 otherwise).
+    """
+    content = F.coalesce(text.cast("binary"), F.lit(b""))
+    more = F.when(key.cast("bigint").isNull(), F.xxhash64(F.lit(2), content)).otherwise(F.lit(0))
+    return [F.xxhash64(F.lit(1), content).alias("hash0"), more.cast("bigint").alias("hash1")]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column, one after the other, and the offsets.
 

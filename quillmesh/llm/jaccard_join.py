@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import chunks, groups_of, mixed, parts, ranges, stored, text_bytes
+from quillmesh.llm.common import chunks, content_key, groups_of, mixed, parts, ranges, stored, text_bytes
 from quillmesh.llm.components import components
 from quillmesh.llm.shingles import set_fingerprints, shingle_sets, word_hashes
 
@@ -50,10 +50,11 @@ PARTNERS = 512
 _MIX = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
 
 FOUND = (
-    "kind int, doc_id bigint, check bigint, n bigint, node bigint, slack0 int, slack1 int, "
+    "kind int, doc_id bigint, hash0 bigint, hash1 bigint, n bigint, node bigint, slack0 int, slack1 int, "
     "key bigint, members array<bigint>, times bigint"
 )
 ROW, LIST, HOT = 0, 1, 2
+KEY = ("hash0", "hash1")
 
 
 # --- bands and pieces -------------------------------------------------------------------
@@ -132,7 +133,7 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return found
 
 
-ROW_KINDS = (np.int64, np.uint8, np.int64, np.int64, np.uint64, np.int32, np.int32)
+ROW_KINDS = (np.int64, np.uint8, np.int64, np.int64, np.int64, np.uint64, np.int32, np.int32)
 PIECE_KINDS = (np.uint64, np.int32, np.uint8, np.uint8)
 # Bytes of a piece's key that are sent; what falls together is told apart by the sets.
 KEY_BYTES = 5
@@ -149,7 +150,7 @@ def _send(buckets: int):
 
     def flush(rows: list, sent: list) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*rows)]
-        yield _batch([int(columns[4][0] % np.uint64(buckets))], [b"R" + _pack(*columns)])
+        yield _batch([int(columns[5][0] % np.uint64(buckets))], [b"R" + _pack(*columns)])
         node = np.concatenate([x[0] for x in sent])
         shift = np.cumsum([0, *[len(x[0]) for x in sent]])
         who = np.concatenate([x[1] + s for x, s in zip(sent, shift)])
@@ -200,7 +201,7 @@ def _send(buckets: int):
             ids = part.column("doc_id")
             rows.append((
                 ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).view(np.uint8),
-                part.column("check").to_numpy(zero_copy_only=False), n.astype(np.int64), node,
+                *[part.column(c).to_numpy(zero_copy_only=False) for c in ("hash0", "hash1")], n.astype(np.int64), node,
                 slacks[0], slacks[1],
             ))
             size += len(raw)
@@ -218,7 +219,7 @@ def _found(kind: int, rows: int, **columns) -> pa.RecordBatch:
         return columns.get(name, pa.nulls(rows, t))
 
     types = {
-        "doc_id": pa.int64(), "check": pa.int64(), "n": pa.int64(), "node": pa.int64(), "slack0": pa.int32(),
+        "doc_id": pa.int64(), "hash0": pa.int64(), "hash1": pa.int64(), "n": pa.int64(), "node": pa.int64(), "slack0": pa.int32(),
         "slack1": pa.int32(), "key": pa.int64(), "members": pa.list_(pa.int64()), "times": pa.int64(),
     }
     return pa.RecordBatch.from_pydict(
@@ -236,10 +237,10 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("blob").to_pylist():
             if blob[:1] == b"R":
-                ids, null, check, n, node, slack0, slack1 = _unpack(blob[1:], ROW_KINDS)
+                ids, null, hash0, hash1, n, node, slack0, slack1 = _unpack(blob[1:], ROW_KINDS)
                 yield _found(
-                    ROW, len(ids), doc_id=pa.array(ids, mask=null.astype(bool)), check=pa.array(check), n=pa.array(n),
-                    node=pa.array(node.view(np.int64)), slack0=pa.array(slack0), slack1=pa.array(slack1),
+                    ROW, len(ids), doc_id=pa.array(ids, mask=null.astype(bool)), hash0=pa.array(hash0), hash1=pa.array(hash1),
+                    n=pa.array(n), node=pa.array(node.view(np.int64)), slack0=pa.array(slack0), slack1=pa.array(slack1),
                 )
                 continue
             node, local, side, low = _unpack(blob[1:], PIECE_KINDS)
@@ -628,7 +629,7 @@ def _family_links(rarest: DataFrame, sets: DataFrame, count: int) -> DataFrame:
 
 
 def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: `doc_id`, `check` (crc32 of the text), `n_shingles`, `component_id`.
+    """One row per document: `doc_id`, `hash0`, `hash1` (of the text), `n_shingles`, `component_id`.
 
     Documents link when their sets of five-word shingles have a Jaccard similarity of 0.75
     or more; `component_id` is the smallest id that a document reaches by links. Words are
@@ -647,14 +648,12 @@ def _labelled(df: DataFrame, key: str, text: str) -> DataFrame:
     """`link_documents` with the `_label` of each component, also of those without ids; NULL
     for rows without shingles."""
     docs = df.select(
-        F.col(key).cast("bigint").alias("doc_id"),
-        F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("check"),
-        F.col(text).cast("binary").alias("text"),
+        F.col(key).cast("bigint").alias("doc_id"), *content_key(F.col(key), F.col(text)), F.col(text).cast("binary").alias("text")
     )
     count = parts(df)
     sent = docs.mapInArrow(_send(count), "bucket int, blob binary")
     found = stored(sent.repartitionById(count, "bucket").mapInArrow(_group, FOUND), "pieces")
-    rows = found.filter(F.col("kind") == ROW).select("doc_id", "check", "n", "node", "slack0", "slack1")
+    rows = found.filter(F.col("kind") == ROW).select("doc_id", *KEY, "n", "node", "slack0", "slack1")
     full = rows.filter("n > 0")
     lists = found.filter(F.col("kind") == LIST).groupBy("members").agg(F.sum("times").alias("times"))
     hot = found.filter(F.col("kind") == HOT).select("node", "key", F.col("n").alias("side"))
@@ -668,12 +667,12 @@ def _labelled(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     none = F.lit(2**63 - 1)
     chosen = (
-        full.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("_id"), "check")).alias("_d"))
+        full.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("_id"), *KEY)).alias("_d"))
         .join(nodes, "node", "left_semi")
-        .select("node", F.col("_d")["_id"].alias("_id"), F.col("_d")["check"].alias("check"))
+        .select("node", *[F.col("_d")[c].alias(c) for c in ("_id", *KEY)])
     )
-    texts = docs.select(F.coalesce("doc_id", none).alias("_id"), "check", "text").join(
-        chosen.hint("shuffle_hash"), ["_id", "check"]
+    texts = docs.select(F.coalesce("doc_id", none).alias("_id"), *KEY, "text").join(
+        chosen.hint("shuffle_hash"), ["_id", *KEY]
     )
     sets = stored(texts.select("node", "text").mapInArrow(_sets, "node bigint, hashes binary, sketch binary"), "sets")
 
@@ -693,9 +692,9 @@ def _labelled(df: DataFrame, key: str, text: str) -> DataFrame:
     named = stored(named, "classes")
     component = named.groupBy("label").agg(F.min("_least").alias("component_id"))
     by_node = stored(named.join(component, "label").select("node", "component_id", "label"), "classes")
-    linked = full.join(by_node, "node").select("doc_id", "check", F.col("n").alias("n_shingles"), "component_id", F.col("label").alias("_label"))
+    linked = full.join(by_node, "node").select("doc_id", *KEY, F.col("n").alias("n_shingles"), "component_id", F.col("label").alias("_label"))
     alone = rows.filter("n = 0").select(
-        "doc_id", "check", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+        "doc_id", *KEY, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
         F.lit(None).cast("bigint").alias("_label"),
     )
     return linked.unionByName(alone)
@@ -708,16 +707,16 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     links, not by their ids: of unrelated texts that share an id, or have none, all stay. In a
     component without ids the rows of one text stay.
     """
-    check = F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
     none = F.lit(2**63 - 1)
-    linked = _labelled(df, key, text).withColumn("_k", F.coalesce("doc_id", none))
+    names = ["_k", *[f"_{c}" for c in KEY]]
+    linked = _labelled(df, key, text).withColumn("_k", F.coalesce("doc_id", none)).withColumnsRenamed({c: f"_{c}" for c in KEY})
     # Of the rows with the least id of a component, those of the least text.
     heads = (
         linked.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("_label")
-        .agg(F.min(F.struct("_k", "check")).alias("_d"))
-        .select(F.col("_d")["_k"].alias("_k"), F.col("_d")["check"].alias("_check"))
-        .unionByName(linked.filter("n_shingles = 0").select("_k", F.col("check").alias("_check")))
-        .distinct()
+        .agg(F.min(F.struct(*names)).alias("_d")).select("_d.*")
+        .unionByName(linked.filter("n_shingles = 0").select(*names)).distinct()
     )
-    marked = df.withColumns({"_k": F.coalesce(F.col(key).cast("bigint"), none), "_check": check})
-    return marked.dropDuplicates(["_k", "_check"]).join(heads, ["_k", "_check"], "left_semi").drop("_k", "_check")
+    marked = df.select("*", F.coalesce(F.col(key).cast("bigint"), none).alias("_k"), *[
+        c.alias(f"_{n}") for n, c in zip(KEY, content_key(F.col(key), F.col(text)))
+    ])
+    return marked.dropDuplicates(names).join(heads, names, "left_semi").drop(*names)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import chunks, groups_of, mixed, parts, ranges, text_bytes
+from quillmesh.llm.common import chunks, content_key, groups_of, mixed, parts, ranges, text_bytes
 from quillmesh.llm.hashing import PrefixHash, sliding_min
 
 WINDOW = 50
@@ -229,6 +229,7 @@ def _settle(raw, anchor, whole, start, count, doc):
 
 
 def _pack(*columns: np.ndarray) -> bytes:
+    columns = [np.r_[c["hash0"], c["hash1"]] if c.dtype == CHECK else c for c in columns]
     body = b"".join(c.tobytes() for c in columns)
     head = struct.pack(f"<{len(columns) + 1}q", len(columns), *[c.nbytes for c in columns])
     return zstandard.ZstdCompressor(level=1).compress(head + body)
@@ -240,14 +241,22 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     sizes = struct.unpack_from(f"<{n + 1}q", data)[1:]
     found, at = [], 8 * (n + 1)
     for size, kind in zip(sizes, kinds):
-        found.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        if np.dtype(kind) == CHECK:
+            halves = np.frombuffer(data, np.int64, size // 8, at).reshape(2, -1)
+            checks = np.empty(halves.shape[1], CHECK)
+            checks["hash0"], checks["hash1"] = halves
+            found.append(checks)
+        else:
+            found.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
         at += size
     return found
 
 
-STRETCH_KINDS = (np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint8)
-SPAN_KINDS = (np.int64, np.int64, np.int32, np.int64, np.int64)
-ANCHOR_KINDS = (np.int64, np.int64, np.int32, np.uint8, np.uint8)
+# What tells apart the texts of one id, and those without; see `content_key`.
+CHECK = np.dtype([("hash0", np.int64), ("hash1", np.int64)])
+STRETCH_KINDS = (np.int64, CHECK, np.int32, np.int32, np.uint8, np.uint8)
+SPAN_KINDS = (np.int64, CHECK, np.int32, np.int64, np.int64)
+ANCHOR_KINDS = (np.int64, CHECK, np.int32, np.uint8, np.uint8)
 NO_IDS = np.empty(0, np.int64)
 SENT = "bucket int, blob binary"
 
@@ -260,7 +269,7 @@ def _batch(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 
 def _by_document(mark: bytes, buckets: int, ids, checks, owner, *values) -> Iterator[pa.RecordBatch]:
     """Values of documents, packed per bucket of the document."""
-    place = mixed(ids.astype(np.uint64) + checks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+    place = mixed(ids.astype(np.uint64) + checks["hash0"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
     order = np.lexsort((owner, place[owner]))
     owner, values = owner[order], [v[order] for v in values]
     numbers, blobs = [], []
@@ -275,10 +284,12 @@ def _by_document(mark: bytes, buckets: int, ids, checks, owner, *values) -> Iter
 
 def _one_per_document(ids, checks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct documents of several lists, and the number of each entry's."""
-    order = np.lexsort((checks, ids))
+    order = np.lexsort((checks["hash1"], checks["hash0"], ids))
     i, c = ids[order], checks[order]
     new = np.ones(len(order), bool)
-    new[1:] = (i[1:] != i[:-1]) | (c[1:] != c[:-1])
+    new[1:] = i[1:] != i[:-1]
+    for half in CHECK.names:
+        new[1:] |= c[half][1:] != c[half][:-1]
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     return i[new], c[new], number
@@ -472,7 +483,9 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     for part in chunks(batches, "text", size):
         raw, at = text_bytes(part.column("text"))
         ids = part.column("_id").to_numpy(zero_copy_only=False)
-        checks = part.column("_check").to_numpy(zero_copy_only=False)
+        checks = np.empty(len(ids), CHECK)
+        for half in CHECK.names:
+            checks[half] = part.column(f"_{half}").to_numpy(zero_copy_only=False)
         if len(raw) <= 2 * size:
             yield ids, checks, raw, at, np.zeros(len(ids), np.int64), part
             continue
@@ -562,7 +575,7 @@ def _gathered(kinds: tuple):
             f, n = first[i : i + 4096], size[i : i + 4096]
             yield pa.RecordBatch.from_pydict({
                 "_id": pa.array(ids[owner[f]], pa.int64()),
-                "_check": pa.array(checks[owner[f]], pa.int64()),
+                **{f"_{half}": pa.array(checks[half][owner[f]], pa.int64()) for half in CHECK.names},
                 "_values": pa.array([packed[a : a + k].tobytes() for a, k in zip(f, n)], pa.binary()),
             })
 
@@ -690,26 +703,29 @@ def _cut(batches: Iterator[pa.RecordBatch], characters: bool) -> Iterator[pa.Rec
         )
 
 
+NAMES = ["_id", *[f"_{half}" for half in CHECK.names]]
+
+
 def _keyed(df: DataFrame, key: str, text: str) -> list:
     return [
         F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("_id"),
-        F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("_check"),
+        *[c.alias(f"_{half}") for half, c in zip(CHECK.names, content_key(F.col(key), F.col(text)))],
         F.col(text).cast("binary").alias("text"),
     ]
 
 
 def _repeated_spans(rows: DataFrame, buckets: int) -> DataFrame:
-    """The spans to remove, a row per document that has any: `_id`, `_check` (crc32 of the
+    """The spans to remove, a row per document that has any: `_id`, `_hash0`, `_hash1` (of the
     text), `_values` (pairs of 64-bit numbers: first byte and the byte behind the last)."""
-    found = "_id bigint, _check bigint, _values binary"
+    found = "_id bigint, _hash0 bigint, _hash1 bigint, _values binary"
     anchors = (
-        rows.select("_id", "_check", "text").mapInArrow(_send_anchors(buckets, 4 << 20), SENT).repartitionById(buckets, "bucket")
+        rows.select(*NAMES, "text").mapInArrow(_send_anchors(buckets, 4 << 20), SENT).repartitionById(buckets, "bucket")
         .mapInArrow(_shared_anchors(buckets), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(_gathered((np.int64, np.int64, np.int32, np.uint64)), found)
+        .mapInArrow(_gathered((np.int64, CHECK, np.int32, np.uint64)), found)
         .withColumnRenamed("_values", "_anchors")
     )
     # All columns, so that this join and that with the spans share one shuffle of the texts.
-    sharing = rows.join(anchors.hint("shuffle_hash"), ["_id", "_check"])
+    sharing = rows.join(anchors.hint("shuffle_hash"), NAMES)
     return (
         sharing.mapInArrow(_send(buckets, 4 << 20), SENT).repartitionById(buckets, "bucket")
         .mapInArrow(_compare(buckets), SENT).repartitionById(buckets, "bucket")
@@ -732,10 +748,10 @@ def remove_repeats(
     stay whole. Repeated rows are cut alike. An empty table gives no rows. Columns that
     would clash with the new ones are replaced.
     """
-    rest = [c for c in df.columns if c not in (text, "n_bytes", "kept", "n_removed", "removed", "_id", "_check", "_spans")]
+    rest = [c for c in df.columns if c not in (text, "n_bytes", "kept", "n_removed", "removed", *NAMES, "_spans")]
     rows = df.select(*_keyed(df, key, text), *[F.col(f"`{c}`") for c in rest])
     spans = _repeated_spans(rows, parts(df)).withColumnRenamed("_values", "_spans")
-    joined = rows.join(spans.hint("shuffle_hash"), ["_id", "_check"], "left").drop("_id", "_check")
+    joined = rows.join(spans.hint("shuffle_hash"), NAMES, "left").drop(*NAMES)
     same = [f for f in joined.schema.fields if f.name not in ("text", "_spans")]
     added = StructType.fromDDL(
         f"n_bytes bigint, kept {'string' if characters else 'binary'}, n_removed bigint, "

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -84,6 +85,16 @@ def test_keep_one_of_each_component(spark):
     assert sum(i is None and not (t or "").strip() for i, t in kept) == 2
 
 
+def test_texts_of_equal_crc32(spark):
+    """Rows without id, or of one id, are told apart by more than 32 bits."""
+    one, two = "plumless now and then", "buckeroo now and then"
+    assert zlib.crc32(one.encode()) == zlib.crc32(two.encode())
+    df = spark.createDataFrame([(None, one), (None, two), (7, two), (7, one), (None, one)], "doc_id long, text string")
+    assert ordered(jaccard_join.keep_one(df).collect()) == ordered([(7, one), (7, two)])
+    alone = df.filter("doc_id IS NULL")
+    assert ordered(jaccard_join.keep_one(alone).collect()) == ordered([(None, one), (None, two)])
+
+
 def test_pieces_allow_for_the_difference():
     """A set has more pieces of its own than two linked sets of its bands can differ in."""
     rng = np.random.default_rng(1)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -50,6 +51,15 @@ def test_empty_and_clashing_columns(spark):
     assert [(r.other, bytes(r.kept)) for r in rows] == [("k", b"x" * 60), ("l", b"")]
 
 
+def test_texts_of_equal_crc32(spark):
+    """Spans of one text are not cut out of another."""
+    rest = "".join(random.Random(4).choice("abc d") for _ in range(80))
+    one, two = "plumless" + rest, "buckeroo" + rest
+    assert zlib.crc32(one.encode()) == zlib.crc32(two.encode())
+    rows = [(1, one), (None, one), (None, two), (5, two + " " + rest[::-1]), (5, one + " " + rest[::-1])]
+    assert digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == repeats(rows)
+
+
 def test_whole_characters(spark):
     """A cut inside a character takes all of it, and only it."""
     shared = "é" * 25
