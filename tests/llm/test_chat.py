@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from brute import collapsed, ordered
@@ -45,6 +46,24 @@ def test_gaps(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_blocks_of_equal_turn_numbers(spark):
+    """No segment has more turns than a block, also where all have one number or none."""
+    rows = [(None, i % 3 if i % 4 else None, "user", f"{i % 70};") for i in range(700)] + [(None, 1, "user", "same;")] * 90
+    rows += [(5, 1000 * i, "user", f"{i};") for i in range(10)]
+    found = chat.format_chats(spark.createDataFrame(rows, SCHEMA).repartition(4), block=8).collect()
+    for c, count in ((None, 790), (5, 10)):
+        mine = sorted((r for r in found if r.conv_id == c), key=lambda r: r.segment)
+        sizes = [r.text.count("<|im_start|>") for r in mine]
+        assert [r.segment for r in mine] == list(range(len(mine))) and sum(sizes) == count == mine[0].n_turns
+        assert all(n == 8 for n in sizes[:-1]) and sizes[-1] <= 8
+        texts = re.findall(r"user\n([^;]*;)", "".join(r.text for r in mine))
+        at = 0
+        for turn in sorted({t for x, t, _, _ in rows if x == c}, key=lambda t: (t is None, t or 0)):
+            expected = sorted(text for x, t, _, text in rows if x == c and t == turn)
+            assert sorted(texts[at : at + len(expected)]) == expected
+            at += len(expected)
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     df = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()
