@@ -4,6 +4,10 @@ Paragraphs pass points for their length and their commas to the elements around
 full number to the parent, half of it to the grandparent and less further up. An element's
 points are discounted by the share of its text that lies in links. The best container is
 kept, with those siblings that look like parts of the same article.
+
+Names of menus, adverts, comments and the like drop an element outside of articles. Inside one,
+and for blocks of text, a name that may as well be a title lowers the points, and drops the
+element only if its links or its length say the same. Headings are not judged by name.
 """
 
 from __future__ import annotations
@@ -60,6 +64,20 @@ UNLIKELY = re.compile(
     r"|sidebar|cookie|comment|advert|newsletter",
     re.I,
 )
+# Names that leave no doubt: a whole class or id, with words that only say what kind of box.
+CERTAIN = re.compile(
+    r"(?:^|\s)(?:(?:article|block|entry|js|page|post|reader|site|the|user|wp)[-_])*(?:ads?|advert\w*|adsense|adbox|combx"
+    r"|comments?|commentlist|consent|cookies?|disqus|gdpr|newsletter|outbrain|pagination|popover|popup|promo\w*"
+    r"|share|sharing|shoutbox|side-?bar|sponsor\w*|subscribe\w*|taboola|toolbar|user-?content-?comments)"
+    r"(?:[-_](?:area|banner|bar|block|box|buttons?|container|form|links?|list|notice|section|thread|unit|wrapper|\d+))*(?:$|\s)",
+    re.I,
+)
+HEADINGS = {"h2", "h3", "h4", "h5", "h6"}
+TEXT_BLOCKS = {"p", "span", "blockquote", "pre", "li", "dd", "dt", "td", "th", "figcaption", "caption"}
+# A text under a doubtful name is dropped if so much of it lies in links, or if its class has
+# the name and it is shorter.
+LINKED_SHARE = 0.33
+SHORT = 80
 ROLES = {
     "navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
     "menubar", "form", "toolbar",
@@ -78,11 +96,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "children", "hint", "dropped", "points", "size", "linked", "links")
+    __slots__ = ("name", "parent", "children", "hint", "dropped", "doubt", "points", "size", "linked", "links")
 
     def __init__(self, name: str, parent: Element | None, hint: str = "", dropped: bool = False) -> None:
         self.name, self.parent, self.hint, self.dropped = name, parent, hint, dropped
         self.children: list[Element | str] = []
+        # 1: its id has a doubtful name, 2: its class.
+        self.doubt = 0
         self.points = 0.0
         self.size = self.linked = self.links = 0
 
@@ -95,20 +115,41 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _unwanted(name: str, values: dict[str, str], stack: list[Element]) -> bool:
+    """Whether an element is dropped without a look at what it holds."""
     if name in DROPPED:
         return True
     if name == "header":  # the head of the page, not that of an article
         return not any(e.name in ("article", "main") for e in stack)
     if name in ("html", "body", "article", "main", "p", "h1", "a", "b", "i", "em", "strong", "span", "br"):
         hidden = "hidden" in values and name not in ("html", "body", "article", "main")
-        if name in ("p", "span") and UNLIKELY.search(f"{values.get('class', '')} {values.get('id', '')}"):
-            return True
-        return hidden
+        return hidden or name in ("p", "span") and _by_name(name, values, stack)
     if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role", "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
         return True
-    return bool(UNLIKELY.search(values.get("class", "")) or UNLIKELY.search(values.get("id", "")))
+    return _by_name(name, values, stack)
+
+
+def _by_name(name: str, values: dict[str, str], stack: list[Element]) -> bool:
+    """Whether class or id alone drop an element; else `_doubt` and what it holds decide."""
+    if name in HEADINGS or not _doubt(name, values):
+        return False
+    if CERTAIN.search(values.get("class", "")):
+        return True
+    if name in TEXT_BLOCKS:
+        return False
+    return bool(CERTAIN.search(values.get("id", ""))) or not any(e.name in ("article", "main") for e in stack)
+
+
+def _doubt(name: str, values: dict[str, str]) -> int:
+    if name in ("html", "body", "article", "main", "h1", "a", "b", "i", "em", "strong", "br") or name in HEADINGS:
+        return 0
+    return 2 if UNLIKELY.search(values.get("class", "")) else int(bool(UNLIKELY.search(values.get("id", ""))))
+
+
+def _rejected(e: Element) -> bool:
+    """Whether links or length confirm what a doubtful name says."""
+    return bool(e.doubt and e.size) and (_density(e) >= LINKED_SHARE or (e.doubt == 2 and e.size < SHORT))
 
 
 def parse(page: str) -> Element:
@@ -164,6 +205,7 @@ def parse(page: str) -> Element:
             name, stack[-1], f"{values.get('class', '')} {values.get('id', '')} {values.get('itemprop', '')}".strip(),
             stack[-1].dropped or _unwanted(name, values, stack),
         )
+        element.doubt = 0 if element.dropped else _doubt(name, values)
         stack[-1].children.append(element)
         if name in VOID:
             continue
@@ -230,7 +272,7 @@ def _score(elements: list[Element]) -> None:
         elif e.name == "main":
             e.points += 20
         elif e.name in ("div", "section"):
-            e.points += 5 * bool(LIKELY.search(e.hint))
+            e.points += 5 * bool(LIKELY.search(e.hint)) - 5 * bool(e.doubt)
         paragraph = _paragraph(e)
         if not paragraph:
             continue
@@ -292,7 +334,7 @@ def main_text(page: str | None) -> str:
         # Lists and boxes that are nothing but links are menus.
         if e.name in ("ul", "ol", "div", "section", "table") and e.links >= 3 and _density(e) >= 0.8:
             e.dropped = True
-        elif e.parent is not None and e.parent.dropped:
+        elif _rejected(e) or (e.parent is not None and e.parent.dropped):
             e.dropped = True
     _score(elements)
     scored = [e for e in elements if not e.dropped and e.name in CONTAINERS and e.size and e.points > 0]

@@ -36,6 +36,26 @@ def test_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+NAMES = ["search-algorithm", "related-work", "legal-issues", "social-impact", "feedback", "navigation", "discussion"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_titles_as_names(name):
+    """Ids made from titles, and classes that may as well be titles, drop no article text."""
+    page = f"<article><h2 id='{name}'>T</h2><p>{LONG}</p><section id='{name}'><p id='{name}'>One.</p></section>"
+    assert html_text.main_text(f"{page}<div class='{name}'>{LONG}</div></article>") == f"T {LONG} One. {LONG}"
+    assert html_text.main_text(f"<div><h3 id='{name}'>T</h3><p id='{name}'>{LONG}</p></div>") == f"T {LONG}"
+
+
+@pytest.mark.parametrize("box", [
+    "<div class='related'><a href=1>One more</a> and <a href=2>another</a></div>", "<div class='feedback'>Was it of use?</div>",
+    "<div class='comments'><p>{0}</p></div>", "<section id='post-comments'><p>{0}</p></section>", "<div class='ad-box'>{0}</div>",
+    "<div id='share-buttons'>{0}</div>", "<p class='ad'>{0}</p>", "<section id='related'><a href=1>{0}</a></section>",
+])
+def test_boxes_inside_articles(box):
+    assert html_text.main_text(f"<article><p>{LONG}</p>{box.format(LONG)}</article>") == LONG
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "word" + "</div>" * 20_000
     assert html_text.main_text(deep) == "word"
