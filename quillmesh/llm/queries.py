@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, chat, decontamination, html_text, jaccard_join, quality, sharding, suffix_dedup, token_counts, warc
+from quillmesh.llm import (
+    bpe, chat, decontamination, html_text, jaccard_join, prefix_trie, quality, sharding, suffix_dedup, token_counts, warc,
+)
 from quillmesh.llm.catalog import ORACLES, QUERIES, query
 from quillmesh.llm.common import shared_folder, stored, table
 
@@ -176,3 +178,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
+
+_CRC32 = """
+xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::INTEGER, 1))::BIGINT)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))))
+"""
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n, {_CRC32} % 9 AS h FROM t GROUP BY c),
+k AS (SELECT a.c, a.h, least(a.h, coalesce(b.n, 0)) AS given FROM n a LEFT JOIN n b ON b.c = a.c - a.c % 5),
+r AS (
+  SELECT k.c, place, role, text FROM k JOIN t ON t.c = k.c - k.c % 5 AND place < h
+  UNION ALL SELECT k.c, given + place - h, role, text FROM k JOIN t ON t.c = k.c AND place >= h),
+p AS (
+  SELECT c, place + 1 AS d, strlen(text) AS b,
+         string_agg(role || chr(30) || text || chr(31), '') OVER (PARTITION BY c ORDER BY place) AS seq FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM k),
+ended AS (SELECT seq, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(seq, d) AS seq FROM p GROUP BY c) GROUP BY seq),
+u AS (SELECT d, seq, min(c) AS c, count(*) AS members, any_value(b) AS b FROM p GROUP BY d, seq),
+up AS (SELECT u.d, u.seq, p.seq AS above FROM u JOIN p ON p.c = u.c AND p.d = u.d - 1),
+kids AS (SELECT above AS seq, d - 1 AS d, count(*) AS n FROM up GROUP BY ALL),
+below AS (
+  SELECT p.d, p.seq, sum((u.members - 1) * u.b) AS saved, count(CASE WHEN kids.n IS NULL THEN 1 END) AS leaves
+  FROM u LEFT JOIN kids ON kids.d = u.d AND kids.seq = u.seq JOIN p ON p.c = u.c AND p.d <= u.d GROUP BY p.d, p.seq)
+SELECT u.c AS conv_id, u.d::BIGINT AS depth, v.c AS parent_conv_id, u.members::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM u JOIN below ON below.d = u.d AND below.seq = u.seq
+LEFT JOIN kids ON kids.d = u.d AND kids.seq = u.seq
+LEFT JOIN up ON up.d = u.d AND up.seq = u.seq LEFT JOIN u v ON v.d = up.d - 1 AND v.seq = up.above
+LEFT JOIN ended ON ended.seq = u.seq
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations")).drop("_l1", "_l2")
