@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import (
-    bpe, chat, decontamination, html_text, jaccard_join, prefix_trie, quality, sharding, suffix_dedup, token_counts, warc,
+    bpe, chat, decontamination, filter_audit, html_text, jaccard_join, prefix_trie, quality, sharding, suffix_dedup, token_counts, warc,
 )
 from quillmesh.llm.catalog import ORACLES, QUERIES, query
 from quillmesh.llm.common import shared_folder, stored, table
@@ -217,3 +217,40 @@ LEFT JOIN ended ON ended.seq = u.seq
 @query("op11_prefix_trie", OP11_SQL)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations")).drop("_l1", "_l2")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS bad FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT doc_id, part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, list_concat(
+    CASE WHEN len(w) < 200 THEN ['A'] ELSE [] END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN ['B'] ELSE [] END,
+    CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN ['C'] ELSE [] END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN ['D'] ELSE [] END,
+    CASE WHEN coalesce(doc_id, 9223372036854775807) > min(doc_id) OVER (PARTITION BY text) THEN ['E'] ELSE [] END) AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+kinds AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM failing GROUP BY part, f),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT part, f, n, good, bad, o, step, substr(o, step::INTEGER, 1) AS own,
+                 list_min(list_transform(f, lambda y: strpos(o, y))) AS gone
+          FROM kinds, orders, range(1, 6) s(step)),
+rows AS (
+  SELECT part, o AS filter_order, step, own, sum(CASE WHEN gone IS NULL OR gone > step THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN list_contains(f, own) AND gone < step THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN f = [own] THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN gone = step THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM steps GROUP BY part, o, step, own)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM rows
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return filter_audit.audit_filters(docs, table(spark, sf_dir, "labels"))
