@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import (
-    bpe, chat, decontamination, filter_audit, html_text, jaccard_join, prefix_trie, quality, sharding, suffix_dedup, token_counts, warc,
+    bpe, chat, decontamination, filter_audit, html_text, jaccard_join, personal_data, prefix_trie, quality, sharding, suffix_dedup, token_counts, warc,
 )
 from quillmesh.llm.catalog import ORACLES, QUERIES, query
 from quillmesh.llm.common import shared_folder, stored, table
@@ -254,3 +254,14 @@ SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return filter_audit.audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{kind}") for i, kind in enumerate(personal_data.KINDS)],
+        F.sha2(personal_data.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        personal_data.listed(F.col("spans")).alias("spans"),
+    )
