@@ -2,9 +2,10 @@
 
 One scan of the texts finds spans. Those of the strict patterns (`base`) are results as they
 are. Looser forms (an address written with "at" and "dot", a telephone number without its
-country, a card number that fails its check digit, an address of eight hexadecimal groups) are
-candidates. On all spans six labelers vote yes, no or nothing: the pattern, a gazetteer, the
-words around, the characters beside the span, its grouping, and the variety of its digits.
+country, a card number beside another number or with a wrong check digit, an address of eight
+hexadecimal groups) are candidates. On all spans six labelers vote yes, no or nothing: the
+pattern, a gazetteer, the words around, the characters beside the span, its grouping, and the
+variety of its digits.
 
 Nobody has labelled these spans, so expectation-maximisation estimates per kind how reliable
 each labeler is when it votes, and how likely each pattern of votes is to be personal data. A
@@ -46,6 +47,7 @@ SPELLED = re.compile(
     r"\s{0,2}(?:\[at\]|\(at\)|\{at\}|\bat\b)\s{0,2}([a-z0-9-]{1,63}(?:\s{0,2}(?:\[dot\]|\(dot\)|\{dot\}|\bdot\b)\s{0,2}[a-z0-9-]{1,63}){1,4})", re.I
 )
 HEXED = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4})?+(?::[0-9A-Fa-f]{0,4}){3,7}+(?![0-9A-Za-z:])")
+RUN = re.compile(r"(?<![0-9])[0-9]{12,19}(?![0-9])")
 GROUPED = re.compile(r"(?:\(?[0-9])(?:[ ()./-]{0,2}+[0-9])++")
 
 # The gazetteers.
@@ -152,6 +154,8 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
             written, digits = m.group(), _digits(m.group())
             if 12 <= len(digits) <= 19:
                 found.append((CARD, m.start(), m.end()))
+            elif len(digits) > 19:
+                found += [(CARD, m.start() + n.start(), m.start() + n.end()) for n in RUN.finditer(written)]
             elif 7 <= len(digits) <= 11 and (not written.isdigit() or written[0] == "0"):
                 found.append((PHONE, m.start(), m.end()))
     return found
@@ -211,13 +215,13 @@ def _variety(digits: str) -> int:
     return 0 if len(set(digits)) <= 2 or len(steps) == 1 else 1
 
 
-def describe(text: str, kind: int, start: int, end: int, valid: bool, strict: bool) -> tuple[int, int]:
+def describe(text: str, kind: int, start: int, end: int, valid: bool, failed: bool) -> tuple[int, int]:
     """The code of the votes on a span and that of its features, each with the kind in front."""
     written = text[start:end]
     digits = _digits(written)
     left, right = _beside(text[start - 1 : start] if start else ""), _beside(text[end : end + 1])
     context, listed = _context(text, kind, start, end), _listed(kind, written, digits)
-    pattern = 2 if valid else 0 if strict else 1
+    pattern = 2 if valid else 0 if failed or kind == CARD else 1
     beside = 0 if 2 in (left, right) else 2 if left == 0 else 1
     code = kind
     for vote in (pattern, listed, context, beside, _grouping(kind, written, digits), _variety(digits)):
@@ -239,7 +243,8 @@ def spans_of(text: str) -> list[tuple[int, int, int, bool, int, int]]:
     strict = strict_spans(text)
     found = [(s, k, e, True) for k, s, e, holds in strict if holds]
     taken = sorted((s, e) for s, _, e, _ in found)
-    failed = {(k, s, e) for k, s, e, holds in strict if not holds}
+    # A chain of more digits than a card has may still hold one.
+    failed = {(k, s, e) for k, s, e, holds in strict if not holds and (k != CARD or len(_digits(text[s:e])) <= 19)}
     others = sorted({(s, k, e) for k, s, e in failed} | {(s, k, e) for k, s, e in loose_spans(text)})
     at, end = 0, 0
     for s, k, e in others:
@@ -250,7 +255,8 @@ def spans_of(text: str) -> list[tuple[int, int, int, bool, int, int]]:
             end = e
     rows = []
     for s, k, e, base in sorted(found):
-        rows.append((s, k, e, base, *describe(text, k, s, e, base, base or (k, s, e) in failed)))
+        valid = base or k == CARD and luhn(_digits(text[s:e]))
+        rows.append((s, k, e, base, *describe(text, k, s, e, valid, (k, s, e) in failed)))
     return rows
 
 
