@@ -232,18 +232,12 @@ def read_formula(df: DataFrame, formula: str, prefix: str = "") -> DataFrame:
     return parse_clauses(bracket_steps(split_formula(df, formula, prefix), prefix), prefix)
 
 
-def formula_domain(df: DataFrame, prefixes: tuple[str, ...] = ("truth_", "pred_")) -> DataFrame:
-    """Add `t_min, t_max, x_min, x_max` over the clauses of all the given formulas."""
-    clauses = F.concat(*[F.col(f"{p}parsed") for p in prefixes])
+def formula_domain(clauses: Column) -> Column:
+    """`t_min, t_max, x_min, x_max` over parsed clauses, of one formula or of several."""
     picks = {
         "t_min": ("t_lo", F.array_min),
         "t_max": ("t_hi", F.array_max),
         "x_min": ("x_lo", F.array_min),
         "x_max": ("x_hi", F.array_max),
     }
-    domain = let(
-        clauses, lambda all_: F.struct(*[pick(all_[f]).alias(n) for n, (f, pick) in picks.items()])
-    )
-    return df.withColumn("_domain", domain).withColumns(
-        {n: F.col(f"_domain.{n}") for n in picks}
-    ).drop("_domain")
+    return let(clauses, lambda all_: F.struct(*[pick(all_[f]).alias(n) for n, (f, pick) in picks.items()]))

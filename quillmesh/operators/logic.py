@@ -1,9 +1,13 @@
 """Truth of formulas on a grid of linear profiles u(t) = m t + b, and their overlap.
 
-Cells are (profile, time). The offsets b of one slope are the bits of one BIGINT, so a
-clause is one number per (slope, time), `and` / `or` are single bit operations and a
-count is `bit_count`. Everything of one pair of formulas happens in its row: scoring
-needs no shuffle and no grid of rows.
+Cells are (profile, time). The offsets b of one slope are the bits of BIGINT words, 62 in
+each, so a clause is one number per (slope, word, time), `and` / `or` are single bit
+operations and a count is `bit_count`. A (slope, word) is called a plane; planes have nothing
+to do with each other, so a grid may have any number of offsets.
+
+Formulas are looked up, not pairs: each distinct text is read once, each distinct (formula,
+domain) turned into masks once, and pairs only meet their masks. What moves are hashes of
+texts and masks; the rows of a table move once, when they meet their scores.
 
 Two facts keep the numbers exact and few. For `<, <=, >, >=` the hardest grid point x is
 one of the two ends, because the expression is linear. And for a fixed slope and time the
@@ -20,17 +24,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import indexes, last, let
-from quillmesh.functions.joins import salted_join
+from quillmesh.functions.joins import lookup_join, salted_join
+from quillmesh.functions.text import as_column
 from quillmesh.operators.formulas import AND, formula_domain, read_formula
 
 # Fixed value: steps per axis of the time and position grids.
 AXIS_STEPS = 50
 _EDGE = 1e-7
+# Bits of a word: sums of two words stay below the sign of a BIGINT.
+WORD = 62
+DOMAIN = ["t_min", "t_max", "x_min", "x_max"]
 
 
 @dataclass(frozen=True)
 class ProfileGrid:
-    """Slopes and offsets of the profiles; the offsets of a slope share one BIGINT."""
+    """Slopes and offsets of the profiles; 62 offsets of a slope share one BIGINT."""
 
     # The ranges that slopes and offsets are taken from.
     m_min: float = -7.0
@@ -41,8 +49,8 @@ class ProfileGrid:
     b_steps: int = 50
 
     def __post_init__(self) -> None:
-        if not (1 <= self.b_steps <= 62 and self.m_steps >= 1):
-            raise ValueError("1 to 62 offsets and at least one slope")
+        if self.b_steps < 1 or self.m_steps < 1:
+            raise ValueError("at least one offset and one slope")
 
     @staticmethod
     def _points(low: float, high: float, steps: int) -> list[float]:
@@ -59,8 +67,24 @@ class ProfileGrid:
         return self._points(self.b_min, self.b_max, self.b_steps)
 
     @property
-    def full(self) -> int:
-        return (1 << self.b_steps) - 1
+    def words(self) -> list[int]:
+        """Offsets in each word of a slope."""
+        return [min(WORD, self.b_steps - at) for at in range(0, self.b_steps, WORD)]
+
+    @property
+    def planes(self) -> int:
+        return self.m_steps * len(self.words)
+
+    def slope_of(self, plane: Column) -> Column:
+        many = len(self.words)
+        return plane if many == 1 else F.floor(plane / many).cast("int")
+
+    def word_of(self, plane: Column) -> Column:
+        return F.lit(0) if len(self.words) == 1 else plane % len(self.words)
+
+    def full(self, plane: Column) -> Column:
+        """The mask of all offsets of a plane."""
+        return F.get(_whole([(1 << n) - 1 for n in self.words]), self.word_of(plane))
 
 
 def profile_grid(spark: SparkSession, grid: ProfileGrid = ProfileGrid()) -> DataFrame:
@@ -104,7 +128,11 @@ def _axis(low: Column, high: Column, backwards: Column) -> Column:
     )
 
 
-def _prepare(clause: Column, domain: Column, align: str) -> Column:
+def _gap(grid: ProfileGrid) -> float:
+    return grid.offsets[1] - grid.offsets[0] if grid.b_steps > 1 else 1.0
+
+
+def _prepare(clause: Column, domain: Column, align: str, grid: ProfileGrid) -> Column:
     """What a clause needs on the grid, worked out once per clause.
 
     `times` are the grid times inside its interval, with `lead` vacuous ones before and
@@ -146,6 +174,12 @@ def _prepare(clause: Column, domain: Column, align: str) -> Column:
         # the true ones, or for the opposite comparisons the false ones.
         sign = F.when(backwards, -1.0).otherwise(1.0)
         true_first = below != backwards
+        first = F.when(backwards, grid.offsets[-1]).otherwise(grid.offsets[0])
+
+        def target(level: Column) -> Column:
+            place = sign * (clause["threshold"] + level - first) / _gap(grid)
+            return F.struct(level.alias("level"), place.alias("target"))
+
         return F.struct(
             clause["operator"].alias("operator"),
             clause["comparison"].alias("comparison"),
@@ -156,9 +190,11 @@ def _prepare(clause: Column, domain: Column, align: str) -> Column:
             (clause["comparison"].isin("<=", ">=") == true_first).alias("closed_run"),
             (sign * clause["threshold"]).alias("limit"),
             (sign * F.when(below, F.array_min(ends)).otherwise(F.array_max(ends))).alias("level"),
-            F.when(ordered, F.array().cast("array<double>"))
-            .otherwise(F.transform(found["places"], expression))
+            F.when(ordered, F.array().cast("array<struct<level:double,target:double>>"))
+            .otherwise(F.transform(F.array_distinct(F.transform(found["places"], expression)), target))
             .alias("levels"),
+            (F.abs(clause["threshold"]) + F.greatest(F.abs(F.get(ends, F.lit(0))), F.abs(F.get(ends, F.lit(1)))) + F.abs(first))
+            .alias("largest"),
             times.alias("times"),
             lead.alias("lead"),
             (found["all"] - lead - F.size(times)).alias("tail"),
@@ -171,19 +207,6 @@ def _prepare(clause: Column, domain: Column, align: str) -> Column:
     return let(axes, inside)
 
 
-def prepare_clauses(df: DataFrame, prefix: str, align: str = "reference") -> DataFrame:
-    """Add `prepared` to a formula whose domain is known (`formula_domain`)."""
-    if align not in ("reference", "time"):
-        raise ValueError(f"unknown alignment: {align}")
-    domain = F.struct("t_min", "t_max", "x_min", "x_max")
-    prepared = let(
-        domain, lambda d: F.transform(F.col(f"{prefix}parsed"), lambda c: _prepare(c, d, align))
-    )
-    # A formula that could not be read is not evaluated at all.
-    usable = (F.col("status") == "ok") & F.col("t_min").isNotNull()
-    return df.withColumn(f"{prefix}prepared", F.when(usable, prepared))
-
-
 def _run_length(clause: Column, base: Column, grid: ProfileGrid) -> Column:
     """How many offsets, from the first, give values on the low side of the limit.
 
@@ -191,7 +214,7 @@ def _run_length(clause: Column, base: Column, grid: ProfileGrid) -> Column:
     where rounding puts the estimate off, halving finds it with the same comparison.
     """
     infinity = float("inf")
-    count, gap = grid.b_steps, grid.offsets[1] - grid.offsets[0] if grid.b_steps > 1 else 1.0
+    count, gap = grid.b_steps, _gap(grid)
     rising, turned = grid.offsets, [-b for b in reversed(grid.offsets)]
     # Offset i (from 1) at place i, with an always low one before and never low ones behind.
     tail = [infinity] * (2 ** count.bit_length() - count)
@@ -218,60 +241,88 @@ def _run_length(clause: Column, base: Column, grid: ProfileGrid) -> Column:
     )
 
 
-def _ordered_truth(clause: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
+def _ordered_truth(clause: Column, plane: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
     """Bits of the offsets whose profile meets a `<, <=, >, >=` clause at `time`."""
-    lower = _whole([(1 << n) - 1 for n in range(grid.b_steps + 1)])
+    lower = _whole([(1 << n) - 1 for n in range(max(grid.words) + 1)])
     sign = F.when(clause["mirrored"], -1.0).otherwise(1.0)
 
+    def inside(run: Column) -> Column:
+        # How much of the run lies in the word of the plane.
+        if len(grid.words) == 1:
+            return run
+        size = F.get(_whole(grid.words, "int"), grid.word_of(plane))
+        return F.least(F.greatest(run - grid.word_of(plane) * WORD, F.lit(0)), size)
+
     def bits(base: Column) -> Column:
-        run = F.get(lower, _run_length(clause, base, grid))
-        return F.when(clause["true_first"], run).otherwise(run.bitwiseXOR(F.lit(grid.full)))
+        run = F.get(lower, inside(_run_length(clause, base, grid)))
+        return F.when(clause["true_first"], run).otherwise(run.bitwiseXOR(grid.full(plane)))
 
     return let(sign * (slope * time), bits)
 
 
-def _equal_truth(clause: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
-    """The same for `=` and `!=`, tested at every position of every profile."""
-    single = _whole([1 << n for n in range(grid.b_steps)])
-    offsets = F.when(clause["mirrored"], _numbers(grid.offsets[::-1])).otherwise(
-        _numbers(grid.offsets)
-    )
-    wanted = clause["comparison"] == "="
+def _equal_truth(clause: Column, plane: Column, slope: Column, time: Column, grid: ProfileGrid) -> Column:
+    """The same for `=` and `!=`, which are tested at every position.
+
+    A position is met by one offset at most, whose place is its `target` less the value at
+    offset 0 in steps of the grid. Only positions whose place is nearly whole are compared
+    exactly; where numbers are so large that rounding could reach another offset, every offset
+    is tested at every position.
+    """
+    single = _whole([1 << n for n in range(max(grid.words))])
+    full, none = grid.full(plane), F.lit(0).cast("bigint")
+    size, start = F.get(_whole(grid.words, "int"), grid.word_of(plane)), grid.word_of(plane) * WORD
+    offsets = F.when(clause["mirrored"], _numbers(grid.offsets[::-1])).otherwise(_numbers(grid.offsets))
+    scale = F.when(clause["mirrored"], F.lit(-1 / _gap(grid))).otherwise(F.lit(1 / _gap(grid)))
+    equal = clause["comparison"] == "="
 
     def bits(base: Column) -> Column:
-        def holds(offset: Column) -> Column:
-            value = lambda level: base + offset - level == clause["threshold"]
-            return F.forall(clause["levels"], lambda level: value(level) == wanted)
-
-        return F.aggregate(
-            indexes(F.lit(grid.b_steps)),
-            F.lit(0).cast("bigint"),
-            lambda mask, j: F.when(
-                holds(F.get(offsets, j)), mask.bitwiseOR(F.get(single, j))
-            ).otherwise(mask),
-        )
+        def meets(level: Column, j: Column) -> Column:
+            # The bit of offset j of the word where its profile meets the level.
+            here = (j >= 0) & (j < size) & (base + F.get(offsets, start + j) - level == clause["threshold"])
+            return F.when(here, F.get(single, j)).otherwise(none)
+
+        def by_place(shift: Column) -> Column:
+            place = lambda x: x["target"] - shift
+            near = F.filter(clause["levels"], lambda x: F.abs(place(x) - F.rint(place(x))) < 1e-3)
+            within = F.filter(near, lambda x: (place(x) > -1) & (place(x) < grid.b_steps))
+            return F.transform(within, lambda x: meets(x["level"], F.rint(place(x)).cast("int") - start))
+
+        def everywhere(x: Column) -> Column:
+            return F.aggregate(indexes(size), none, lambda mask, j: mask.bitwiseOR(meets(x["level"], j)))
+
+        def read(found: Column) -> Column:
+            # `=` needs every position, and those that are no candidates meet nothing.
+            all_ = F.aggregate(found, full, lambda a, b: a.bitwiseAND(b))
+            any_ = F.aggregate(found, none, lambda a, b: a.bitwiseOR(b))
+            whole = F.size(found) == F.size(clause["levels"])
+            return F.when(equal, F.when(whole, all_).otherwise(none)).otherwise(any_.bitwiseXOR(full))
+
+        small = clause["largest"] + F.abs(base) < 1e9 * _gap(grid)
+        places = F.when(small, let(base * scale, by_place)).otherwise(F.transform(clause["levels"], everywhere))
+        return let(places, read)
 
     return let(slope * time, bits)
 
 
-def _slope(clause: Column, place: Column, grid: ProfileGrid) -> Column:
+def _slope(clause: Column, plane: Column, grid: ProfileGrid) -> Column:
+    place = grid.slope_of(plane)
     mirrored = F.get(_numbers(grid.slopes[::-1]), place)
     return F.when(clause["mirrored"], mirrored).otherwise(F.get(_numbers(grid.slopes), place))
 
 
-def truth_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
-    """One mask per non-vacuous time for the slope at `place`."""
+def truth_masks(clause: Column, plane: Column, grid: ProfileGrid) -> Column:
+    """One mask per non-vacuous time for one plane."""
 
     def masks(m: Column) -> Column:
         return F.when(
             clause["ordered"],
-            F.transform(clause["times"], lambda t: _ordered_truth(clause, m, t, grid)),
-        ).otherwise(F.transform(clause["times"], lambda t: _equal_truth(clause, m, t, grid)))
+            F.transform(clause["times"], lambda t: _ordered_truth(clause, plane, m, t, grid)),
+        ).otherwise(F.transform(clause["times"], lambda t: _equal_truth(clause, plane, m, t, grid)))
 
-    return let(_slope(clause, place, grid), masks)
+    return let(_slope(clause, plane, grid), masks)
 
 
-def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
+def closed_masks(clause: Column, plane: Column, grid: ProfileGrid) -> Column:
     """One mask per grid time after `always` (G) or `eventually` (F) along each profile.
 
     always: false wherever the profile fails once, except at vacuous times behind the
@@ -279,12 +330,11 @@ def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
     For the four order comparisons u moves one way in time, so the first and the last
     time decide, unless an `eventually` grows harder with time.
     """
-    full, none = F.lit(grid.full).cast("bigint"), F.lit(0).cast("bigint")
+    full, none = grid.full(plane), F.lit(0).cast("bigint")
     times, lead = clause["times"], clause["lead"]
     count = F.size(times)
     tail = F.array_repeat(full, clause["tail"])
     every = lambda masks: F.aggregate(masks, full, lambda a, b: a.bitwiseAND(b))
-    any_ = lambda masks: F.aggregate(masks, none, lambda a, b: a.bitwiseOR(b))
 
     def closed(masks: Column, to_come: Column) -> Column:
         always = let(every(masks), lambda a: F.concat(F.array_repeat(a, lead + count), tail))
@@ -292,7 +342,7 @@ def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
         return F.when(clause["operator"] == "G", always).otherwise(eventually)
 
     def by_ends(m: Column) -> Column:
-        at = lambda t: _ordered_truth(clause, m, t, grid)
+        at = lambda t: _ordered_truth(clause, plane, m, t, grid)
         ends = F.transform(F.array(F.get(times, F.lit(0)), last(times)), at)
 
         def read(first_last: Column) -> Column:
@@ -306,17 +356,14 @@ def closed_masks(clause: Column, place: Column, grid: ProfileGrid) -> Column:
         return let(ends, read)
 
     def by_all(m: Column) -> Column:
-        masks = F.transform(times, lambda t: _equal_truth(clause, m, t, grid))
-        return let(
-            masks,
-            lambda all_: closed(
-                all_, F.transform(all_, lambda _, i: any_(F.slice(all_, i + 1, count)))
-            ),
-        )
+        masks = F.transform(times, lambda t: _equal_truth(clause, plane, m, t, grid))
+        nothing = F.array().cast("array<bigint>")
+        add = lambda done, mask: F.concat(done, F.array(F.coalesce(last(done), none).bitwiseOR(mask)))
+        return let(masks, lambda all_: closed(all_, F.reverse(F.aggregate(F.reverse(all_), nothing, add))))
 
     return F.when(count == 0, F.concat(F.array_repeat(full, lead), tail)).otherwise(
         let(
-            _slope(clause, place, grid),
+            _slope(clause, plane, grid),
             lambda m: F.when(clause["ordered"], by_ends(m)).otherwise(by_all(m)),
         )
     )
@@ -339,52 +386,115 @@ def combine_masks(masks: Column, steps: Column) -> Column:
     return F.aggregate(steps, empty, step, lambda stack: F.get(stack, F.lit(0)))
 
 
-def formula(prefix: str) -> Column:
-    """What `formula_masks` needs of a read formula, to be bound once with `let`."""
-    return F.struct(
-        F.col(f"{prefix}prepared").alias("clauses"), F.col(f"{prefix}steps").alias("steps")
-    )
+def formula_masks(read: Column, grid: ProfileGrid) -> Column:
+    """The masks of a whole formula, all times of one plane after the other.
+
+    `read` has `clauses` (prepared ones) and `steps`.
+    """
+
+    def plane_masks(plane: Column) -> Column:
+        clauses = F.transform(read["clauses"], lambda c: closed_masks(c, plane, grid))
+        return let(clauses, lambda masks: combine_masks(masks, read["steps"]))
+
+    return F.flatten(F.transform(indexes(F.lit(grid.planes)), plane_masks))
+
+
+def formula_key(text: Column | str) -> Column:
+    """128 bits that stand for a formula; NULL is the empty text."""
+    return F.md5(F.coalesce(as_column(text), F.lit("")).cast("binary"))
+
+
+def _dealt(df: DataFrame, *key: str) -> DataFrame:
+    """Deal narrow rows of heavy work (milliseconds for some hundred bytes) out by key.
 
+    Adaptive execution would join their partitions by bytes, so the number is given: as many as
+    the session's shuffles have, and four for each core at least. The rows are distinct and lie
+    by a hash of the key, which no later join takes for its own exchange; that one stays free to
+    be split where a key is hot.
+    """
+    spark = df.sparkSession
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    least = 4 * spark.sparkContext.defaultParallelism
+    return df.repartition(max(least, int(usual) if usual.isdigit() else 0), F.xxhash64(*key))
 
-def formula_masks(read: Column, place: Column, grid: ProfileGrid) -> Column:
-    """One mask per time of a whole formula for the slope at `place`."""
-    clauses = F.transform(read["clauses"], lambda c: closed_masks(c, place, grid))
-    return let(clauses, lambda masks: combine_masks(masks, read["steps"]))
 
+def formula_dictionary(df: DataFrame, *columns: str) -> DataFrame:
+    """Every distinct formula of the given columns, read once: `formula` (its key) and `read`
+    (`status`, `parsed`, `steps`)."""
+    each = [F.struct(formula_key(c).alias("formula"), F.coalesce(c, F.lit("")).alias("text")) for c in columns]
+    texts = df.select(F.inline(F.array(*each))).distinct()
+    return read_formula(_dealt(texts, "formula"), "text").select("formula", F.struct("status", "parsed", "steps").alias("read"))
 
-def read_pair(df: DataFrame, truth: str, pred: str, align: str = "reference") -> DataFrame:
-    """Both formulas read, their common domain, and one `status` for the pair.
+
+def read_pairs(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """The distinct pairs of formulas: `_truth`, `_pred` (see `formula_key`), what was read of
+    both (`truth`, `pred`), their common domain and one `status`.
 
     `failed`: a formula cannot be read. `error`: it can, but has no value on the grid (an
     axis of width zero, an empty grouping, an expression that is not linear).
+
+    A pair is two lines that look their formula up and meet again, so the dictionary is in the
+    plan once. Reads are bound as whole values: every use of the pairs then has the same
+    exchange below it, and a plan that needs them twice computes them once.
     """
-    both = read_formula(read_formula(df, truth, "truth_"), pred, "pred_")
-    states = F.array("truth_status", "pred_status")
-    domain = formula_domain(both)
+    key = ["_truth", "_pred"]
+    pairs = df.select(formula_key(truth).alias("_truth"), formula_key(pred).alias("_pred")).distinct()
+    sides = [F.struct(F.lit(i).alias("_side"), F.col(c).alias("formula")) for i, c in enumerate(key)]
+    looked_up = lookup_join(pairs.select(*key, F.inline(F.array(*sides))), formula_dictionary(df, truth, pred), "formula")
+    of_side = lambda i: F.first(F.when(F.col("_side") == i, F.col("read")), ignorenulls=True)
+    both = looked_up.groupBy(*key).agg(of_side(0).alias("truth"), of_side(1).alias("pred"))
+    described = let(
+        F.array("truth", "pred"),
+        lambda reads: F.struct(
+            F.transform(reads, lambda f: f["status"]).alias("states"),
+            formula_domain(F.flatten(F.transform(reads, lambda f: f["parsed"]))).alias("domain"),
+        ),
+    )
+    found = both.withColumn("_found", described)
+    named = found.select(*key, "truth", "pred", "_found.states", *[F.col("_found.domain")[c].alias(c) for c in DOMAIN])
     flat = (F.col("t_min") == F.col("t_max")) | (F.col("x_min") == F.col("x_max"))
     status = (
-        F.when(F.array_contains(states, "failed"), "failed")
-        .when(F.array_contains(states, "error") | flat, "error")
+        F.when(F.array_contains("states", "failed"), "failed")
+        .when(F.array_contains("states", "error") | F.coalesce(flat, F.lit(True)), "error")
         .otherwise("ok")
     )
-    stated = domain.withColumn("status", status)
-    return prepare_clauses(prepare_clauses(stated, "truth_", align), "pred_", align)
+    return named.withColumn("status", status).drop("states")
 
 
-def _spread(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
-    """Scoring costs milliseconds per row of a few hundred bytes, so file splits are far
-    too coarse as units of work: deal the rows out by key. With `tasks` of 0 they stay."""
-    if tasks == 0:
-        return df
-    spark = df.sparkSession
-    usual = spark.conf.get("spark.sql.shuffle.partitions")
-    least = 4 * spark.sparkContext.defaultParallelism
-    return df.repartition(tasks or max(least, int(usual) if usual.isdigit() else 0), key)
+def _prepared(read: str, align: str, grid: ProfileGrid) -> Column:
+    """What the masks of a formula on the domain of its row are made of: `clauses`, `steps`."""
+    if align not in ("reference", "time"):
+        raise ValueError(f"unknown alignment: {align}")
+    return let(
+        F.struct(F.col(read).alias("read"), F.struct(*DOMAIN).alias("domain")),
+        lambda f: F.struct(
+            F.transform(f["read"]["parsed"], lambda c: _prepare(c, f["domain"], align, grid)).alias("clauses"),
+            f["read"]["steps"].alias("steps"),
+        ),
+    )
+
+
+def pair_masks(
+    df: DataFrame, truth: str = "sstl", pred: str = "predicted_sstl", align: str = "reference",
+    grid: ProfileGrid = ProfileGrid(),
+) -> DataFrame:
+    """The distinct pairs of formulas with the masks of both on their common domain: `_truth`,
+    `_pred` (see `formula_key`), `status`, the domain, `truth`, `pred` (NULL unless `ok`).
+
+    Many predictions share a true formula: its masks are made once per domain and joined. A
+    prediction has its masks made in its own row, once per distinct pair.
+    """
+    pairs = read_pairs(df, truth, pred)
+    masks = let(_prepared("_read", align, grid), lambda f: formula_masks(f, grid))  # built once for both sides
+    true = pairs.filter("status = 'ok'").groupBy("_truth", *DOMAIN).agg(F.first("truth").alias("_read"))
+    shared = _dealt(true, "_truth", *DOMAIN).select("_truth", *DOMAIN, masks.alias("truth"))
+    seen = lookup_join(pairs.drop("truth").withColumnRenamed("pred", "_read"), shared, ["_truth", *DOMAIN], "left")
+    return seen.withColumn("pred", F.when(F.col("status") == "ok", masks)).drop("_read")
 
 
 def formula_iou(
-    df: DataFrame, key: str, truth: str = "sstl", pred: str = "predicted_sstl",
-    align: str = "reference", grid: ProfileGrid = ProfileGrid(), tasks: int | None = None,
+    df: DataFrame, truth: str = "sstl", pred: str = "predicted_sstl",
+    align: str = "reference", grid: ProfileGrid = ProfileGrid(),
 ) -> DataFrame:
     """Add `both`, `either`, `iou` and `status`: overlap of two formulas over all cells.
 
@@ -392,34 +502,19 @@ def formula_iou(
     time step earlier, as published scores do; `align='time'` compares equal cells.
     An empty union scores 1; a pair without `ok` status has NULL.
     """
-    pairs = read_pair(_spread(df, key, tasks), truth, pred, align)
-    high = 1 << 32  # both counts of a row in one BIGINT: shared cells above, all cells below
-
-    def tally(pair: Column, total: Column, place: Column) -> Column:
-        def add(left: Column, right: Column) -> Column:
-            cells = F.zip_with(
-                left, right,
-                lambda a, b: F.bit_count(a.bitwiseAND(b)) * F.lit(high) + F.bit_count(a.bitwiseOR(b)),
-            )
-            return F.aggregate(cells, total, lambda n, c: n + c)
-
-        return let(
-            formula_masks(pair["truth"], place, grid),
-            lambda left: let(
-                formula_masks(pair["pred"], place, grid), lambda right: add(left, right)
-            ),
-        )
-
-    pair = F.struct(formula("truth_").alias("truth"), formula("pred_").alias("pred"))
-    slopes = indexes(F.lit(grid.m_steps))
-    cells = let(
-        pair,
-        lambda p: F.aggregate(slopes, F.lit(0).cast("bigint"), lambda n, i: tally(p, n, i)),
+    high = 1 << 32  # both counts of a pair in one BIGINT: shared cells above, all cells below
+    cells = F.zip_with(
+        "truth", "pred",
+        lambda a, b: F.bit_count(a.bitwiseAND(b)) * F.lit(high) + F.bit_count(a.bitwiseOR(b)),
     )
-    counts = F.when(F.col("status") == "ok", cells)
+    counts = F.aggregate(cells, F.lit(0).cast("bigint"), lambda n, c: n + c)
+    scores = pair_masks(df, truth, pred, align, grid).select(
+        "_truth", "_pred", F.when(F.col("status") == "ok", counts).alias("_cells"), "status"
+    )
+    keyed = df.withColumns({"_truth": formula_key(truth), "_pred": formula_key(pred)})
     score = F.when(F.col("either") == 0, 1.0).otherwise(F.col("both") / F.col("either"))
     return (
-        pairs.withColumn("_cells", counts)
+        lookup_join(keyed, scores, ["_truth", "_pred"])
         .withColumn("both", F.shiftright("_cells", 32))
         .withColumn("either", F.col("_cells").bitwiseAND(F.lit(high - 1)))
         .withColumn("iou", F.when(F.col("status") == "ok", score))
@@ -429,32 +524,34 @@ def formula_iou(
 
 def clause_truth(
     df: DataFrame, key: str, truth: str, pred: str, align: str = "reference",
-    grid: ProfileGrid = ProfileGrid(), tasks: int | None = None,
+    grid: ProfileGrid = ProfileGrid(),
 ) -> DataFrame:
-    """One row per (pair, formula, clause) with the masks of every slope.
+    """One row per (row of `df`, formula, clause) with the masks of every plane.
 
-    `truth` holds per slope the masks of the non-vacuous times, `closed` those of all
+    `truth` holds per plane the masks of the non-vacuous times, `closed` those of all
     times after the temporal operator.
     """
-    pairs = read_pair(_spread(df, key, tasks), truth, pred, align)
-    clauses = F.concat(_tagged("truth_"), _tagged("pred_"))
-    slopes = indexes(F.lit(grid.m_steps))
-    return (
-        pairs.select(key, F.inline(clauses))
-        .withColumn("truth", F.transform(slopes, lambda i: truth_masks(F.col("c"), i, grid)))
-        .withColumn("closed", F.transform(slopes, lambda i: closed_masks(F.col("c"), i, grid)))
-        .select(
-            key, "formula", "clause", "truth", "closed",
-            (F.col("c.lead") + F.col("c.tail")).alias("vacuous_times"),
-        )
-    )
+    planes = indexes(F.lit(grid.planes))
 
+    def described(clause: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("clause"),
+            F.transform(planes, lambda p: truth_masks(clause, p, grid)).alias("truth"),
+            F.transform(planes, lambda p: closed_masks(clause, p, grid)).alias("closed"),
+            (clause["lead"] + clause["tail"]).alias("vacuous_times"),
+        )
 
-def _tagged(prefix: str) -> Column:
-    name = prefix.rstrip("_")
-    return F.transform(
-        F.col(f"{prefix}prepared"),
-        lambda c, i: F.struct(F.lit(name).alias("formula"), i.alias("clause"), c.alias("c")),
+    pairs = read_pairs(df, truth, pred).filter("status = 'ok'")
+    sides = [F.struct(F.lit(c).alias("side"), F.col(f"_{c}").alias("formula"), F.col(c).alias("read")) for c in ("truth", "pred")]
+    each = pairs.select("_truth", "_pred", *DOMAIN, F.inline(F.array(*sides)))
+    distinct = each.groupBy("formula", *DOMAIN).agg(F.first("read").alias("read"))
+    clauses = _dealt(distinct, "formula", *DOMAIN).select(
+        "formula", *DOMAIN, let(_prepared("read", align, grid), lambda f: F.transform(f["clauses"], described)).alias("_clauses")
+    )
+    keyed = df.select(key, formula_key(truth).alias("_truth"), formula_key(pred).alias("_pred"))
+    wanted = lookup_join(keyed, each.drop("read"), ["_truth", "_pred"])
+    return lookup_join(wanted, clauses, ["formula", *DOMAIN]).select(
+        key, F.col("side").alias("formula"), F.inline("_clauses")
     )
 
 

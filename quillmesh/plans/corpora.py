@@ -80,7 +80,7 @@ def scored_examples(
     scored = scores.edit_distance(scored, "sstl", "predicted_sstl", "edit_distance_sstl")
     if "logits" in df.columns:
         scored = scores.perplexity(scored, "logits")
-    return logic.formula_iou(scored, key, "sstl", "predicted_sstl", align, grid)
+    return logic.formula_iou(scored, "sstl", "predicted_sstl", align, grid)
 
 
 def run_metrics(df: DataFrame, by: list[str]) -> DataFrame:

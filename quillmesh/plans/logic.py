@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.arrays import indexes, joined, let
+from quillmesh.functions.arrays import joined
+from quillmesh.functions.joins import lookup_join
 from quillmesh.operators import formulas, logic
 from quillmesh.plans.catalog import query, table
 
 SMALL = logic.ProfileGrid(m_steps=4, b_steps=4)
+WIDE = logic.ProfileGrid(m_steps=3, b_steps=100)
 # Key and size column of the tables that formula pairs are built from.
 PAIR_COLUMNS = {"part": ("p_partkey", "p_size"), "supplier": ("s_suppkey", "s_nationkey")}
 
@@ -27,55 +31,106 @@ def hundredths(value: Column) -> Column:
     return F.concat(F.when(value < 0, "-").otherwise(""), whole, F.lit("."), part)
 
 
-def clause_text(id_: Column, size: Column, k: int) -> Column:
+SIGNS = ["<", ">", "\\leq", "\\geq", "=", "!="]
+# Sums of the right-hand side of equations, so that some hold on the grids.
+LEVELS = [0, -500, 100]
+
+
+def clause_text(id_: Column, size: Column, k: Column | int) -> Column:
+    """The k-th clause, with any of the six comparisons; most equations have no slope."""
     start = 10 + (id_ * 7 + k * 3) % 20
     low = (id_ * 3 + k) % 40
-    signs = F.array(*[F.lit(s) for s in ("<", ">", "\\leq", "\\geq")])
+    sign = (id_ + 5 * k) % 6
+    threshold = (size + k) % 7 - 3
+    flat = (sign >= 4) & (id_ % 50 > 0)
+    slope = F.when(flat, 0).otherwise((id_ * 11 + k * 13) % 61 - 30)
+    level = F.get(F.array(*map(F.lit, LEVELS)), ((id_ + k) % 3).cast("int")) - threshold
+    intercept = F.when(sign >= 4, level).otherwise((id_ * 17 + k * 29) % 400 - 100)
     return F.concat(
         F.when((id_ + k) % 3 == 0, "F").otherwise("G"),
         F.lit("_[["), tenths(start), F.lit(", "), tenths(start + 5 + (size + k * 5) % 40),
         F.lit("]] (\\forall x \\in ["), low.cast("string"), F.lit(", "),
         (low + 20 + (size * 2 + k * 7) % 50).cast("string"),
-        F.lit("] (u(x) - ("), hundredths((id_ * 11 + k * 13) % 61 - 30), F.lit(" \\cdot x + "),
-        ((id_ * 17 + k * 29) % 400 - 100).cast("string"), F.lit(") "),
-        F.get(signs, ((id_ + 2 * k) % 4).cast("int")), F.lit(" "),
-        ((size + k) % 7 - 3).cast("string"), F.lit("))"),
+        F.lit("] (u(x) - ("), hundredths(slope), F.lit(" \\cdot x + "), intercept.cast("string"), F.lit(") "),
+        F.get(F.array(*map(F.lit, SIGNS)), sign.cast("int")), F.lit(" "), threshold.cast("string"), F.lit("))"),
     )
 
 
+# Groupings of up to four clauses, and the postfix steps each must give.
+PAIR_SHAPES = [
+    ("{0} \\land {1}", [0, 1, -1]),
+    ("{0} \\lor {1} \\land {2}", [0, 1, -2, 2, -1]),
+    ("({0} \\land {1}) \\lor {2}", [0, 1, -1, 2, -2]),
+    ("{0} \\land ({1} \\lor {2})", [0, 1, 2, -2, -1]),
+    ("{0} \\lor ({1} \\land ({2} \\lor {3}))", [0, 1, 2, 3, -2, -1, -2]),
+    ("({0} \\lor {1}) \\land ({2} \\lor {3})", [0, 1, -2, 2, 3, -2, -1]),
+]
+MOST = 4
+
+
+def shaped(shapes: list[str], clauses: str, which: Column, start: int = 0) -> Column:
+    """The clauses of an array column, from `start` on, put into the shape of that number."""
+    texts = []
+    for shape in shapes:
+        parts = re.split(r"\{(\d)\}", shape)
+        texts.append(F.concat(*[F.get(clauses, F.lit(start + int(x))) if i % 2 else F.lit(x) for i, x in enumerate(parts)]))
+    return F.get(F.array(*texts), which.cast("int"))
+
+
 def formula_pairs(spark, sf_dir, name: str = "part") -> DataFrame:
-    """A true and a predicted formula of two clauses per row; every 13th cannot be read."""
+    """A true and a predicted formula per row, of two to four clauses with nested groups.
+
+    Every 13th cannot be read; two in 17 have an axis of width zero.
+    """
     parts = table(spark, sf_dir, name)
     key, number = PAIR_COLUMNS[name]
     id_, size = F.col(key), F.col(number).cast("bigint")
-    both = lambda even: F.when(even, " \\land ").otherwise(" \\lor ")
-    truth = F.concat(clause_text(id_, size, 0), both(id_ % 2 == 0), clause_text(id_, size, 1))
-    pred = F.concat(clause_text(id_, size, 2), both(id_ % 5 < 3), clause_text(id_, size, 3))
-    unreadable = F.regexp_replace(pred, "^[GF]", "U")
-    return parts.select(
-        id_.alias("pair_id"),
-        truth.alias("sstl"),
-        F.when(id_ % 13 == 0, unreadable).otherwise(pred).alias("predicted_sstl"),
+    shapes = [shape for shape, _ in PAIR_SHAPES]
+    numbers = F.sequence(F.lit(0), F.lit(2 * MOST - 1))
+    texts = parts.select(
+        id_.alias("pair_id"), size.alias("size"), F.transform(numbers, lambda k: clause_text(id_, size, k)).alias("texts")
+    )
+    id_ = F.col("pair_id")
+    pairs = texts.select(
+        "pair_id", shaped(shapes, "texts", id_ % len(shapes)).alias("sstl"),
+        shaped(shapes, "texts", (id_ + F.col("size")) % len(shapes), MOST).alias("predicted_sstl"),
+    )
+
+    def written(text: Column) -> Column:
+        no_time = F.regexp_replace(text, r"\[\[[^\]]*\]\]", "[[1.5, 1.5]]")
+        no_place = F.regexp_replace(text, r"\\in \[[^\]]*\]", r"\\in [7, 7]")
+        return F.when(F.col("pair_id") % 17 == 5, no_time).when(F.col("pair_id") % 17 == 11, no_place).otherwise(text)
+
+    unreadable = F.regexp_replace("predicted_sstl", r"^(\(*)[GF]", "$1U")
+    return pairs.select(
+        "pair_id", written(F.col("sstl")).alias("sstl"),
+        written(F.when(F.col("pair_id") % 13 == 0, unreadable).otherwise(F.col("predicted_sstl"))).alias("predicted_sstl"),
     )
 
 
 def pairs_sql(name: str = "part") -> str:
+    """The clauses (`c`) of all pairs, from the numbers that the texts are written from, the
+    shapes, the `status` of the pairs and the domain (`dom`) of those that have a score."""
     key, number = PAIR_COLUMNS[name]
+    shapes = ", ".join(f"({i}, {max(steps) + 1}, {steps}::INTEGER[])" for i, (_, steps) in enumerate(PAIR_SHAPES))
     return f"""
+shapes(shape, n, steps) AS (VALUES {shapes}),
+states AS (
+  SELECT {key} AS pair_id, {number}::BIGINT AS s,
+         CASE WHEN {key} % 13 = 0 THEN 'failed' WHEN {key} % 17 IN (5, 11) THEN 'error' ELSE 'ok' END AS status FROM {name}),
 c AS (
-  SELECT pair_id, k, k // 2 AS side,
-         CASE WHEN (pair_id + k) % 3 = 0 THEN 'F' ELSE 'G' END AS op,
+  SELECT pair_id, status, side, i, steps, CASE WHEN (pair_id + k) % 3 = 0 THEN 'F' ELSE 'G' END AS op,
          t10 / 10.0::DOUBLE AS tl, (t10 + 5 + (s + k * 5) % 40) / 10.0::DOUBLE AS th,
-         x0::DOUBLE AS xl, (x0 + 20 + (s * 2 + k * 7) % 50)::DOUBLE AS xh,
-         ((pair_id * 11 + k * 13) % 61 - 30) / 100.0::DOUBLE AS slope,
-         ((pair_id * 17 + k * 29) % 400 - 100)::DOUBLE AS icpt,
-         (pair_id + 2 * k) % 4 AS sign, ((s + k) % 7 - 3)::DOUBLE AS thr
-  FROM (SELECT {key} AS pair_id, {number}::BIGINT AS s, k,
-               10 + ({key} * 7 + k * 3) % 20 AS t10, ({key} * 3 + k) % 40 AS x0
-        FROM {name}, range(4) r(k))),
+         x0::DOUBLE AS xl, (x0 + 20 + (s * 2 + k * 7) % 50)::DOUBLE AS xh, sign, thr::DOUBLE AS thr,
+         CASE WHEN sign >= 4 AND pair_id % 50 > 0 THEN 0 ELSE ((pair_id * 11 + k * 13) % 61 - 30) END / 100.0::DOUBLE AS slope,
+         CASE WHEN sign >= 4 THEN ({LEVELS})[((pair_id + k) % 3 + 1)::INTEGER] - thr ELSE (pair_id * 17 + k * 29) % 400 - 100 END::DOUBLE AS icpt
+  FROM (SELECT *, k // {MOST} AS side, k % {MOST} AS i, 10 + (pair_id * 7 + k * 3) % 20 AS t10, (pair_id * 3 + k) % 40 AS x0,
+               (pair_id + 5 * k) % 6 AS sign, (s + k) % 7 - 3 AS thr,
+               CASE WHEN k < {MOST} THEN pair_id % {len(PAIR_SHAPES)} ELSE (pair_id + s) % {len(PAIR_SHAPES)} END AS shape
+        FROM states, range({2 * MOST}) r(k)) JOIN shapes USING (shape) WHERE i < n),
 dom AS (
   SELECT pair_id, min(tl) AS t_min, max(th) AS t_max, min(xl) AS x_min, max(xh) AS x_max
-  FROM c WHERE pair_id % 13 <> 0 GROUP BY pair_id)"""
+  FROM c WHERE status = 'ok' GROUP BY pair_id)"""
 
 
 def point(i: str, low: str, high: str, back: str) -> str:
@@ -88,53 +143,120 @@ def point(i: str, low: str, high: str, back: str) -> str:
     return f"(CASE WHEN {back} THEN {backward} ELSE {forward} END)"
 
 
-def cells_sql(align: str, grid: logic.ProfileGrid = SMALL, name: str = "part") -> str:
-    """All (clause, profile, time) cells with their state and the closed truth."""
+def _holds(u: str) -> str:
+    """Whether a clause holds for a value of u: the ends of the positions decide for an order
+    comparison, every position for an equation."""
+    order = {0: "<", 1: ">", 2: "<=", 3: ">="}
+    cases = " ".join(f"WHEN {sign} THEN {u} - e1 {op} thr AND {u} - e2 {op} thr" for sign, op in order.items())
+    other = f"len(list_filter(es, lambda e: {u} - e {{op}} thr)) = 0"
+    return f"CASE sign {cases} WHEN 4 THEN {other.format(op='<>')} ELSE {other.format(op='=')} END"
+
+
+def times_sql(align: str, name: str) -> str:
+    """All (clause, time), with the slots at which the clause's interval begins and ends."""
     back = "op = 'F'" if align == "reference" else "false"
-    slopes, offsets = (f"(CAST({v} AS DOUBLE[]))" for v in (grid.slopes, grid.offsets))
-    n, m, b = grid.m_steps * grid.b_steps, grid.m_steps, grid.b_steps
     return f"""{pairs_sql(name)},
 prep AS (
-  SELECT *, slope * xs[1] + icpt AS e1, slope * xs[-1] + icpt AS e2, len(xs) AS nx FROM (
-    SELECT *, list_filter(list_transform(range(52), lambda i: {point('i', 'x_min', 'x_max', back)}),
-                          lambda v: v >= xl AND v <= xh) AS xs FROM c JOIN dom USING (pair_id))),
+  SELECT *, es[1] AS e1, es[-1] AS e2 FROM (
+    SELECT *, {back} AS back, len(xs) AS nx, list_distinct(list_transform(xs, lambda x: slope * x + icpt)) AS d,
+           list_transform(xs, lambda x: slope * x + icpt) AS es
+    FROM (SELECT *, list_filter(list_transform(range(52), lambda i: {point('i', 'x_min', 'x_max', back)}),
+                                lambda v: v >= xl AND v <= xh) AS xs FROM c JOIN dom USING (pair_id)))),
 raw AS (
-  SELECT pair_id, side, k, op, thr, sign, e1, e2, p, t, nx > 0 AND t >= tl AND t <= th AS inside,
-         slot, CASE WHEN {back} THEN {slopes}[{m} - p // {b}] ELSE {slopes}[p // {b} + 1] END * t
-           + CASE WHEN {back} THEN {offsets}[{b} - p % {b}] ELSE {offsets}[p % {b} + 1] END AS u
-  FROM (SELECT *, {point('slot', 't_min', 't_max', back)} AS t FROM prep, range(52) g(slot)), range({n}) h(p)),
+  SELECT pair_id, side, i, steps, op, back, thr, sign, e1, e2, d AS es, slot, t, nx > 0 AND t >= tl AND t <= th AS inside
+  FROM (SELECT *, {point('slot', 't_min', 't_max', back)} AS t FROM prep, range(52) g(slot)))"""
+
+
+def _constants(grid: logic.ProfileGrid) -> tuple[str, str]:
+    return tuple(f"(CAST({v} AS DOUBLE[]))" for v in (grid.slopes, grid.offsets))
+
+
+def cells_sql(align: str, grid: logic.ProfileGrid = SMALL, name: str = "part") -> str:
+    """Every (clause, profile, time) with its state and the closed truth, and `closed`: per
+    slope and time the profiles for which the clause holds, as bits."""
+    slopes, offsets = _constants(grid)
+    m, b = grid.m_steps, grid.b_steps
+    return f"""{times_sql(align, name)},
 cells AS (
-  SELECT *, CASE WHEN NOT inside THEN NULL
-    WHEN sign = 0 THEN u - e1 < thr AND u - e2 < thr WHEN sign = 1 THEN u - e1 > thr AND u - e2 > thr
-    WHEN sign = 2 THEN u - e1 <= thr AND u - e2 <= thr ELSE u - e1 >= thr AND u - e2 >= thr END AS state FROM raw),
+  SELECT pair_id, side, i, steps, op, slot, p, CASE WHEN inside THEN {_holds('u')} END AS state
+  FROM (SELECT *, CASE WHEN back THEN {slopes}[{m} - p // {b}] ELSE {slopes}[p // {b} + 1] END * t
+           + CASE WHEN back THEN {offsets}[{b} - p % {b}] ELSE {offsets}[p % {b} + 1] END AS u FROM raw, range({m * b}) h(p))),
 seen AS (
   SELECT *, max(CASE WHEN NOT state THEN slot END) OVER w AS last_false,
             max(CASE WHEN state THEN slot END) OVER w AS last_true
-  FROM cells WINDOW w AS (PARTITION BY pair_id, k, p)),
+  FROM cells WINDOW w AS (PARTITION BY pair_id, side, i, p)),
+shut AS (
+  SELECT *, CASE WHEN op = 'G' THEN last_false IS NULL OR (state IS NULL AND slot > last_false)
+                 ELSE state IS NULL OR coalesce(slot <= last_true, false) END AS v FROM seen),
 closed AS (
-  SELECT pair_id, side, k, p, slot, state,
-         CASE WHEN op = 'G' THEN last_false IS NULL OR (state IS NULL AND slot > last_false)
-              ELSE state IS NULL OR coalesce(slot <= last_true, false) END AS v FROM seen),
-formula AS (
-  SELECT pair_id, side, p, slot,
-         CASE WHEN (side = 0 AND pair_id % 2 = 0) OR (side = 1 AND pair_id % 5 < 3) THEN bool_and(v) ELSE bool_or(v) END AS v
-  FROM closed GROUP BY pair_id, side, p, slot)"""
-
-
-def iou_sql(align: str, grid: logic.ProfileGrid = SMALL, name: str = "part") -> str:
-    key = PAIR_COLUMNS[name][0]
-    return f"""WITH {cells_sql(align, grid, name)},
+  SELECT pair_id, side, i, steps, p // {b} AS m, slot, bit_or(CASE WHEN v THEN 1::HUGEINT << (p % {b})::INTEGER ELSE 0::HUGEINT END) AS mask
+  FROM shut GROUP BY ALL)"""
+
+
+def masks_sql(align: str, grid: logic.ProfileGrid, name: str) -> str:
+    """`closed` without a row per cell: the offsets of a slope are bits from the start.
+
+    One comparison per offset is written out; only an equation over several different values
+    tests a list of them.
+    """
+    slopes, offsets = _constants(grid)
+    m, b = grid.m_steps, grid.b_steps
+    full = f"{(1 << b) - 1}::BIGINT"
+
+    def bits(offs: list[float], op: str, ends: tuple[str, ...]) -> str:
+        terms = (" AND ".join(f"base + {o!r}::DOUBLE - {e} {op} thr" for e in ends) for o in offs)
+        return " + ".join(f"(({term})::BIGINT << {j})" for j, term in enumerate(terms))
+
+    def by_sign(offs: list[float]) -> str:
+        order = [("<", 0), (">", 1), ("<=", 2), (">=", 3)]
+        cases = [f"WHEN sign = {sign} THEN {bits(offs, op, ('e1', 'e2'))}" for op, sign in order]
+        cases += [f"WHEN sign = {sign} AND len(es) = 1 THEN {bits(offs, op, ('e1',))}" for op, sign in (("=", 4), ("<>", 5))]
+        several = f"list_sum(list_transform(range({b}), lambda j: ({_holds(f'(base + (CAST({offs} AS DOUBLE[]))[j + 1])')})::BIGINT << j))"
+        return f"CASE {' '.join(cases)} ELSE {several}::BIGINT END"
+
+    return f"""{times_sql(align, name)},
+spread AS MATERIALIZED (
+  SELECT *, CASE WHEN back THEN {slopes}[{m} - m] ELSE {slopes}[m + 1] END * t AS base FROM raw, range({m}) h(m)),
+planes AS (
+  SELECT pair_id, side, i, steps, op, m, slot, inside,
+         CASE WHEN NOT inside THEN NULL WHEN back THEN {by_sign(grid.offsets[::-1])} ELSE {by_sign(grid.offsets)} END AS mask
+  FROM spread),
+closed AS (
+  SELECT pair_id, side, i, steps, m, slot,
+         CASE WHEN op = 'F' THEN CASE WHEN inside THEN bit_or(mask) OVER later ELSE {full} END
+              WHEN slot > max(CASE WHEN inside THEN slot END) OVER whole THEN {full}
+              ELSE coalesce(bit_and(mask) OVER whole, {full}) END AS mask
+  FROM planes
+  WINDOW whole AS (PARTITION BY pair_id, side, i, m),
+         later AS (PARTITION BY pair_id, side, i, m ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+# The postfix steps of a formula, one at a time, over a stack of masks.
+FOLD_SQL = """
+fold AS (
+  SELECT pair_id, side, m, slot, any_value(steps) AS steps, list(mask::HUGEINT ORDER BY i) AS masks, 1 AS step, []::HUGEINT[] AS stack
+  FROM closed GROUP BY pair_id, side, m, slot
+  UNION ALL
+  SELECT pair_id, side, m, slot, steps, masks, step + 1,
+         CASE WHEN steps[step] >= 0 THEN list_append(stack, masks[steps[step] + 1])
+              WHEN steps[step] = -1 THEN list_append(stack[:-3], stack[-2] & stack[-1])
+              ELSE list_append(stack[:-3], stack[-2] | stack[-1]) END
+  FROM fold WHERE step <= len(steps)),
+formula AS (SELECT pair_id, side, m, slot, stack[1] AS mask FROM fold WHERE step = len(steps) + 1)"""
+
+
+def iou_sql(closed: str) -> str:
+    return f"""WITH RECURSIVE {closed},{FOLD_SQL},
 overlap AS (
-  SELECT pair_id, sum((a.v AND b.v)::INT)::BIGINT AS "both", sum((a.v OR b.v)::INT)::BIGINT AS either
-  FROM formula a JOIN formula b USING (pair_id, p, slot) WHERE a.side = 0 AND b.side = 1 GROUP BY pair_id)
-SELECT {key} AS pair_id, "both", either,
-       round(CASE WHEN either = 0 THEN 1.0::DOUBLE ELSE "both"::DOUBLE / either END, 9) AS iou,
-       CASE WHEN {key} % 13 = 0 THEN 'failed' ELSE 'ok' END AS status
-FROM {name} LEFT JOIN overlap ON pair_id = {key}"""
+  SELECT pair_id, sum(bit_count(a.mask & b.mask))::BIGINT AS "both", sum(bit_count(a.mask | b.mask))::BIGINT AS either
+  FROM formula a JOIN formula b USING (pair_id, m, slot) WHERE a.side = 0 AND b.side = 1 GROUP BY pair_id)
+SELECT states.pair_id, "both", either,
+       round(CASE WHEN either = 0 THEN 1.0::DOUBLE ELSE "both"::DOUBLE / either END, 9) AS iou, status
+FROM states LEFT JOIN overlap USING (pair_id)"""
 
 
 def _scores(df: DataFrame, **options) -> DataFrame:
-    scored = logic.formula_iou(df, "pair_id", **options)
+    scored = logic.formula_iou(df, **options)
     return scored.select(
         "pair_id",
         F.col("both").cast("bigint"),
@@ -144,36 +266,42 @@ def _scores(df: DataFrame, **options) -> DataFrame:
     )
 
 
-@query("formula_iou", iou_sql("reference"))
+@query("formula_iou", iou_sql(cells_sql("reference")))
 def formula_iou(spark, sf_dir):
     return _scores(formula_pairs(spark, sf_dir), grid=SMALL)
 
 
-@query("formula_iou_time", iou_sql("time"))
+@query("formula_iou_time", iou_sql(cells_sql("time")))
 def formula_iou_time(spark, sf_dir):
     return _scores(formula_pairs(spark, sf_dir), grid=SMALL, align="time")
 
 
-@query("formula_iou_full")
+@query("formula_iou_full", iou_sql(masks_sql("reference", logic.ProfileGrid(), "part")))
 def formula_iou_full(spark, sf_dir):
-    """The full grid of 2,500 profiles, too many cells for the SQL on whole tables."""
+    """The full grid of 2,500 profiles; the SQL holds the offsets of a slope as bits."""
     return _scores(formula_pairs(spark, sf_dir))
 
 
-@query("formula_iou_suppliers", iou_sql("reference", logic.ProfileGrid(), "supplier"))
+@query("formula_iou_suppliers", iou_sql(cells_sql("reference", logic.ProfileGrid(), "supplier")))
 def formula_iou_suppliers(spark, sf_dir):
     """The full grid on a table small enough for the SQL to visit every cell."""
     return _scores(formula_pairs(spark, sf_dir, "supplier"))
 
 
+@query("formula_iou_wide", iou_sql(cells_sql("reference", WIDE, "supplier")))
+def formula_iou_wide(spark, sf_dir):
+    """More offsets than a word has bits."""
+    return _scores(formula_pairs(spark, sf_dir, "supplier"), grid=WIDE)
+
+
 @query(
     "clause_truth",
     f"""WITH {cells_sql("reference")}
-        SELECT pair_id, CASE WHEN side = 0 THEN 'truth' ELSE 'pred' END AS formula, k % 2 AS clause,
+        SELECT pair_id, CASE WHEN side = 0 THEN 'truth' ELSE 'pred' END AS formula, i::BIGINT AS clause,
                sum(coalesce(state, false)::INT)::BIGINT AS n_true,
                sum((NOT coalesce(state, true))::INT)::BIGINT AS n_false,
                sum((state IS NULL)::INT)::BIGINT AS n_vacuous, sum(v::INT)::BIGINT AS n_closed
-        FROM closed GROUP BY pair_id, side, k""",
+        FROM shut GROUP BY pair_id, side, i""",
 )
 def clause_truth(spark, sf_dir):
     masks = logic.clause_truth(
@@ -181,7 +309,7 @@ def clause_truth(spark, sf_dir):
     )
     held = logic.count_bits(F.col("truth"))
     profiles = SMALL.m_steps * SMALL.b_steps
-    tested = F.size(F.flatten("truth")) * SMALL.b_steps
+    tested = F.size(F.get("truth", F.lit(0))) * profiles
     return masks.select(
         "pair_id", "formula", F.col("clause").cast("bigint"),
         held.alias("n_true"),
@@ -193,68 +321,71 @@ def clause_truth(spark, sf_dir):
 
 @query(
     "combine_clauses",
-    f"""WITH {cells_sql("reference")}
-        SELECT p_partkey AS pair_id, sum((side = 0 AND v)::INT)::BIGINT AS truth_cells,
-               sum((side = 1 AND v)::INT)::BIGINT AS pred_cells
-        FROM part LEFT JOIN formula ON pair_id = p_partkey GROUP BY p_partkey""",
+    f"""WITH RECURSIVE {cells_sql("reference")},{FOLD_SQL}
+        SELECT states.pair_id, sum(CASE WHEN side = 0 THEN bit_count(mask) WHEN side = 1 THEN 0 END)::BIGINT AS truth_cells,
+               sum(CASE WHEN side = 1 THEN bit_count(mask) WHEN side = 0 THEN 0 END)::BIGINT AS pred_cells, any_value(status) AS status
+        FROM states LEFT JOIN formula USING (pair_id) GROUP BY states.pair_id""",
 )
 def combine_clauses(spark, sf_dir):
-    pairs = logic.read_pair(formula_pairs(spark, sf_dir).repartition("pair_id"), "sstl", "predicted_sstl")
-    slopes = indexes(F.lit(SMALL.m_steps))
-    cells = lambda prefix: let(
-        logic.formula(prefix),
-        lambda f: logic.count_bits(
-            F.transform(slopes, lambda i: logic.formula_masks(f, i, SMALL))
-        ),
-    )
-    known = F.col("status") == "ok"
-    return pairs.select(
+    """Cells in which each formula of a pair holds, NULL for pairs without a domain."""
+    pairs = formula_pairs(spark, sf_dir)
+    count = lambda side: logic.count_bits(F.array(side)).alias(f"{side}_cells")
+    masks = logic.pair_masks(pairs, grid=SMALL).select("_truth", "_pred", count("truth"), count("pred"), "status")
+    keyed = pairs.select("pair_id", logic.formula_key("sstl").alias("_truth"), logic.formula_key("predicted_sstl").alias("_pred"))
+    return lookup_join(keyed, masks, ["_truth", "_pred"]).select(
         "pair_id",
-        F.when(known, cells("truth_")).alias("truth_cells"),
-        F.when(known, cells("pred_")).alias("pred_cells"),
+        *[F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in ("truth_cells", "pred_cells")],
+        "status",
     )
 
 
 @query(
     "formula_domain",
-    f"""WITH {pairs_sql()} SELECT p_partkey AS pair_id, t_min, t_max, x_min::BIGINT AS x_min, x_max::BIGINT AS x_max
-        FROM part LEFT JOIN dom ON pair_id = p_partkey""",
+    f"""WITH {pairs_sql()} SELECT states.pair_id, t_min, t_max, x_min::BIGINT AS x_min, x_max::BIGINT AS x_max
+        FROM states LEFT JOIN dom USING (pair_id)""",
 )
 def formula_domain(spark, sf_dir):
-    pairs = logic.read_pair(formula_pairs(spark, sf_dir), "sstl", "predicted_sstl")
+    pairs = formula_pairs(spark, sf_dir)
+    read = logic.read_pairs(pairs, "sstl", "predicted_sstl")
     known = F.col("status") == "ok"
-    return pairs.select(
-        "pair_id", *[F.when(known, F.col(c)).alias(c) for c in ("t_min", "t_max", "x_min", "x_max")]
+    keyed = pairs.select("pair_id", logic.formula_key("sstl").alias("_truth"), logic.formula_key("predicted_sstl").alias("_pred"))
+    return lookup_join(keyed, read, ["_truth", "_pred"]).select(
+        "pair_id", *[F.when(known, F.col(c)).alias(c) for c in logic.DOMAIN]
     )
 
 
+@query(
+    "bracket_steps",
+    f"""WITH {pairs_sql()}
+        SELECT states.pair_id, array_to_string(any_value(steps) FILTER (side = 0), ',') AS truth_steps,
+               array_to_string(any_value(steps) FILTER (side = 1), ',') AS pred_steps
+        FROM states JOIN c USING (pair_id) GROUP BY states.pair_id""",
+)
+def bracket_steps(spark, sf_dir):
+    """The grouping of both formulas of each pair; a clause that begins with U is grouped too."""
+    pairs = formula_pairs(spark, sf_dir)
+    for side, text in (("truth", "sstl"), ("pred", "predicted_sstl")):
+        pairs = formulas.bracket_steps(formulas.split_formula(pairs, text, f"{side}_"), f"{side}_")
+    return pairs.select("pair_id", joined(F.col("truth_steps")).alias("truth_steps"), joined(F.col("pred_steps")).alias("pred_steps"))
+
+
 # Three clauses A, B, C with different grouping, and the postfix steps each must give.
 SHAPES = [
-    ("{a} \\land {b} \\lor {c}", "0,1,-1,2,-2"),
-    ("({a} \\land {b}) \\lor {c}", "0,1,-1,2,-2"),
-    ("{a} \\land ({b} \\lor {c})", "0,1,2,-2,-1"),
-    ("{a} \\lor note {b} \\land {c}", "0,2,-2"),
+    ("{0} \\land {1} \\lor {2}", "0,1,-1,2,-2"),
+    ("({0} \\land {1}) \\lor {2}", "0,1,-1,2,-2"),
+    ("{0} \\land ({1} \\lor {2})", "0,1,2,-2,-1"),
+    ("{0} \\lor note {1} \\land {2}", "0,2,-2"),
 ]
 
 
-def shaped(id_: Column, size: Column) -> Column:
-    a, b, c = (clause_text(id_, size, k) for k in range(3))
-    pieces = []
-    for shape, _ in SHAPES:
-        parts, rest = [], shape
-        for mark, value in (("{a}", a), ("{b}", b), ("{c}", c)):
-            head, rest = rest.split(mark, 1)
-            parts += [F.lit(head), value]
-        pieces.append(F.concat(*parts, F.lit(rest)))
-    return F.get(F.array(*pieces), (id_ % len(SHAPES)).cast("int"))
-
-
 def line_formulas(spark, sf_dir) -> DataFrame:
     id_ = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem", "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", id_.alias("id")
     )
-    return rows.withColumn("sstl", shaped(F.col("id"), F.col("l_suppkey")))
+    texts = F.transform(F.array(*map(F.lit, range(3))), lambda k: clause_text(F.col("id"), F.col("l_suppkey"), k))
+    shapes = [shape for shape, _ in SHAPES]
+    return rows.withColumn("texts", texts).withColumn("sstl", shaped(shapes, "texts", F.col("id") % len(shapes))).drop("texts")
 
 
 def _clause_sql(k: int) -> str:
@@ -262,14 +393,16 @@ def _clause_sql(k: int) -> str:
     start, low = f"(10 + (id * 7 + {k * 3}) % 20)", f"((id * 3 + {k}) % 40)"
     stop = f"({start} + 5 + ({s} + {k * 5}) % 40)"
     tenth = lambda v: f"({v} // 10)::VARCHAR || '.' || ({v} % 10)::VARCHAR"
-    slope = f"((id * 11 + {k * 13}) % 61 - 30)"
-    sign = f"(['<', '>', '\\leq', '\\geq'])[((id + {2 * k}) % 4 + 1)::INT]"
+    sign, threshold = f"((id + {5 * k}) % 6)", f"(({s} + {k}) % 7 - 3)"
+    slope = f"(CASE WHEN {sign} >= 4 AND id % 50 > 0 THEN 0 ELSE (id * 11 + {k * 13}) % 61 - 30 END)"
+    level = f"({LEVELS})[((id + {k}) % 3 + 1)::INT] - {threshold}"
+    intercept = f"(CASE WHEN {sign} >= 4 THEN {level} ELSE (id * 17 + {k * 29}) % 400 - 100 END)"
     return (
         f"CASE WHEN (id + {k}) % 3 = 0 THEN 'F' ELSE 'G' END || '_[[' || {tenth(start)} || ', ' || {tenth(stop)} || "
         f"']] (\\forall x \\in [' || {low}::VARCHAR || ', ' || ({low} + 20 + ({s} * 2 + {k * 7}) % 50)::VARCHAR || "
         f"'] (u(x) - (' || CASE WHEN {slope} < 0 THEN '-' ELSE '' END || (abs({slope}) // 100)::VARCHAR || '.' || "
-        f"lpad((abs({slope}) % 100)::VARCHAR, 2, '0') || ' \\cdot x + ' || ((id * 17 + {k * 29}) % 400 - 100)::VARCHAR || ') ' || "
-        f"{sign} || ' ' || (({s} + {k}) % 7 - 3)::VARCHAR || '))'"
+        f"lpad((abs({slope}) % 100)::VARCHAR, 2, '0') || ' \\cdot x + ' || {intercept}::VARCHAR || ') ' || "
+        f"([{', '.join(f"'{x}'" for x in SIGNS)}])[{sign}::INT + 1] || ' ' || {threshold}::VARCHAR || '))'"
     )
 
 

@@ -160,6 +160,8 @@ def random_clause(rng):
     thr = rng.choice([0, 20, -20, 3])
     if cmp_ in ("=", "!="):  # equalities that really occur on the grid
         slope, icpt, body, div = 0.0, 0, "", None
+        if rng.random() < 0.4:  # a value of its own at every position
+            slope, body = 1.0, rf"- (1.0 \cdot x + 0) "
     lo = round(rng.uniform(0, 4), 1)
     hi = round(lo + rng.choice([0.05, 1.0, 2.5, 6.0]), 2)
     x = rng.randrange(0, 40)
@@ -210,6 +212,9 @@ def expected_counts(truth, pred, grid, align):
         (4, 12, logic.ProfileGrid(), "reference"),
         (5, 20, logic.ProfileGrid(m_steps=3, b_steps=62, b_min=-31, b_max=31), "reference"),
         (6, 20, logic.ProfileGrid(m_steps=6, b_steps=1), "time"),
+        (7, 30, logic.ProfileGrid(m_steps=3, b_steps=100, b_min=-50, b_max=50), "reference"),
+        (8, 30, logic.ProfileGrid(m_steps=4, b_steps=130, b_min=-65, b_max=65), "time"),
+        (9, 20, logic.ProfileGrid(m_steps=2, b_steps=124, b_min=-2e11, b_max=2e11), "reference"),
     ],
 )
 def test_overlap_cell_by_cell(spark, seed, pairs, grid, align):
@@ -217,7 +222,7 @@ def test_overlap_cell_by_cell(spark, seed, pairs, grid, align):
     made = [(random_formula(rng), random_formula(rng)) for _ in range(pairs)]
     rows = [(i, a[1], b[1]) for i, (a, b) in enumerate(made)]
     df = spark.createDataFrame(rows, "id long, sstl string, predicted_sstl string")
-    got = {r.id: r for r in logic.formula_iou(df, "id", grid=grid, align=align, tasks=8).collect()}
+    got = {r.id: r for r in logic.formula_iou(df, grid=grid, align=align).collect()}
     overlaps = 0
     for i, (a, b) in enumerate(made):
         want = expected_counts(a, b, grid, align)
@@ -230,6 +235,29 @@ def test_overlap_cell_by_cell(spark, seed, pairs, grid, align):
     assert overlaps > pairs // 4
 
 
+def test_formulas_are_read_once(spark):
+    """However many completions share a formula, and however often the plan needs it."""
+    good, other = clause("u(x) > 0"), clause("u(x) > 5")
+    rows = [(i, good, other if i % 3 else good) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, sstl string, predicted_sstl string").repartition(6)
+    scored = logic.formula_iou(df, grid=logic.ProfileGrid(m_steps=2, b_steps=50, b_min=-10, b_max=10))
+    assert {(r.id % 3 > 0, r.iou == 1) for r in scored.collect()} == {(True, False), (False, True)}
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("forall x") > 0 and "ReusedExchange" in plan
+    reading = [line for line in plan.splitlines() if r"u\(x\)" in line]
+    assert len(reading) == 1
+    masks = logic.pair_masks(df, grid=logic.ProfileGrid(m_steps=2, b_steps=3))
+    assert masks.count() == 2
+
+
+def test_a_formula_that_most_rows_share(spark):
+    """Rows without formulas and rows with one formula: every row keeps its place."""
+    rows = [(i, None if i % 2 else clause("u(x) > 0"), None) for i in range(200)] + [(200, None, clause("u(x) > 0"))]
+    df = spark.createDataFrame(rows, "id long, sstl string, predicted_sstl string").withColumn("status", F.lit("old"))
+    found = logic.formula_iou(df.drop("status"), grid=logic.ProfileGrid(m_steps=2, b_steps=3)).collect()
+    assert len(found) == 201 and {r.status for r in found} == {"failed"}
+
+
 def test_states_of_pairs(spark):
     good = clause("u(x) > 0")
     rows = [
@@ -242,7 +270,7 @@ def test_states_of_pairs(spark):
         (6, clause("u(x) > 0", time="1.5, 0.5"), clause("u(x) < 0", op="F", time="1.5, 0.5")),
     ]
     df = spark.createDataFrame(rows, "id long, sstl string, predicted_sstl string")
-    got = {r.id: r for r in logic.formula_iou(df, "id", tasks=4).collect()}
+    got = {r.id: r for r in logic.formula_iou(df).collect()}
     assert [got[i].status for i in range(7)] == ["ok", "failed", "failed", "error", "ok", "ok", "ok"]
     # An interval that ends before it begins: 51 times, all of them vacuous.
     assert (got[6].iou, got[6].either) == (1, 2500 * 51)
@@ -273,12 +301,12 @@ def test_profiles(spark):
     m, b = np.arange(-7, 7, 14 / 50), np.arange(-500, 500, 1000 / 50)
     assert [(r.m, r.b) for r in rows] == [(x, y) for x in m for y in b]
     with pytest.raises(ValueError):
-        logic.ProfileGrid(b_steps=63)
+        logic.ProfileGrid(b_steps=0)
 
 
 def test_clause_masks_cover_all_times(spark):
     df = spark.createDataFrame([(1, clause("u(x) > 0", op="F"), clause("u(x) > 5"))], "id long, a string, b string")
-    rows = logic.clause_truth(df, "id", "a", "b", tasks=2).collect()
+    rows = logic.clause_truth(df, "id", "a", "b").collect()
     assert {r.formula for r in rows} == {"truth", "pred"}
     assert all(len(r.closed) == 50 and {len(m) for m in r.closed} == {52} for r in rows)
     counted = spark.createDataFrame(rows).select(logic.count_bits(F.col("closed")).alias("n")).collect()
