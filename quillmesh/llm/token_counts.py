@@ -84,13 +84,17 @@ class TokenTotals:
             raise ValueError(f"batch name {batch!r}: letters, digits and - only")
         if batch in self._committed("deltas"):
             return False
-        signed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
+        signed(changes).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
         return True
 
-    def totals(self) -> DataFrame:
-        """Documents and tokens per group; groups that are back at nothing have no row."""
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
+        """Documents and tokens per group; groups that are back at nothing have no row.
+
+        `batches` are the committed ones to sum up, by default all there are now.
+        """
         base, done = self._snapshot()
-        paths = [f"{self.path}/deltas/{b}" for b in self._committed("deltas") if b not in done]
+        listed = self._committed("deltas") if batches is None else batches
+        paths = [f"{self.path}/deltas/{b}" for b in listed if b not in done]
         found = [base] if base is not None else []
         if paths:
             found.append(self.spark.read.schema(SCHEMA).parquet(*paths))
@@ -103,10 +107,11 @@ class TokenTotals:
     def compact(self) -> None:
         """Sum up all batches in a new snapshot, which later totals start from.
 
-        The names are written first: a snapshot counts once its totals are committed.
+        The names are written first: a snapshot counts once its totals are committed. Exactly
+        the batches named are summed; one committed meanwhile is left for later totals.
         """
         number = f"{len(self._committed('snapshots')):08d}"
         batches = self._committed("deltas")
         names = self.spark.createDataFrame([(b,) for b in batches], "batch string")
         names.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/batches-{number}")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/totals-{number}")
+        self.totals(batches).write.mode("overwrite").parquet(f"{self.path}/snapshots/totals-{number}")

@@ -46,3 +46,23 @@ def test_empty_batch_and_names(spark, store):
     assert totals(store) == {}
     with pytest.raises(ValueError):
         store.commit("../x", spark.createDataFrame([], SCHEMA))
+
+
+def test_batch_committed_during_compaction(spark, tmp_path, monkeypatch):
+    """A batch that is committed while a snapshot is written counts once."""
+    schema = "op string, doc_id long, source string, lang string, tokenizer_version string, old_tokens long, new_tokens long"
+    batch = lambda i, n: spark.createDataFrame([("insert", i, "s", "en", "v1", None, n)], schema)
+    store = token_counts.TokenTotals(spark, str(tmp_path / "totals"))
+    store.commit("a", batch(1, 1))
+    listed = store._committed
+
+    def late(kind):
+        names = listed(kind)
+        if kind == "deltas" and "b" not in names:
+            monkeypatch.setattr(store, "_committed", listed)
+            store.commit("b", batch(2, 10))
+        return names
+
+    monkeypatch.setattr(store, "_committed", late)
+    store.compact()
+    assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(2, 11)]
