@@ -47,7 +47,7 @@ def shard_records(
 
     Returns the key, `size` (UTF-8 bytes and 16), `text_crc32`, `law`, `shard`, `slot` and
     `grown_shard`, the shard if there were one more. Slots are gapless from 0, in hash order
-    of the key; rows that share a key follow each other in any order. A NULL text has the
+    of the key and the text. A NULL text has the
     size 16 and the checksum of no bytes; a NULL key is a key like any other; an empty
     table gives no rows; other columns are ignored. Only the narrow rows are shuffled, once
     per hash bucket of a shard, so no shard or source is gathered in one task.
@@ -55,13 +55,15 @@ def shard_records(
     payload = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     placed = df.select(
         F.col(key).alias("_id"),
+        F.xxhash64(payload).alias("_hash"),
         (F.length(payload) + RECORD_BYTES).cast("bigint").alias("size"),
         F.crc32(payload).alias("text_crc32"),
         F.lit(LAW).alias("law"),
         shard_of(F.col(key), range(shards)).alias("shard"),
         shard_of(F.col(key), range(shards + 1)).alias("grown_shard"),
     )
-    numbered = dense_position(placed, "_id", seed, name="slot", by="shard")
+    # Rows that share a key, or have none, are dealt out by their texts too.
+    numbered = dense_position(placed.withColumn("_row", F.concat_ws(":", "_id", "_hash")), "_row", seed, name="slot", by="shard")
     return numbered.select(
         F.col("_id").alias(key), "size", "text_crc32", "law", "shard",
         F.col("slot").cast("bigint").alias("slot"), "grown_shard",

@@ -63,3 +63,12 @@ def test_nulls_and_repeats(spark):
         slots = sorted(r.slot for r in found if r.shard == shard)
         assert slots == list(range(len(slots)))
     assert sharding.shard_records(df.limit(0)).count() == 0
+
+
+def test_rows_without_key_are_dealt_out(spark):
+    """Slots stay gapless where most rows have no key, and their buckets differ by text."""
+    rows = [(None, f"text {i}") for i in range(400)] + [(i, "same") for i in range(50)] + [(7, "same")] * 5
+    found = sharding.shard_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=4).collect()
+    assert len(found) == len(rows)
+    for shard in {r.shard for r in found}:
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
