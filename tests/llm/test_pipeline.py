@@ -52,3 +52,27 @@ def test_without_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, FOLDER), "test")
     assert docs.count() == 0
+
+
+def test_columns_of_any_name(spark, sf_dir):
+    """Columns that the operators use themselves come out as they went in; NULLs, empty and
+    repeated rows are dealt with as the stages say."""
+    more = {"score": "s", "kept": "k", "n_removed": "r", "_id": "i", "_k": "j", "label": "l", "base_failed": "b", "_text": "t"}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (None, "", "en", "s", 0), (5, "", None, None, None), (5, "", None, None, None)], docs.schema
+    )
+    docs = docs.unionByName(odd).selectExpr("*", *[f"concat('{v}', cast(doc_id AS string)) AS {c}" for c, v in more.items()])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, docs, sf_dir), "test")
+        assert out.columns == columns
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            for c, v in more.items():
+                assert r[c] == (None if r.doc_id is None else f"{v}{r.doc_id}")
+        empty = [r for r in rows if r.doc_id is None or r.doc_id == 5 and not r.text]
+        assert len(empty) == {"quality rules": 0, "n-gram jaccard join": 2}.get(name, 4)
+    name, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, docs, sf_dir).count() == docs.count()
