@@ -14,6 +14,15 @@ WHITESPACE = (
 # The same as a pattern: `\s` of Java patterns knows only six of them.
 SPACE = f"[{WHITESPACE}]"
 
+# What counts as a number: digits with a point and exponent at most, so `NaN` and `5d` do not.
+NUMBER = r"^\s*[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
+
+
+def number(text: Column) -> Column:
+    """The finite number a text is, else NULL."""
+    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
+
 
 def as_column(value: Column | str) -> Column:
     """A column as it is, a string as a column name."""

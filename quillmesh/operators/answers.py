@@ -16,6 +16,7 @@ from quillmesh.functions.text import (
     as_column,
     before,
     has,
+    number,
     occurrences,
     strip,
     strip_left,
@@ -414,10 +415,6 @@ def extract_by_task(
     return df.withColumn(name, task_answers(F.col(task), F.col(question), F.col(text)))
 
 
-# What counts as a number when answers are compared.
-NUMBER = r"^\s*[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
-
-
 def grade(
     preds: DataFrame, expected: DataFrame, key: str, task: str = "task",
     question: str = "question", completion: str = "completion", answer: str = "answer",
@@ -425,7 +422,7 @@ def grade(
     """Accuracy and rate of invalid extractions per task.
 
     The last extracted answer counts; two numbers must be close, other texts equal. A number
-    is a text of digits with a point and exponent at most: `NaN` and `5d` are texts. Two
+    is a finite one of digits with a point and exponent at most: `NaN` and `5d` are texts. Two
     expected answers for one key are an error. The rates are sums of flags, so a task with
     most of the rows is combined before it moves.
     """
@@ -436,7 +433,6 @@ def grade(
         key,
     )
     pred, wanted = F.col("_pred"), F.col("_answer")
-    number = lambda x: F.when(x.rlike(NUMBER), x.try_cast("double"))
     numbers = close(number(pred), number(wanted))
     right = F.coalesce(numbers, pred == wanted, F.lit(False))
     return joined.groupBy(task).agg(

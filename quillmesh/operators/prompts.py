@@ -171,10 +171,10 @@ def with_few_shot(
     """Add the text of up to `k` examples of the row's class `by`.
 
     `examples` holds `by`, `id` and `text`. Without `shuffle` these are the class's first
-    examples by id, with it a random choice per row: the i-th draw takes one of the
-    examples that the earlier draws left over. Each draw is one equi-join on
-    (class, place), so rows and examples are not paired in full. Without `shuffle` it is a
-    single join with one text per class.
+    examples by id; that is a single join with one text per class. With it they are a random
+    choice per key: the i-th draw takes one of the examples that the earlier draws left over.
+    All draws of a key are one array; its places meet the examples in one join, and only keys
+    and texts move until the rows meet their prefix.
     """
     if not 0 <= k <= MAX_SHOTS:
         raise ValueError(f"only 0 to {MAX_SHOTS} shots")
@@ -192,21 +192,31 @@ def with_few_shot(
         return joined.withColumn(name, F.coalesce("_prefix", F.lit(""))).drop("_prefix")
     placed = dense_position(examples, "id", seed, "_at", by)
     sizes = examples.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    drawn = lookup_join(df, sizes, by, "left")
-    for i in range(k):
-        left_over = F.col("_size") - i
-        number = F.conv(F.substring(order_key(seed, key, F.lit(i)), 1, 8), 16, 10)
-        place = number.cast("bigint") % F.when(left_over > 0, left_over)
-        # `place` counts among the left-over examples: step over those already drawn.
-        for taken in range(i):
-            lower = F.sort_array(F.array(*[F.col(f"_draw{j}") for j in range(i)]))[taken]
-            place = place + F.when(place >= lower, 1).otherwise(0)
-        drawn = drawn.withColumn(f"_draw{i}", place)
-    for i in range(k):
-        shot = placed.select(
-            by, F.col("_at").cast("bigint").alias(f"_draw{i}"), F.col("text").alias(f"_shot{i}")
+    keys = lookup_join(df.select(by, key).distinct(), sizes, by)
+    draws = F.explode(F.slice(F.col("_places"), 1, F.least(F.col("_size"), F.lit(k)).cast("int")))
+    drawn = keys.withColumn("_places", _places(k, seed, key)).select(by, key, draws.alias("_draw"))
+    asked = drawn.select(by, key, F.col("_draw.nth").alias("_nth"), F.col("_draw.place").alias("_at"))
+    shots = lookup_join(asked, placed.select(by, F.col("_at").cast("bigint").alias("_at"), "text"), [by, "_at"])
+    gathered = F.sort_array(F.collect_list(F.struct("_nth", "text")))
+    per_key = shots.groupBy(by, key).agg(F.array_join(gathered["text"], "").alias("_prefix"))
+    joined = df.join(per_key, [by, key], "left")
+    return joined.withColumn(name, F.coalesce("_prefix", F.lit(""))).drop("_prefix")
+
+
+def _places(k: int, seed: int, key: str) -> Column:
+    """`nth` and `place` of k draws without repeats from `_size` examples.
+
+    A draw counts among the examples left over: it steps over those already drawn, in order.
+    Draws beyond the size mean nothing.
+    """
+
+    def step(drawn: Column, nth: Column) -> Column:
+        left_over = F.greatest(F.col("_size") - nth, F.lit(1))
+        number = F.conv(F.substring(order_key(seed, key, nth), 1, 8), 16, 10).cast("bigint")
+        free = F.aggregate(
+            F.sort_array(drawn), number % left_over, lambda at, taken: F.when(at >= taken, at + 1).otherwise(at)
         )
-        drawn = lookup_join(drawn, shot, [by, f"_draw{i}"], "left")
-    prefix = F.concat(*[F.coalesce(f"_shot{i}", F.lit("")) for i in range(k)])
-    spare = [f"_{part}{i}" for i in range(k) for part in ("draw", "shot")]
-    return drawn.withColumn(name, prefix).drop("_size", *spare)
+        return F.concat(drawn, F.array(free))
+
+    places = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), step)
+    return F.transform(places, lambda place, nth: F.struct(nth.alias("nth"), place.alias("place")))

@@ -11,10 +11,12 @@ from quillmesh.plans.tokens import (
     DPO_PROMPT_SQL,
     PAIRS_SQL,
     PREFERENCES_SQL,
+    TURNS_SQL,
     preference_rows,
     turn_pairs,
+    user_turns,
 )
-from quillmesh.sources.corpus import read_corpus
+from quillmesh.sources.corpus import parse_records, read_corpus
 
 LINE = chr(10)
 
@@ -33,6 +35,29 @@ def head_sql(fmt: str) -> str:
     return q.text(prompts.INSTRUCTIONS[fmt])
 
 
+@query(
+    "broken_records",
+    """WITH lines AS (
+         SELECT o_orderkey, o_custkey, o_orderstatus, '{"o_orderkey": ' || o_orderkey || ', "o_custkey": ' || o_custkey || ', "o_orderstatus": "' || o_orderstatus || '"}' AS line FROM orders),
+       read AS (
+         SELECT *, CASE o_orderkey % 11 WHEN 3 THEN left(line, length(line) - 2) WHEN 5 THEN replace(line, o_custkey || ',', '"x",') WHEN 7 THEN '[]x' END AS broken
+         FROM lines WHERE o_orderkey % 11 <> 8)
+       SELECT o_orderkey AS place, broken AS broken_record, CASE WHEN broken IS NULL THEN o_orderkey END AS o_orderkey,
+              CASE WHEN broken IS NULL THEN o_custkey END AS o_custkey, CASE WHEN broken IS NULL THEN o_orderstatus END AS o_orderstatus FROM read""",
+)
+def broken_records(spark, sf_dir):
+    """Orders as lines of JSON; some are cut off, hold a text for a number, are no object, or blank."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    line, kind = F.to_json(F.struct("*")), F.col("o_orderkey") % 11
+    spaced = F.regexp_replace(F.regexp_replace(line, '":', '": '), ',"', ', "')
+    written = (
+        F.when(kind == 3, F.expr("left(line, length(line) - 2)")).when(kind == 7, "[]x").when(kind == 8, " \t")
+        .when(kind == 5, F.replace("line", F.concat("o_custkey", F.lit(",")), F.lit('"x",'))).otherwise(F.col("line"))
+    )
+    lines = orders.withColumn("line", spaced).select(F.col("o_orderkey").alias("place"), written.alias("value"))
+    return parse_records(lines, "o_orderkey long, o_custkey long, o_orderstatus string", broken="keep")
+
+
 @query("corpus_scan", "SELECT doc_id, lang, source, n_chars, 'documents.parquet' AS source_file FROM documents")
 def corpus_scan(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -183,7 +208,7 @@ def _draw(i: int) -> str:
 
 @query(
     "few_shot_prefix",
-    f"""WITH {PAIRS_SQL},
+    f"""WITH {TURNS_SQL},
         shots AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'heat' ELSE 'wave' END AS family, item_id AS id,
                          {SHOT_PROMPT} AS text FROM benchmark),
         placed AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY id) - 1 AS at,
@@ -212,7 +237,9 @@ def few_shot_prefix(spark, sf_dir):
         F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("python"),
     )
     shots = prompts.few_shot_examples(items, "nl_to_python", "family", "item_id")
-    rows = turn_pairs(spark, sf_dir).select("row_id", family("conv_id").alias("family"))
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("row_id"), family("conv_id").alias("family")
+    )
     fixed = prompts.with_few_shot(rows, shots, 2, "family", "row_id", dataset="combined")
     drawn = prompts.with_few_shot(fixed, shots, 3, "family", "row_id", shuffle=True, name="random_shot")
     return drawn.select("row_id", "few_shot", "random_shot")
@@ -237,13 +264,13 @@ EVAL_FORMATS = ("nl_to_python", "test_nl_to_python_with_sstl_cot", "nl_to_sstl",
 
 @query(
     "eval_prompt",
-    f"""WITH {PAIRS_SQL}, rows AS (SELECT row_id, nl, nl || ' ' AS sstl, python FROM pairs)
+    f"""WITH {TURNS_SQL}, rows AS (SELECT row_id, nl, nl || ' ' AS sstl, python FROM pairs)
         {' UNION ALL '.join(
             f"SELECT {q.text(f)} AS fmt, row_id, {_eval_sql(f, q.strip('sstl'), q.strip('python'))} AS example, "
             f"{_eval_sql(f, q.text(''), q.text(''))} AS prompt FROM rows" for f in EVAL_FORMATS)}""",
 )
 def eval_prompt(spark, sf_dir):
-    rows = turn_pairs(spark, sf_dir).withColumn("sstl", F.concat("nl", F.lit(" ")))
+    rows = user_turns(spark, sf_dir).withColumn("sstl", F.concat("nl", F.lit(" ")))
     parts = {}
     for fmt in EVAL_FORMATS:
         asked = prompts.build_eval_prompt(rows, fmt, "nl")

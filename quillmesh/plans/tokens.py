@@ -31,6 +31,26 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn, answered or not, as nl and the answer's text, which may be empty."""
+    turns = table(spark, sf_dir, "conversations")
+    user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("nl"))
+    answer = turns.filter("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("python")
+    )
+    return user.join(answer, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "nl", F.coalesce("python", F.lit("")).alias("python"), F.concat_ws("-", "conv_id", "turn").alias("row_id")
+    )
+
+
+TURNS_SQL = """
+pairs AS (
+  SELECT u.conv_id, u.turn, u.text AS nl, coalesce(a.text, '') AS python,
+         u.conv_id::VARCHAR || '-' || u.turn::VARCHAR AS row_id
+  FROM conversations u LEFT JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+
 PAIRS_SQL = """
 pairs AS (
   SELECT u.conv_id, u.turn, u.text AS nl, a.text AS python,

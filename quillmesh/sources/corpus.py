@@ -7,14 +7,49 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 FORMATS = {"jsonl": "json", "json": "json", "parquet": "parquet", "csv": "csv"}
 
 
+BROKEN = "broken_record"
+
+
+def parse_records(
+    lines: DataFrame, schema: StructType | str, value: str = "value", where: str | None = None, broken: str = "fail"
+) -> DataFrame:
+    """The fields of JSON records, given as texts (`value`); other columns stay, blank texts go.
+
+    A text that is no record of the schema, also one with a value of another type, is an error
+    that names the column `where` and the text (`broken="fail"`). With `broken="keep"` it is a
+    row with the text in `broken_record` and NULL in every field; good records have NULL there.
+    """
+    if broken not in ("fail", "keep"):
+        raise ValueError(f"unknown mode for broken records: {broken}")
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if BROKEN in wanted.names:
+        raise ValueError(f"{BROKEN} is the name of the column for broken records")
+    told = StructType([*wanted.fields, StructField(BROKEN, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    rest = [c for c in lines.columns if c != value]
+    read = lines.filter(F.trim(F.translate(value, "\t\r\n", "   ")) != "").select(
+        *rest, F.col(value).alias("_text"), F.from_json(value, told, options).alias("_record")
+    )
+    # Anything but an object leaves no record at all.
+    text = F.when(F.col("_record").isNull(), F.col("_text")).otherwise(F.col(f"_record.{BROKEN}"))
+    marked = read.withColumn("_broken", text)
+    if broken == "fail":
+        place = F.concat(F.lit(" in "), F.col(where)) if where else F.lit("")
+        message = F.concat(F.lit("broken record"), place, F.lit(": "), F.substring("_broken", 1, 500))
+        good = marked.filter(F.when(F.col("_broken").isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+        return good.select(*[F.col(f"_record.`{c}`") for c in wanted.names], *rest)
+    fields = [F.when(F.col("_broken").isNull(), F.col(f"_record.`{c}`")).alias(c) for c in wanted.names]
+    return marked.select(*fields, F.col("_broken").alias(BROKEN), *rest)
+
+
 def read_corpus(
     spark: SparkSession, paths: list[str], fmt: str | None, schema: StructType | str | None = None,
-    sources: bool = True, one_document: bool = False, row_ids: bool = False,
+    sources: bool = True, one_document: bool = False, row_ids: bool = False, broken: str = "fail",
 ) -> DataFrame:
     """All data files of several directories.
 
@@ -22,8 +57,12 @@ def read_corpus(
     known extension, each in its own format, and needs a schema. Markdown files and files
     with `description` before the first dot of their name are left out. `one_document` is
     for `json` files that hold one list instead of a record per line. `source_dir` and
-    `source_file` tell where a row is from, `source_path` is the whole path. `row_ids` (Parquet only) adds `row_id`, file
-    and place in the file, for rows that have no key of their own.
+    `source_file` tell where a row is from, `source_path` is the whole path. `row_ids` (Parquet
+    only) adds `row_id`, file and place in the file, for rows that have no key of their own.
+
+    A broken record is an error that names its file and shows the record (`broken="fail"`), or a
+    row with its text in `broken_record` and NULL in all other fields (`broken="keep"`; JSON with
+    a record per line only).
     """
     if row_ids and fmt != "parquet":
         raise ValueError("only Parquet files know the place of a row: store the corpus first")
@@ -31,13 +70,24 @@ def read_corpus(
         if schema is None:
             raise ValueError("a schema is needed to read all formats together")
         parts = [
-            read_corpus(spark, paths, f, schema, sources, one_document and f == "json")
+            read_corpus(spark, paths, f, schema, sources, one_document and f == "json", broken=broken)
             for f in FORMATS
         ]
         return reduce(DataFrame.unionByName, parts)
     if fmt not in FORMATS:
         raise ValueError(f"unknown corpus format: {fmt}")
+    lines = FORMATS[fmt] == "json" and not one_document
+    if broken == "keep" and not lines:
+        raise ValueError("broken records are kept of JSON with a record per line only")
     reader = spark.read.option("pathGlobFilter", f"*.{fmt}")
+    if lines and schema is None:
+        found = reader.option("mode", "DROPMALFORMED").json(paths).schema
+        schema = StructType([f for f in found.fields if f.name != "_corrupt_record"])
+    if lines:
+        texts = reader.text(paths).select("value", F.col("_metadata.file_path").alias("_path"))
+        read = parse_records(texts, schema, where="_path", broken=broken)
+        return _located(read, sources)
+    reader = reader.option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
@@ -45,18 +95,17 @@ def read_corpus(
     if one_document:
         reader = reader.option("multiLine", "true")
     rows = reader.format(FORMATS[fmt]).load(paths)
-    stem = F.substring_index(F.col("_metadata.file_name"), ".", 1)
-    data_files = rows.filter(~F.contains(stem, F.lit("description")))
-    if row_ids:
-        place = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
-        data_files = data_files.withColumn("row_id", place)
-    if not sources:
-        return data_files
-    path = F.split(F.col("_metadata.file_path"), "/")
-    return data_files.select(
-        "*", F.element_at(path, -2).alias("source_dir"), F.element_at(path, -1).alias("source_file"),
-        F.col("_metadata.file_path").alias("source_path"),
-    )
+    place = [F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("row_id")] if row_ids else []
+    return _located(rows.select("*", *place, F.col("_metadata.file_path").alias("_path")), sources)
+
+
+def _located(rows: DataFrame, sources: bool) -> DataFrame:
+    """Rows of data files, with the directory and the file taken from `_path`."""
+    path = F.split("_path", "/")
+    file = F.element_at(path, -1)
+    data_files = rows.filter(~F.contains(F.substring_index(file, ".", 1), F.lit("description")))
+    named = [F.element_at(path, -2).alias("source_dir"), file.alias("source_file"), F.col("_path").alias("source_path")]
+    return data_files.select("*", *(named if sources else [])).drop("_path")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import number
+
 # Evaluation methods, the directories below a run.
 METHODS = (
     "to_python_direct_with_sstl_cot",
@@ -58,7 +60,10 @@ def metrics_from_text(
     files: DataFrame, seeds: list[int] | None = None, methods: tuple[str, ...] | None = None,
     metrics: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The numbers in metrics files, given as `path` and text (`value`, one JSON object)."""
+    """The numbers in metrics files, given as `path` and text (`value`, one JSON object).
+
+    Finite ones only: a metric of `NaN`, `Infinity` or `5d` has no row.
+    """
     part = lambda i: F.regexp_extract("path", RUN_PATH, i)
     runs = files.filter(F.regexp_like("path", F.lit(RUN_PATH))).select(
         part(1).alias("dataset"),
@@ -69,7 +74,7 @@ def metrics_from_text(
     )
     values = (
         runs.select("dataset", "shots", "seed", "method", F.explode("metrics").alias("metric", "text"))
-        .withColumn("value", F.col("text").try_cast("double"))
+        .withColumn("value", number(F.col("text")))
         .drop("text")
         .dropna(subset=["value"])
     )

@@ -9,7 +9,7 @@ from quillmesh.operators.scores import metric_report
 from quillmesh.plans import corpora
 from quillmesh.sources.corpus import read_corpus, spread, write_corpus
 from quillmesh.sources.examples import read_examples, write_examples
-from quillmesh.sources.runs import METHODS, METRICS, read_run_metrics
+from quillmesh.sources.runs import METHODS, METRICS, metrics_from_text, read_run_metrics
 from quillmesh.streaming.corpora import progress_folder, training_rows, write_arrived
 
 RECORD = "nl string, sstl string, python string"
@@ -249,3 +249,45 @@ def test_chat_edges(spark):
         chat.to_chat(qa.withColumn("options", F.array(F.lit("(E) x"))), "gaokao_qa").collect()
     with pytest.raises(ValueError):
         chat.to_chat(qa, "none")
+
+
+BROKEN_LINES = ['{"a": 1, "b": "x"}', '{"a": 2, "b": ', "", "[1", '{"a": "text", "b": "y"}', '  {"a": 3, "b": null}  ', '{"a": 4, "b": "z", "c": 1}']
+
+
+def test_broken_records_are_errors_that_name_the_file(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text("\n".join([BROKEN_LINES[0], BROKEN_LINES[-1]]))
+    rows = read_corpus(spark, [str(tmp_path)], "jsonl", "a long, b string")
+    assert sorted((r.a, r.b, r.source_file) for r in rows.collect()) == [(1, "x", "good.jsonl"), (4, "z", "good.jsonl")]
+    (tmp_path / "bad.jsonl").write_text("\n".join(BROKEN_LINES[:2]))
+    with pytest.raises(Exception, match=r"broken record in .*bad\.jsonl: \{\"a\": 2"):
+        read_corpus(spark, [str(tmp_path)], "jsonl", "a long, b string").collect()
+    # Also where no field is asked for.
+    with pytest.raises(Exception, match="broken record"):
+        read_corpus(spark, [str(tmp_path)], "jsonl", "a long, b string").count()
+    # And where the schema is taken from the data.
+    with pytest.raises(Exception, match="broken record"):
+        read_corpus(spark, [str(tmp_path)], "jsonl").collect()
+
+
+def test_broken_records_set_aside(spark, tmp_path):
+    (tmp_path / "all.jsonl").write_text("\n".join(BROKEN_LINES))
+    rows = read_corpus(spark, [str(tmp_path)], "jsonl", "a long, b string", broken="keep")
+    found = rows.collect()
+    good = sorted((r.a, r.b or "") for r in found if r.broken_record is None)
+    assert good == [(1, "x"), (3, ""), (4, "z")]
+    broken = [r for r in found if r.broken_record is not None]
+    assert sorted(r.broken_record for r in broken) == sorted(BROKEN_LINES[i] for i in (1, 3, 4))
+    assert all(r.a is None and r.b is None and r.source_file == "all.jsonl" for r in broken)
+    # Counting the broken ones alone works too.
+    assert rows.filter("broken_record IS NOT NULL").count() == 3
+    with pytest.raises(ValueError):
+        read_corpus(spark, [str(tmp_path)], "csv", "a long", broken="keep")
+    with pytest.raises(ValueError):
+        read_corpus(spark, [str(tmp_path)], "jsonl", "a long, broken_record string")
+
+
+def test_metrics_that_are_no_numbers(spark):
+    texts = {"a": "5d", "b": "NaN", "c": "Infinity", "d": "1e999", "e": " -1.5e3 ", "f": "0x10", "g": "7", "h": "1_0", "i": ""}
+    files = spark.createDataFrame([("/runs/x_shots=1_seed=2/to_STL/metrics.json", json.dumps(texts))], "path string, value string")
+    found = {r.metric: r.value for r in metrics_from_text(files).collect()}
+    assert found == {"e": -1500.0, "g": 7.0}
