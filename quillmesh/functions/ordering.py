@@ -37,43 +37,38 @@ def bucket_sizes(df: DataFrame, key: str, seed: int, by: str | None = None) -> D
     return hashed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _bucket_counts(df: DataFrame, key: str, seed: int, by: str | None) -> DataFrame:
-    """Per group and bucket the rows in it (`_n`) and in front of it (`_offset`).
+def bucket_offsets(df: DataFrame, key: str, seed: int, by: str | None = None) -> DataFrame:
+    """Per group and bucket the rows in it (`_n`), in front of it (`_offset`), and in the whole
+    group (`_all`).
 
-    Running counts are taken inside blocks of 256 buckets (the upper two digits); per
-    group one array of at most 256 blocks gives what the earlier blocks hold.
+    The counts are used once, so they are in a plan once. They are gathered by block (the upper
+    two digits, 256 buckets at most), and the blocks of a group in one row (256 at most), where
+    each block learns what the earlier ones hold; inside a block the sum runs over its buckets.
     """
     group = [by] if by else []
     counts = bucket_sizes(df, key, seed, by).withColumn("_block", F.substring("_bucket", 1, 2))
+    blocks = counts.groupBy(*group, "_block").agg(
+        F.collect_list(F.struct("_bucket", "_n")).alias("_buckets"), F.sum("_n").alias("_in")
+    )
+    gathered = blocks.groupBy(*group).agg(F.collect_list(F.struct("_block", "_buckets", "_in")).alias("_blocks"))
+    total = lambda chosen: F.aggregate(chosen, F.lit(0).cast("bigint"), lambda n, b: n + b["_in"])
+
+    def told(block: Column) -> Column:
+        lower = F.filter("_blocks", lambda other: other["_block"] < block["_block"])
+        return F.struct(
+            block["_block"].alias("_block"), total(lower).alias("_base"), total(F.col("_blocks")).alias("_all"),
+            block["_buckets"].alias("_buckets"),
+        )
+
+    each = gathered.select(*group, F.inline(F.transform("_blocks", told)))
     earlier = (
         Window.partitionBy(*group, "_block")
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = (
-        counts.groupBy(*group, "_block")
-        .agg(F.sum("_n").alias("_total"))
-        .groupBy(*group)
-        .agg(F.collect_list(F.struct("_block", "_total")).alias("_blocks"))
-    )
-
-    def rows_before(block: Column) -> Column:
-        lower = F.filter("_blocks", lambda other: other["_block"] < block["_block"])
-        return F.aggregate(lower, F.lit(0).cast("bigint"), lambda n, other: n + other["_total"])
-
-    bases = blocks.select(
-        *group,
-        F.inline(
-            F.transform(
-                "_blocks",
-                lambda b: F.struct(b["_block"].alias("_block"), rows_before(b).alias("_base")),
-            )
-        ),
-    )
-    return (
-        counts.withColumn("_inside", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(bases, [*group, "_block"])
-        .select(*group, "_bucket", "_n", (F.col("_inside") + F.col("_base")).alias("_offset"))
+    inside = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    return each.select(*group, "_block", "_base", "_all", F.inline("_buckets")).select(
+        *group, "_bucket", "_n", (F.col("_base") + inside).alias("_offset"), "_all"
     )
 
 
@@ -89,7 +84,7 @@ def dense_position(
     group = [by] if by else []
     cell = [*group, "_bucket"]
     hashed = df.withColumn("_h", order_key(seed, key)).withColumn("_bucket", _bucket(seed, key))
-    offsets = _bucket_counts(df, key, seed, by).drop("_n")
+    offsets = bucket_offsets(df, key, seed, by).drop("_n", "_all")
     if not by:
         offsets = F.broadcast(offsets)
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h"))
@@ -109,26 +104,35 @@ def hash_cutoffs(
     `wanted` is k, or a table (`by`, `_k`) with one row per named group, small by
     construction and therefore broadcast. Where k is 0 or above the size there is no row.
     """
-    group = [by] if by else []
-    cell = [*group, "_bucket"]
-    counts = _bucket_counts(df, key, seed, by)
+    counts = bucket_offsets(df, key, seed, by)
     if isinstance(wanted, int):
         counts = counts.withColumn("_k", F.lit(wanted).cast("bigint"))
     else:
         counts = counts.join(F.broadcast(wanted), by)
     boundary = counts.filter(
         (F.col("_offset") < F.col("_k")) & (F.col("_k") <= F.col("_offset") + F.col("_n"))
-    ).select(*cell, (F.col("_k") - F.col("_offset")).alias("_rest"))
-    # Only the rows of one bucket per group are ranked.
+    ).withColumn("_rest", F.col("_k") - F.col("_offset"))
+    return ranked_hashes(df, key, seed, boundary.select(*([by] if by else []), "_bucket", "_rest"), by)
+
+
+def ranked_hashes(df: DataFrame, key: str, seed: int, places: DataFrame, by: str | None = None) -> DataFrame:
+    """The hash (`_cut`) at place `_rest` (from 1) of a bucket, for one place per group.
+
+    `places` (`by`, `_bucket`, `_rest`, and columns that stay) is small by construction and
+    broadcast. Only the rows of one bucket per group are ranked, on two narrow columns.
+    """
+    group = [by] if by else []
+    cell = [*group, "_bucket"]
     hashed = df.select(*group, order_key(seed, key).alias("_h"), _bucket(seed, key).alias("_bucket"))
     order = Window.partitionBy(*cell).orderBy("_h")
     # A key that two rows share would let more than k rows pass the cut.
     shared = F.raise_error(F.lit(f"{key} does not identify a row")).cast("string")
     cut = F.when(F.col("_next") == F.col("_h"), shared).otherwise(F.col("_h"))
+    rest = [c for c in places.columns if c not in (*cell, "_rest")]
     return (
-        hashed.join(F.broadcast(boundary), cell)
+        hashed.join(F.broadcast(places), cell)
         .withColumn("_rank", F.row_number().over(order))
         .withColumn("_next", F.lead("_h").over(order))
         .filter(F.col("_rank") == F.col("_rest"))
-        .select(*group, cut.alias("_cut"))
+        .select(*group, *rest, cut.alias("_cut"))
     )

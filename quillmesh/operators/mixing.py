@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.ordering import bucket_sizes, dense_position, hash_cutoffs, order_key
+from quillmesh.functions.ordering import (
+    bucket_offsets, bucket_sizes, dense_position, hash_cutoffs, order_key, ranked_hashes,
+)
 
 SHUFFLE_SEED = 3407
 SAMPLE_SEED = 42
@@ -122,22 +124,30 @@ def mix_total(
         return df.withColumn("copy", F.lit(1))
     if total is None:
         raise ValueError("a total is needed; without one use mix_by_smallest")
+    # One count per source and bucket gives sizes, copies and the place of the cut. A share
+    # without a rest is cut in front of the first row.
     share = F.floor(F.lit(float(total)) * F.col("_weight"))
-    quotas = (
-        _sized(df, by, key, seed, _weights(df, by, weights))
-        .withColumn("_copies", F.floor(share / F.col("_n")).cast("int"))
-        .withColumn("_k", share - F.col("_copies") * F.col("_n"))
+    named = _weights(df, by, weights)
+    sized = (
+        bucket_offsets(df, key, seed, by).join(F.broadcast(named.select(by, "_weight")), by)
+        .withColumn("_copies", F.floor(share / F.col("_all")).cast("int"))
+        .withColumn("_k", share - F.col("_copies") * F.col("_all"))
+        .withColumn("_rest", F.greatest("_k", F.lit(1)) - F.col("_offset"))
+        .filter((F.col("_rest") > 0) & (F.col("_rest") <= F.col("_n")))
     )
-    cuts = hash_cutoffs(df, key, seed, quotas.select(by, "_k"), by)
-    plan = quotas.select(by, "_copies").join(cuts, by, "left")
-    sampled = F.coalesce((order_key(seed, key) <= F.col("_cut")).cast("int"), F.lit(0))
+    missing = F.raise_error(F.concat(F.lit("no rows of source "), F.col(by))).cast("string")
+    places = named.select(by).join(sized, by, "left").select(
+        by, F.coalesce("_bucket", missing).alias("_bucket"), "_rest", "_copies", "_k"
+    )
+    plan = ranked_hashes(df, key, seed, places, by)
+    sampled = F.when((F.col("_k") > 0) & (order_key(seed, key) <= F.col("_cut")), 1).otherwise(0)
     return (
         _known_only(df, by, list(weights))
         .join(F.broadcast(plan), by)
         .withColumn("_times", F.col("_copies") + sampled)
         .filter(F.col("_times") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .drop("_copies", "_cut", "_times")
+        .drop("_copies", "_k", "_cut", "_times")
     )
 
 

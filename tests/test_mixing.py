@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.operators import mixing
+from quillmesh.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +95,30 @@ def test_keys_that_rows_share(rows):
         for n in range(100, 900, 100):
             mixing.sample_rows(copies, "id", n).collect()
     assert sorted(r.position for r in mixing.with_shuffled_position(copies, "id").collect()) == list(range(1000))
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("Exchange hashpartitioning")
+
+
+def test_counts_are_read_once(spark, sf_dir):
+    """A mix reads its table for the counts, the cut and the rows; a job with a shuffle behind it
+    once more for the places. No other pass is in the plan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars")
+    weights = {"en": 0.25, "de": 0.25, "fr": 0.375, "es": 0.125}
+    mixed = mixing.mix_total(docs, "lang", "doc_id", weights, 100)
+    assert scans(mixed)[0] == 3
+    assert scans(mixing.with_shuffled_position(docs, "doc_id"))[0] == 2
+    read, moved = scans(QUERIES["training_corpus"](spark, sf_dir))
+    assert read <= 12 and moved <= 13  # its rows are a join of two scans, so six passes
+
+
+def test_shares_without_a_rest(spark):
+    """Whole copies only: no row is taken as a sample; and a share of nothing."""
+    rows = [(i, "a") for i in range(10)] + [(100 + i, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, s string").repartition(4)
+    found = mixing.mix_total(df, "s", "id", {"a": 0.5, "b": 0.5}, 80).collect()
+    assert sorted((r.s, r.copy) for r in found) == sorted([("a", c) for c in range(1, 5)] * 10 + [("b", 1)] * 40)
+    nothing = mixing.mix_total(df, "s", "id", {"a": 1.0, "b": 0.0}, 15).collect()
+    assert len(nothing) == 15 and {r.s for r in nothing} == {"a"}
