@@ -71,6 +71,9 @@ AROUND = 48
 # Values of each labeler (no, nothing, yes) and of each feature; the codes count through them.
 LABELERS = ("pattern", "gazetteer", "context", "beside", "grouping", "variety")
 VOTES = 3 ** len(LABELERS)
+# Right and wrong votes that a labeler, and the pattern, are believed to begin with.
+BELIEF = (1.5, 1.0)
+STRICT = (60.0, 0.5)
 FEATURES = {"size": 4, "left": 3, "right": 3, "gaps": 4, "context": 3, "valid": 2, "listed": 3}
 SHAPES = int(np.prod(list(FEATURES.values())))
 
@@ -288,34 +291,45 @@ class Model:
     """Reliabilities per kind (labeler, truth, vote), the likelihood of each pattern of votes,
     and the classifier's probability for each pattern of features."""
 
-    priors: np.ndarray
     reliabilities: np.ndarray
     posterior: np.ndarray
     probability: np.ndarray
 
 
-def estimate(counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def estimate(counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over the counts of vote patterns (kinds x 3^6).
 
-    Truth is hidden; labelers vote independently, given the truth. The first guess is the
-    majority. Every vote is counted half a time more than seen, so that none is impossible.
-    Returns priors, reliabilities (kind, labeler, truth, vote) and the posterior per pattern.
+    Truth is hidden; labelers vote independently, given the truth. Before anything is seen a
+    labeler is believed to be right rather more often than not (`BELIEF`, in counts of votes),
+    and the pattern, which includes check digits and ranges, nearly always (`STRICT`). The first
+    guess follows from that, and the counts of the spans are added to it: few spans of a kind do
+    not turn a labeler round, many may. That a labeler does not vote says nothing.
+
+    Spans that the pattern accepts are results as they are, so they count as data; they tell how
+    labelers vote on data. How many of the others are data is estimated from the others alone,
+    beginning with one in three. Returns reliabilities (kind, labeler, truth, vote) and the
+    posterior per pattern of votes.
     """
     votes = np.array(list(product(range(3), repeat=len(LABELERS))))
-    guess = 1 / (1 + np.exp(-(votes - 1).sum(1)))
-    posterior = np.tile(guess, (len(KINDS), 1))
+    right = [STRICT if labeler == "pattern" else BELIEF for labeler in LABELERS]
+    belief = np.array([((good, 0, bad), (bad, 0, good)) for good, bad in right])  # none or data; no to yes
+    belief[:, :, 1] = belief[:, :, [0, 2]].sum(2)  # so that a vote of nothing is no evidence
+    guess = 1 / (1 + np.exp(-np.log(belief[:, 1] / belief[:, 0])[np.arange(len(LABELERS)), votes].sum(1)))
+    accepted = votes[:, LABELERS.index("pattern")] == 2
+    posterior = np.tile(np.where(accepted, 1.0, guess), (len(KINDS), 1))
     seen = np.stack([votes == v for v in range(3)], 2).astype(float)  # pattern, labeler, vote
-    priors, reliabilities = np.empty(len(KINDS)), np.empty((len(KINDS), len(LABELERS), 2, 3))
+    reliabilities = np.empty((len(KINDS), len(LABELERS), 2, 3))
     for kind, n in enumerate(counts):
         for _ in range(rounds):
             weights = np.stack([n * (1 - posterior[kind]), n * posterior[kind]])
-            priors[kind] = (weights[1].sum() + 0.5) / (weights.sum() + 1)
-            tally = np.einsum("tp,plv->ltv", weights, seen) + 0.5
-            reliabilities[kind] = tally / tally.sum(2, keepdims=True)
+            tally = np.einsum("tp,plv->ltv", weights, seen) + belief
+            tally[:, :, 1] = tally[:, :, [0, 2]].sum(2)
+            reliabilities[kind] = tally / tally[:, :, 1:2]
             logs = np.einsum("plv,ltv->tp", seen, np.log(reliabilities[kind]))
-            odds = logs[1] - logs[0] + np.log(priors[kind]) - np.log(1 - priors[kind])
-            posterior[kind] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return priors, reliabilities, posterior
+            share = (weights[1][~accepted].sum() + 1) / (n[~accepted].sum() + 3)
+            odds = logs[1] - logs[0] + np.log(share) - np.log(1 - share)
+            posterior[kind] = np.where(accepted, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    return reliabilities, posterior
 
 
 def train(counts: np.ndarray, positive: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -345,7 +359,7 @@ def fit(spans: DataFrame) -> Model:
     counts = np.zeros(len(KINDS) * VOTES)
     for r in cells.groupBy("votes").agg(F.sum("n").alias("n")).collect():  # 2,916 rows at most
         counts[r.votes] = r.n
-    priors, reliabilities, posterior = estimate(counts.reshape(len(KINDS), VOTES))
+    reliabilities, posterior = estimate(counts.reshape(len(KINDS), VOTES))
     # Likelihoods as whole numbers, so that their sums do not depend on the order of tasks.
     scale = 1 << 20
     likely = F.get(_numbers(np.rint(posterior.ravel() * scale)), F.col("votes")).cast("bigint")
@@ -354,7 +368,7 @@ def fit(spans: DataFrame) -> Model:
     for r in sums.collect():  # 10,368 rows at most
         seen[r.shape], positive[r.shape] = r.n, float(r.positive) / scale
     probability = train(seen.reshape(len(KINDS), SHAPES), positive.reshape(len(KINDS), SHAPES))
-    return Model(priors, reliabilities, posterior, probability)
+    return Model(reliabilities, posterior, probability)
 
 
 def _numbers(values: np.ndarray):

@@ -25,8 +25,8 @@ def failing(rows):
 
 def brute(rows, labels):
     docs = failing(rows)
-    good = {d for d, q, _ in labels if q == 1}
-    bad = {d for d, _, x in labels if x == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    bad = {d for d, _, x in labels if x == 1 and d is not None}
     out = []
     for part in {p for p, _, _ in docs}:
         mine = [(f, d) for p, f, d in docs if p == part]
