@@ -10,7 +10,7 @@ from quillmesh.functions.ordering import dense_position
 from quillmesh.operators import answers, logic, mixing, prompts, scores, tokens
 from quillmesh.plans import sql as q
 from quillmesh.plans.catalog import query, table
-from quillmesh.plans.logic import SMALL, formula_pairs, iou_sql
+from quillmesh.plans.logic import SMALL, cells_sql, formula_pairs, iou_sql
 from quillmesh.plans.tokens import PAIRS_SQL, PROMPT_SQL, LABEL_SQL, turn_pairs
 
 SHAPES = ("truncate", "pad", "pack")
@@ -134,7 +134,7 @@ def training_corpus_query(spark, sf_dir):
 
 @query(
     "run_metrics",
-    f"""WITH scored AS ({iou_sql("reference")}),
+    f"""WITH scored AS ({iou_sql(cells_sql("reference"))}),
         rows AS (SELECT p_brand AS dataset, iou, levenshtein(p_name, p_type) AS d FROM part JOIN scored ON pair_id = p_partkey),
         runs AS (SELECT dataset, count(*)::DOUBLE AS n, avg(d) AS distance, avg(iou) AS iou FROM rows GROUP BY dataset)
         SELECT dataset, metric, round(value, 6) AS value FROM (
