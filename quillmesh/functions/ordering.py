@@ -60,7 +60,7 @@ def bucket_offsets(df: DataFrame, key: str, seed: int, by: str | None = None) ->
             block["_buckets"].alias("_buckets"),
         )
 
-    each = gathered.select(*group, F.inline(F.transform("_blocks", told)))
+    each = gathered.select(*group, F.inline(F.transform("_blocks", told))).repartition(*group, "_block")
     earlier = (
         Window.partitionBy(*group, "_block")
         .orderBy("_bucket")
