@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,8 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bytes of text that one step of a task works on; numpy needs some ten times as much.
-CHUNK = 4 << 20
+from quillmesh.llm import hashing
+
+# Bytes of text that one step of a task works on; numpy needs some ten to thirty times as much.
+CHUNK = 2 << 20
+
+# How to drop what a Python worker keeps from task to task, by the name of its owner.
+held: dict[str, Callable[[], object]] = {"powers": hashing.forget}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,10 +121,35 @@ def chunks(
             start = end
 
 
-def flat_map(
-    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(run, schema)
+def lean(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, without what other operators left in the worker, and with what it freed given back
+    to the system when its task ends.
+
+    Spark uses a Python worker again for later stages. Tables that an earlier stage keeps there,
+    and what allocators keep, would add to the memory of every stage to come. Only the table of
+    the name `own` stays for the next task.
+    """
+
+    def emptied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release(own)
+        try:
+            yield from run(batches)
+        finally:
+            _release(own)
+
+    return emptied
+
+
+def _release(own: str | None) -> None:
+    for name, drop in held.items():
+        if name != own:
+            drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others need it less
+    if trim is not None:
+        trim(0)
 
 
 def groups_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import chunks, mixed, ranges, text_bytes
+from quillmesh.llm.common import chunks, lean, mixed, ranges, text_bytes
 from quillmesh.llm.shingles import LOWER, word_hashes
 
 WINDOW = 13
@@ -224,7 +224,7 @@ def _look_up(df: DataFrame, items: list[tuple[str, str]], window: int) -> DataFr
             )
 
     kept = [f for f in df.schema.fields if f.name != "_text"]
-    return df.mapInArrow(run, StructType([*kept, *StructType.fromDDL(MATCHES).fields]))
+    return df.mapInArrow(lean(run), StructType([*kept, *StructType.fromDDL(MATCHES).fields]))
 
 
 def _merged(df: DataFrame, share: int) -> DataFrame:

@@ -33,6 +33,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def forget() -> None:
+    """Drop the table of powers; the next task makes its own."""
+    _powers.clear()
+
+
 class PrefixHash:
     """Hash of any substring of `raw` in constant time."""
 

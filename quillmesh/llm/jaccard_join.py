@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import chunks, content_key, groups_of, mixed, parts, ranges, stored, text_bytes
+from quillmesh.llm.common import chunks, content_key, groups_of, lean, mixed, parts, ranges, stored, text_bytes
 from quillmesh.llm.components import components
 from quillmesh.llm.shingles import set_fingerprints, shingle_sets, word_hashes
 
@@ -389,7 +389,7 @@ def _together(pairs: DataFrame, sets: DataFrame, count: int, compare) -> DataFra
         "_task", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "hashes"
     )
     rows = carried.unionByName(dealt.withColumn("hashes", F.lit(None).cast("binary")))
-    return rows.repartitionById(count, "_task").select("a", "b", "hashes").mapInArrow(compare, "a bigint, b bigint")
+    return rows.repartitionById(count, "_task").select("a", "b", "hashes").mapInArrow(lean(compare), "a bigint, b bigint")
 
 
 def _needs(by_node: DataFrame, hot: DataFrame) -> DataFrame:
@@ -451,7 +451,7 @@ def _spread_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _rarest(sets: DataFrame) -> DataFrame:
     """(node, n, at, shared, shingle): the rarest n - ceil(3n/4) + 1 shingles of each set
     that other sets have too, with their place in the order of rarity."""
-    each = sets.mapInArrow(_spread_shingles, "node bigint, shingle bigint")
+    each = sets.mapInArrow(lean(_spread_shingles), "node bigint, shingle bigint")
     counts = stored(
         each.groupBy("shingle").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1"), "shingles"
     )
@@ -586,7 +586,7 @@ def _work(rows: DataFrame, sets: DataFrame, count: int) -> DataFrame:
     carried = rows.join(sets.select("node", "hashes"), "node").withColumn("_task", F.pmod(F.xxhash64("work"), F.lit(count)).cast("int"))
     return (
         carried.repartitionById(count, "_task").sortWithinPartitions("work")
-        .select("work", "node", "label", "query", "hashes").mapInArrow(_confirm_blocks, "a bigint, b bigint")
+        .select("work", "node", "label", "query", "hashes").mapInArrow(lean(_confirm_blocks), "a bigint, b bigint")
     )
 
 
@@ -651,8 +651,8 @@ def _labelled(df: DataFrame, key: str, text: str) -> DataFrame:
         F.col(key).cast("bigint").alias("doc_id"), *content_key(F.col(key), F.col(text)), F.col(text).cast("binary").alias("text")
     )
     count = parts(df)
-    sent = docs.mapInArrow(_send(count), "bucket int, blob binary")
-    found = stored(sent.repartitionById(count, "bucket").mapInArrow(_group, FOUND), "pieces")
+    sent = docs.mapInArrow(lean(_send(count)), "bucket int, blob binary")
+    found = stored(sent.repartitionById(count, "bucket").mapInArrow(lean(_group), FOUND), "pieces")
     rows = found.filter(F.col("kind") == ROW).select("doc_id", *KEY, "n", "node", "slack0", "slack1")
     full = rows.filter("n > 0")
     lists = found.filter(F.col("kind") == LIST).groupBy("members").agg(F.sum("times").alias("times"))
@@ -674,7 +674,7 @@ def _labelled(df: DataFrame, key: str, text: str) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", none).alias("_id"), *KEY, "text").join(
         chosen.hint("shuffle_hash"), ["_id", *KEY]
     )
-    sets = stored(texts.select("node", "text").mapInArrow(_sets, "node bigint, hashes binary, sketch binary"), "sets")
+    sets = stored(texts.select("node", "text").mapInArrow(lean(_sets), "node bigint, hashes binary, sketch binary"), "sets")
 
     rarest = stored(_rarest(sets.select("node", "hashes").join(unsafe, "node", "left_semi")), "rarest")
     pairs = plausible.unionByName(stored(_rare_pairs(rarest), "pairs"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import chunks, content_key, groups_of, mixed, parts, ranges, text_bytes
+from quillmesh.llm.common import chunks, content_key, groups_of, lean, mixed, parts, ranges, text_bytes
 from quillmesh.llm.hashing import PrefixHash, sliding_min
 
 WINDOW = 50
@@ -719,17 +719,17 @@ def _repeated_spans(rows: DataFrame, buckets: int) -> DataFrame:
     text), `_values` (pairs of 64-bit numbers: first byte and the byte behind the last)."""
     found = "_id bigint, _hash0 bigint, _hash1 bigint, _values binary"
     anchors = (
-        rows.select(*NAMES, "text").mapInArrow(_send_anchors(buckets, 4 << 20), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(_shared_anchors(buckets), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(_gathered((np.int64, CHECK, np.int32, np.uint64)), found)
+        rows.select(*NAMES, "text").mapInArrow(lean(_send_anchors(buckets, 4 << 20)), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(lean(_shared_anchors(buckets)), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(lean(_gathered((np.int64, CHECK, np.int32, np.uint64))), found)
         .withColumnRenamed("_values", "_anchors")
     )
     # All columns, so that this join and that with the spans share one shuffle of the texts.
     sharing = rows.join(anchors.hint("shuffle_hash"), NAMES)
     return (
-        sharing.mapInArrow(_send(buckets, 4 << 20), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(_compare(buckets), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(_gathered(SPAN_KINDS), found)
+        sharing.mapInArrow(lean(_send(buckets, 4 << 20)), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(lean(_compare(buckets)), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(lean(_gathered(SPAN_KINDS)), found)
     )
 
 
@@ -758,5 +758,5 @@ def remove_repeats(
         "removed array<struct<start:bigint,end:bigint>>"
     )
     schema = StructType([*same, *added.fields])
-    return joined.mapInArrow(lambda batches: _cut(batches, characters), schema)
+    return joined.mapInArrow(lean(lambda batches: _cut(batches, characters)), schema)
 
