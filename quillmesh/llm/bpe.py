@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import chunks
+from quillmesh.llm.common import chunks, held, lean
 
 # States of the transducer, arcs asked for once, pairs of tokens looked at, and encoded
 # pieces, that a worker keeps.
@@ -42,12 +42,20 @@ PIECES = 300_000
 LONG = 1000
 
 
+def _node(tree: dict) -> tuple[int, dict | None]:
+    """A node of the tree of tokens; they are as deep as the longest token, which is short."""
+    token = tree.pop(-1, -1)
+    for byte in tree:
+        tree[byte] = _node(tree[byte])
+    return token, tree or None
+
+
 class Transducer:
     """Encodes bytes with a table of token ranks; merges are in the order of the ranks.
 
     A state is a number; `states` has of each the last certain token (-1 at the beginning),
     the bytes after it, per prefix of these the last token of its encoding, and the starts
-    of tokens that may still go on, each with its node in the tree of all tokens. An arc
+    of tokens that may still go on, each with the children of its node in the tree of tokens. An arc
     leads from 256 * state + byte to a state and the tokens it emits.
     """
 
@@ -58,25 +66,19 @@ class Transducer:
         # Every way to put two tokens together, and the two whose merge makes a token.
         self.joins: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        # The tree of all tokens: 256 * node + byte -> node, the token that ends in a node,
-        # and the nodes that go on.
-        self.child: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        self.inner: list[bool] = [True]
+        # The tree of all tokens. A node is the token that ends in it (or -1) and its
+        # children by byte, None where no token goes on.
+        tree: dict = {}
         for token, rank in ranks.items():
-            node = 0
+            node = tree
             for byte in token:
-                self.inner[node] = True
-                to = self.child.setdefault(node << 8 | byte, len(self.ends))
-                if to == len(self.ends):
-                    self.ends.append(-1)
-                    self.inner.append(False)
-                node = to
-            self.ends[node] = rank
+                node = node.setdefault(byte, {})
+            node[-1] = rank
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     self.joins[left << 32 | right] = rank
+        self.first = [_node(tree[byte]) if byte in tree else None for byte in range(256)]
         self.reset()
 
     def reset(self) -> None:
@@ -144,29 +146,8 @@ class Transducer:
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the arc of a state for a byte."""
         last, pending, ids, alive = self.states[state]
-        child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
-        end, token, going = len(pending), -1, []
-        for begin, node in (*alive, (end, 0)):
-            to = child.get(node << 8 | byte)
-            if to is None:
-                continue
-            # The longest token that fits what the encoding of the bytes before it ends with.
-            found = ends[to]
-            if token < 0 <= found:
-                before = ids[begin - 1] if begin else last
-                if before < 0:
-                    token = found
-                else:
-                    pair = before << 32 | found
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        fits = pairs[pair] = self.fits(before, found)
-                    if fits:
-                        token = found
-            if inner[to]:
-                going.append((begin, to))
-        if token < 0:
-            raise ValueError("a byte without a token")
+        end, going = len(pending), []
+        token = self._longest(alive, ids, end, last, byte, going)
         pending += bytes((byte,))
         ids += (token,)
         # The certain part is what the ends that can go on have in common.
@@ -184,40 +165,55 @@ class Transducer:
         if common:
             emitted = self._path(ids, common)
             last, pending, ids = ids[common - 1], pending[common:], ids[common:]
-            going = [(begin - common, node) for begin, node in going]
+            going = [(begin - common, children) for begin, children in going]
         arc = self.state(last, pending, ids, tuple(going)), emitted
         self.arcs[state << 8 | byte] = arc
         return arc
 
+    def _longest(self, alive: Sequence[tuple], ids: Sequence[int], end: int, last: int, byte: int, going: list) -> int:
+        """The longest token that ends with a byte and fits what the encoding of the bytes before
+        it ends with; the starts that can go on are added to `going`."""
+        token, pairs = -1, self.pairs
+        for begin, children in alive:
+            node = children.get(byte)
+            if node is None:
+                continue
+            found, onward = node
+            if token < 0 <= found:
+                before = ids[begin - 1] if begin else last
+                pair = before << 32 | found
+                fits = before < 0 or pairs.get(pair)
+                if fits is None:
+                    fits = pairs[pair] = self.fits(before, found)
+                if fits:
+                    token = found
+            if onward is not None:
+                going.append((begin, onward))
+        node = self.first[byte]
+        if node is not None:
+            found, onward = node
+            if token < 0 <= found:
+                before = ids[end - 1] if end else last
+                pair = before << 32 | found
+                fits = before < 0 or pairs.get(pair)
+                if fits is None:
+                    fits = pairs[pair] = self.fits(before, found)
+                if fits:
+                    token = found
+            if onward is not None:
+                going.append((end, onward))
+        if token < 0:
+            raise ValueError("a byte without a token")
+        return token
+
     def _ahead(self, state: int, text: bytes) -> tuple[int, ...]:
         """The tokens of what is pending in a state and the rest of a piece, without making
         states: as `_arc`, but nothing needs to be certain before the end."""
         last, _, ids, alive = self.states[state]
-        child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
-        ids, end = [*ids], len(ids)
+        ids, end, longest = [*ids], len(ids), self._longest
         for byte in text:
-            token, going = -1, []
-            for begin, node in (*alive, (end, 0)):
-                to = child.get(node << 8 | byte)
-                if to is None:
-                    continue
-                found = ends[to]
-                if token < 0 <= found:
-                    before = ids[begin - 1] if begin else last
-                    if before < 0:
-                        token = found
-                    else:
-                        pair = before << 32 | found
-                        fits = pairs.get(pair)
-                        if fits is None:
-                            fits = pairs[pair] = self.fits(before, found)
-                        if fits:
-                            token = found
-                if inner[to]:
-                    going.append((begin, to))
-            if token < 0:
-                raise ValueError("a byte without a token")
-            ids.append(token)
+            going: list = []
+            ids.append(longest(alive, ids, end, last, byte, going))
             alive = going
             end += 1
         return self._path(ids, end)
@@ -422,6 +418,14 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
+def _forget() -> None:
+    tokenizer.cache_clear()
+    token_bytes.cache_clear()
+
+
+held["tokens"] = _forget
+
+
 def _lists(found: list[array]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, found)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
@@ -448,7 +452,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", name: str
             found = [array("i", known.encode(t or "")) for t in part.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], _lists(found)], names=[*rest, name])
 
-    return kept.mapInArrow(run, _with(kept, f"`{name}` array<int>"))
+    return kept.mapInArrow(lean(run, own="tokens"), _with(kept, f"`{name}` array<int>"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -473,7 +477,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") ->
                     [*[part.column(c) for c in rest], pa.array(texts, pa.string())], names=[*rest, name]
                 )
 
-    return kept.mapInArrow(run, _with(kept, f"`{name}` string"))
+    return kept.mapInArrow(lean(run, own="tokens"), _with(kept, f"`{name}` string"))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -496,7 +500,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
             )
 
     schema = _with(kept.drop("_text"), "ids array<int>, decoded string")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run, own="tokens"), schema)
 
 
 def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
