@@ -28,3 +28,16 @@ def test_line_breaks_in_an_expression(spark):
     df = spark.createDataFrame([(text,)], "sstl string")
     clause = formulas.read_formula(df, "sstl").select("parsed").first()[0][0]
     assert (clause.slope, clause.intercept, clause.status) == (0.5, -7.0, "ok")
+
+
+def test_only_levels_that_an_offset_may_meet_are_compared(spark):
+    """An equation whose levels lie between the offsets at all times needs no comparison per time."""
+    grid = logic.ProfileGrid()
+    clause = F.struct(
+        F.lit("=").alias("comparison"), F.lit(False).alias("mirrored"), F.lit(10.0).alias("largest"),
+        F.expr("array(1.0D, 1.1D, 1.2D)").alias("times"),
+        F.expr("array(named_struct('level', 1D, 'target', 3.5D), named_struct('level', 2D, 'target', 4.0D))").alias("levels"),
+    )
+    near = lambda slope: F.transform(logic._near_levels(clause, F.lit(slope), grid), lambda x: x["level"])
+    still, moving = spark.range(1).select(near(0.0), near(10.0)).first()
+    assert still == [2.0] and moving == [1.0]
