@@ -7,9 +7,10 @@ does not depend on the length. Junk has n-grams that trusted text lacks.
 
 The threshold is fitted to labelled documents: of all cuts the one of least cost, where a
 trusted document that goes costs a hundred times a poor one that stays, in the middle of the
-gap between the scores on either side. The scores it is fitted to are those of at most LABELS
-labelled documents (with the least hash of the id); all documents are counted, all trusted
-ones as such, and all are scored and judged.
+gap between the scores on either side. It is fitted to the scores of all labelled documents:
+they are counted in BINS ranges of scores, whose totals come to the driver, and ranges are
+ordered by themselves. All documents are counted, all trusted ones as such, and all are scored
+and judged.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import CHUNK, chunks, lean, mixed, ranges, text_bytes
+from quillmesh.llm.common import CHUNK, chunks, lean, mixed, ranges, stored, text_bytes
 from quillmesh.llm.hashing import PrefixHash
 from quillmesh.llm.shingles import BLANK, word_bounds, word_hashes
 
 BUCKETS = 1 << 16
 SLICES = 64
-LABELS = 20_000
+# Ranges of scores, and how many make up a score of 1.
+BINS = 1 << 14
+BINS_A_UNIT = 256
 LOSS = 100
 # Where labels of one kind are missing.
 DEFAULT_THRESHOLD = -0.5
@@ -247,6 +250,36 @@ def fit_threshold(good: np.ndarray, poor: np.ndarray) -> float:
     return float(cuts[int(np.argmin(cost))])
 
 
+def fit_threshold_to(scored: DataFrame) -> float:
+    """`fit_threshold` for a table of any size: `score`, `good` (else poor).
+
+    Rows are counted per range of scores; a range knows from the totals what lies in front of
+    it, and its distinct scores are summed up in order by one task. One row comes back.
+    """
+    place = F.greatest(F.least(F.floor(F.col("score") * BINS_A_UNIT), F.lit(BINS // 2 - 1)), F.lit(-BINS // 2)).cast("int")
+    values = scored.groupBy(place.alias("bin"), "score").agg(
+        F.sum(F.col("good").cast("bigint")).alias("g"), F.sum((~F.col("good")).cast("bigint")).alias("p")
+    )
+    totals = values.groupBy("bin").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.max("score").alias("top"))
+    found = sorted(totals.collect(), key=lambda r: r.bin)  # BINS rows at most
+    if not sum(r.g for r in found) or not sum(r.p for r in found):
+        return DEFAULT_THRESHOLD
+    before, good, poor, top = [], 0, sum(r.p for r in found), None
+    for r in found:
+        before.append((r.bin, good, poor, top))
+        good, poor, top = good + r.g, poor - r.p, r.top
+    known = scored.sparkSession.createDataFrame(before, "bin int, in_front bigint, behind bigint, below double")
+    earlier = Window.partitionBy("bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    placed = values.join(F.broadcast(known), "bin").select(  # BINS rows at most
+        "score",
+        F.coalesce(F.lag("score").over(Window.partitionBy("bin").orderBy("score")), "below").alias("last"),
+        (F.col("in_front") + F.coalesce(F.sum("g").over(earlier), F.lit(0))).alias("lost"),
+        (F.col("behind") - F.coalesce(F.sum("p").over(earlier), F.lit(0))).alias("left"),
+    )
+    cut = F.when(F.col("last").isNull(), F.col("score") - 1.0).otherwise((F.col("score") + F.col("last")) / 2)
+    return placed.agg(F.min(F.struct((LOSS * F.col("lost") + F.col("left")).alias("cost"), cut.alias("cut"))).alias("best")).first().best.cut
+
+
 def _score(raw: np.ndarray, at: np.ndarray, model: np.ndarray) -> np.ndarray:
     """The mean weight of each text's n-grams. Weights are summed as whole numbers of 2^-24, so
     a score does not depend on the texts beside it."""
@@ -260,13 +293,14 @@ def _base_failed(found: dict[str, np.ndarray]) -> np.ndarray:
     )
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = LABELS) -> Model:
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None) -> Model:
     """Count the corpus and fit the threshold.
 
     `labels`: the key, quality, toxic. Documents of quality 1 that are not toxic are
     trusted, those of quality 0 poor. Of repeated labels the worst counts; NULL labels and
     ids count as none. N-grams are counted in all trusted documents; the threshold is fitted
-    to the scores of those `most` labelled documents that have the least hash of the id.
+    to the scores of all labelled documents that pass the base rules, of repeated ids to the
+    least. `most` has no effect: no labelled document is left out.
     """
     told = (
         labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull())
@@ -274,30 +308,22 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     )
     every, trusted = _counts(df, key, text, told.filter("quality = 1 AND toxic = 0").select("_id"))
-    rows = told.orderBy(F.xxhash64("_id"), "_id").limit(most).collect()
-    good = np.array(sorted(r._id for r in rows if r.quality == 1 and r.toxic == 0), np.int64)
-    poor = np.array(sorted(r._id for r in rows if r.quality == 0), np.int64)
     model = weights(every, trusted)
-    known = np.r_[good, poor]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column("_id").is_valid().to_numpy(zero_copy_only=False) & np.isin(
-                batch.column("_id").fill_null(0).to_numpy(zero_copy_only=False), known
-            )
-            for part in chunks([batch.filter(pa.array(wanted))], "text"):
-                raw, at = text_bytes(part.column("text"))
-                passed = ~_base_failed(statistics(raw, at))
-                yield pa.RecordBatch.from_pydict({
-                    "_id": pa.array(part.column("_id").to_numpy()[passed]),
-                    "score": pa.array(_score(raw, at, model)[passed]),
-                })
+        for part in chunks(batches, "text"):
+            raw, at = text_bytes(part.column("text"))
+            passed = ~_base_failed(statistics(raw, at)) & part.column("_id").is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({
+                "_id": part.column("_id").filter(pa.array(passed)), "score": pa.array(_score(raw, at, model)[passed]),
+            })
 
+    # Texts stay where they are: all are scored, and ids and scores meet the labels.
     docs = df.select(F.col(key).cast("bigint").alias("_id"), F.col(text).cast("binary").alias("text"))
     scored = docs.mapInArrow(lean(score), "_id bigint, score double").groupBy("_id").agg(F.min("score").alias("score"))
-    found = scored.collect()  # one row per label at most
-    ids, scores = np.array([r._id for r in found], np.int64), np.array([r.score for r in found], np.float64)
-    return Model(model, fit_threshold(scores[np.isin(ids, good)], scores[np.isin(ids, poor)]))
+    kinds = told.filter("quality = 0 OR (quality = 1 AND toxic = 0)").select("_id", (F.col("quality") == 1).alias("good"))
+    fitted = scored.join(kinds.hint("shuffle_hash"), "_id").select("score", "good")
+    return Model(model, fit_threshold_to(stored(fitted, "scores")))
 
 
 STATISTICS = (
