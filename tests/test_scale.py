@@ -41,3 +41,27 @@ def test_only_levels_that_an_offset_may_meet_are_compared(spark):
     near = lambda slope: F.transform(logic._near_levels(clause, F.lit(slope), grid), lambda x: x["level"])
     still, moving = spark.range(1).select(near(0.0), near(10.0)).first()
     assert still == [2.0] and moving == [1.0]
+
+
+def test_no_filter_makes_masks_or_domains_again(spark, sf_dir):
+    """What a filter or a generator asks of a column must not be made a second time below it."""
+    filters = re.findall(r"[-+:] Filter (.*)", planned(QUERIES["clause_truth"](spark, sf_dir)))
+    assert filters and not [f for f in filters if "aggregate(" in f]
+
+
+def test_equal_ends_stand_for_all_times(spark):
+    """Masks of order comparisons: what their two ends tell is what every time has by itself."""
+    grid = logic.ProfileGrid(m_steps=6, b_steps=70)
+    clause = F.struct(
+        F.col("sign").alias("comparison"), F.col("sign").isin("<", "<=", ">", ">=").alias("ordered"),
+        F.lit(False).alias("mirrored"), F.col("sign").isin("<", "<=").alias("true_first"),
+        (F.col("sign") == "<=").alias("closed_run"), F.lit(3.0).alias("limit"), F.lit(0.5).alias("level"),
+        F.lit(3.0).alias("threshold"), F.lit(10.0).alias("largest"), F.col("times"),
+        F.expr("array(named_struct('level', 0.5D, 'target', 35.2D))").alias("levels"),
+    )
+    rows = [(s, t) for s in ("<", "<=", ">", ">=") for t in ([], [1.0], [0.1 * i for i in range(40)], [3.0 * i for i in range(9)])]
+    df = spark.createDataFrame(rows, "sign string, times array<double>")
+    over = lambda body: F.transform(F.sequence(F.lit(0), F.lit(grid.planes - 1)), body)
+    each = lambda p: F.transform("times", lambda t: logic._ordered_truth(clause, p, logic._slope(clause, p, grid), t, grid))
+    made = df.select(over(lambda p: logic.truth_masks(clause, p, grid)).alias("got"), over(each).alias("expected")).collect()
+    assert all(r.got == r.expected for r in made) and any(len(set(m)) > 1 for r in made for m in r.got)
