@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 from itertools import chain
 
@@ -66,6 +67,8 @@ class Transducer:
         # Every way to put two tokens together, and the two whose merge makes a token.
         self.joins: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        # The next shorter token that each token begins with.
+        self.prefixes: dict[int, int] = {}
         # The tree of all tokens. A node is the token that ends in it (or -1) and its
         # children by byte, None where no token goes on.
         tree: dict = {}
@@ -79,6 +82,7 @@ class Transducer:
                 if left is not None and right is not None:
                     self.joins[left << 32 | right] = rank
         self.first = [_node(tree[byte]) if byte in tree else None for byte in range(256)]
+        self.roots = {byte: node for byte, node in enumerate(self.first) if node is not None}
         self.reset()
 
     def reset(self) -> None:
@@ -207,16 +211,62 @@ class Transducer:
         return token
 
     def _ahead(self, state: int, text: bytes) -> tuple[int, ...]:
-        """The tokens of what is pending in a state and the rest of a piece, without making
-        states: as `_arc`, but nothing needs to be certain before the end."""
-        last, _, ids, alive = self.states[state]
-        ids, end, longest = [*ids], len(ids), self._longest
-        for byte in text:
-            going: list = []
-            ids.append(longest(alive, ids, end, last, byte, going))
-            alive = going
-            end += 1
-        return self._path(ids, end)
+        """The tokens of what is pending in a state and the rest of a piece, without making states.
+
+        Nothing needs to be certain before the end, so the one row of tokens of which each two
+        neighbours fit is looked for from the left: the longest token that fits comes first, the
+        next shorter one if that leads nowhere. As each prefix has one last token only, a place
+        that led nowhere is not tried again, and the work grows with the tokens, not the bytes.
+        """
+        before, pending, _, _ = self.states[state]
+        text = pending + text
+        end, at, found, dead = len(text), 0, [], set()
+        pairs, size, roots = self.pairs, self.size, self.roots
+        while at < end:
+            # The longest token that begins here.
+            token, children = -1, roots
+            for byte in text[at:]:
+                node = children.get(byte)
+                if node is None:
+                    break
+                longer, children = node
+                if longer >= 0:
+                    token = longer
+                if children is None:
+                    break
+            while True:
+                while token < 0:
+                    # No token fits here: the one before it must be a shorter one.
+                    if not found:
+                        raise ValueError("a byte without a token")
+                    dead.add(at)
+                    token = found.pop()
+                    at -= size[token]
+                    before = found[-1] if found else self.states[state][0]
+                    token = self._shorter(token)
+                if not dead or at + size[token] not in dead:
+                    if before < 0:
+                        break
+                    pair = before << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = self.fits(before, token)
+                    if fits:
+                        break
+                token = self._shorter(token)
+            found.append(token)
+            before = token
+            at += size[token]
+        return tuple(found)
+
+    def _shorter(self, token: int) -> int:
+        """The longest token that a token begins with and is longer than; -1 if there is none."""
+        found = self.prefixes.get(token)
+        if found is None:
+            text, ranks = self.tokens[token], self.ranks
+            found = next((ranks[text[:i]] for i in range(len(text) - 1, 0, -1) if text[:i] in ranks), -1)
+            self.prefixes[token] = found
+        return found
 
     def _path(self, ids: Sequence[int], end: int) -> tuple[int, ...]:
         """The tokens of the encoding that ends here."""
@@ -426,6 +476,24 @@ def _forget() -> None:
 held["tokens"] = _forget
 
 
+def _uncollected(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` without searches for reference cycles: the tables have none, but each search would go
+    through their many tuples. What is dropped is freed at once, as ever."""
+
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if used:
+                gc.enable()
+
+    return quiet
+
+
 def _lists(found: list[array]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, found)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
@@ -452,7 +520,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", name: str
             found = [array("i", known.encode(t or "")) for t in part.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], _lists(found)], names=[*rest, name])
 
-    return kept.mapInArrow(lean(run, own="tokens"), _with(kept, f"`{name}` array<int>"))
+    return kept.mapInArrow(lean(_uncollected(run), own="tokens"), _with(kept, f"`{name}` array<int>"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -477,7 +545,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") ->
                     [*[part.column(c) for c in rest], pa.array(texts, pa.string())], names=[*rest, name]
                 )
 
-    return kept.mapInArrow(lean(run, own="tokens"), _with(kept, f"`{name}` string"))
+    return kept.mapInArrow(lean(_uncollected(run), own="tokens"), _with(kept, f"`{name}` string"))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -500,7 +568,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
             )
 
     schema = _with(kept.drop("_text"), "ids array<int>, decoded string")
-    return kept.mapInArrow(lean(run, own="tokens"), schema)
+    return kept.mapInArrow(lean(_uncollected(run), own="tokens"), schema)
 
 
 def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -122,3 +122,35 @@ def test_nulls_and_clashing_columns(spark):
     assert [(r.doc_id, r.decoded, len(r.ids)) for r in rows][:2] == [(1, "", 0), (2, "", 0)]
     assert rows[2].decoded == "hé"
     assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_reading_ahead_asks_little(library, monkeypatch):
+    """A piece that is read ahead asks for its own pairs of tokens and few more, whatever its bytes."""
+    fresh = bpe.Transducer(RANKS)
+    pieces = [w.encode() for w in " internationalisation zuverberheit ouéaieuxlepa antidisestablishmentarianism".split(" ") if w]
+    asked, fits = [], fresh.fits
+    monkeypatch.setattr(fresh, "fits", lambda a, b: asked.append((a, b)) or fits(a, b))
+    found = [fresh._ahead(0, p) for p in pieces]
+    assert found == [tuple(library.encode_ordinary(p.decode())) for p in pieces]
+    assert len(asked) <= 2 * sum(map(len, found))
+
+
+def test_reading_ahead_goes_back(ours):
+    """Also where the longest token leads nowhere, and from every state."""
+    rng, machine = random.Random(5), ours.transducer
+    for n, signs in ((400, "abcdeinrst"), (300, "aé日😀 '\n"), (20, "a")):
+        for _ in range(n):
+            text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))).encode()
+            state, cut, before = 0, rng.randrange(len(text)), ()
+            for byte in text[:cut]:
+                arc = machine.arcs.get(state << 8 | byte) or machine._arc(state, byte)
+                state, before = arc[0], before + arc[1]
+            assert before + machine._ahead(state, text[cut:]) == tuple(machine.stream(text))
+
+
+def test_no_search_for_cycles_while_texts_are_read():
+    import gc
+
+    seen = []
+    list(bpe._uncollected(lambda batches: (seen.append(gc.isenabled()) or b for b in batches))(iter([1, 2])))
+    assert seen == [False, False] and gc.isenabled()
