@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.arrays import indexes, last, let
-from quillmesh.functions.joins import lookup_join
+from quillmesh.functions.joins import lookup_join, one_per_key
 from quillmesh.functions.ordering import dense_position
 from quillmesh.functions.text import as_column
 
@@ -16,6 +16,11 @@ FIRST_ID = 10
 VOCAB_SIZE = 32000
 PIECE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
+# A vocabulary of so many bytes at most (an entry has its piece and ENTRY_BYTES) goes to every task.
+VOCAB_BYTES = 16 << 20
+ENTRY_BYTES = 40
+BUCKETS = 1 << 14
+
 _NO_IDS = "array<bigint>"
 
 
@@ -34,25 +39,61 @@ def encode(text: Column | str, vocab_size: int = VOCAB_SIZE) -> Column:
     return F.transform(pieces(text), piece_id)
 
 
+def _bucket(piece: Column | str) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")
+
+
+def _dictionary(words: DataFrame) -> DataFrame:
+    """One row: an array with a map of the pieces of each bucket, NULL for an empty one.
+
+    Spark looks a key up in a map by going through it; a bucket holds a few pieces only.
+    """
+    entries = words.groupBy(_bucket("_piece").alias("_bucket")).agg(
+        F.collect_list(F.struct("_piece", "_id")).alias("_entries")
+    )
+    places = words.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
+    rows = places.join(entries, "_bucket", "left").select(F.struct("_bucket", "_entries").alias("_row"))
+    return rows.agg(
+        F.transform(
+            F.sort_array(F.collect_list("_row")), lambda r: F.map_from_entries(r["_entries"])
+        ).alias("_buckets")
+    )
+
+
 def encode_with_vocab(
     df: DataFrame, key: str, text: str, vocab: DataFrame, name: str = "input_ids"
 ) -> DataFrame:
-    """Ids from a (`piece`, `id`) table; pieces it lacks become UNKNOWN.
-
-    Whether the table is broadcast is decided when its bytes are known; otherwise the
-    partitions of frequent pieces are split, because one word may make up a third of all text.
+    """Ids from a (`piece`, `id`) table; pieces it lacks become UNKNOWN. A repeated piece is an error.
 
-    Texts are dealt out by key before they are split: with a broadcast vocabulary the
-    pieces then stay where they are until their ids are gathered.
+    A vocabulary of VOCAB_BYTES at most is handed to every task, as a broadcast table would
+    be, and texts are encoded where they are read: no piece becomes a row. A larger one is
+    joined to a row per piece, and the partitions of frequent pieces are split, because one
+    word may make up a third of all text. Its measured bytes decide when the plan runs; the
+    other way then gets no rows.
     """
-    texts = df.select(key, F.col(text).alias("_text")).repartition(key)
-    located = texts.select(key, F.posexplode(pieces("_text")).alias("_pos", "_piece"))
-    words = vocab.select(F.col("piece").alias("_piece"), F.col("id").cast("bigint").alias("_id"))
+    unknown = F.lit(UNKNOWN).cast("bigint")
+    given = vocab.select(F.col("piece").alias("_piece"), F.col("id").cast("bigint").alias("_id"))
+    words = one_per_key(given.filter("_piece IS NOT NULL"), "_piece", "vocab")
+    size = F.sum(F.octet_length("_piece") + F.lit(ENTRY_BYTES))
+    small = words.agg(F.coalesce(size, F.lit(0)).alias("_bytes")).scalar() <= F.lit(VOCAB_BYTES)
+
+    def looked_up(buckets: Column) -> Column:
+        found = lambda p: F.get(buckets, _bucket(p))[p]
+        return F.transform(pieces(text), lambda p: F.coalesce(found(p), unknown))
+
+    # Subqueries may not be written inside of lambdas, so the dictionary is a column first.
+    told = df.filter(small).withColumn("_buckets", _dictionary(words.filter(small)).scalar())
+    ids = F.coalesce(let(F.col("_buckets"), looked_up), F.array().cast(_NO_IDS))
+    in_place = told.withColumn(name, ids).drop("_buckets")
+
+    rest = df.filter(~small)
+    located = rest.select(key, F.posexplode(pieces(text)).alias("_pos", "_piece"))
     found = lookup_join(located, words, "_piece", "left")
-    placed = F.struct("_pos", F.coalesce("_id", F.lit(UNKNOWN).cast("bigint")).alias("_id"))
+    placed = F.struct("_pos", F.coalesce("_id", unknown).alias("_id"))
     per_row = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
     encoded = F.coalesce(F.col("_ids._id"), F.array().cast(_NO_IDS))
-    return df.join(per_row, key, "left").withColumn(name, encoded).drop("_ids")
+    joined = rest.join(per_row, key, "left").withColumn(name, encoded).drop("_ids")
+    return in_place.unionByName(joined)
 
 
 def with_bos(ids: Column) -> Column:

@@ -127,6 +127,50 @@ def test_vocab_join(spark):
     assert got == {1: [20, 21, 20, 3], 2: []}
 
 
+def test_no_piece_of_a_text_is_moved_for_a_small_vocabulary(spark, sf_dir, monkeypatch):
+    """Adaptive execution had moved a row per piece before it knew that the vocabulary is small."""
+    plain = tokens.lookup_join
+
+    def watched(rows, per_key, on, how):
+        moved = F.raise_error(F.concat(F.lit("moved: "), on)).cast("string")
+        return plain(rows.withColumn(on, moved), per_key, on, how)
+
+    monkeypatch.setattr(tokens, "lookup_join", watched)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    vocab = spark.createDataFrame([("the", 20), ("and", 21), (".", 22)], "piece string, id long")
+    encoded = tokens.encode_with_vocab(docs, "doc_id", "text", vocab)
+    got = encoded.select("doc_id", "input_ids", F.size(tokens.pieces("text")).alias("n")).collect()
+    assert len(got) == docs.count() and all(len(r.input_ids) == r.n for r in got)
+    # The dictionary is read in place and is no column that each row would hold.
+    assert "aggregate([], Subquery" in encoded._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("largest, buckets", [(1 << 20, 1 << 14), (1 << 20, 1), (-1, 1 << 14)])
+def test_vocabulary_in_place_and_joined(spark, sf_dir, monkeypatch, largest, buckets):
+    monkeypatch.setattr(tokens, "VOCAB_BYTES", largest, raising=False)
+    monkeypatch.setattr(tokens, "BUCKETS", buckets, raising=False)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 40").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "\u00e9\u00e9n, x _ \U0001f600!")], "doc_id long, text string")
+    every = docs.unionByName(odd)
+    words = every.select(F.explode(tokens.pieces("text")).alias("piece")).distinct().filter("xxhash64(piece) % 2 = 0")
+    vocab = words.withColumn("id", F.when(F.length("piece") != 3, F.xxhash64("piece"))).localCheckpoint()
+    ids = {r.piece: r.id for r in vocab.collect()}
+    assert None in ids.values()
+    rows = every.select("doc_id", tokens.pieces("text").alias("p")).collect()
+    wanted = {r.doc_id: [tokens.UNKNOWN if ids.get(p) is None else ids[p] for p in r.p or []] for r in rows}
+    got = tokens.encode_with_vocab(every, "doc_id", "text", vocab).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.input_ids for r in got} == wanted
+
+
+@pytest.mark.parametrize("largest", [1 << 20, -1])
+def test_a_repeated_piece_is_an_error(spark, monkeypatch, largest):
+    monkeypatch.setattr(tokens, "VOCAB_BYTES", largest, raising=False)
+    docs = spark.createDataFrame([(1, "a b")], "id long, text string")
+    vocab = spark.createDataFrame([("a", 20), ("a", 21)], "piece string, id long")
+    with pytest.raises(Exception, match="vocab repeats a key: a"):
+        tokens.encode_with_vocab(docs, "id", "text", vocab).collect()
+
+
 def test_every_labelled_document_is_in_a_pair(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     kinds = {}
