@@ -19,7 +19,7 @@ PIECE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 # A vocabulary of so many bytes at most (an entry has its piece and ENTRY_BYTES) goes to every task.
 VOCAB_BYTES = 16 << 20
 ENTRY_BYTES = 40
-BUCKETS = 1 << 14
+BUCKETS, ROW_BUCKETS = 1 << 14, 64
 
 _NO_IDS = "array<bigint>"
 
@@ -39,25 +39,46 @@ def encode(text: Column | str, vocab_size: int = VOCAB_SIZE) -> Column:
     return F.transform(pieces(text), piece_id)
 
 
-def _bucket(piece: Column | str) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")
+def _bucket(piece: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("int")
 
 
-def _dictionary(words: DataFrame) -> DataFrame:
-    """One row: an array with a map of the pieces of each bucket, NULL for an empty one.
+def _ids_in(text: str, dictionary: Column, buckets: int) -> Column:
+    """The ids of a text by an array with a map of the pieces of each bucket, NULL for an empty one.
 
     Spark looks a key up in a map by going through it; a bucket holds a few pieces only.
     """
-    entries = words.groupBy(_bucket("_piece").alias("_bucket")).agg(
+    unknown = F.lit(UNKNOWN).cast("bigint")
+
+    def looked_up(d: Column) -> Column:
+        found = lambda p: F.get(d, _bucket(p, buckets))[p]
+        return F.transform(pieces(text), lambda p: F.coalesce(found(p), unknown))
+
+    ids = let(dictionary, looked_up)
+    return F.coalesce(ids, F.array().cast(_NO_IDS))
+
+
+def _dictionary(words: DataFrame) -> DataFrame:
+    """All pieces and their ids as one dictionary of BUCKETS buckets, in one row."""
+    entries = words.groupBy(_bucket("_piece", BUCKETS).alias("_bucket")).agg(
         F.collect_list(F.struct("_piece", "_id")).alias("_entries")
     )
     places = words.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
     rows = places.join(entries, "_bucket", "left").select(F.struct("_bucket", "_entries").alias("_row"))
-    return rows.agg(
-        F.transform(
-            F.sort_array(F.collect_list("_row")), lambda r: F.map_from_entries(r["_entries"])
-        ).alias("_buckets")
+    ordered = F.sort_array(F.collect_list("_row"))
+    return rows.agg(F.transform(ordered, lambda r: F.map_from_entries(r["_entries"])).alias("_dictionary"))
+
+
+def _dictionaries(found: DataFrame, key: str) -> DataFrame:
+    """The pieces found for each key as a dictionary of ROW_BUCKETS buckets."""
+    entries = found.repartition(key).groupBy(key, _bucket("_piece", ROW_BUCKETS).alias("_bucket")).agg(
+        F.map_from_entries(F.collect_set(F.struct("_piece", "_id"))).alias("_entries")
+    )
+    maps = entries.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("_bucket", "_entries"))).alias("_maps")
     )
+    places = F.sequence(F.lit(0), F.lit(ROW_BUCKETS - 1))
+    return maps.select(key, F.transform(places, lambda b: F.col("_maps")[b]).alias("_dictionary"))
 
 
 def encode_with_vocab(
@@ -67,33 +88,26 @@ def encode_with_vocab(
 
     A vocabulary of VOCAB_BYTES at most is handed to every task, as a broadcast table would
     be, and texts are encoded where they are read: no piece becomes a row. A larger one is
-    joined to a row per piece, and the partitions of frequent pieces are split, because one
-    word may make up a third of all text. Its measured bytes decide when the plan runs; the
-    other way then gets no rows.
+    joined to a row per text and distinct piece, and each text is encoded by what was found
+    for it; the partitions of frequent pieces are split, because a word may be in nearly every
+    text. The vocabulary's measured bytes decide when the plan runs; the other way then gets
+    no rows.
     """
-    unknown = F.lit(UNKNOWN).cast("bigint")
     given = vocab.select(F.col("piece").alias("_piece"), F.col("id").cast("bigint").alias("_id"))
     words = one_per_key(given.filter("_piece IS NOT NULL"), "_piece", "vocab")
     size = F.sum(F.octet_length("_piece") + F.lit(ENTRY_BYTES))
     small = words.agg(F.coalesce(size, F.lit(0)).alias("_bytes")).scalar() <= F.lit(VOCAB_BYTES)
 
-    def looked_up(buckets: Column) -> Column:
-        found = lambda p: F.get(buckets, _bucket(p))[p]
-        return F.transform(pieces(text), lambda p: F.coalesce(found(p), unknown))
-
     # Subqueries may not be written inside of lambdas, so the dictionary is a column first.
-    told = df.filter(small).withColumn("_buckets", _dictionary(words.filter(small)).scalar())
-    ids = F.coalesce(let(F.col("_buckets"), looked_up), F.array().cast(_NO_IDS))
-    in_place = told.withColumn(name, ids).drop("_buckets")
+    whole = _dictionary(words.filter(small)).scalar()
+    in_place = df.filter(small).withColumn("_dictionary", whole)
+    in_place = in_place.withColumn(name, _ids_in(text, F.col("_dictionary"), BUCKETS))
 
     rest = df.filter(~small)
-    located = rest.select(key, F.posexplode(pieces(text)).alias("_pos", "_piece"))
-    found = lookup_join(located, words, "_piece", "left")
-    placed = F.struct("_pos", F.coalesce("_id", unknown).alias("_id"))
-    per_row = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
-    encoded = F.coalesce(F.col("_ids._id"), F.array().cast(_NO_IDS))
-    joined = rest.join(per_row, key, "left").withColumn(name, encoded).drop("_ids")
-    return in_place.unionByName(joined)
+    sought = rest.select(key, F.explode(F.array_distinct(pieces(text))).alias("_piece"))
+    own = _dictionaries(lookup_join(sought, words, "_piece", "inner"), key)
+    by_row = rest.join(own, key, "left").withColumn(name, _ids_in(text, F.col("_dictionary"), ROW_BUCKETS))
+    return in_place.drop("_dictionary").unionByName(by_row.drop("_dictionary"))
 
 
 def with_bos(ids: Column) -> Column:

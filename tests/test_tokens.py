@@ -145,10 +145,11 @@ def test_no_piece_of_a_text_is_moved_for_a_small_vocabulary(spark, sf_dir, monke
     assert "aggregate([], Subquery" in encoded._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("largest, buckets", [(1 << 20, 1 << 14), (1 << 20, 1), (-1, 1 << 14)])
+@pytest.mark.parametrize("largest, buckets", [(1 << 20, 1 << 14), (1 << 20, 1), (-1, 64), (-1, 1)])
 def test_vocabulary_in_place_and_joined(spark, sf_dir, monkeypatch, largest, buckets):
     monkeypatch.setattr(tokens, "VOCAB_BYTES", largest, raising=False)
     monkeypatch.setattr(tokens, "BUCKETS", buckets, raising=False)
+    monkeypatch.setattr(tokens, "ROW_BUCKETS", buckets, raising=False)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 40").select("doc_id", "text")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "\u00e9\u00e9n, x _ \U0001f600!")], "doc_id long, text string")
     every = docs.unionByName(odd)
@@ -162,6 +163,22 @@ def test_vocabulary_in_place_and_joined(spark, sf_dir, monkeypatch, largest, buc
     assert len(got) == len(rows) and {r.doc_id: r.input_ids for r in got} == wanted
 
 
+def test_a_large_vocabulary_meets_each_piece_of_a_text_once(spark, monkeypatch):
+    plain, sought = tokens.lookup_join, []
+
+    def watched(rows, per_key, on, how):
+        sought.append(rows)
+        return plain(rows, per_key, on, how)
+
+    monkeypatch.setattr(tokens, "lookup_join", watched)
+    monkeypatch.setattr(tokens, "VOCAB_BYTES", -1, raising=False)
+    docs = spark.createDataFrame([(1, "a b a a . a b"), (2, "a a"), (3, ""), (4, None)], "id long, text string")
+    vocab = spark.createDataFrame([("a", 20), (".", 21)], "piece string, id long")
+    got = {r.id: r.input_ids for r in tokens.encode_with_vocab(docs, "id", "text", vocab).collect()}
+    assert got == {1: [20, 3, 20, 20, 21, 20, 3], 2: [20, 20], 3: [], 4: []}
+    assert sorted((r.id, r._piece) for r in sought[0].collect()) == [(1, "."), (1, "a"), (1, "b"), (2, "a")]
+
+
 @pytest.mark.parametrize("largest", [1 << 20, -1])
 def test_a_repeated_piece_is_an_error(spark, monkeypatch, largest):
     monkeypatch.setattr(tokens, "VOCAB_BYTES", largest, raising=False)
