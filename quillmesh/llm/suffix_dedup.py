@@ -9,10 +9,9 @@ bucket. Neighbouring windows with one anchor form a stretch of text.
 2. Stretches with such anchors travel to the bucket of their anchor, with their text.
    Stretches that are equal as a whole are settled at once, first in the task that sends
    them, so that a passage shared by very many documents comes once per task. The suffixes
-   of the others are sorted by mergesort, in families with the anchor at one offset. Two
-   suffixes are compared by a binary search for their common extension over prefix
-   polynomial hashes. At the end each pair of neighbours in the order is compared byte by
-   byte, so a collision cannot change the result.
+   of the others are sorted by their bytes, in families with the anchor at one offset, eight
+   bytes at a time as long as they are tied: the work per suffix does not depend on how many
+   texts share the anchor, but for the sort of a number, and no hash decides about equality.
 3. The spans found are gathered per document and cut.
 """
 
@@ -45,27 +44,13 @@ NO_ID = 2**63 - 1
 # --- sorting suffixes -------------------------------------------------------------------
 
 
-def common_extension(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Bytes that the suffixes at a and b have in common, `length` at most.
-
-    Binary search: prefixes are equal up to the common extension and differ after it.
-    """
-    low = np.zeros(len(a), np.int64)
-    high = np.full(len(a), length, np.int64)
-    for _ in range(int(length).bit_length()):
-        middle = (low + high + 1) >> 1
-        same = hashes.of(a, middle) == hashes.of(b, middle)
-        low = np.where(same, middle, low)
-        high = np.where(same, high, middle - 1)
-    return low
-
-
-def _after(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the string at a is greater than that at b, and whether they are equal."""
-    same = common_extension(hashes, a, b, length)
-    equal = same == length
-    last = np.minimum(same, length - 1)
-    return hashes.raw[a + last] > hashes.raw[b + last], equal
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number; zeros follow the end."""
+    words = np.zeros(len(raw) + 8, np.uint64)
+    words[: len(raw)] = raw
+    for width in (1, 2, 4):
+        words[:-width] = (words[:-width] << np.uint64(8 * width)) | words[width:]
+    return words
 
 
 def sort_suffixes(
@@ -74,68 +59,39 @@ def sort_suffixes(
     """The order of suffixes inside their families, by their first `length` bytes.
 
     `family` is sorted. Returns the order and whether each suffix equals the one before it
-    (of its family). Bottom-up mergesort over all families at once: each suffix finds its
-    place in the neighbouring run by binary search.
+    (of its family); of equal suffixes the first given comes first. All families are sorted
+    at once, by eight bytes at a time: only suffixes that are still tied are read on, and
+    only groups in which the next eight bytes differ are sorted by them.
     """
-    hashes = PrefixHash(raw)
-    n = len(starts)
+    words = _words(raw)
+    order = np.arange(len(starts), dtype=np.int64)
+    # Groups of tied suffixes, by their first place in the order.
     first, size = groups_of(family)
-    base, count = np.repeat(first, size), np.repeat(size, size)
-    order = np.arange(n, dtype=np.int64)
-    width, longest = 1, int(size.max()) if n else 0
-    while width < longest:
-        at = np.flatnonzero(count > width)
-        inside = at - base[at]
-        run = inside // width
-        left = run % 2 == 0
-        begin = np.where(left, (run + 1) * width, (run - 1) * width)
-        low = np.minimum(begin, count[at])
-        high = np.minimum(begin + width, count[at])
-        own, mine = starts[order[at]], inside - run * width
-        sibling = low.copy()
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            middle = (low[open_] + high[open_]) >> 1
-            other = starts[order[base[at[open_]] + middle]]
-            greater, equal = _after(hashes, own[open_], other, length)
-            # Of equal suffixes those of the left run come first.
-            beyond = np.where(left[open_], greater & ~equal, greater | equal)
-            low[open_] = np.where(beyond, middle + 1, low[open_])
-            high[open_] = np.where(beyond, high[open_], middle)
-        pair = np.where(left, run, run - 1) * width
-        moved = order.copy()
-        moved[base[at] + pair + mine + (low - sibling)] = order[at]
-        order = moved
-        width *= 2
-    equal = _verified(raw, starts[order], family, length)
-    if equal is None:  # two different strings with one hash
-        text = raw.tobytes()
-        order = np.array(
-            sorted(range(n), key=lambda i: (family[i], text[starts[i] : starts[i] + length])), np.int64
-        )
-        equal = _verified(raw, starts[order], family, length)
-    return order, equal
-
-
-def _verified(raw: np.ndarray, starts: np.ndarray, family: np.ndarray, length: int) -> np.ndarray | None:
-    """Which suffixes equal the one before, from the bytes; None if the order is wrong."""
+    first, size = first[size > 1], size[size > 1]
+    for done in range(0, length, 8):
+        if not len(first):
+            break
+        at = ranges(first, size)
+        key = words[starts[order[at]] + done]
+        if length - done < 8:
+            key >>= np.uint64(8 * (8 - length + done))
+        begin = np.cumsum(size) - size
+        differ = np.logical_or.reduceat(key != np.repeat(key[begin], size), begin)
+        here = np.repeat(differ, size)
+        at, key = at[here], key[here]
+        group = np.repeat(np.arange(int(differ.sum())), size[differ])
+        by = np.lexsort((key, group))
+        order[at], key = order[at[by]], key[by]
+        new = np.ones(len(at), bool)
+        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        begin = np.flatnonzero(new)
+        count = np.diff(np.r_[begin, len(at)])
+        tied = count > 1
+        first = np.r_[first[~differ], at[begin[tied]]]
+        size = np.r_[size[~differ], count[tied]]
     equal = np.zeros(len(starts), bool)
-    step = np.arange(length)
-    for at in range(1, len(starts), 1 << 18):
-        end = min(at + (1 << 18), len(starts))
-        a = raw[starts[at - 1 : end - 1, None] + step]
-        b = raw[starts[at:end, None] + step]
-        differ = a != b
-        where = differ.argmax(axis=1)
-        rows = np.arange(end - at)
-        same = ~differ[rows, where]
-        kin = family[at:end] == family[at - 1 : end - 1]
-        if np.any(kin & ~same & (a[rows, where] > b[rows, where])):
-            return None
-        equal[at:end] = same & kin
-    return equal
+    equal[ranges(first + 1, size - 1)] = True
+    return order, equal
 
 
 # --- stretches --------------------------------------------------------------------------

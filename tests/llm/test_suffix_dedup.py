@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -105,6 +106,22 @@ def test_suffix_sort(seed):
     assert equal.tolist() == [i > 0 and keys[i] == keys[i - 1] for i in range(len(keys))]
 
 
+def test_large_family():
+    """One family of very many suffixes costs about as much as sorting their bytes as numbers."""
+    rng = np.random.default_rng(5)
+    n, anchor = 60_000, np.frombuffer(b"the anchor of all texts.", np.uint8)
+    text = np.c_[rng.integers(97, 101, (n, 13)), np.tile(anchor, (n, 1)), rng.integers(97, 99, (n, 13))].astype(np.uint8)
+    raw, starts = text.ravel(), np.arange(n) * 50
+    began = time.process_time()
+    by = np.lexsort(np.pad(text, ((0, 0), (0, 6))).view(">u8").astype(np.uint64).T[::-1])
+    plain, began = time.process_time() - began, time.process_time()
+    order, equal = suffix_dedup.sort_suffixes(raw, starts, np.zeros(n, np.int64))
+    took = time.process_time() - began
+    assert (order == by).all()
+    assert (equal[1:] == (text[by[1:]] == text[by[:-1]]).all(axis=1)).all() and not equal[0]
+    assert took < 10 * plain + 0.05
+
+
 def test_collisions_do_no_harm(monkeypatch):
     """Where all hashes are equal the order is found from the bytes."""
     monkeypatch.setattr(suffix_dedup.PrefixHash, "of", lambda self, a, n: np.zeros(len(a), np.uint64))
