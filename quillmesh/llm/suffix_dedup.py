@@ -13,16 +13,21 @@ bucket. Neighbouring windows with one anchor form a stretch of text.
    bytes at a time as long as they are tied: the work per suffix does not depend on how many
    texts share the anchor, but for the sort of a number, and no hash decides about equality.
 3. The spans found are gathered per document and cut.
+
+What is sent names documents by their number in a flush, so it does not grow with the number
+of buckets that a text meets.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,6 +42,8 @@ STRETCH = 64
 # Text that a task gathers before it sends stretches off, and windows sorted at once.
 FLUSH = 16 << 20
 SORTED_AT_ONCE = 1 << 20
+# Bytes hashed at once: the numbers made of them stay in a core's cache.
+BLOCK = 1 << 17
 # Documents without id come after all others.
 NO_ID = 2**63 - 1
 
@@ -97,13 +104,43 @@ def sort_suffixes(
 # --- stretches --------------------------------------------------------------------------
 
 
-def _stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Stretches of the texts between the offsets `at`: anchor, start, windows, text, hash."""
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """The hash of each 24-byte string."""
+    grams = np.empty(max(len(raw) - GRAM + 1, 0), np.uint64)
+    for i in range(0, len(grams), BLOCK):
+        part = mixed(PrefixHash(raw[i : i + BLOCK + GRAM - 1]).every(GRAM))
+        grams[i : i + len(part)] = part
+    return grams
+
+
+def _anchors(raw: np.ndarray) -> np.ndarray:
+    """The anchor of each window."""
+    anchors = np.empty(max(len(raw) - WINDOW + 1, 0), np.uint64)
+    for i in range(0, len(anchors), BLOCK):
+        grams = mixed(PrefixHash(raw[i : i + BLOCK + WINDOW - 1]).every(GRAM))
+        part = sliding_min(grams, WINDOW - GRAM + 1)
+        anchors[i : i + len(part)] = part
+    return anchors
+
+
+def _wholes(raw: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The hash of each stretch; `start` is sorted."""
+    wholes = np.empty(len(start), np.uint64)
+    edge = np.searchsorted(start, np.arange(0, len(raw) + BLOCK, BLOCK))
+    for i, j in zip(edge[:-1], edge[1:]):
+        if i < j:
+            first, n = start[i], count[i:j]
+            hashes = PrefixHash(raw[first : start[j - 1] + STRETCH + WINDOW - 1])
+            wholes[i:j] = mixed(hashes.of(start[i:j] - first, n + WINDOW - 1) + n.astype(np.uint64))
+    return wholes
+
+
+def _anchored(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of the texts between the offsets `at`: anchor, start, windows, text."""
     empty = np.empty(0, np.int64)
     if len(raw) < WINDOW:
-        return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
-    hashes = PrefixHash(raw)
-    anchors = sliding_min(mixed(hashes.every(GRAM)), WINDOW - GRAM + 1)
+        return empty.astype(np.uint64), empty, empty, empty
+    anchors = _anchors(raw)
     # Windows that begin in the last 49 bytes of a text would cross its end.
     windows = np.maximum(np.diff(at) - WINDOW + 1, 0)
     begins = np.zeros(len(anchors) + 1, bool)
@@ -113,7 +150,7 @@ def _stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = np.zeros(len(anchors) + 1, np.int8)
     np.add.at(valid, at[:-1][has], 1)
     np.add.at(valid, (at[:-1] + windows)[has], -1)
-    inside = np.cumsum(valid[:-1]) > 0
+    inside = np.cumsum(valid[:-1], dtype=np.int8) > 0
     begins = begins[:-1]
     begins[1:] |= inside[1:] & ~inside[:-1]
     start = np.flatnonzero(begins & inside)
@@ -125,9 +162,13 @@ def _stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         offset = ranges(np.zeros_like(cuts), cuts) * STRETCH
         start, stop, text = np.repeat(start, cuts) + offset, np.repeat(stop, cuts), np.repeat(text, cuts)
         stop = np.minimum(stop, start + STRETCH)
-    count = stop - start
-    whole = mixed(hashes.of(start, count + WINDOW - 1) + count.astype(np.uint64))
-    return anchors[start], start, count, text, whole
+    return anchors[start], start, stop - start, text
+
+
+def _stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of the texts between the offsets `at`: anchor, start, windows, text, hash."""
+    anchor, start, count, text = _anchored(raw, at)
+    return anchor, start, count, text, _wholes(raw, start, count)
 
 
 def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -208,13 +249,21 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return found
 
 
+def _steps(values: np.ndarray) -> np.ndarray:
+    """The first value and the steps to each next one."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
 # What tells apart the texts of one id, and those without; see `content_key`.
 CHECK = np.dtype([("hash0", np.int64), ("hash1", np.int64)])
-STRETCH_KINDS = (np.int64, CHECK, np.int32, np.int32, np.uint8, np.uint8)
-SPAN_KINDS = (np.int64, CHECK, np.int32, np.int64, np.int64)
-ANCHOR_KINDS = (np.int64, CHECK, np.int32, np.uint8, np.uint8)
-NO_IDS = np.empty(0, np.int64)
+# Ids and their numbers in the flush; per stretch the place in the list of these, the place in the
+# document, the windows; the bytes of all.
+STRETCH_KINDS = (np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint8)
+SPAN_KINDS = (np.int32, np.int32, np.int32)
+ANCHOR_KINDS = (np.int32, np.uint32)
+DOCUMENT_KINDS = (np.int64, CHECK)
 SENT = "bucket int, blob binary"
+FOUND = "_id bigint, _hash0 bigint, _hash1 bigint, _values binary"
 
 
 def _batch(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -223,19 +272,76 @@ def _batch(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     )
 
 
-def _by_document(mark: bytes, buckets: int, ids, checks, owner, *values) -> Iterator[pa.RecordBatch]:
-    """Values of documents, packed per bucket of the document."""
-    place = mixed(ids.astype(np.uint64) + checks["hash0"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
-    order = np.lexsort((owner, place[owner]))
-    owner, values = owner[order], [v[order] for v in values]
-    numbers, blobs = [], []
-    for at, n in zip(*groups_of(place[owner])):
-        part = slice(at, at + n)
-        used, local = np.unique(owner[part], return_inverse=True)
-        numbers.append(int(place[owner[at]]))
-        blobs.append(mark + _pack(ids[used], checks[used], local.astype(np.int32), *[v[part] for v in values]))
-    if blobs:
-        yield _batch(numbers, blobs)
+# --- documents by their number in a flush -----------------------------------------------
+#
+# A document meets almost every bucket, so its id and hashes would be most of what is sent once
+# there are many buckets. They go once per flush, to a bucket that all answers for the flush go to.
+# Everything else has the number of the document in its flush, and the name of the flush.
+
+NAME = struct.Struct("<i16s")
+
+
+def _name(buckets: int, ids: np.ndarray, checks: np.ndarray) -> bytes:
+    """The name of a flush: the bucket for answers, and a hash of its documents in order. Should
+    a repeated task read in another order, its flushes have other names."""
+    task = TaskContext.get()
+    content = hashlib.blake2b(ids.tobytes(), digest_size=16)
+    content.update(checks.tobytes())
+    return NAME.pack(task.partitionId() % buckets if task else 0, content.digest())
+
+
+def _home(name: bytes) -> int:
+    return NAME.unpack(name)[0]
+
+
+def _documents(name: bytes, ids: np.ndarray, checks: np.ndarray) -> bytes:
+    return b"I" + name + _pack(ids, checks)
+
+
+def _parted(blob: bytes) -> tuple[bytes, bytes, bytes]:
+    """What the blob is, the flush and the rest."""
+    return blob[:1], blob[1 : 1 + NAME.size], blob[1 + NAME.size :]
+
+
+def _gathered(kinds: tuple):
+    """Rows of documents with all values that came back for their flush: anchors, or spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, found = {}, {}
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                mark, name, rest = _parted(blob)
+                if mark == b"I":
+                    documents[name] = rest
+                else:
+                    found.setdefault(name, []).append(rest)
+        if any(name not in documents for name in found):
+            raise RuntimeError("Values of a flush whose documents did not come: a task read other rows when it was repeated")
+        for name in list(found):
+            ids, checks = _unpack(documents.pop(name), DOCUMENT_KINDS)
+            owner, *values = (np.concatenate(x) for x in zip(*[_unpack_by_number(x, kinds) for x in found.pop(name)]))
+            if len(values) == 2:
+                start, length = (v.astype(np.int64) for v in values)
+                owner, start, end = merged_spans(owner, start, start + length)
+                packed = np.c_[start, end].astype("<i8")
+            else:
+                order = np.argsort(owner, kind="stable")
+                owner, packed = owner[order], values[0][order].astype("<u4")
+            first, size = groups_of(owner)
+            for i in range(0, len(first), 4096):
+                f, n = first[i : i + 4096], size[i : i + 4096]
+                yield pa.RecordBatch.from_pydict({
+                    "_id": pa.array(ids[owner[f]], pa.int64()),
+                    **{f"_{half}": pa.array(checks[half][owner[f]], pa.int64()) for half in CHECK.names},
+                    "_values": pa.array([packed[a : a + k].tobytes() for a, k in zip(f, n)], pa.binary()),
+                })
+
+    return run
+
+
+def _unpack_by_number(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    steps, *values = _unpack(blob, kinds)
+    return [np.cumsum(steps), *values]
 
 
 def _one_per_document(ids, checks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,19 +359,12 @@ def _one_per_document(ids, checks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # --- anchors ----------------------------------------------------------------------------
 
-
-def _six(values: np.ndarray) -> np.ndarray:
-    """The lower six bytes of each number."""
-    return np.ascontiguousarray(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
-
-
-def _from_six(data: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = data.reshape(-1, 6)
-    return wide.view("<u8").ravel().astype(np.uint64)
-
-
-LOW = np.uint64((1 << 48) - 1)
+# Of an anchor 32 bits travel, next to its bucket. Where two are taken for one, some stretches
+# travel that need not.
+FOUR = np.uint64(0xFFFFFFFF)
+# The number of a document, next to the 40 bits of an anchor that choose its bucket. A flush has
+# about FLUSH bytes of text, and a document with an anchor has 50 or more of them.
+NUMBER_BITS = np.uint64(24)
 
 
 def _send_anchors(buckets: int, size: int):
@@ -279,34 +378,32 @@ def _send_anchors(buckets: int, size: int):
         ids, checks, anchor, text = (np.concatenate(x) for x in zip(*found))
         # Each anchor of a document once; slices of a long text are one document.
         ids, checks, number = _one_per_document(ids, checks)
-        text = number[text]
-        order = np.lexsort((text, anchor))
-        anchor, text = anchor[order], text[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-        anchor, text = anchor[new], text[new]
+        code = np.sort((anchor << NUMBER_BITS) | number[text].astype(np.uint64))
+        if not len(code):
+            return
+        code = code[np.r_[True, code[1:] != code[:-1]]]
+        anchor, text = code >> NUMBER_BITS, (code & np.uint64((1 << int(NUMBER_BITS)) - 1)).astype(np.int64)
+        name = _name(buckets, ids, checks)
+        yield _batch([_home(name)], [_documents(name, ids, checks)])
         first, n = groups_of(anchor)
-        if len(first):
-            # Rows that share an id are one document.
-            several = np.minimum.reduceat(ids[text], first) != np.maximum.reduceat(ids[text], first)
-            here = np.repeat(several, n)
-            yield from _by_document(b"D", buckets, ids, checks, text[here], anchor[here])
-            head = first[several]
-            anchor = np.r_[anchor[~here], anchor[head]]
-            text = np.r_[text[~here], np.full(len(head), -1)]
+        # Rows that share an id are one document.
+        several = np.minimum.reduceat(ids[text], first) != np.maximum.reduceat(ids[text], first)
+        here = np.repeat(several, n)
+        if here.any():
+            told, own = anchor[here], text[here]
+            by = np.argsort(own, kind="stable")
+            yield _batch([_home(name)], [b"D" + name + _pack(_steps(own[by].astype(np.int32)), (told[by] & FOUR).astype(np.uint32))])
+        head = first[several]
+        anchor = np.r_[anchor[~here], anchor[head]]
+        text = np.r_[text[~here], np.full(len(head), -1)]
         bucket = (mixed(anchor) >> np.uint64(20)) % np.uint64(buckets)
-        order = np.lexsort((text, bucket))
-        anchor, text, bucket = anchor[order], text[order], bucket[order]
+        order = np.argsort((bucket << NUMBER_BITS) | (text + 1).astype(np.uint64))
+        four, text, bucket = (anchor[order] & FOUR).astype(np.uint32), text[order].astype(np.int32), bucket[order]
         numbers, blobs = [], []
         for at, n in zip(*groups_of(bucket)):
             part = slice(at, at + n)
-            own = text[part]
-            used, local = np.unique(own[own >= 0], return_inverse=True)
             numbers.append(int(bucket[at]))
-            step = np.r_[np.full(int((own < 0).sum()), -1), local]
-            blobs.append(
-                b"A" + _pack(ids[used], checks[used], np.diff(step, prepend=0).astype(np.int32), _six(anchor[part]), np.empty(0, np.uint8))
-            )
+            blobs.append(b"A" + name + _pack(_steps(text[part]), four[part]))
             if len(blobs) >= 512:
                 yield _batch(numbers, blobs)
                 numbers, blobs = [], []
@@ -316,10 +413,14 @@ def _send_anchors(buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen, texts = [], 0, 0
         for ids, checks, raw, at, _, _ in _texts(batches, size):
-            anchor, _, _, text, _ = _stretches(raw, at)
-            found.append((ids, checks, anchor & LOW, text + texts))
+            anchor, _, _, text = _anchored(raw, at)
+            # Texts without a window have no number.
+            used = np.zeros(len(ids), bool)
+            used[text] = True
+            text = (np.cumsum(used) - 1)[text]
+            found.append((ids[used], checks[used], anchor & np.uint64((1 << 40) - 1), text + texts))
             seen += len(raw)
-            texts += len(ids)
+            texts += int(used.sum())
             if seen >= FLUSH:
                 yield from flush(found)
                 found, seen, texts = [], 0, 0
@@ -330,31 +431,41 @@ def _send_anchors(buckets: int, size: int):
 
 
 def _shared_anchors(buckets: int):
-    """Per document the anchors of this bucket that other documents have too."""
+    """Per flush the anchors of this bucket that other documents have too.
+
+    A document in two flushes counts as two here, and rows that share an id too: ids are
+    compared where the stretches meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen = [], 0
+        names, found = [], []
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                if blob[:1] == b"D":
+                mark, name, rest = _parted(blob)
+                if mark == b"A":
+                    names.append(name)
+                    found.append(_unpack_by_number(rest, ANCHOR_KINDS))
+                else:
                     yield _batch([bucket], [blob])
-                    continue
-                ids, checks, step, six, _ = _unpack(blob[1:], ANCHOR_KINDS)
-                local = np.cumsum(step)
-                found.append((ids, checks, np.where(local >= 0, local + seen, -1), _from_six(six)))
-                seen += len(ids)
         if not found:
             return
-        ids, checks, owner, anchor = (np.concatenate(x) for x in zip(*found))
+        text, four = (np.concatenate(x) for x in zip(*found))
+        flush = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
         found.clear()
-        doc = np.where(owner >= 0, ids[owner], 0) if len(ids) else np.zeros(len(owner), np.int64)
-        order = np.lexsort((doc, anchor))
-        anchor, owner, doc = anchor[order], owner[order], doc[order]
-        first, n = groups_of(anchor)
-        known = np.minimum.reduceat(owner, first) < 0
-        several = known | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
-        use = np.repeat(several, n) & (owner >= 0)
-        yield from _by_document(b"D", buckets, ids, checks, owner[use], anchor[use])
+        code = np.sort((four.astype(np.uint64) << np.uint64(32)) | np.arange(len(four), dtype=np.uint64))
+        at = (code & FOUR).astype(np.int64)
+        _, n = groups_of(code >> np.uint64(32))
+        use = np.zeros(len(text), bool)
+        use[at[np.repeat(n > 1, n)]] = True
+        use &= text >= 0
+        flush, text, four = flush[use], text[use], four[use]
+        numbers, blobs = [], []
+        for i, n in zip(*groups_of(flush)):
+            name, part = names[flush[i]], slice(i, i + n)
+            numbers.append(_home(name))
+            blobs.append(b"D" + name + _pack(_steps(text[part].astype(np.int32)), four[part]))
+        if blobs:
+            yield _batch(numbers, blobs)
 
     return run
 
@@ -378,13 +489,13 @@ class _Sender:
         self.found: list[tuple[np.ndarray, ...]] = []
         self.texts = 0
 
-    def add(self, ids, checks, raw, at, offsets, lists: list[bytes]) -> None:
+    def add(self, ids, checks, raw, at, offsets, lists: list[list[bytes]]) -> None:
         anchor, start, count, text, whole = _stretches(raw, at)
         # Only the stretches whose anchors another document has too.
-        wanted = [_from_six(np.frombuffer(x, np.uint8)) for x in lists]
+        wanted = [np.frombuffer(b"".join(x), "<u4") for x in lists]
         owner = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted]).astype(np.uint64)
-        salt = np.uint64(0x9E3779B97F4A7C15)
-        use = np.isin((anchor & LOW) ^ (text.astype(np.uint64) * salt), np.concatenate(wanted) ^ (owner * salt))
+        wanted = (owner << np.uint64(32)) | np.concatenate(wanted)
+        use = np.isin((text.astype(np.uint64) << np.uint64(32)) | (anchor & FOUR), wanted)
         anchor, start, count, text, whole = (x[use] for x in (anchor, start, count, text, whole))
         self.found.append((anchor, whole, start + self.size, count, text + self.texts))
         self.raw.append(raw)
@@ -402,12 +513,15 @@ class _Sender:
         ids, checks, base = (np.concatenate(x) for x in (self.ids, self.checks, self.offsets))
         anchor, whole, start, count, text = (np.concatenate(x) for x in zip(*self.found))
         self.clear()
+        name = _name(self.buckets, ids, checks)
+        yield _batch([_home(name)], [_documents(name, ids, checks)])
         order, first, later = _settle(raw, anchor, whole, start, count, ids[text])
         # What a smaller document here has as well need not travel: its spans do.
         gone = order[later]
         place = start - base[text]
         o, s, e = merged_spans(text[gone], place[gone], place[gone] + count[gone] + WINDOW - 1)
-        yield from _by_document(b"S", self.buckets, ids, checks, o, s, e)
+        if len(o):
+            yield _batch([_home(name)], [_spans(name, o, s, e)])
         keep = np.ones(len(order), bool)
         keep[gone] = False
         left = np.flatnonzero(keep)
@@ -417,13 +531,15 @@ class _Sender:
         buckets, blobs = [], []
         for b, n in zip(*groups_of(bucket)):
             at = left[b : b + n]
-            used, local = np.unique(text[at], return_inverse=True)
+            own = text[at]
+            new = np.r_[True, own[1:] != own[:-1]]
+            used = own[new]
             content = raw[ranges(start[at], count[at] + WINDOW - 1)]
             buckets.append(int(bucket[b]))
             blobs.append(
-                b"T" + _pack(
-                    ids[used], checks[used], np.diff(local, prepend=0).astype(np.int32),
-                    np.diff(place[at], prepend=0).astype(np.int32), count[at].astype(np.uint8), content,
+                b"T" + name + _pack(
+                    _steps(ids[used]), _steps(used.astype(np.int32)), new.astype(np.int32),
+                    _steps(place[at].astype(np.int32)), count[at].astype(np.uint8), content,
                 )
             )
             if len(blobs) >= 256:
@@ -433,6 +549,10 @@ class _Sender:
             yield _batch(buckets, blobs)
 
 
+def _spans(name: bytes, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    return b"S" + name + _pack(_steps(owner.astype(np.int32)), start.astype(np.int32), (end - start).astype(np.int32))
+
+
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     """Texts in chunks: ids, checks, bytes, offsets, where each begins in its document, and
     the rows. A long text comes in slices that overlap by a window less a byte."""
@@ -462,93 +582,56 @@ def _send(buckets: int, size: int):
     return run
 
 
-def _read_stretches(blob: bytes) -> tuple:
-    ids, checks, local, place, count, content = _unpack(blob, STRETCH_KINDS)
-    local, place, count = np.cumsum(local), np.cumsum(place.astype(np.int64)), count.astype(np.int64)
-    length = count + WINDOW - 1
-    start = np.cumsum(length) - length
-    anchors, wholes = [], []
-    # Hashes of a part of the text at a time.
-    edge = np.searchsorted(start, np.arange(0, len(content) + (4 << 20), 4 << 20))
+def _anchor_of(raw: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The anchor of each stretch; one follows the other in `raw`."""
+    anchors = np.empty(len(start), np.uint64)
+    edge = np.searchsorted(start, np.arange(0, len(raw) + BLOCK, BLOCK))
     for i, j in zip(edge[:-1], edge[1:]):
-        if i == j:
-            continue
-        a, b = start[i], start[j - 1] + length[j - 1]
-        hashes = PrefixHash(content[a:b])
-        grams = mixed(hashes.every(GRAM))
-        at = start[i:j] - a
-        first = np.c_[at, at + WINDOW - GRAM + 1].ravel()
-        anchors.append(np.minimum.reduceat(np.r_[grams, grams[-1:]], np.minimum(first, len(grams)))[::2])
-        wholes.append(mixed(hashes.of(at, length[i:j]) + count[i:j].astype(np.uint64)))
-    return ids, checks, local, place, count, content, np.concatenate(anchors), np.concatenate(wholes)
-
-
-def _compare(buckets: int):
-    """Per document, the spans that the windows of this bucket show to be repeated."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = []
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                if blob[:1] == b"S":
-                    yield _batch([bucket], [blob])
-                else:
-                    texts.append(_read_stretches(blob[1:]))
-        if not texts:
-            return
-        ids, checks, number = _one_per_document(*(np.concatenate([x[i] for x in texts]) for i in (0, 1)))
-        owner, start, end = _repeated(texts)
-        owner, start, end = merged_spans(number[owner], start, end)
-        yield from _by_document(b"S", buckets, ids, checks, owner, start, end)
-
-    return run
-
-
-def _gathered(kinds: tuple):
-    """One row per document, with all its values of this bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen = [], 0
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                ids, checks, local, *values = _unpack(blob[1:], kinds)
-                found.append((ids, checks, local + seen, *values))
-                seen += len(ids)
-        if not found:
-            return
-        ids, checks, owner, *values = (np.concatenate(x) for x in zip(*found))
-        found.clear()
-        ids, checks, number = _one_per_document(ids, checks)
-        owner = number[owner]
-        if len(values) == 2:
-            owner, *values = merged_spans(owner, *values)
-            packed = np.c_[values[0], values[1]].astype("<i8")
-        else:
-            order = np.argsort(owner, kind="stable")
-            owner, packed = owner[order], _six(values[0][order]).reshape(-1, 6)
-        first, size = groups_of(owner)
-        for i in range(0, len(first), 4096):
-            f, n = first[i : i + 4096], size[i : i + 4096]
-            yield pa.RecordBatch.from_pydict({
-                "_id": pa.array(ids[owner[f]], pa.int64()),
-                **{f"_{half}": pa.array(checks[half][owner[f]], pa.int64()) for half in CHECK.names},
-                "_values": pa.array([packed[a : a + k].tobytes() for a, k in zip(f, n)], pa.binary()),
-            })
-
-    return run
+        if i < j:
+            first = start[i]
+            grams = mixed(PrefixHash(raw[first : start[j - 1] + count[j - 1] + WINDOW - 1]).every(GRAM))
+            bounds = np.c_[start[i:j] - first, start[i:j] - first + WINDOW - GRAM + 1].ravel()
+            anchors[i:j] = np.minimum.reduceat(np.r_[grams, grams[-1:]], bounds)[::2]
+    return anchors
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per flush, the spans that the windows of this bucket show to be repeated."""
+    names, texts = [], []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+            mark, name, rest = _parted(blob)
+            if mark == b"T":
+                names.append(name)
+                texts.append(_unpack(rest, STRETCH_KINDS))
+            else:
+                yield _batch([bucket], [blob])
+    if not texts:
+        return
+    documents = [len(x[0]) for x in texts]
+    flush = np.repeat(np.arange(len(texts)), documents)
+    ids, number = (np.concatenate([np.cumsum(x[i]) for x in texts]) for i in (0, 1))
+    # The first stretch of a flush begins with its first document.
+    owner = np.cumsum(np.concatenate([x[2] for x in texts]), dtype=np.int64) - 1
+    place = np.concatenate([np.cumsum(x[3].astype(np.int64)) for x in texts])
+    count, raw = (np.concatenate([x[i] for x in texts]) for i in (4, 5))
+    texts.clear()
+    owner, start, end = _repeated(raw, ids, owner, place, count.astype(np.int64))
+    owner, start, end = merged_spans(owner, start, end)
+    numbers, blobs = [], []
+    for at, n in zip(*groups_of(flush[owner])):
+        name, part = names[flush[owner[at]]], slice(at, at + n)
+        numbers.append(_home(name))
+        blobs.append(_spans(name, number[owner[part]], start[part], end[part]))
+    if blobs:
+        yield _batch(numbers, blobs)
 
 
-def _repeated(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = [len(x[5]) for x in texts]
-    bases = np.cumsum(lengths) - lengths
-    raw = np.concatenate([x[5] for x in texts])
-    owners = np.cumsum([0, *[len(x[0]) for x in texts]])
-    owner = np.concatenate([x[2] + o for x, o in zip(texts, owners)])
-    ids = np.concatenate([x[0] for x in texts])
-    place, count = (np.concatenate([x[i] for x in texts]) for i in (3, 4))
-    anchor, whole = (np.concatenate([x[i] for x in texts]) for i in (6, 7))
-    start = np.concatenate([np.cumsum(x[4] + WINDOW - 1) - (x[4] + WINDOW - 1) + b for x, b in zip(texts, bases)])
-    texts.clear()
+def _repeated(raw, ids, owner, place, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, start and end of the spans of repeated windows among the stretches of a bucket."""
+    length = count + WINDOW - 1
+    start = np.cumsum(length) - length
+    anchor, whole = _anchor_of(raw, start, count), _wholes(raw, start, count)
     doc = ids[owner]
     order, first, later = _settle(raw, anchor, whole, start, count, doc)
     gone = order[later]
@@ -584,7 +667,7 @@ def _repeated(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         which = np.repeat(np.arange(len(h)), n)
         offset = ranges(np.zeros_like(n), n)
         # Equal windows have the anchor at the same offset.
-        grams = mixed(PrefixHash(local).every(GRAM))
+        grams = _grams(local)
         at_anchor = np.flatnonzero(grams == np.repeat(anchor[h], length)[: len(grams)])
         begin_ = base[which] + offset
         kin = np.repeat(family[i:j], n) * WINDOW + at_anchor[np.searchsorted(at_anchor, begin_)] - begin_
@@ -639,7 +722,9 @@ def _cut(batches: Iterator[pa.RecordBatch], characters: bool) -> Iterator[pa.Rec
                 removed.append(0)
                 spans.append([])
                 continue
-            s, e = np.frombuffer(found, "<i8").reshape(-1, 2).T
+            s, e = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2).T
+            if len(found) > 1:
+                _, s, e = merged_spans(np.zeros(len(s), np.int64), s, e)
             mark = np.zeros(len(text) + 1, np.int8)
             mark[s] += 1
             mark[e] -= 1
@@ -672,20 +757,21 @@ def _keyed(df: DataFrame, key: str, text: str) -> list:
 
 def _repeated_spans(rows: DataFrame, buckets: int) -> DataFrame:
     """The spans to remove, a row per document that has any: `_id`, `_hash0`, `_hash1` (of the
-    text), `_values` (pairs of 64-bit numbers: first byte and the byte behind the last)."""
-    found = "_id bigint, _hash0 bigint, _hash1 bigint, _values binary"
+    text), `_spans` (lists of pairs of 64-bit numbers: first byte and the byte behind the last; a
+    document in several flushes has several)."""
     anchors = (
         rows.select(*NAMES, "text").mapInArrow(lean(_send_anchors(buckets, 4 << 20)), SENT).repartitionById(buckets, "bucket")
         .mapInArrow(lean(_shared_anchors(buckets)), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(lean(_gathered((np.int64, CHECK, np.int32, np.uint64))), found)
-        .withColumnRenamed("_values", "_anchors")
+        .mapInArrow(lean(_gathered(ANCHOR_KINDS)), FOUND)
+        .groupBy(*NAMES).agg(F.collect_list("_values").alias("_anchors"))
     )
     # All columns, so that this join and that with the spans share one shuffle of the texts.
     sharing = rows.join(anchors.hint("shuffle_hash"), NAMES)
     return (
         sharing.mapInArrow(lean(_send(buckets, 4 << 20)), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(lean(_compare(buckets)), SENT).repartitionById(buckets, "bucket")
-        .mapInArrow(lean(_gathered(SPAN_KINDS)), found)
+        .mapInArrow(lean(_compare), SENT).repartitionById(buckets, "bucket")
+        .mapInArrow(lean(_gathered(SPAN_KINDS)), FOUND)
+        .groupBy(*NAMES).agg(F.collect_list("_values").alias("_spans"))
     )
 
 
@@ -706,7 +792,7 @@ def remove_repeats(
     """
     rest = [c for c in df.columns if c not in (text, "n_bytes", "kept", "n_removed", "removed", *NAMES, "_spans")]
     rows = df.select(*_keyed(df, key, text), *[F.col(f"`{c}`") for c in rest])
-    spans = _repeated_spans(rows, parts(df)).withColumnRenamed("_values", "_spans")
+    spans = _repeated_spans(rows, parts(df))
     joined = rows.join(spans.hint("shuffle_hash"), NAMES, "left").drop(*NAMES)
     same = [f for f in joined.schema.fields if f.name not in ("text", "_spans")]
     added = StructType.fromDDL(

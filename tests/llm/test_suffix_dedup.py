@@ -3,6 +3,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import ordered, repeats, sha
 from pyspark.sql import functions as F
@@ -93,6 +94,81 @@ def test_long_text_in_slices():
     assert whole == sliced and len(whole) == len(raw) - 49
 
 
+def texts_of(rows):
+    return pa.RecordBatch.from_pydict({
+        "_id": pa.array([suffix_dedup.NO_ID if d is None else d for d, _ in rows], pa.int64()),
+        "_hash0": pa.array([zlib.crc32((t or "").encode()) for _, t in rows], pa.int64()),
+        "_hash1": pa.array([0] * len(rows), pa.int64()),
+        "text": pa.array([t and t.encode() for _, t in rows], pa.binary()),
+    })
+
+
+def dealt(batches, buckets):
+    lying = {b: [] for b in range(buckets)}
+    for batch in batches:
+        for row in batch.to_pylist():
+            lying[row["bucket"]].append(suffix_dedup._batch([row["bucket"]], [row["blob"]]))
+    return lying
+
+
+def after(lying, step):
+    return [out for batches in lying.values() for out in step(iter(batches))]
+
+
+def per_document(batches):
+    found = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            found.setdefault((r["_id"], r["_hash0"], r["_hash1"]), []).append(r["_values"])
+    return found
+
+
+def with_lists(batch, name, found):
+    keys = zip(*(batch.column(c).to_pylist() for c in suffix_dedup.NAMES))
+    return batch.append_column(name, pa.array([found.get(k) for k in keys], pa.list_(pa.binary())))
+
+
+def test_documents_in_many_flushes(monkeypatch):
+    """What comes back for several flushes of a document, or for slices of it, is put together."""
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 1500)
+    rng = random.Random(8)
+    words = "".join(rng.choice("abc d") for _ in range(3000))
+    rows = [*made(), (20, words), (21, words[:1400]), (22, "x" * 60 + words[1300:2500]), (22, words[2000:]), (20, words)]
+    buckets, tasks = 7, [rows[:30], rows[30:70], rows[70:]]
+    texts = [texts_of(t) for t in tasks]
+    anchors = dealt([out for t in texts for out in suffix_dedup._send_anchors(buckets, 700)(iter([t]))], buckets)
+    lists = dealt(after(anchors, suffix_dedup._shared_anchors(buckets)), buckets)
+    wanted = per_document(after(lists, suffix_dedup._gathered(suffix_dedup.ANCHOR_KINDS)))
+    sharing = [with_lists(t, "_anchors", {k: wanted.get(k, []) for k in zip(*(t.column(c).to_pylist() for c in suffix_dedup.NAMES))}) for t in texts]
+    stretches = dealt([out for t in sharing for out in suffix_dedup._send(buckets, 700)(iter([t]))], buckets)
+    spans = dealt(after(stretches, suffix_dedup._compare), buckets)
+    found = per_document(after(spans, suffix_dedup._gathered(suffix_dedup.SPAN_KINDS)))
+    assert max(map(len, found.values())) > 1
+    cut = [r for t in texts for out in suffix_dedup._cut(iter([with_lists(t, "_spans", found)]), False) for r in out.to_pylist()]
+    assert ordered([
+        (None if r["_id"] == suffix_dedup.NO_ID else r["_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), sha(r["kept"]))
+        for r in cut
+    ]) == repeats(rows)
+
+
+def test_sent_bytes_by_number_of_buckets():
+    """Documents that meet more buckets do not make more bytes to send."""
+    rng = np.random.default_rng(6)
+    texts = texts_of([(int(d), rng.integers(97, 123, 1500).astype(np.uint8).tobytes().decode()) for d in rng.integers(0, 2**60, 1500)])
+    texts = texts.set_column(1, "_hash0", pa.array(rng.integers(0, 2**60, 1500)))
+
+    def sent(buckets):
+        return sum(len(b) for out in suffix_dedup._send_anchors(buckets, 4 << 20)(iter([texts])) for b in out.column("blob").to_pylist())
+
+    assert sent(250) < 1.25 * sent(10)
+
+
+def test_lost_documents_are_an_error():
+    blob = b"S" + suffix_dedup.NAME.pack(0, b"x" * 16) + suffix_dedup._pack(*[np.zeros(1, np.int32)] * 3)
+    with pytest.raises(RuntimeError, match="did not come"):
+        list(suffix_dedup._gathered(suffix_dedup.SPAN_KINDS)(iter([suffix_dedup._batch([0], [blob])])))
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_suffix_sort(seed):
     rng = random.Random(seed)
